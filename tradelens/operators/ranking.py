@@ -11,7 +11,8 @@ row into a single partition).  It works from a histogram of distinct values:
    window *partitioned by bucket* sums inside each bucket and a tiny table of
    bucket totals supplies the offsets.
 3. The ``k-1`` tile edges (last rank of tiles 1..k-1) fall in at most ``k-1``
-   values; they form a ``k-1`` element array attached by a scalar subquery.
+   values; they form a ``k-1`` element array per partition, joined back as a
+   broadcast table with one row per partition.
 4. A row's tile is ``1 + #edges whose value sorts before the row's value`` plus,
    only for the few values an edge cuts through ("straddling" values), the
    number of those edges lying before the row's position inside its value.
@@ -59,103 +60,143 @@ def _before(a: Column, b: Column, descending: bool) -> Column:
     return (a.isNull() & b.isNotNull()) | (a < b)
 
 
-def _cuts(df: DataFrame, key: Column, buckets: int, accuracy: int) -> Column:
-    probs = [i / buckets for i in range(1, buckets)]
-    if not probs:
-        return F.array().cast("array<double>")
-    return df.agg(F.percentile_approx(key, probs, accuracy)).scalar()
+def count_below(key: Column, cuts: Column, n: int, inclusive: bool = False) -> Column:
+    """Number of entries of the ascending array ``cuts`` (length ``n``) below ``key``
+    (``<`` or, with ``inclusive``, ``<=``), as a binary search unrolled into CASE
+    expressions: ``log2(n)`` comparisons per row, no lambda, no per-row array scan."""
+    def below(i: int) -> Column:
+        c = F.element_at(cuts, i + 1)
+        return (c <= key) if inclusive else (c < key)
 
+    def search(lo: int, hi: int) -> Column:
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(below(mid), search(mid + 1, hi)).otherwise(search(lo, mid))
+    return search(0, n)
 
-def ntile_score(df: DataFrame, value: str, k: int, tie: str, descending: bool = True,
-                out: str = "tile", buckets: int = 256, accuracy: int = 10000) -> DataFrame:
-    """Add ``out`` = NTILE(``k``) over ``value`` (DESC by default), ties ordered by ``tie``.
 
-    ``tie`` must be unique per row.  Numeric, date and timestamp tie keys order
-    naturally; other types order by ``(xxhash64(tie), tie)``.  Result equals
-    Spark's ``ntile`` over the same ordering (see tests).
+def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str, descending: bool = True,
+                  out: str = "tile", buckets: int = 256, accuracy: int = 10000, max_groups: int = 64) -> DataFrame:
+    """Add ``out`` = NTILE(``k``) OVER (PARTITION BY groups ORDER BY value [DESC], tie).
+
+    ``groups`` name a small, bounded set of partitions (at most ``max_groups``,
+    e.g. metric names); each partition may be arbitrarily large.  ``tie`` must be
+    unique inside a partition.  Per-partition helper tables (quantile cuts, tile
+    edges) have one row per partition and are broadcast; no scalar subquery and
+    no single-partition window over data rows is used.
     """
-    if k < 1:
-        raise ValueError("k must be positive")
+    if k < 1 or buckets < 2:
+        raise ValueError("k must be positive and buckets at least 2")
+    g = list(groups)
     schema = {f.name: f.dataType for f in df.schema.fields}
     v = F.col(value)
     vkey = monotone_key(v, schema[value])
     tie_is_natural = not isinstance(schema[tie], (T.StringType, T.BinaryType))
     tkey = monotone_key(F.col(tie), schema[tie], allow_hash=True)
     tie_order = [tkey] if tie_is_natural else [tkey, F.col(tie)]
+    nb = buckets - 1
+    probs = [i / buckets for i in range(1, buckets)]
 
-    # 1. histogram of distinct values ------------------------------------------------
-    hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    n = hist.agg(F.sum("_c")).scalar()
+    # 1. histogram of distinct values per partition ----------------------------------------
+    hist = df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
+    gstats = hist.groupBy(*g).agg(F.sum("_c").alias("_n"), F.percentile_approx(vkey, probs, accuracy).alias("_vc"))
 
-    # 2. distributed prefix sum over the histogram --------------------------------------
-    vcuts = _cuts(hist, vkey, buckets, accuracy)
-    # (scalar subqueries may not sit inside lambdas: attach them as columns first)
+    # 2. distributed prefix sum over the histogram ------------------------------------------
     if descending:
-        bucket = F.when(v.isNull(), F.lit(buckets)).otherwise(F.size(F.filter("_vc", lambda c: c > vkey)))
+        bucket = F.when(v.isNull(), F.lit(buckets)).otherwise(F.lit(nb) - count_below(vkey, F.col("_vc"), nb, True))
         vorder = F.col(value).desc_nulls_last()
     else:
-        bucket = F.when(v.isNull(), F.lit(-1)).otherwise(F.size(F.filter("_vc", lambda c: c < vkey)))
+        bucket = F.when(v.isNull(), F.lit(-1)).otherwise(count_below(vkey, F.col("_vc"), nb))
         vorder = F.col(value).asc_nulls_first()
-    hist_b = hist.withColumn("_vc", vcuts).withColumn("_b", bucket).drop("_vc")
-    within = Window.partitionBy("_b").orderBy(vorder).rowsBetween(Window.unboundedPreceding, -1)
-    totals = hist_b.groupBy("_b").agg(F.sum("_c").alias("_bc"))
-    offsets = totals.select(
-        "_b", F.coalesce(F.sum("_bc").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-                         F.lit(0)).alias("_boff"))
+    hist_b = hist.join(broadcast_bounded(gstats, max_groups), g).withColumn("_b", bucket).drop("_vc")
+    within = Window.partitionBy(*g, "_b").orderBy(vorder).rowsBetween(Window.unboundedPreceding, -1)
+    totals = hist_b.groupBy(*g, "_b").agg(F.sum("_c").alias("_bc"))
+    offsets = totals.select(*g, "_b", F.coalesce(F.sum("_bc").over(
+        Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_boff"))
     starts = (hist_b.withColumn("_in", F.coalesce(F.sum("_c").over(within), F.lit(0)))
-              .join(broadcast_bounded(offsets, buckets + 2), "_b")
-              .select(value, "_c", (F.col("_boff") + F.col("_in")).alias("_start")))
-
-    # 3. tile edges: last rank of tiles 1..k-1 -------------------------------------------
-    q = F.call_function("div", n, F.lit(k))
-    m = n % k
-    edge_ranks = F.array(*[F.lit(j) * q + F.least(F.lit(j), m) for j in range(1, k)]) if k > 1 \
-        else F.array().cast("array<bigint>")
-    hit = starts.withColumn("_er", edge_ranks).select(
-        value, "_c", "_start",
-        F.filter("_er", lambda r: (r > F.col("_start")) & (r <= F.col("_start") + F.col("_c"))).alias("_r"))
-    edges = (hit.filter(F.size("_r") > 0)
-             .select(F.explode("_r").alias("r"), F.col(value).alias("v"), F.col("_start").alias("start"),
-                     F.col("_c").alias("c")))
-    edge_arr = edges.agg(F.array_sort(F.collect_list(F.struct("r", "v", "start", "c")))).scalar()
-
-    # 4. base tile from the edge values --------------------------------------------------
-    base = F.size(F.filter("_ea", lambda e: _before(e["v"], v, descending)))
-    straddles = F.filter("_ea", lambda e: (e["r"] > e["start"]) & (e["r"] < e["start"] + e["c"]))
-    mine = F.filter("_sa", lambda e: e["v"].eqNullSafe(v))
-    marked = (df.withColumn("_ea", edge_arr).withColumn("_sa", straddles)
-              .withColumn("_base", base).withColumn("_se", mine).drop("_ea", "_sa")
-              .withColumn("_st", F.coalesce(F.size("_se") > 0, F.lit(False))))
+              .join(broadcast_bounded(offsets, max_groups * (buckets + 2)), g + ["_b"])
+              .select(*g, value, "_c", "_n", (F.col("_boff") + F.col("_in")).alias("_start")))
+
+    # 3. tile edges: last rank of tiles 1..k-1 and the value holding each -----------------
+    marked = df
+    inner: list[Column] = []
+    base = F.lit(0)
+    st = F.lit(False)
+    if k > 1:
+        q = F.call_function("div", F.col("_n"), F.lit(k))
+        m = F.col("_n") % k
+        edge_ranks = F.array(*[F.lit(j) * q + F.least(F.lit(j), m) for j in range(1, k)])
+        hit = starts.select(*g, value, "_c", "_start", F.posexplode(edge_ranks).alias("_j", "_r"))
+        edges = hit.filter((F.col("_r") > F.col("_start")) & (F.col("_r") <= F.col("_start") + F.col("_c")))
+        edge_tab = edges.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct(
+            F.col("_j").alias("j"), F.col("_r").alias("r"), F.col(value).alias("v"),
+            F.col("_start").alias("start"), F.col("_c").alias("c")))).alias("_ea"))
+        marked = df.join(broadcast_bounded(edge_tab, max_groups), g, "left")
+        # 4. base tile from the k - 1 edges (unrolled; k is small) ------------------------
+        for j in range(1, k):
+            ej = F.try_element_at(F.col("_ea"), F.lit(j))
+            base = base + F.when(_before(ej["v"], v, descending), 1).otherwise(0)
+            straddling = (ej["r"] > ej["start"]) & (ej["r"] < ej["start"] + ej["c"]) & ej["v"].eqNullSafe(v)
+            st = st | F.coalesce(straddling, F.lit(False))
+            inner.append(F.when(straddling, ej["r"] - ej["start"]))
+    marked = marked.withColumn("_base", base).withColumn("_st", st)
+    for i, x in enumerate(inner):
+        marked = marked.withColumn(f"_e{i}", x)
+    ecols = [F.col(f"_e{i}") for i in range(len(inner))]
     plain = marked.filter(~F.col("_st")).withColumn(out, (F.col("_base") + 1).cast("int"))
 
-    # 5. positions inside straddling values ----------------------------------------------
+    # 5. positions inside straddling values ------------------------------------------------
     srows = marked.filter(F.col("_st")).withColumn("_tk", tkey)
-    probs = [i / buckets for i in range(1, buckets)]
-    scuts = srows.groupBy(F.col(value).alias("_jv")).agg(
-        (F.percentile_approx("_tk", probs, accuracy) if probs else F.array().cast("array<long>")).alias("_sc"))
-    srows = (srows.join(broadcast_bounded(scuts, k), F.col(value).eqNullSafe(F.col("_jv")))
-             .drop("_jv")
-             .withColumn("_sb", F.size(F.filter("_sc", lambda c: c < F.col("_tk")))).drop("_sc"))
-    inner_edges = F.first(F.transform("_se", lambda e: e["r"] - e["start"]))
-    counts = srows.groupBy(value, "_sb").agg(F.count(F.lit(1)).alias("_n"), inner_edges.alias("_e"))
+    keys = g + [value]
+    scuts = srows.groupBy(*[F.col(c).alias(f"_j_{c}") for c in keys]).agg(
+        F.percentile_approx("_tk", probs, accuracy).alias("_sc"))
+    on = None
+    for c in keys:
+        cond = F.col(c).eqNullSafe(F.col(f"_j_{c}"))
+        on = cond if on is None else on & cond
+    srows = (srows.join(broadcast_bounded(scuts, max_groups * k), on).drop(*[f"_j_{c}" for c in keys])
+             .withColumn("_sb", count_below(F.col("_tk"), F.col("_sc"), nb)).drop("_sc"))
+    counts = srows.groupBy(*keys, "_sb", *[f"_e{i}" for i in range(len(inner))]).agg(F.count(F.lit(1)).alias("_n"))
+    off, cnt = F.col("_off"), F.col("_n")
+    is_cut = F.lit(False)
+    inc = F.lit(0)
+    for x in ecols:
+        is_cut = is_cut | F.coalesce((x > off) & (x < off + cnt), F.lit(False))
+        inc = inc + F.when(x <= off, 1).otherwise(0)
     sb_tab = (counts
               .withColumn("_off", F.coalesce(F.sum("_n").over(
-                  Window.partitionBy(value).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("_cut", F.exists("_e", lambda e: (e > F.col("_off")) & (e < F.col("_off") + F.col("_n"))))
-              .withColumn("_inc", F.size(F.filter("_e", lambda e: e <= F.col("_off"))))
-              .select(F.col(value).alias("_jv"), F.col("_sb").alias("_jsb"), "_off", "_e", "_cut", "_inc"))
-    srows = (srows.join(broadcast_bounded(sb_tab, k * buckets),
-                        F.col(value).eqNullSafe(F.col("_jv")) & (F.col("_sb") == F.col("_jsb")))
-             .drop("_jv", "_jsb"))
+                  Window.partitionBy(*keys).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .select(*[F.col(c).alias(f"_j_{c}") for c in keys], F.col("_sb").alias("_jsb"), "_off",
+                      is_cut.alias("_cut"), inc.alias("_inc")))
+    srows = (srows.join(broadcast_bounded(sb_tab, max_groups * k * buckets), on & (F.col("_sb") == F.col("_jsb")))
+             .drop(*[f"_j_{c}" for c in keys], "_jsb"))
     whole = srows.filter(~F.col("_cut")).withColumn(out, (F.col("_base") + F.col("_inc") + 1).cast("int"))
-    pos = F.col("_off") + F.row_number().over(Window.partitionBy(value, "_sb").orderBy(*tie_order))
+    pos = F.col("_off") + F.row_number().over(Window.partitionBy(*keys, "_sb").orderBy(*tie_order))
+    after = F.lit(0)
+    for x in ecols:
+        after = after + F.when(x < F.col("_p"), 1).otherwise(0)
     cut = (srows.filter(F.col("_cut")).withColumn("_p", pos)
-           .withColumn(out, (F.col("_base") + F.size(F.filter("_e", lambda e: e < F.col("_p"))) + 1).cast("int")))
+           .withColumn(out, (F.col("_base") + after + 1).cast("int")))
 
     cols = df.columns + [out]
     return plain.select(*cols).unionByName(whole.select(*cols)).unionByName(cut.select(*cols))
 
 
+def ntile_score(df: DataFrame, value: str, k: int, tie: str, descending: bool = True,
+                out: str = "tile", buckets: int = 256, accuracy: int = 10000) -> DataFrame:
+    """Add ``out`` = NTILE(``k``) OVER (ORDER BY value [DESC], tie) over the whole frame.
+
+    Same algorithm as :func:`grouped_ntile` with a single partition.  The
+    partition key is a zero derived from a column (not a literal), so the
+    optimizer keeps the helper-table joins as broadcast equi-joins.
+    """
+    zero = F.coalesce(F.col(tie).isNull().cast("int") * 0, F.lit(0))
+    tiled = grouped_ntile(df.withColumn("_one_part", zero), ["_one_part"], value, k, tie, descending, out,
+                          buckets, accuracy, max_groups=1)
+    return tiled.drop("_one_part")
+
+
 # RFM segment rules (first match wins), by recency score and
 # s = frequency score + monetary score.  Label spellings are part of the output.
 RFM_RULES = [
