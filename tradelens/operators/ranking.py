@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradelens.operators.aggregates import broadcast_bounded
+from tradelens.session import cut_lineage
 
 _EPOCH = "1970-01-01 00:00:00"
 
@@ -97,6 +98,8 @@ def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str
     tie_order = [tkey] if tie_is_natural else [tkey, F.col(tie)]
     nb = buckets - 1
     probs = [i / buckets for i in range(1, buckets)]
+    # the input feeds every step below: continue from a checkpoint, not from its plan
+    df = cut_lineage(df.select(*df.columns))
 
     # 1. histogram of distinct values per partition ----------------------------------------
     hist = df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
@@ -132,6 +135,7 @@ def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str
         edge_tab = edges.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct(
             F.col("_j").alias("j"), F.col("_r").alias("r"), F.col(value).alias("v"),
             F.col("_start").alias("start"), F.col("_c").alias("c")))).alias("_ea"))
+        edge_tab = cut_lineage(edge_tab)   # one row per partition
         marked = df.join(broadcast_bounded(edge_tab, max_groups), g, "left")
         # 4. base tile from the k - 1 edges (unrolled; k is small) ------------------------
         for j in range(1, k):

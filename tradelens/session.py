@@ -44,3 +44,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = configured or tempfile.mkdtemp(prefix="tradelens-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cut_lineage(df, eager: bool = True):
+    """Materialise ``df`` in the cluster's checkpoint folder and continue from the files.
+
+    Used where one intermediate feeds many branches of a plan: later stages
+    rescan the checkpoint instead of recomputing (or re-planning) the upstream
+    joins, and a lost executor does not force a recompute from the sources.
+    The folder is ``spark.checkpoint.dir``; only a local session without one
+    gets a scratch folder.  A cluster session without a checkpoint folder falls
+    back to a disk-backed persist.
+    """
+    from pyspark import StorageLevel
+
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            sc.setCheckpointDir(configured)
+        elif sc.master.startswith("local"):
+            ensure_checkpoint_dir(spark)
+        else:
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.checkpoint(eager=eager)
