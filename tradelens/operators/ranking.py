@@ -61,20 +61,22 @@ def _before(a: Column, b: Column, descending: bool) -> Column:
     return (a.isNull() & b.isNotNull()) | (a < b)
 
 
-def count_below(key: Column, cuts: Column, n: int, inclusive: bool = False) -> Column:
-    """Number of entries of the ascending array ``cuts`` (length ``n``) below ``key``
-    (``<`` or, with ``inclusive``, ``<=``), as a binary search unrolled into CASE
-    expressions: ``log2(n)`` comparisons per row, no lambda, no per-row array scan."""
-    def below(i: int) -> Column:
-        c = F.element_at(cuts, i + 1)
-        return (c <= key) if inclusive else (c < key)
-
-    def search(lo: int, hi: int) -> Column:
+def count_below(key: str, cuts: str, n: int, inclusive: bool = False) -> Column:
+    """Number of entries of the ascending array column ``cuts`` (length ``n``) below the
+    column ``key`` (``<``, or ``<=`` with ``inclusive``): a binary search unrolled into
+    nested CASE expressions, so each row makes ``log2(n)`` codegen'd comparisons.
+
+    Built as one SQL expression string (one parse instead of thousands of Column
+    objects)."""
+    op = "<=" if inclusive else "<"
+
+    def search(lo: int, hi: int) -> str:
         if lo >= hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(below(mid), search(mid + 1, hi)).otherwise(search(lo, mid))
-    return search(0, n)
+        return (f"CASE WHEN element_at(`{cuts}`, {mid + 1}) {op} `{key}` "
+                f"THEN {search(mid + 1, hi)} ELSE {search(lo, mid)} END")
+    return F.expr(search(0, n))
 
 
 def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str, descending: bool = True,
@@ -107,12 +109,13 @@ def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str
 
     # 2. distributed prefix sum over the histogram ------------------------------------------
     if descending:
-        bucket = F.when(v.isNull(), F.lit(buckets)).otherwise(F.lit(nb) - count_below(vkey, F.col("_vc"), nb, True))
+        bucket = F.when(v.isNull(), F.lit(buckets)).otherwise(F.lit(nb) - count_below("_vk", "_vc", nb, True))
         vorder = F.col(value).desc_nulls_last()
     else:
-        bucket = F.when(v.isNull(), F.lit(-1)).otherwise(count_below(vkey, F.col("_vc"), nb))
+        bucket = F.when(v.isNull(), F.lit(-1)).otherwise(count_below("_vk", "_vc", nb))
         vorder = F.col(value).asc_nulls_first()
-    hist_b = hist.join(broadcast_bounded(gstats, max_groups), g).withColumn("_b", bucket).drop("_vc")
+    hist_b = (hist.join(broadcast_bounded(gstats, max_groups), g).withColumn("_vk", vkey)
+              .withColumn("_b", bucket).drop("_vc", "_vk"))
     within = Window.partitionBy(*g, "_b").orderBy(vorder).rowsBetween(Window.unboundedPreceding, -1)
     totals = hist_b.groupBy(*g, "_b").agg(F.sum("_c").alias("_bc"))
     offsets = totals.select(*g, "_b", F.coalesce(F.sum("_bc").over(
@@ -160,7 +163,7 @@ def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str
         cond = F.col(c).eqNullSafe(F.col(f"_j_{c}"))
         on = cond if on is None else on & cond
     srows = (srows.join(broadcast_bounded(scuts, max_groups * k), on).drop(*[f"_j_{c}" for c in keys])
-             .withColumn("_sb", count_below(F.col("_tk"), F.col("_sc"), nb)).drop("_sc"))
+             .withColumn("_sb", count_below("_tk", "_sc", nb)).drop("_sc"))
     counts = srows.groupBy(*keys, "_sb", *[f"_e{i}" for i in range(len(inner))]).agg(F.count(F.lit(1)).alias("_n"))
     off, cnt = F.col("_off"), F.col("_n")
     is_cut = F.lit(False)

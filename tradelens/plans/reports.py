@@ -405,11 +405,17 @@ def _rfm_people(t: Tables, p: Params) -> DataFrame:
             .unionByName(spend.select("person_id", F.lit("monetary").alias("metric"),
                                       F.col("total_spent").cast(metric_value).alias("v"))))
     tiles = grouped_ntile(long, ["metric"], "v", 5, "person_id", descending=True, out="tile", max_groups=3)
-    scores = tiles.groupBy("person_id").agg(*[
-        F.max(F.when(F.col("metric") == m, F.col("tile"))).alias(m) for m in ("recency", "frequency", "monetary")])
+    metrics = ("recency", "frequency", "monetary")
+    people = tiles.groupBy("person_id").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("tile"))).alias(m) for m in metrics],
+        *[F.max(F.when(F.col("metric") == m, F.col("v"))).alias(f"_v_{m}") for m in metrics])
     # a person needs all three scores (monetary exists only for people with items)
-    scores = scores.filter(F.col("monetary").isNotNull() & F.col("recency").isNotNull())
-    people = scores.join(rf, "person_id").join(spend, "person_id")
+    people = people.filter(F.col("monetary").isNotNull() & F.col("recency").isNotNull()).select(
+        "person_id", "recency", "frequency", "monetary",
+        F.timestamp_add("MICROSECOND", F.col("_v_recency").cast("long"), ts_literal("1970-01-01")).alias(
+            "last_purchase"),
+        F.col("_v_frequency").cast("long").alias("total_orders"),
+        F.col("_v_monetary").cast("decimal(28,2)").alias("total_spent"))
     return people.withColumn("rfm_bucket", segment_label("recency", "frequency", "monetary"))
 
 
