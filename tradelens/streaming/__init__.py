@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The analysed workload is a batch analysis: it has no streams, watermarks,
+event-time windows or state.  Every report in :mod:`tradelens.plans.reports`
+is a batch DataFrame plan; nothing here is needed for parity.
+"""
