@@ -10,9 +10,10 @@ without sorting whole groups in one task:
 2. for every requested rank the grid gives a bracket ``[lo, hi]`` that is
    guaranteed to contain the ranked value (approximate rank error is at most
    ``n / accuracy``; the bracket is widened by three times that);
-3. one pass counts rows below each bracket; only rows *inside* a bracket
-   (about ``2n/grid`` of them) are numbered with a window, partitioned by
-   (group, target).
+3. one pass counts rows below each bracket; rows *inside* a bracket (about
+   ``2n/grid``) get a second, finer grid per (group, target), and only the rows
+   inside that second bracket (about ``2n/grid**2``) are numbered with a window
+   partitioned by (group, target).
 
 The per-group statistics table has one row per group: the operators here are
 meant for groups drawn from a dimension (categories, size bands), and Spark's
@@ -31,18 +32,33 @@ from tradelens.session import cut_lineage
 RankFn = Callable[[Column, Column], Column]
 
 
+def _bracket(grid_col: str, n_col: str, lo_col: str, hi_col: str, rank: Column, grid: int, delta: float):
+    """``[lo, hi]`` from an approximate quantile grid, certain to hold the value of ``rank``."""
+    frac = F.try_divide(rank.cast("double"), F.col(n_col).cast("double"))
+    lo_i = F.least(F.greatest(F.floor((frac - delta) * grid).cast("int"), F.lit(0)), F.lit(grid))
+    hi_i = F.least(F.greatest(F.ceil((frac + delta) * grid).cast("int"), F.lit(0)), F.lit(grid))
+    lo = F.when(lo_i <= 0, F.col(lo_col)).otherwise(F.element_at(grid_col, lo_i + 1))
+    hi = F.when(hi_i >= grid, F.col(hi_col)).otherwise(F.element_at(grid_col, hi_i + 1))
+    return lo, hi
+
+
 def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: dict[str, RankFn],
-                     grid: int = 1000, accuracy: int = 100_000) -> DataFrame:
+                     grid: int = 1000, accuracy: int = 100_000, materialized: bool = False) -> DataFrame:
     """Per group: ``_n`` (non-NULL count), ``_z`` (NULL count) and, for each target,
     the value at 1-based ascending rank ``targets[name](n, z)`` among non-NULL values
-    (NULL when the rank is outside ``1..n``)."""
+    (NULL when the rank is outside ``1..n``).
+
+    Two bracketing rounds: the group-wide quantile grid narrows each target to about
+    ``2n/grid`` rows, a second grid over those rows narrows it to about
+    ``2n/grid**2``, and only those are numbered.
+    """
     g = list(group)
     names = list(targets)
     v = F.col(value)
     probs = [i / grid for i in range(grid + 1)]
-    # the rows feed four steps below: continue from a checkpoint, not from their plan
-    df = cut_lineage(df.select(*g, value))
     delta = 3.0 / accuracy
+    # the rows feed several steps below: continue from a checkpoint, not from their plan
+    df = df.select(*g, value) if materialized else cut_lineage(df.select(*g, value))
     stats = df.groupBy(*g).agg(
         F.count(v).alias("_n"), (F.count(F.lit(1)) - F.count(v)).alias("_z"),
         F.min(v).alias("_min"), F.max(v).alias("_max"),
@@ -50,27 +66,36 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: d
     sel = [F.col(c) for c in g] + [F.col("_n"), F.col("_z")]
     for i, name in enumerate(names):
         r = targets[name](F.col("_n"), F.col("_z"))
-        frac = F.try_divide(r.cast("double"), F.col("_n").cast("double"))
-        lo_i = F.least(F.greatest(F.floor((frac - delta) * grid).cast("int"), F.lit(0)), F.lit(grid))
-        hi_i = F.least(F.greatest(F.ceil((frac + delta) * grid).cast("int"), F.lit(0)), F.lit(grid))
-        lo = F.when(lo_i <= 0, F.col("_min")).otherwise(F.element_at("_grid", lo_i + 1))
-        hi = F.when(hi_i >= grid, F.col("_max")).otherwise(F.element_at("_grid", hi_i + 1))
+        lo, hi = _bracket("_grid", "_n", "_min", "_max", r, grid, delta)
         sel += [r.alias(f"_r{i}"), lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
     bounds = stats.select(*sel)
 
-    rows = df.filter(v.isNotNull()).select(*g, value).join(bounds, g)
+    # round 1: rows below / inside each target's bracket, per group
+    rows = df.filter(v.isNotNull()).join(bounds, g)
     below = rows.groupBy(*g).agg(*[
         F.count(F.when(v < F.col(f"_lo{i}"), 1)).alias(f"_below{i}") for i in range(len(names))])
     brackets = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"))
                          for i in range(len(names))])
     inside = F.transform(F.filter(brackets, lambda b: (v >= b["lo"]) & (v <= b["hi"])), lambda b: b["i"])
     tagged = rows.select(*g, value, F.explode(inside).alias("_t"))
-    numbered = tagged.withColumn("_k", F.row_number().over(Window.partitionBy(*g, "_t").orderBy(value)))
-    info = bounds.join(below, g)
-    want = info.select(*g, F.explode(F.array(*[
+    unit = g + ["_t"]
+    want = bounds.join(below, g).select(*g, F.explode(F.array(*[
         F.struct(F.lit(i).alias("_t"), (F.col(f"_r{i}") - F.col(f"_below{i}")).alias("_k"))
         for i in range(len(names))])).alias("_w")).select(*g, "_w._t", "_w._k")
-    picked = numbered.join(want, g + ["_t", "_k"]).groupBy(*g).agg(*[
+
+    # round 2: a finer grid inside each bracket, per (group, target)
+    inner = tagged.groupBy(*unit).agg(
+        F.count(F.lit(1)).alias("_n2"), F.min(v).alias("_min2"), F.max(v).alias("_max2"),
+        F.percentile_approx(v, probs, accuracy).alias("_grid2"))
+    inner = inner.join(want, unit)
+    lo2, hi2 = _bracket("_grid2", "_n2", "_min2", "_max2", F.col("_k"), grid, delta)
+    inner = inner.select(*unit, "_k", lo2.alias("_lo2"), hi2.alias("_hi2"))
+    tagged2 = tagged.join(inner, unit)
+    below2 = tagged2.groupBy(*unit).agg(F.count(F.when(v < F.col("_lo2"), 1)).alias("_below2"))
+    core = tagged2.filter((v >= F.col("_lo2")) & (v <= F.col("_hi2"))).select(*unit, value)
+    numbered = core.withColumn("_pos", F.row_number().over(Window.partitionBy(*unit).orderBy(value)))
+    pick = inner.join(below2, unit).select(*unit, (F.col("_k") - F.col("_below2")).alias("_pos"))
+    picked = numbered.join(pick, unit + ["_pos"]).groupBy(*g).agg(*[
         F.max(F.when(F.col("_t") == i, v)).alias(name) for i, name in enumerate(names)])
     return bounds.select(*g, "_n", "_z").join(picked, g, "left")
 
@@ -97,7 +122,8 @@ def box_stats(df: DataFrame, group: Sequence[str], value: str, whisker: float =
     """Box-plot numbers per group (O9): n, q1, median, q3 and the whisker ends, i.e. the
     most extreme values within ``whisker * IQR`` of the quartiles."""
     g = list(group)
-    q = group_quantiles(df, g, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, **kw)
+    df = cut_lineage(df.select(*g, value))   # read by the quantiles and the whisker pass
+    q = group_quantiles(df, g, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, materialized=True, **kw)
     iqr = F.col("q3") - F.col("q1")
     q = q.select(*g, F.col("_n").alias("n"), "q1", "median", "q3",
                  (F.col("q1") - F.lit(whisker) * iqr).alias("_wlo"), (F.col("q3") + F.lit(whisker) * iqr).alias("_whi"))
