@@ -10,9 +10,10 @@ Plan shape, used throughout:
   (items per order or product, orders per customer, payments per order), so
   joins see one row per key and partial aggregation absorbs skewed keys;
 * filters are plain comparisons on scanned columns, so they reach Parquet;
-* small frames whose size is bounded by the plan (top-k lists, requested
-  category lists) are broadcast with ``broadcast_bounded``; everything else is
-  left to Spark's size statistics and AQE;
+* small frames whose size is bounded by the plan (top-k lists, one model row
+  per requested category) are broadcast with ``broadcast_bounded``; everything
+  else is left to Spark's size statistics and AQE (runtime broadcast, or
+  sort-merge with skew-partition splitting for hot keys);
 * money is summed as ``decimal(18,2)`` and cast to double at the end; means are
   exact sums divided once.
 """
@@ -280,9 +281,9 @@ def weight_box_stats(t: Tables, p: Params) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _selected_products(t: Tables, p: Params) -> DataFrame:
+    # the filtered dimension is small, but its size is the dimension's: Spark's statistics decide
     names = t.category_names.filter(F.col("category").isin(list(p.selected_categories)))
-    return t.products.join(broadcast_bounded(names, 4 * len(p.selected_categories)), "category_code").select(
-        "product_id", "category")
+    return t.products.join(names, "category_code").select("product_id", "category")
 
 
 def monthly_category_sales(t: Tables, p: Params) -> DataFrame:
@@ -331,7 +332,7 @@ def december_forecast(t: Tables, p: Params) -> DataFrame:
     hi = _days_between(p.daily_start, p.forecast_last)
     daily = _daily_category_sales(t, p)
     fc = seasonal_forecast(daily, category_trend(t, p), ["category"], "day", "sales", shift, lo, hi,
-                           model_rows=4 * len(p.selected_categories))
+                           model_rows=len(p.selected_categories))   # one model row per selected category
     origin = F.to_date(F.lit(p.daily_start))
     fc = fc.withColumn("_date", shift_year(F.date_add(origin, F.col("day").cast("int"))))
     out = centered_mean(fc, ["category"], "_date", "forecast", 2, 2, out="moving_avg_sales")
