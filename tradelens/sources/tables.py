@@ -115,7 +115,7 @@ def marketplace_tables(spark: SparkSession, root: str, fmt: str = "parquet") ->
 
 def star_orders(orders: DataFrame) -> DataFrame:
     oid, cid = F.col("o_orderkey"), F.col("o_custkey")
-    purchased = F.timestamp_add("SECOND", (oid * 7919) % 86400, F.col("o_orderdate"))
+    purchased = F.timestamp_add("SECOND", (oid * 7919) % 86400, F.col("o_orderdate").cast("timestamp_ntz"))
     base = orders.select(oid.alias("order_id"), cid.alias("customer_id"),
                          F.col("o_orderstatus").alias("status"), purchased.alias("purchased"))
     o, c, p = F.col("order_id"), F.col("customer_id"), F.col("purchased")
