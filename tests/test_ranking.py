@@ -47,3 +47,22 @@ def test_rfm_rules_cover_all_cells(spark):
     assert df.filter(F.col("lab").isNull()).count() == 0
     assert df.select("lab").distinct().count() == 11
     assert len({lab for lab, _, _ in RFM_RULES}) == 11
+
+
+def test_grouped_ntile_matches_partitioned_window(spark):
+    from tradelens.operators.ranking import grouped_ntile
+    rnd = random.Random(11)
+    rows = [(g, i, rnd.choice([1, 1, 1, 2, 3, rnd.randint(4, 99)])) for g in ("a", "b", "c") for i in range(300)]
+    rows += [("d", i, 7) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, id long, v long")
+    got = grouped_ntile(df, ["g"], "v", 5, "id", out="t", buckets=8, max_groups=4)
+    want = df.withColumn("t", F.ntile(5).over(Window.partitionBy("g").orderBy(F.desc("v"), "id")))
+    assert sorted(got.select("g", "id", "t").collect()) == sorted(want.select("g", "id", "t").collect())
+
+
+def test_ntile_string_tie_key(spark):
+    rows = [(f"id{i:04d}", i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, v long")
+    got = ntile_score(df, "v", 4, "id", out="t", buckets=4)
+    want = df.withColumn("t", F.ntile(4).over(Window.orderBy(F.desc("v"), F.xxhash64("id"), "id")))
+    assert sorted(got.select("id", "t").collect()) == sorted(want.select("id", "t").collect())

@@ -144,3 +144,24 @@ def test_e25_e26_affinity_and_categories(spark):
     assert verts == {1, 2}                      # product 3 has no edge, product 4 no category
     cats = {r.category for r in R.ranked_categories(t, P).collect()}
     assert cats == {"cat one", "cat two"}
+
+
+def test_pairs_match_brute_force(spark):
+    import itertools
+    import random
+    rnd = random.Random(5)
+    rows = [(o, rnd.randint(1, 12)) for o in range(300) for _ in range(rnd.randint(1, 6))]
+    rows += [(999, k) for k in range(1, 13)] * 2          # one large basket, duplicated items
+    items = spark.createDataFrame(rows, "o long, k long")
+    baskets = {}
+    for o, k in rows:
+        baskets.setdefault(o, set()).add(k)
+    want = {}
+    for ks in baskets.values():
+        for a, b in itertools.combinations(sorted(ks), 2):
+            want[(a, b)] = want.get((a, b), 0) + 1
+    want = {p: c for p, c in want.items() if c > 3}
+    cands = items.select("k").distinct()
+    for hot in (10_000, 5):
+        got = co_purchase_pairs(items, "o", "k", cands, 3, hot_basket=hot, salts=4).collect()
+        assert {(r.k1, r.k2): r.common_orders_count for r in got} == want
