@@ -41,6 +41,17 @@ def _close(a, b):
     return False
 
 
+def _kind(t: str) -> str:
+    t = t.lower()
+    if t.startswith(("decimal",)):
+        return "decimal"
+    for k, names in {"int": ("int", "integer", "int32"), "long": ("bigint", "long", "int64"),
+                     "double": ("double", "float"), "string": ("string", "varchar"), "bool": ("boolean",)}.items():
+        if t in names:
+            return k
+    return t
+
+
 def compare(spark_rows, spark_cols, duck_rows, duck_cols):
     if sorted(spark_cols) != sorted(duck_cols):
         return f"COLUMNS spark={spark_cols} duck={duck_cols}"
@@ -89,8 +100,14 @@ def main():
                 continue
             rel = con.sql(ors[key])
             dcols = rel.columns
+            dtypes = [str(t) for t in rel.types]
             drows = rel.fetchall()
             res = compare(rows, cols, drows, dcols)
+            stypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+            odd = [f"{c}:{stypes[c]}/{t}" for c, t in zip(dcols, dtypes)
+                   if c in stypes and _kind(stypes[c]) != _kind(t)]
+            if odd:
+                res += " TYPES " + ",".join(odd)
         except Exception as e:  # noqa: BLE001
             res = f"ERROR {type(e).__name__}: {str(e)[:300]}"
             ts = time.time() - t0

@@ -71,6 +71,7 @@ REPORTS: dict[str, Callable] = {
     "repeat_customer_share": R.repeat_customer_share,
     "customer_lifetime_value": R.customer_lifetime_value,
     "clv_by_area": R.clv_by_area,
+    "clv_by_area_raw": R.clv_by_area_raw,
     "clv_bubbles": R.clv_bubbles,
     "frequent_products": R.frequent_products,
     "co_purchased_products": R.co_purchased_products,

@@ -468,18 +468,26 @@ def customer_lifetime_value(t: Tables, p: Params) -> DataFrame:
     return _clv_people(t, p).select("person_id", F.col("zip").alias("zip_code_prefix"), "pf", "aov", "acl")
 
 
-def clv_by_area(t: Tables, p: Params) -> DataFrame:
+def clv_by_area(t: Tables, p: Params, raw_fanout: bool = False) -> DataFrame:
     """Mean CLV per zip prefix with the zip's mean coordinates.
 
     CLV is aggregated per zip before the join, and coordinates are averaged per
     zip first, so several points per zip neither multiply customers nor pick
-    an arbitrary point.
+    an arbitrary point.  ``raw_fanout=True`` reproduces the original's
+    customer count, which counts every (customer, geo point) pair; it is
+    computed as customers x points, without building the pairs.
     """
     clv = _clv_people(t, p).select("person_id", "zip", (F.col("pf") * F.col("aov") * F.col("acl")).alias("clv"))
     per_zip = clv.groupBy("zip").agg(F.avg("clv").alias("avg_clv"), F.count("person_id").alias("customer_count"))
-    geo = t.geo.groupBy("zip").agg(mean_of("lat").alias("latitude"), mean_of("lng").alias("longitude"))
-    return per_zip.join(geo, "zip").select(F.col("zip").alias("zip_prefix"), "avg_clv", "customer_count",
-                                           "latitude", "longitude")
+    geo = t.geo.groupBy("zip").agg(mean_of("lat").alias("latitude"), mean_of("lng").alias("longitude"),
+                                   F.count(F.lit(1)).alias("_points"))
+    count = F.col("customer_count") * F.col("_points") if raw_fanout else F.col("customer_count")
+    return per_zip.join(geo, "zip").select(F.col("zip").alias("zip_prefix"), "avg_clv",
+                                           count.alias("customer_count"), "latitude", "longitude")
+
+
+def clv_by_area_raw(t: Tables, p: Params) -> DataFrame:
+    return clv_by_area(t, p, raw_fanout=True)
 
 
 def clv_bubbles(t: Tables, p: Params) -> DataFrame:
