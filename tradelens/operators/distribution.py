@@ -74,9 +74,9 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: d
     rows = df.filter(v.isNotNull()).join(bounds, g)
     below = rows.groupBy(*g).agg(*[
         F.count(F.when(v < F.col(f"_lo{i}"), 1)).alias(f"_below{i}") for i in range(len(names))])
-    brackets = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"))
-                         for i in range(len(names))])
-    inside = F.transform(F.filter(brackets, lambda b: (v >= b["lo"]) & (v <= b["hi"])), lambda b: b["i"])
+    # targets whose bracket holds the row (plain CASE expressions, no lambdas: stays in codegen)
+    inside = F.array_compact(F.array(*[
+        F.when((v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")), F.lit(i)) for i in range(len(names))]))
     tagged = rows.select(*g, value, F.explode(inside).alias("_t"))
     unit = g + ["_t"]
     want = bounds.join(below, g).select(*g, F.explode(F.array(*[
