@@ -22,7 +22,7 @@ def main() -> None:
     from tradelens.plans.catalog import queries
     from tradelens.session import build_session
 
-    spark = build_session(cores=cpus, shuffle_partitions=cpus * 2, app="tradelens-bench")
+    spark = build_session(cores=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", cpus * 2)), app="tradelens-bench")
     qs = queries()
     # warm the JVM and file listing once
     spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet")).select("l_orderkey").write.format(

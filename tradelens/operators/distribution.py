@@ -68,7 +68,7 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: d
         r = targets[name](F.col("_n"), F.col("_z"))
         lo, hi = _bracket("_grid", "_n", "_min", "_max", r, grid, delta)
         sel += [r.alias(f"_r{i}"), lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-    bounds = stats.select(*sel)
+    bounds = cut_lineage(stats.select(*sel))   # one row per group, read by every step below
 
     # round 1: rows below / inside each target's bracket, per group
     rows = df.filter(v.isNotNull()).join(bounds, g)
@@ -89,7 +89,7 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: d
         F.percentile_approx(v, probs, accuracy).alias("_grid2"))
     inner = inner.join(want, unit)
     lo2, hi2 = _bracket("_grid2", "_n2", "_min2", "_max2", F.col("_k"), grid, delta)
-    inner = inner.select(*unit, "_k", lo2.alias("_lo2"), hi2.alias("_hi2"))
+    inner = cut_lineage(inner.select(*unit, "_k", lo2.alias("_lo2"), hi2.alias("_hi2")))   # one row per target
     tagged2 = tagged.join(inner, unit)
     below2 = tagged2.groupBy(*unit).agg(F.count(F.when(v < F.col("_lo2"), 1)).alias("_below2"))
     core = tagged2.filter((v >= F.col("_lo2")) & (v <= F.col("_hi2"))).select(*unit, value)

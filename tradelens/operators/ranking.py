@@ -21,8 +21,10 @@ row into a single partition).  It works from a histogram of distinct values:
    sub-bucket, and numbering rows only inside the sub-buckets an edge cuts.
 
 Every shuffle is keyed by a bucket, a value or a (value, sub-bucket) pair whose
-size is bounded by ``rows / buckets``; the only unpartitioned windows run over
-at most ``buckets + 2`` rows.
+size is bounded by ``rows / buckets``; windows are partitioned by (partition,
+bucket) or (partition, value, sub-bucket).  ``buckets`` (default 64) sets that
+split: raise it when the number of distinct values per partition is in the
+billions (each row does ``log2(buckets)`` comparisons to find its bucket).
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def count_below(key: str, cuts: str, n: int, inclusive: bool = False) -> Column:
 
 
 def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str, descending: bool = True,
-                  out: str = "tile", buckets: int = 256, accuracy: int = 10000, max_groups: int = 64) -> DataFrame:
+                  out: str = "tile", buckets: int = 64, accuracy: int = 10000, max_groups: int = 64) -> DataFrame:
     """Add ``out`` = NTILE(``k``) OVER (PARTITION BY groups ORDER BY value [DESC], tie).
 
     ``groups`` name a small, bounded set of partitions (at most ``max_groups``,
@@ -191,7 +193,7 @@ def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str
 
 
 def ntile_score(df: DataFrame, value: str, k: int, tie: str, descending: bool = True,
-                out: str = "tile", buckets: int = 256, accuracy: int = 10000) -> DataFrame:
+                out: str = "tile", buckets: int = 64, accuracy: int = 10000) -> DataFrame:
     """Add ``out`` = NTILE(``k``) OVER (ORDER BY value [DESC], tie) over the whole frame.
 
     Same algorithm as :func:`grouped_ntile` with a single partition.  The

@@ -92,9 +92,21 @@ def _table_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
                    order_by=["o_orderkey"])
 
 
+_TABLES: dict[tuple[int, str], object] = {}
+
+
+def tables_for(spark: SparkSession, sf_dir: str):
+    """Canonical tables for one session and directory, built once (frames are lazy and
+    immutable, so every report can share them; this saves re-reading Parquet footers)."""
+    key = (id(spark), sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = star_tables(spark, sf_dir)
+    return _TABLES[key]
+
+
 def _bind(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(star_tables(spark, sf_dir), TEST_PARAMS)
+        return fn(tables_for(spark, sf_dir), TEST_PARAMS)
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
     return run
