@@ -43,7 +43,7 @@ def _bracket(grid_col: str, n_col: str, lo_col: str, hi_col: str, rank: Column,
 
 
 def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: dict[str, RankFn],
-                     grid: int = 1000, accuracy: int = 100_000, materialized: bool = False) -> DataFrame:
+                     grid: int = 1000, accuracy: int = 10_000, materialized: bool = False) -> DataFrame:
     """Per group: ``_n`` (non-NULL count), ``_z`` (NULL count) and, for each target,
     the value at 1-based ascending rank ``targets[name](n, z)`` among non-NULL values
     (NULL when the rank is outside ``1..n``).
