@@ -51,3 +51,27 @@ def test_marketplace_loader_and_report(spark):
     back = spark.read.option("header", True).csv(out)
     assert sorted(r.category for r in back.collect()) == ["Other categories", "health_beauty"]
     assert preview(t.orders, 1, columns=[0, 2], order_by=["order_id"]).columns == ["order_id", "status"]
+
+
+def test_colocated_order_facts_join_without_shuffle(spark):
+    from tests.conftest import SF_SMALL
+    from tradelens.sources.tables import colocate_order_facts, star_tables
+
+    where = tempfile.mkdtemp(prefix="tl-colocated-", dir="/tmp")
+    t = colocate_order_facts(star_tables(spark, SF_SMALL), where, 4, database="tl_test")
+    joined = t.items.join(t.orders, "order_id").groupBy("order_id").count()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    base = star_tables(spark, SF_SMALL)
+    assert joined.count() == base.items.join(base.orders, "order_id").select("order_id").distinct().count()
+
+
+def test_write_text_lines_keeps_whole_texts_in_order(spark):
+    from tradelens.sources import write_text_lines
+
+    df = spark.createDataFrame([(2, "second text"), (1, "first text\nwith two lines")], "id long, t string")
+    out = tempfile.mkdtemp(prefix="tl-text-", dir="/tmp")
+    write_text_lines(df, "t", os.path.join(out, "doc"), order_by=["id"])
+    text = "".join(open(os.path.join(out, "doc", f)).read()
+                   for f in sorted(os.listdir(os.path.join(out, "doc"))) if f.startswith("part-"))
+    assert text == "first text\nwith two lines\nsecond text\n"
