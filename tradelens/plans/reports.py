@@ -88,6 +88,7 @@ class Params:
     pair_item_min: int = 5
     scorecard_min: int = 10
     band_edges: tuple = (1, 10, 100, 1000)
+    approximate_distinct: bool = False       # HyperLogLog counts instead of exact distinct counts
     product_bins: int = 1000
     shipping_bins: int = 800
     preview_rows: int = 5
@@ -598,9 +599,10 @@ def delivery_box_stats(t: Tables, p: Params) -> DataFrame:
 def lead_conversion(t: Tables, p: Params) -> DataFrame:
     closed = t.closed.select("lead_id").distinct().withColumn("_closed", F.lit(True))
     rows = t.leads.join(closed, "lead_id", "left")
+    distinct = F.approx_count_distinct if p.approximate_distinct else F.count_distinct
     out = rows.groupBy(F.coalesce(F.col("origin"), F.lit("unknown")).alias("origin")).agg(
-        F.count_distinct("lead_id").alias("qualified_leads"),
-        F.count_distinct(F.when(F.col("_closed"), F.col("lead_id"))).alias("closed_leads"),
+        distinct("lead_id").alias("qualified_leads"),
+        distinct(F.when(F.col("_closed"), F.col("lead_id"))).alias("closed_leads"),
         F.count("lead_id").alias("_rows"))
     return out.orderBy(F.desc("_rows"), "origin").select(
         "origin", "qualified_leads", "closed_leads",
