@@ -51,3 +51,25 @@ def test_expand_positions_chunked(spark):
     want = sorted([("a", i + 1, None, 10) for i in range(2)] + [("a", 3 + i, 5, 10) for i in range(7)]
                   + [("a", 10, 9, 10)] + [("b", i + 1, 1, 3) for i in range(3)])
     assert got == want
+
+
+def test_order_statistics_random_against_python(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from tradelens.operators.distribution import order_statistics
+
+    @settings(max_examples=4, deadline=None)
+    @given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.integers(-5, 40))),
+                    min_size=1, max_size=300))
+    def check(rows):
+        df = spark.createDataFrame(rows, "g string, v int")
+        targets = {"lo": lambda n, z: F.lit(1).cast("long"), "mid": lambda n, z: F.ceil(n / 2).cast("long"),
+                   "hi": lambda n, z: n, "out": lambda n, z: n + 1}
+        got = {r.g: (r.lo, r.mid, r.hi, r.out) for r in order_statistics(df, ["g"], "v", targets, grid=20).collect()}
+        for g in {x for x, _ in rows}:
+            vals = sorted(v for x, v in rows if x == g and v is not None)
+            n = len(vals)
+            want = (vals[0], vals[(n + 1) // 2 - 1], vals[-1], None) if n else (None, None, None, None)
+            assert got[g] == want
+    check()
