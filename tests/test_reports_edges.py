@@ -86,6 +86,8 @@ def test_e14_e15_e16_lifetime_value(spark):
     assert clv[300] == (2, 7.0, 3.0)          # 21 days -> 3 weeks
     area = {r.zip_prefix: (r.customer_count, r.latitude) for r in R.clv_by_area(t, P).collect()}
     assert area[1] == (2, 3.0)                # geo points averaged, customers not multiplied
+    raw = {r.zip_prefix: (r.customer_count, r.latitude) for r in R.clv_by_area_raw(t, P).collect()}
+    assert raw[1] == (6, 3.0)                 # original count: 2 customers x 3 points
 
 
 def test_e17_e18_pairs(spark):
