@@ -11,9 +11,10 @@ without sorting whole groups in one task:
    guaranteed to contain the ranked value (approximate rank error is at most
    ``n / accuracy``; the bracket is widened by three times that);
 3. one pass counts rows below each bracket; rows *inside* a bracket (about
-   ``2n/grid``) get a second, finer grid per (group, target), and only the rows
-   inside that second bracket (about ``2n/grid**2``) are numbered with a window
-   partitioned by (group, target).
+   ``2n/grid``) get a second, finer grid per (group, target); the rows inside
+   that second bracket (about ``2n/grid**2``) are counted per distinct value and
+   a running count over those few values finds the target.  A value shared by a
+   huge number of rows is a single row at that point.
 
 The per-group statistics table has one row per group: the operators here are
 meant for groups drawn from a dimension (categories, size bands), and Spark's
@@ -92,10 +93,15 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: d
     inner = cut_lineage(inner.select(*unit, "_k", lo2.alias("_lo2"), hi2.alias("_hi2")))   # one row per target
     tagged2 = tagged.join(inner, unit)
     below2 = tagged2.groupBy(*unit).agg(F.count(F.when(v < F.col("_lo2"), 1)).alias("_below2"))
-    core = tagged2.filter((v >= F.col("_lo2")) & (v <= F.col("_hi2"))).select(*unit, value)
-    numbered = core.withColumn("_pos", F.row_number().over(Window.partitionBy(*unit).orderBy(value)))
+    # the rows left are counted per distinct value (equal values are interchangeable, so a
+    # value shared by many rows is one row here) and a running count finds the target
+    core = (tagged2.filter((v >= F.col("_lo2")) & (v <= F.col("_hi2")))
+            .groupBy(*unit, value).agg(F.count(F.lit(1)).alias("_c")))
+    upto = F.sum("_c").over(Window.partitionBy(*unit).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    numbered = core.withColumn("_upto", upto)
     pick = inner.join(below2, unit).select(*unit, (F.col("_k") - F.col("_below2")).alias("_pos"))
-    picked = numbered.join(pick, unit + ["_pos"]).groupBy(*g).agg(*[
+    hit = (F.col("_pos") > F.col("_upto") - F.col("_c")) & (F.col("_pos") <= F.col("_upto"))
+    picked = numbered.join(pick, unit).filter(hit).groupBy(*g).agg(*[
         F.max(F.when(F.col("_t") == i, v)).alias(name) for i, name in enumerate(names)])
     return bounds.select(*g, "_n", "_z").join(picked, g, "left")
 

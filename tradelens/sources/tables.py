@@ -194,7 +194,6 @@ def colocate_order_facts(tables: Tables, location: str, buckets: int, database:
     (a shared folder on a cluster); returns the same canonical model reading them.
     Worth it when the facts are queried repeatedly.
     """
-    import os
     from dataclasses import replace
 
     spark = tables.orders.sparkSession
