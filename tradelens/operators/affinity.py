@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradelens.session import cut_lineage
+
 
 def frequent_items(items: DataFrame, key: str, basket: str, min_count: int, out: str = "item_count") -> DataFrame:
     """Items occurring in more than ``min_count`` item rows (O13; strict ``>``)."""
@@ -33,7 +35,8 @@ def co_purchase_pairs(items: DataFrame, basket: str, key: str, candidates: DataF
     bi = bi.join(support.select(key), key, "left_semi")
     hot = (bi.groupBy(basket).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > hot_basket)
            .select(basket, F.lit(True).alias("_hot")))
-    flagged = bi.join(hot, basket, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    # both sides of the self join read this: continue from a checkpoint, not from its plan
+    flagged = cut_lineage(bi.join(hot, basket, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False))))
     left = flagged.select(
         F.col(basket).alias("_bk"), F.col(key).alias("_a"),
         F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(key)), F.lit(salts))).otherwise(F.lit(0)).alias("_salt"))

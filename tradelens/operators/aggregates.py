@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.numeric import round_ratio, safe_div
@@ -76,24 +76,41 @@ def top_n_with_other(ranked: DataFrame, key: str, measure: str, rank_col: str, n
     """Rows ranked ``<= n`` plus one remainder row summing the rest (O3).
 
     Ties at rank ``n`` are all kept.  The remainder row is always present; its
-    measure is NULL when nothing is left over.  ``ranked`` holds one row per key.
+    measure is NULL when nothing is left over.  One pass: every row is relabelled
+    (its own key or the remainder label) and summed per label; a single NULL row
+    for the remainder label guarantees the row exists.
     """
-    top = ranked.filter(F.col(rank_col) <= n).select(key, measure)
-    rest = ranked.filter(F.col(rank_col) > n).agg(F.sum(measure).alias(measure)).select(
-        F.lit(other_label).alias(key), measure)
-    return top.unionByName(rest)
+    label = F.when(F.col(rank_col) <= n, F.col(key)).otherwise(F.lit(other_label)).alias(key)
+    rows = ranked.select(label, F.col(measure))
+    placeholder = ranked.sparkSession.range(1).select(
+        F.lit(other_label).alias(key), F.lit(None).cast(ranked.schema[measure].dataType).alias(measure))
+    return rows.unionByName(placeholder).groupBy(key).agg(F.sum(measure).alias(measure))
 
 
-def share_of_total(df: DataFrame, measure: str, total_measure: str | None = None,
-                   out: str = "share") -> DataFrame:
-    """Each row's share of the global sum of ``measure`` (O4), via a scalar subquery."""
-    total = df.agg(F.sum(total_measure or measure)).scalar()
+def share_of_total(df: DataFrame, measure: str, out: str = "share", bounded_rows: int | None = None) -> DataFrame:
+    """Each row's share of the global sum of ``measure``.
+
+    For a frame with a plan-bounded row count (``bounded_rows``, e.g. one row per
+    category) the total is a window over all rows; otherwise it is a scalar
+    subquery (one aggregate job, inlined as a value).
+    """
+    if bounded_rows is not None:
+        total = F.sum(measure).over(Window.partitionBy())
+    else:
+        total = df.agg(F.sum(measure)).scalar()
     return df.withColumn(out, safe_div(F.col(measure), total))
 
 
-def cell_vs_mean(cells: DataFrame, value: str, out: str = "above_mean") -> DataFrame:
-    """Flag each matrix cell above the grand mean of all cells (O10, long form)."""
-    mean = cells.agg(safe_div(F.sum(value), F.count(value))).scalar()
+def cell_vs_mean(cells: DataFrame, value: str, out: str = "above_mean", bounded_rows: int | None = None) -> DataFrame:
+    """Flag each matrix cell above the grand mean of all cells (O10, long form).
+
+    ``bounded_rows``: the cell count is fixed by the plan (e.g. 7 x 24), so the mean
+    is a window over the cells instead of a second pass over the input.
+    """
+    if bounded_rows is not None:
+        mean = safe_div(F.sum(value).over(Window.partitionBy()), F.count(value).over(Window.partitionBy()))
+    else:
+        mean = cells.agg(safe_div(F.sum(value), F.count(value))).scalar()
     return cells.withColumn("grand_mean", mean).withColumn(out, F.col(value) > F.col("grand_mean"))
 
 

@@ -166,16 +166,19 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal-width histogram over ``[min, max]`` of all non-NULL values.
 
     Bins are 1-based; the last bin is closed; every bin is reported (count 0
-    when empty); all values fall into bin 1 when ``min == max``.
+    when empty); all values fall into bin 1 when ``min == max``.  The range is
+    one scalar subquery (a single global min/max job).
     """
     v = F.col(value).cast("double")
-    lo = df.agg(F.min(v)).scalar()
-    hi = df.agg(F.max(v)).scalar()
-    width = F.try_divide(hi - lo, F.lit(float(bins)))
+    rng = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias("r")).scalar()
+    lo, hi = F.col("_r.lo"), F.col("_r.hi")
     idx = F.when(hi == lo, F.lit(1).cast("long")).otherwise(
-        F.least(F.floor(F.try_divide((v - lo) * F.lit(float(bins)), hi - lo)).cast("long") + 1, F.lit(bins).cast("long")))
-    counts = df.filter(v.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = df.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin"))
+        F.least(F.floor(F.try_divide((v - lo) * F.lit(float(bins)), hi - lo)).cast("long") + 1,
+                F.lit(bins).cast("long")))
+    counts = (df.filter(v.isNotNull()).select(value, rng.alias("_r"))
+              .groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
+    grid = df.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin"), rng.alias("_r"))
+    width = F.try_divide(hi - lo, F.lit(float(bins)))
     return grid.join(counts, "bin", "left").select(
         "bin", (lo + (F.col("bin") - 1) * width).alias("bin_low"), (lo + F.col("bin") * width).alias("bin_high"),
         F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))

@@ -138,7 +138,7 @@ def heat_cells_flagged(t: Tables, p: Params) -> DataFrame:
         F.floor(F.col("id") / 24).cast("long").alias("day_of_week_int"), (F.col("id") % 24).alias("hour"))
     cells = grid.join(counts, ["day_of_week_int", "hour"], "left").select(
         "day_of_week_int", "hour", F.coalesce("order_count", F.lit(0)).cast("long").alias("order_count"))
-    return cell_vs_mean(cells, "order_count")
+    return cell_vs_mean(cells, "order_count", bounded_rows=7 * 24)
 
 
 # ---------------------------------------------------------------------------
@@ -245,7 +245,8 @@ def category_sales_summary(t: Tables, p: Params) -> DataFrame:
 
 
 def share_of_total_report(t: Tables, p: Params) -> DataFrame:
-    return share_of_total(_category_summary(t, p), "sales").select(
+    # the summary has one row per top category plus one: a window over it is small
+    return share_of_total(_category_summary(t, p), "sales", bounded_rows=1000).select(
         "category", F.col("sales").cast("double").alias("sales"), "share")
 
 
