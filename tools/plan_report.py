@@ -1,6 +1,7 @@
 """Summarise the physical plan of every registered query (after execution, so AQE's
 final plan is shown): shuffles, broadcast joins, sort-merge joins, windows, scans and
 the filters pushed into Parquet.  Usage: python tools/plan_report.py [sf_dir] > PLANS.md
+(collects each result, so use it at test scales only)
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def summarise(plan: str) -> dict:
         "smj": plan.count("SortMergeJoin"),
         "bnlj": plan.count("BroadcastNestedLoopJoin") + plan.count("CartesianProduct"),
         "windows": plan.count("Window ["),
-        "scans": len(re.findall(r"FileScan parquet", plan)),
+        "scans": len(re.findall(r"FileScan parquet|Scan ExistingRDD", plan)),
         "pushed": pushed,
     }
 
@@ -35,13 +36,18 @@ def main() -> None:
     print(f"# Physical plans at {os.path.basename(sf)} (final AQE plans)\n")
     print("Generated by `tools/plan_report.py`. Columns: hash/range shuffles, single-partition exchanges "
           "(global aggregates' final merge or top-k), broadcast hash joins, sort-merge joins, nested-loop or "
-          "cartesian joins, window operators, Parquet scans, filters pushed into the scans.\n")
+          "cartesian joins, window operators, scans (Parquet files or checkpoints), filters pushed into the "
+          "Parquet scans.  Sort-merge joins left in a final plan are joins whose both sides exceeded the "
+          "broadcast threshold at run time.\n")
     print("| query | shuffles | single | BHJ | SMJ | NLJ | windows | scans | pushed filters |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
     for key, fn in queries().items():
         df = fn(spark, sf)
-        df.write.format("noop").mode("overwrite").save()
-        s = summarise(df._jdf.queryExecution().executedPlan().toString())
+        df.collect()   # runs this DataFrame's own plan, so AQE's final plan is recorded on it
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "== Final Plan ==" in plan:
+            plan = plan.split("== Final Plan ==", 1)[1].split("== Initial Plan ==", 1)[0]
+        s = summarise(plan)
         pushed = "; ".join(x for x in s["pushed"] if x.strip())[:160]
         print(f"| {key} | {s['shuffles']} | {s['single']} | {s['bhj']} | {s['smj']} | {s['bnlj']} | "
               f"{s['windows']} | {s['scans']} | {pushed} |")
