@@ -45,3 +45,12 @@ def test_column_pruning_on_lineitem(spark):
     plan = _plan(queries()["seller_bands"](spark, SF_SMALL))
     scans = [ln for ln in plan.splitlines() if "lineitem" in ln or "ReadSchema" in ln]
     assert any("ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>" in s for s in scans)
+
+
+def test_no_cross_joins_anywhere(spark):
+    bad = []
+    for key, fn in queries().items():
+        plan = _plan(fn(spark, SF_SMALL))
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            bad.append(key)
+    assert bad == []
