@@ -48,6 +48,8 @@ def test_expand_positions_chunked(spark):
     hist = spark.createDataFrame([("a", None, 2), ("a", 5, 7), ("a", 9, 1), ("b", 1, 3)], "g string, w int, c long")
     out = expand_positions(hist, ["g"], "w", "c", chunk=3).collect()
     got = sorted((r.g, r.position, r.w, r.group_count) for r in out)
+    spread = expand_positions(hist, ["g"], "w", "c", chunk=3, few_values=False).collect()
+    assert sorted((r.g, r.position, r.w, r.group_count) for r in spread) == got
     want = sorted([("a", i + 1, None, 10) for i in range(2)] + [("a", 3 + i, 5, 10) for i in range(7)]
                   + [("a", 10, 9, 10)] + [("b", i + 1, 1, 3) for i in range(3)])
     assert got == want

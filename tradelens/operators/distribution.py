@@ -185,21 +185,30 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def expand_positions(hist: DataFrame, group: Sequence[str], order: str, count: str, chunk: int = 1 << 20,
-                     out: str = "position", total: str = "group_count") -> DataFrame:
+                     out: str = "position", total: str = "group_count", few_values: bool = True) -> DataFrame:
     """Rows numbered 1..n inside each group, ordered by ``order`` (NULLs first), from a
     histogram ``(group, order, count)`` of interchangeable rows.
 
-    Each histogram row becomes ``count`` output rows.  Large counts are split into
-    chunks of at most ``chunk`` positions, and chunks are hash-partitioned before
-    they are expanded, so a value held by a third of all rows is generated by many
-    tasks.  The per-group prefix window runs over distinct ``order`` values only.
+    Each value's first position is a prefix sum over the histogram.  With
+    ``few_values`` (the ``order`` column has a small domain per group, e.g. weights
+    in grams) it is one window per group over its distinct values; otherwise the
+    distributed :func:`prefix_counts` is used, so no window spans a whole group.
+    Each histogram row then becomes ``count`` output rows; large counts are split
+    into chunks of at most ``chunk`` positions, hash-partitioned before they are
+    expanded, so a value held by a third of all rows is generated by many tasks.
     """
     g = list(group)
-    w = Window.partitionBy(*g).orderBy(F.col(order).asc_nulls_first())
-    h = hist.select(
-        *g, order, count,
-        F.coalesce(F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"),
-        F.sum(count).over(Window.partitionBy(*g)).alias(total))
+    if few_values:
+        w = Window.partitionBy(*g).orderBy(F.col(order).asc_nulls_first())
+        h = hist.select(
+            *g, order, count,
+            F.coalesce(F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"),
+            F.sum(count).over(Window.partitionBy(*g)).alias(total))
+    else:
+        from tradelens.operators.ranking import prefix_counts
+
+        h = prefix_counts(hist.select(*g, order, count), g, order, count).select(
+            *g, order, count, F.col("_start").alias("_s"), F.col("_n").alias(total))
     nchunks = F.call_function("div", F.col(count) + (chunk - 1), F.lit(chunk))
     chunks = (h.select(*g, order, count, "_s", total, F.explode(F.sequence(F.lit(0), nchunks - 1)).alias("_ch"))
               .repartition(*g, order, "_ch"))

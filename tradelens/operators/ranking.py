@@ -81,6 +81,47 @@ def count_below(key: str, cuts: str, n: int, inclusive: bool = False) -> Column:
     return F.expr(search(0, n))
 
 
+def prefix_counts(hist: DataFrame, groups: list[str], value: str, count: str, descending: bool = False,
+                  buckets: int = 64, accuracy: int = 10000, max_groups: int | None = None) -> DataFrame:
+    """For a histogram (one row per ``groups`` + distinct ``value``, with a row ``count``),
+    add ``_start`` = rows of the same group ordered before this value and ``_n`` = rows
+    of the group.  NULL values sort first ascending, last descending.
+
+    A distributed prefix sum: values are cut into ``buckets`` at approximate quantiles
+    of the distinct values per group, a window partitioned by (group, bucket) sums
+    inside each bucket, and a small table of bucket totals gives the offsets.  No
+    window spans a whole group.  ``max_groups`` (when the number of groups is bounded
+    by the plan) broadcasts the per-group tables.
+    """
+    g = list(groups)
+    if not g:
+        raise ValueError("prefix_counts needs at least one group column")
+    v = F.col(value)
+    vkey = monotone_key(v, {f.name: f.dataType for f in hist.schema.fields}[value])
+    nb = buckets - 1
+    probs = [i / buckets for i in range(1, buckets)]
+
+    def small(df: DataFrame, rows_per_group: int) -> DataFrame:
+        return broadcast_bounded(df, max_groups * rows_per_group) if max_groups is not None else df
+
+    gstats = hist.groupBy(*g).agg(F.sum(count).alias("_n"), F.percentile_approx(vkey, probs, accuracy).alias("_vc"))
+    if descending:
+        bucket = F.when(v.isNull(), F.lit(buckets)).otherwise(F.lit(nb) - count_below("_vk", "_vc", nb, True))
+        vorder = v.desc_nulls_last()
+    else:
+        bucket = F.when(v.isNull(), F.lit(-1)).otherwise(count_below("_vk", "_vc", nb))
+        vorder = v.asc_nulls_first()
+    hist_b = (hist.join(small(gstats, 1), g)
+              .withColumn("_vk", vkey).withColumn("_b", bucket).drop("_vc", "_vk"))
+    within = Window.partitionBy(*g, "_b").orderBy(vorder).rowsBetween(Window.unboundedPreceding, -1)
+    totals = hist_b.groupBy(*g, "_b").agg(F.sum(count).alias("_bc"))
+    offsets = totals.select(*g, "_b", F.coalesce(F.sum("_bc").over(
+        Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_boff"))
+    return (hist_b.withColumn("_in", F.coalesce(F.sum(count).over(within), F.lit(0)))
+            .join(small(offsets, buckets + 2), g + ["_b"])
+            .select(*hist.columns, "_n", (F.col("_boff") + F.col("_in")).alias("_start")))
+
+
 def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str, descending: bool = True,
                   out: str = "tile", buckets: int = 64, accuracy: int = 10000, max_groups: int = 64) -> DataFrame:
     """Add ``out`` = NTILE(``k``) OVER (PARTITION BY groups ORDER BY value [DESC], tie).
@@ -96,7 +137,6 @@ def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str
     g = list(groups)
     schema = {f.name: f.dataType for f in df.schema.fields}
     v = F.col(value)
-    vkey = monotone_key(v, schema[value])
     tie_is_natural = not isinstance(schema[tie], (T.StringType, T.BinaryType))
     tkey = monotone_key(F.col(tie), schema[tie], allow_hash=True)
     tie_order = [tkey] if tie_is_natural else [tkey, F.col(tie)]
@@ -105,26 +145,9 @@ def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str
     # the input feeds every step below: continue from a checkpoint, not from its plan
     df = cut_lineage(df.select(*df.columns))
 
-    # 1. histogram of distinct values per partition ----------------------------------------
+    # 1-2. histogram of distinct values and each value's first rank ---------------------
     hist = df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
-    gstats = hist.groupBy(*g).agg(F.sum("_c").alias("_n"), F.percentile_approx(vkey, probs, accuracy).alias("_vc"))
-
-    # 2. distributed prefix sum over the histogram ------------------------------------------
-    if descending:
-        bucket = F.when(v.isNull(), F.lit(buckets)).otherwise(F.lit(nb) - count_below("_vk", "_vc", nb, True))
-        vorder = F.col(value).desc_nulls_last()
-    else:
-        bucket = F.when(v.isNull(), F.lit(-1)).otherwise(count_below("_vk", "_vc", nb))
-        vorder = F.col(value).asc_nulls_first()
-    hist_b = (hist.join(broadcast_bounded(gstats, max_groups), g).withColumn("_vk", vkey)
-              .withColumn("_b", bucket).drop("_vc", "_vk"))
-    within = Window.partitionBy(*g, "_b").orderBy(vorder).rowsBetween(Window.unboundedPreceding, -1)
-    totals = hist_b.groupBy(*g, "_b").agg(F.sum("_c").alias("_bc"))
-    offsets = totals.select(*g, "_b", F.coalesce(F.sum("_bc").over(
-        Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_boff"))
-    starts = (hist_b.withColumn("_in", F.coalesce(F.sum("_c").over(within), F.lit(0)))
-              .join(broadcast_bounded(offsets, max_groups * (buckets + 2)), g + ["_b"])
-              .select(*g, value, "_c", "_n", (F.col("_boff") + F.col("_in")).alias("_start")))
+    starts = prefix_counts(hist, g, value, "_c", descending, buckets, accuracy, max_groups)
 
     # 3. tile edges: last rank of tiles 1..k-1 and the value holding each -----------------
     marked = df

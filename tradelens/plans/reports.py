@@ -264,7 +264,9 @@ def ordered_weights(t: Tables, p: Params) -> DataFrame:
     per_product = t.items.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
     hist = (per_product.join(_named_products(t).join(top, "category", "left_semi"), "product_id")
             .groupBy("category", F.col("weight_g").alias("weight")).agg(F.sum("_n").alias("_c")))
-    rows = expand_positions(hist, ["category"], "weight", "_c", out="category_row_n", total="category_count")
+    # weights (grams) have a small domain per category: the prefix window runs over distinct weights
+    rows = expand_positions(hist, ["category"], "weight", "_c", out="category_row_n", total="category_count",
+                            few_values=True)
     return rows.select("weight", "category", "category_row_n", "category_count")
 
 
