@@ -1,0 +1 @@
+"""Named reports, the query registry and the DuckDB oracles."""
