@@ -69,7 +69,9 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: d
         r = targets[name](F.col("_n"), F.col("_z"))
         lo, hi = _bracket("_grid", "_n", "_min", "_max", r, grid, delta)
         sel += [r.alias(f"_r{i}"), lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-    bounds = cut_lineage(stats.select(*sel))   # one row per group, read by every step below
+    # one row per group, read by every step below; materialised once so that all steps see
+    # the same approximate grid (a recomputed sketch could differ)
+    bounds = cut_lineage(stats.select(*sel))
 
     # round 1: rows below / inside each target's bracket, per group
     rows = df.filter(v.isNotNull()).join(bounds, g)

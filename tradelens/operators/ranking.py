@@ -104,7 +104,10 @@ def prefix_counts(hist: DataFrame, groups: list[str], value: str, count: str, de
     def small(df: DataFrame, rows_per_group: int) -> DataFrame:
         return broadcast_bounded(df, max_groups * rows_per_group) if max_groups is not None else df
 
-    gstats = hist.groupBy(*g).agg(F.sum(count).alias("_n"), F.percentile_approx(vkey, probs, accuracy).alias("_vc"))
+    # Approximate cuts are materialised once: every later step must see the same cuts, and
+    # a recomputed sketch (other merge order after a retry) could differ.
+    gstats = cut_lineage(hist.groupBy(*g).agg(
+        F.sum(count).alias("_n"), F.percentile_approx(vkey, probs, accuracy).alias("_vc")))
     if descending:
         bucket = F.when(v.isNull(), F.lit(buckets)).otherwise(F.lit(nb) - count_below("_vk", "_vc", nb, True))
         vorder = v.desc_nulls_last()
@@ -181,8 +184,8 @@ def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str
     # 5. positions inside straddling values ------------------------------------------------
     srows = marked.filter(F.col("_st")).withColumn("_tk", tkey)
     keys = g + [value]
-    scuts = srows.groupBy(*[F.col(c).alias(f"_j_{c}") for c in keys]).agg(
-        F.percentile_approx("_tk", probs, accuracy).alias("_sc"))
+    scuts = cut_lineage(srows.groupBy(*[F.col(c).alias(f"_j_{c}") for c in keys]).agg(
+        F.percentile_approx("_tk", probs, accuracy).alias("_sc")))   # fixed once, like the value cuts
     on = None
     for c in keys:
         cond = F.col(c).eqNullSafe(F.col(f"_j_{c}"))
