@@ -68,6 +68,7 @@ REPORTS: dict[str, Callable] = {
     "negative_terms": R.negative_terms,
     "ntile_scores": R.ntile_scores,
     "rfm_segments": R.rfm_segments,
+    "rfm_bubbles": R.rfm_bubbles,
     "repeat_customer_share": R.repeat_customer_share,
     "customer_lifetime_value": R.customer_lifetime_value,
     "clv_by_area": R.clv_by_area,
@@ -77,6 +78,7 @@ REPORTS: dict[str, Callable] = {
     "co_purchased_products": R.co_purchased_products,
     "affinity_vertices": R.affinity_vertices,
     "affinity_edges": R.affinity_edges,
+    "affinity_nodes_sized": R.affinity_nodes_sized,
     "seller_scorecard": R.seller_scorecard,
     "seller_scorecard_dedup": R.seller_scorecard_dedup,
     "seller_bands": R.seller_bands,

@@ -438,6 +438,12 @@ def rfm_segments(t: Tables, p: Params) -> DataFrame:
         F.count(F.lit(1)).alias("customer_count"))
 
 
+def rfm_bubbles(t: Tables, p: Params, size_factor: float = 0.55) -> DataFrame:
+    """RFM segments with the scatter marker size (``size_factor * customer_count``)."""
+    return rfm_segments(t, p).withColumn(
+        "marker_size", F.lit(size_factor) * F.col("customer_count").cast("double"))
+
+
 def repeat_customer_share(t: Tables, p: Params) -> DataFrame:
     orders = t.orders
     if p.repeat_before:
@@ -524,6 +530,12 @@ def affinity_vertices(t: Tables, p: Params) -> DataFrame:
     return vertices
 
 
+def affinity_nodes_sized(t: Tables, p: Params, size_factor: float = 5.0) -> DataFrame:
+    """Graph vertices with the node size (``size_factor * item_count``)."""
+    return affinity_vertices(t, p).withColumn(
+        "node_size", F.lit(size_factor) * F.col("item_count").cast("double"))
+
+
 def affinity_edges(t: Tables, p: Params) -> DataFrame:
     _, edges = affinity_graph(_pair_candidates(t, p), co_purchased_products(t, p), p.pair_key,
                               "common_orders_count")
