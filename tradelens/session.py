@@ -70,3 +70,24 @@ def cut_lineage(df, eager: bool = True):
         else:
             return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df.checkpoint(eager=eager)
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Suggested SQL settings for a cluster run over ``input_bytes`` of Parquet.
+
+    Shuffle partitions are sized so each holds about ``target_partition_bytes`` of
+    the largest shuffle (taken as the input size) and there are at least three
+    waves of tasks; AQE then coalesces small partitions and splits skewed ones.
+    Apply with ``spark.conf.set`` before running reports (all are runtime SQL
+    settings).
+    """
+    partitions = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
