@@ -29,3 +29,10 @@ def test_safe_div_and_mean_days(spark):
     assert [r.x for r in df.select(safe_div("a", "b").alias("x")).collect()] == [None, None, 1.5]
     us = spark.createDataFrame([(86_400_000_000,), (43_200_000_000,), (None,)], "u long")
     assert us.agg(mean_days("u").alias("d")).first().d == 0.75
+
+
+def test_cluster_conf_sizes_shuffles():
+    from tradelens.session import cluster_conf
+    big = cluster_conf(100 << 40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert cluster_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "24"
