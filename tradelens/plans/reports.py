@@ -46,6 +46,7 @@ from tradelens.operators.aggregates import (
     broadcast_bounded,
     bubble_scale,
     cell_vs_mean,
+    mean_of_means,
     pivot_measure,
     share_of_total,
     top_n,
@@ -354,7 +355,7 @@ def daily_delivery_time(t: Tables, p: Params) -> DataFrame:
 
 
 def mean_delivery_time(t: Tables, p: Params) -> DataFrame:
-    return daily_delivery_time(t, p).agg(F.avg("avg_delivery_time").alias("mean_delivery_time"))
+    return mean_of_means(daily_delivery_time(t, p), "avg_delivery_time", out="mean_delivery_time")
 
 
 # ---------------------------------------------------------------------------
