@@ -28,6 +28,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelens.operators.aggregates import broadcast_bounded
 from tradelens.session import cut_lineage
 
 RankFn = Callable[[Column, Column], Column]
@@ -44,7 +45,8 @@ def _bracket(grid_col: str, n_col: str, lo_col: str, hi_col: str, rank: Column,
 
 
 def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: dict[str, RankFn],
-                     grid: int = 1000, accuracy: int = 10_000, materialized: bool = False) -> DataFrame:
+                     grid: int = 1000, accuracy: int = 10_000, materialized: bool = False,
+                     max_groups: int = 10_000) -> DataFrame:
     """Per group: ``_n`` (non-NULL count), ``_z`` (NULL count) and, for each target,
     the value at 1-based ascending rank ``targets[name](n, z)`` among non-NULL values
     (NULL when the rank is outside ``1..n``).
@@ -52,6 +54,10 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: d
     Two bracketing rounds: the group-wide quantile grid narrows each target to about
     ``2n/grid`` rows, a second grid over those rows narrows it to about
     ``2n/grid**2``, and only those are numbered.
+
+    Groups come from a dimension (categories, size bands): at most ``max_groups``
+    of them, so the per-group tables are broadcast.  The data rows are never
+    shuffled by group, which matters because a few groups may hold most rows.
     """
     g = list(group)
     names = list(targets)
@@ -74,7 +80,7 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: d
     bounds = cut_lineage(stats.select(*sel))
 
     # round 1: rows below / inside each target's bracket, per group
-    rows = df.filter(v.isNotNull()).join(bounds, g)
+    rows = df.filter(v.isNotNull()).join(broadcast_bounded(bounds, max_groups), g)
     below = rows.groupBy(*g).agg(*[
         F.count(F.when(v < F.col(f"_lo{i}"), 1)).alias(f"_below{i}") for i in range(len(names))])
     # targets whose bracket holds the row (plain CASE expressions, no lambdas: stays in codegen)
@@ -93,7 +99,7 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: d
     inner = inner.join(want, unit)
     lo2, hi2 = _bracket("_grid2", "_n2", "_min2", "_max2", F.col("_k"), grid, delta)
     inner = cut_lineage(inner.select(*unit, "_k", lo2.alias("_lo2"), hi2.alias("_hi2")))   # one row per target
-    tagged2 = tagged.join(inner, unit)
+    tagged2 = tagged.join(broadcast_bounded(inner, max_groups * len(names)), unit)
     below2 = tagged2.groupBy(*unit).agg(F.count(F.when(v < F.col("_lo2"), 1)).alias("_below2"))
     # the rows left are counted per distinct value (equal values are interchangeable, so a
     # value shared by many rows is one row here) and a running count finds the target
@@ -126,17 +132,20 @@ def group_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict
     return st.select(*cols)
 
 
-def box_stats(df: DataFrame, group: Sequence[str], value: str, whisker: float = 1.5, **kw) -> DataFrame:
+def box_stats(df: DataFrame, group: Sequence[str], value: str, whisker: float = 1.5, max_groups: int = 10_000,
+              **kw) -> DataFrame:
     """Box-plot numbers per group (O9): n, q1, median, q3 and the whisker ends, i.e. the
     most extreme values within ``whisker * IQR`` of the quartiles."""
     g = list(group)
     df = cut_lineage(df.select(*g, value))   # read by the quantiles and the whisker pass
-    q = group_quantiles(df, g, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, materialized=True, **kw)
+    q = group_quantiles(df, g, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, materialized=True,
+                        max_groups=max_groups, **kw)
     iqr = F.col("q3") - F.col("q1")
     q = q.select(*g, F.col("_n").alias("n"), "q1", "median", "q3",
                  (F.col("q1") - F.lit(whisker) * iqr).alias("_wlo"), (F.col("q3") + F.lit(whisker) * iqr).alias("_whi"))
     v = F.col(value).cast("double")
-    ends = df.select(*g, value).join(q.select(*g, "_wlo", "_whi"), g).groupBy(*g).agg(
+    fences = broadcast_bounded(q.select(*g, "_wlo", "_whi"), max_groups)
+    ends = df.select(*g, value).join(fences, g).groupBy(*g).agg(
         F.min(F.when(v >= F.col("_wlo"), v)).alias("whisker_low"),
         F.max(F.when(v <= F.col("_whi"), v)).alias("whisker_high"))
     return q.drop("_wlo", "_whi").join(ends, g, "left")

@@ -605,7 +605,8 @@ def delivery_time_by_band(t: Tables, p: Params) -> DataFrame:
 
 
 def delivery_box_stats(t: Tables, p: Params) -> DataFrame:
-    return box_stats(delivery_time_by_band(t, p), ["bucket"], "delivery_time")
+    # one group per band: len(band_edges) + 1 ("none") groups at most
+    return box_stats(delivery_time_by_band(t, p), ["bucket"], "delivery_time", max_groups=len(p.band_edges) + 1)
 
 
 # ---------------------------------------------------------------------------
