@@ -36,3 +36,19 @@ def test_cluster_conf_sizes_shuffles():
     big = cluster_conf(100 << 40, 8000)
     assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
     assert cluster_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "24"
+
+
+def test_elapsed_micros_ignores_session_time_zone(spark):
+    import datetime as dt
+
+    from tradelens.functions import elapsed_micros
+    # a daylight-saving change in America/Sao_Paulo falls inside this pair
+    df = spark.createDataFrame([(dt.datetime(1999, 10, 2, 12, 0), dt.datetime(1999, 10, 4, 12, 0, 0, 250))],
+                               "a timestamp_ntz, b timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/Sao_Paulo"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            assert df.select(elapsed_micros("a", "b").alias("u")).first().u == 2 * 86_400_000_000 + 250
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

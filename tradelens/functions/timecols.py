@@ -33,9 +33,22 @@ def ts_literal(value) -> Column:
     return F.to_timestamp_ntz(F.lit(text))
 
 
+def _micros_of_day(ts: Column) -> Column:
+    seconds = F.date_part(F.lit("SECOND"), ts)          # decimal(8,6): seconds with microseconds
+    return (F.hour(ts).cast("long") * 3_600_000_000 + F.minute(ts).cast("long") * 60_000_000
+            + (seconds * 1_000_000).cast("long"))
+
+
 def elapsed_micros(start, end) -> Column:
-    """Exact signed microseconds from ``start`` to ``end`` (NULL if either is NULL)."""
-    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
+    """Exact signed microseconds from ``start`` to ``end`` (NULL if either is NULL).
+
+    Wall-clock arithmetic on the calendar fields (whole days plus time of day), so
+    the result never depends on the session time zone; Spark's ``timestampdiff``
+    on ``timestamp_ntz`` shifts across daylight-saving changes of that zone.
+    """
+    a, b = _c(start), _c(end)
+    days = F.datediff(F.to_date(b), F.to_date(a)).cast("long")
+    return days * MICROS_PER_DAY + (_micros_of_day(b) - _micros_of_day(a))
 
 
 def elapsed_days(start, end) -> Column:

@@ -42,7 +42,9 @@ _EPOCH = "1970-01-01 00:00:00"
 def monotone_key(col: Column, dtype: T.DataType, allow_hash: bool = False) -> Column:
     """A numeric column that never decreases when ``col`` increases (for quantile cuts)."""
     if isinstance(dtype, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit(_EPOCH)), col)
+        from tradelens.functions.timecols import elapsed_micros
+
+        return elapsed_micros(F.to_timestamp_ntz(F.lit(_EPOCH)), col)
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(col)
     if isinstance(dtype, T.DateType):
