@@ -90,6 +90,7 @@ def main():
         if only and key not in only:
             continue
         t0 = time.time()
+        rows = []
         try:
             df = fn(spark, sf)
             cols = df.columns
@@ -113,8 +114,7 @@ def main():
             ts = time.time() - t0
         if not res.startswith(("OK", "APPROX")):
             bad += 1
-        n = len(rows) if "rows" in dir() else -1
-        print(f"{key:28s} {res[:400]} rows={n} {ts:.1f}s", flush=True)
+        print(f"{key:28s} {res[:400]} rows={len(rows)} {ts:.1f}s", flush=True)
     print("FAILURES", bad)
 
 
