@@ -9,36 +9,49 @@ from tradelens.plans import reports as R
 from tradelens.sources import marketplace_tables, preview, write_report
 
 
-def _write(spark, root, name, rows, schema):
-    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(os.path.join(root, f"{name}.parquet"))
+def _write(spark, root, name, rows, schema, fmt="parquet"):
+    df = spark.createDataFrame(rows, schema)
+    path = os.path.join(root, f"{name}.{fmt}")
+    if fmt == "csv":
+        df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
-def test_marketplace_loader_and_report(spark):
+def test_marketplace_loader_csv(spark):
+    test_marketplace_loader_and_report(spark, fmt="csv")
+
+
+def test_marketplace_loader_and_report(spark, fmt="parquet"):
     root = tempfile.mkdtemp(prefix="tl-export-", dir="/tmp")
+
+    def w(*args):
+        _write(*args, fmt=fmt)
+
     t0 = dt.datetime(2017, 3, 5, 10, 0)
-    _write(spark, root, "orders", [("o1", "c1", "delivered", t0, t0, t0, t0 + dt.timedelta(days=3),
+    w(spark, root, "orders", [("o1", "c1", "delivered", t0, t0, t0, t0 + dt.timedelta(days=3),
                                     t0 + dt.timedelta(days=10))],
            "order_id string, customer_id string, order_status string, order_purchase_timestamp timestamp_ntz, "
            "order_approved_at timestamp_ntz, order_delivered_carrier_date timestamp_ntz, "
            "order_delivered_customer_date timestamp_ntz, order_estimated_delivery_date timestamp_ntz")
-    _write(spark, root, "customers", [("c1", "u1", "sao paulo", 1234)],
+    w(spark, root, "customers", [("c1", "u1", "sao paulo", 1234)],
            "customer_id string, customer_unique_id string, customer_city string, customer_zip_code_prefix int")
-    _write(spark, root, "order_items", [("o1", "p1", "s1", Decimal("10.50"), Decimal("2.25"))],
+    w(spark, root, "order_items", [("o1", "p1", "s1", Decimal("10.50"), Decimal("2.25"))],
            "order_id string, product_id string, seller_id string, price decimal(10,2), freight_value decimal(10,2)")
-    _write(spark, root, "products", [("p1", "beleza_saude", 500.0)],
+    w(spark, root, "products", [("p1", "beleza_saude", 500.0)],
            "product_id string, product_category_name string, product_weight_g double")
-    _write(spark, root, "product_category_name_translation", [("beleza_saude", "health_beauty")],
+    w(spark, root, "product_category_name_translation", [("beleza_saude", "health_beauty")],
            "product_category_name string, product_category_name_english string")
-    _write(spark, root, "order_payments", [("o1", Decimal("12.75"))], "order_id string, payment_value decimal(10,2)")
-    _write(spark, root, "order_reviews", [("r1", "o1", 5, "otimo")],
+    w(spark, root, "order_payments", [("o1", Decimal("12.75"))], "order_id string, payment_value decimal(10,2)")
+    w(spark, root, "order_reviews", [("r1", "o1", 5, "otimo")],
            "review_id string, order_id string, review_score int, review_comment_message string")
-    _write(spark, root, "geolocation", [(1234, -23.5, -46.6)],
+    w(spark, root, "geolocation", [(1234, -23.5, -46.6)],
            "geolocation_zip_code_prefix int, geolocation_lat double, geolocation_lng double")
-    _write(spark, root, "sellers", [("s1",)], "seller_id string")
-    _write(spark, root, "leads_qualified", [("m1", "organic_search")], "mql_id string, origin string")
-    _write(spark, root, "leads_closed", [("m1",)], "mql_id string")
+    w(spark, root, "sellers", [("s1",)], "seller_id string")
+    w(spark, root, "leads_qualified", [("m1", "organic_search")], "mql_id string, origin string")
+    w(spark, root, "leads_closed", [("m1",)], "mql_id string")
 
-    t = marketplace_tables(spark, root)
+    t = marketplace_tables(spark, root, fmt=fmt)
     p = R.Params(as_of="2018-01-01")
     assert R.order_value_stats(t, p).first().avg_order_price == 12.75
     assert R.top_cities(t, p).first().city == "SAO PAULO"
