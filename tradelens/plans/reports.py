@@ -372,11 +372,11 @@ def _negative_comments(t: Tables, p: Params) -> DataFrame:
 
 
 def negative_comment_text(t: Tables, p: Params) -> DataFrame:
-    """The negative comments, whole, one row each in review order.
+    """The negative comments, whole, one row each with its review id.
 
     The original joins them into one string; a single value built from every
     comment would sit in one task, so the text stays row-wise (write it with
-    ``write_text_lines`` to get the one document).
+    ``write_text_lines(..., order_by=["review_id"])`` to get the one document).
     """
     return _negative_comments(t, p).select("review_id", F.col("score").cast("long").alias("score"), "comment")
 
@@ -404,21 +404,23 @@ def _rfm_people(t: Tables, p: Params) -> DataFrame:
     # recency orders by the purchase time in microseconds.
     metric_value = "decimal(38,2)"
     last_us = elapsed_micros(ts_literal("1970-01-01"), F.col("last_purchase"))
-    long = (rf.select("person_id", F.lit("recency").alias("metric"), last_us.cast(metric_value).alias("v"))
+    no_time = F.lit(None).cast("timestamp_ntz")
+    long = (rf.select("person_id", F.lit("recency").alias("metric"), last_us.cast(metric_value).alias("v"),
+                      F.col("last_purchase").alias("_lp"))
             .unionByName(rf.select("person_id", F.lit("frequency").alias("metric"),
-                                   F.col("total_orders").cast(metric_value).alias("v")))
+                                   F.col("total_orders").cast(metric_value).alias("v"), no_time.alias("_lp")))
             .unionByName(spend.select("person_id", F.lit("monetary").alias("metric"),
-                                      F.col("total_spent").cast(metric_value).alias("v"))))
+                                      F.col("total_spent").cast(metric_value).alias("v"), no_time.alias("_lp"))))
     tiles = grouped_ntile(long, ["metric"], "v", 5, "person_id", descending=True, out="tile", max_groups=3)
     metrics = ("recency", "frequency", "monetary")
     people = tiles.groupBy("person_id").agg(
         *[F.max(F.when(F.col("metric") == m, F.col("tile"))).alias(m) for m in metrics],
-        *[F.max(F.when(F.col("metric") == m, F.col("v"))).alias(f"_v_{m}") for m in metrics])
+        *[F.max(F.when(F.col("metric") == m, F.col("v"))).alias(f"_v_{m}") for m in metrics],
+        F.max("_lp").alias("last_purchase"))
     # a person needs all three scores (monetary exists only for people with items)
     people = people.filter(F.col("monetary").isNotNull() & F.col("recency").isNotNull()).select(
         "person_id", "recency", "frequency", "monetary",
-        F.timestamp_add("MICROSECOND", F.col("_v_recency").cast("long"), ts_literal("1970-01-01")).alias(
-            "last_purchase"),
+        "last_purchase",
         F.col("_v_frequency").cast("long").alias("total_orders"),
         F.col("_v_monetary").cast("decimal(28,2)").alias("total_spent"))
     return people.withColumn("rfm_bucket", segment_label("recency", "frequency", "monetary"))
