@@ -27,6 +27,9 @@ def summarise(plan: str) -> dict:
     }
 
 
+DETAIL = ["top_cities", "seller_scorecard", "delivery_box_stats"]
+
+
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     from tradelens.plans.catalog import queries
@@ -41,6 +44,7 @@ def main() -> None:
           "broadcast threshold at run time.\n")
     print("| query | shuffles | single | BHJ | SMJ | NLJ | windows | scans | pushed filters |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
+    finals: dict[str, str] = {}
     for key, fn in queries().items():
         df = fn(spark, sf)
         df.collect()   # runs this DataFrame's own plan, so AQE's final plan is recorded on it
@@ -51,6 +55,12 @@ def main() -> None:
         pushed = "; ".join(x for x in s["pushed"] if x.strip())[:160]
         print(f"| {key} | {s['shuffles']} | {s['single']} | {s['bhj']} | {s['smj']} | {s['bnlj']} | "
               f"{s['windows']} | {s['scans']} | {pushed} |")
+        finals[key] = plan
+    for key in DETAIL:
+        if key in finals:
+            body = re.sub(r"#\d+L?", "", finals[key]).strip("\n")
+            body = re.sub(r"Location: [^,]+, ", "", body)
+            print(f"\n## Final plan: {key}\n\n```\n{body}\n```")
 
 
 if __name__ == "__main__":
