@@ -88,3 +88,15 @@ def test_write_text_lines_keeps_whole_texts_in_order(spark):
     text = "".join(open(os.path.join(out, "doc", f)).read()
                    for f in sorted(os.listdir(os.path.join(out, "doc"))) if f.startswith("part-"))
     assert text == "first text\nwith two lines\nsecond text\n"
+
+
+def test_command_line_runs_a_report(spark):
+    from tests.conftest import SF_SMALL
+    from tradelens.__main__ import main
+
+    out = os.path.join(tempfile.mkdtemp(prefix="tl-cli-", dir="/tmp"), "bands")
+    assert main(["run", "sellers_per_band", "--layout", "star", "--data", SF_SMALL, "--out", out,
+                 "--format", "csv", "--param", "band_edges=1,5,10"]) == 0
+    rows = spark.read.option("header", True).csv(out).collect()
+    assert {r.bucket for r in rows} <= {"1-4 orders", "5-9 orders", "10+ orders"}
+    assert sum(int(r.seller_count) for r in rows) == spark.read.parquet(f"{SF_SMALL}/supplier.parquet").count()
