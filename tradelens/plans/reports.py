@@ -126,8 +126,9 @@ HOUR_COLUMNS = [f"h{h:02d}" for h in range(24)]
 
 def weekday_hour_matrix(t: Tables, p: Params) -> DataFrame:
     parts = order_time_parts(t, p)
-    return pivot_measure(parts, ["day_of_week_int", "day_of_week_name"], "hour", list(range(24)),
+    wide = pivot_measure(parts, ["day_of_week_int", "day_of_week_name"], "hour", list(range(24)),
                          HOUR_COLUMNS, how="count")
+    return wide.orderBy("day_of_week_int")   # seven rows, Sunday first
 
 
 def heat_cells_flagged(t: Tables, p: Params) -> DataFrame:
