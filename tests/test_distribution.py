@@ -75,3 +75,13 @@ def test_order_statistics_random_against_python(spark):
             want = (vals[0], vals[(n + 1) // 2 - 1], vals[-1], None) if n else (None, None, None, None)
             assert got[g] == want
     check()
+
+
+def test_few_values_path_matches_bracketing(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice("abc"), rnd.choice([None, 100, 200, 200, 300, 500, 900])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g string, w int")
+    for fn in (lambda d, **k: group_median(d, ["g"], "w", "lowest", **k),
+               lambda d, **k: group_median(d, ["g"], "w", "skip", **k),
+               lambda d, **k: box_stats(d, ["g"], "w", **k)):
+        assert sorted(fn(df, few_values=True).collect()) == sorted(fn(df).collect())

@@ -44,9 +44,32 @@ def _bracket(grid_col: str, n_col: str, lo_col: str, hi_col: str, rank: Column,
     return lo, hi
 
 
+def order_statistics_by_histogram(df: DataFrame, group: Sequence[str], value: str,
+                                  targets: dict[str, RankFn]) -> DataFrame:
+    """Same contract as :func:`order_statistics`, for values with a small domain per group
+    (e.g. weights in grams): rows are counted per (group, value) with map-side
+    partial aggregation, and a running count over the distinct values of each group
+    finds every target.  One aggregation, one window over distinct values."""
+    g = list(group)
+    names = list(targets)
+    v = F.col(value)
+    hist = df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = hist.groupBy(*g).agg(
+        F.coalesce(F.sum(F.when(v.isNotNull(), F.col("_c"))), F.lit(0)).alias("_n"),
+        F.coalesce(F.sum(F.when(v.isNull(), F.col("_c"))), F.lit(0)).alias("_z"))
+    ranks = ranks.select(*g, "_n", "_z", *[targets[name](F.col("_n"), F.col("_z")).alias(f"_r{i}")
+                                           for i, name in enumerate(names)])
+    upto = F.sum("_c").over(Window.partitionBy(*g).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    cum = hist.filter(v.isNotNull()).withColumn("_upto", upto)
+    picked = cum.join(ranks, g).groupBy(*g).agg(*[
+        F.max(F.when((F.col("_upto") - F.col("_c") < F.col(f"_r{i}")) & (F.col(f"_r{i}") <= F.col("_upto")), v))
+        .alias(name) for i, name in enumerate(names)])
+    return ranks.select(*g, "_n", "_z").join(picked, g, "left")
+
+
 def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: dict[str, RankFn],
                      grid: int = 1000, accuracy: int = 10_000, materialized: bool = False,
-                     max_groups: int = 10_000) -> DataFrame:
+                     max_groups: int = 10_000, few_values: bool = False) -> DataFrame:
     """Per group: ``_n`` (non-NULL count), ``_z`` (NULL count) and, for each target,
     the value at 1-based ascending rank ``targets[name](n, z)`` among non-NULL values
     (NULL when the rank is outside ``1..n``).
@@ -59,6 +82,8 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: d
     of them, so the per-group tables are broadcast.  The data rows are never
     shuffled by group, which matters because a few groups may hold most rows.
     """
+    if few_values:
+        return order_statistics_by_histogram(df, group, value, targets)
     g = list(group)
     names = list(targets)
     v = F.col(value)
@@ -137,9 +162,13 @@ def box_stats(df: DataFrame, group: Sequence[str], value: str, whisker: float =
     """Box-plot numbers per group (O9): n, q1, median, q3 and the whisker ends, i.e. the
     most extreme values within ``whisker * IQR`` of the quartiles."""
     g = list(group)
-    df = cut_lineage(df.select(*g, value))   # read by the quantiles and the whisker pass
-    q = group_quantiles(df, g, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, materialized=True,
-                        max_groups=max_groups, **kw)
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    if kw.get("few_values"):
+        # small value domain: exact quartiles from (group, value) counts; no checkpoint needed
+        q = group_quantiles(df, g, value, probs, **kw)
+    else:
+        df = cut_lineage(df.select(*g, value))   # read by the quantiles and the whisker pass
+        q = group_quantiles(df, g, value, probs, materialized=True, max_groups=max_groups, **kw)
     iqr = F.col("q3") - F.col("q1")
     q = q.select(*g, F.col("_n").alias("n"), "q1", "median", "q3",
                  (F.col("q1") - F.lit(whisker) * iqr).alias("_wlo"), (F.col("q3") + F.lit(whisker) * iqr).alias("_whi"))

@@ -273,12 +273,14 @@ def ordered_weights(t: Tables, p: Params) -> DataFrame:
 
 
 def category_median_weight(t: Tables, p: Params) -> DataFrame:
-    med = group_median(_top_category_items(t, p), ["category"], "weight", nulls="lowest", out="median_weight")
+    # weights (grams) have a small domain: exact order statistics from (category, weight) counts
+    med = group_median(_top_category_items(t, p), ["category"], "weight", nulls="lowest", out="median_weight",
+                       few_values=True)
     return med.orderBy(F.col("median_weight").asc_nulls_first(), "category")
 
 
 def weight_box_stats(t: Tables, p: Params) -> DataFrame:
-    return box_stats(_top_category_items(t, p), ["category"], "weight")
+    return box_stats(_top_category_items(t, p), ["category"], "weight", few_values=True)
 
 
 # ---------------------------------------------------------------------------
