@@ -158,14 +158,14 @@ def group_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict
 
 
 def box_stats(df: DataFrame, group: Sequence[str], value: str, whisker: float = 1.5, max_groups: int = 10_000,
-              **kw) -> DataFrame:
+              few_values: bool = False, **kw) -> DataFrame:
     """Box-plot numbers per group (O9): n, q1, median, q3 and the whisker ends, i.e. the
-    most extreme values within ``whisker * IQR`` of the quartiles."""
+    most extreme values within ``whisker * IQR`` of the quartiles.  ``few_values``: the
+    value has a small domain per group, so exact quartiles come from (group, value) counts."""
     g = list(group)
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    if kw.get("few_values"):
-        # small value domain: exact quartiles from (group, value) counts; no checkpoint needed
-        q = group_quantiles(df, g, value, probs, **kw)
+    if few_values:
+        q = group_quantiles(df, g, value, probs, few_values=True, **kw)
     else:
         df = cut_lineage(df.select(*g, value))   # read by the quantiles and the whisker pass
         q = group_quantiles(df, g, value, probs, materialized=True, max_groups=max_groups, **kw)
