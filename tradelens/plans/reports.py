@@ -408,12 +408,15 @@ def _rfm_people(t: Tables, p: Params) -> DataFrame:
     metric_value = "decimal(38,2)"
     last_us = elapsed_micros(ts_literal("1970-01-01"), F.col("last_purchase"))
     no_time = F.lit(None).cast("timestamp_ntz")
-    long = (rf.select("person_id", F.lit("recency").alias("metric"), last_us.cast(metric_value).alias("v"),
-                      F.col("last_purchase").alias("_lp"))
-            .unionByName(rf.select("person_id", F.lit("frequency").alias("metric"),
-                                   F.col("total_orders").cast(metric_value).alias("v"), no_time.alias("_lp")))
-            .unionByName(spend.select("person_id", F.lit("monetary").alias("metric"),
-                                      F.col("total_spent").cast(metric_value).alias("v"), no_time.alias("_lp"))))
+    # recency and frequency rows come from one pass over rf (an explode, not a second scan)
+    rf_rows = rf.select("person_id", F.explode(F.array(
+        F.struct(F.lit("recency").alias("metric"), last_us.cast(metric_value).alias("v"),
+                 F.col("last_purchase").alias("_lp")),
+        F.struct(F.lit("frequency").alias("metric"), F.col("total_orders").cast(metric_value).alias("v"),
+                 no_time.alias("_lp")))).alias("_m")).select("person_id", "_m.*")
+    long = rf_rows.unionByName(spend.select("person_id", F.lit("monetary").alias("metric"),
+                                            F.col("total_spent").cast(metric_value).alias("v"),
+                                            no_time.alias("_lp")))
     tiles = grouped_ntile(long, ["metric"], "v", 5, "person_id", descending=True, out="tile", max_groups=3)
     metrics = ("recency", "frequency", "monetary")
     people = tiles.groupBy("person_id").agg(
