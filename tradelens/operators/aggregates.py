@@ -120,14 +120,19 @@ def mean_of_means(df: DataFrame, value: str, out: str = "mean_value") -> DataFra
 
 
 def bubble_scale(df: DataFrame, count_col: str, value_col: str, radius_factor: float = 0.1,
-                 base_opacity: float = 0.1, opacity_factor: float = 0.1) -> DataFrame:
+                 base_opacity: float = 0.1, opacity_factor: float = 0.1,
+                 bounded_rows: int | None = None) -> DataFrame:
     """Marker sizes for a bubble map.
 
     ``radius = radius_factor * sqrt(count)``,
-    ``opacity = base + factor * sqrt(value / max(value))`` with the global max
-    taken by a scalar subquery.
+    ``opacity = base + factor * sqrt(value / max(value))``.  The global max is a
+    window over the rows when their number is bounded (``bounded_rows``, e.g. one
+    row per 5-digit zip prefix), else a scalar subquery.
     """
-    vmax = df.agg(F.max(value_col)).scalar()
+    if bounded_rows is not None:
+        vmax = F.max(value_col).over(Window.partitionBy())
+    else:
+        vmax = df.agg(F.max(value_col)).scalar()
     return df.select(
         "*",
         (F.lit(radius_factor) * F.sqrt(F.col(count_col).cast("double"))).alias("radius"),

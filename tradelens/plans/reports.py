@@ -510,7 +510,8 @@ def clv_by_area_raw(t: Tables, p: Params) -> DataFrame:
 
 
 def clv_bubbles(t: Tables, p: Params) -> DataFrame:
-    return bubble_scale(clv_by_area(t, p), "customer_count", "avg_clv")
+    # one row per zip prefix: at most 100,000 (five digits), so the max is a window over them
+    return bubble_scale(clv_by_area(t, p), "customer_count", "avg_clv", bounded_rows=100_000)
 
 
 # ---------------------------------------------------------------------------
