@@ -100,3 +100,16 @@ def test_command_line_runs_a_report(spark):
     rows = spark.read.option("header", True).csv(out).collect()
     assert {r.bucket for r in rows} <= {"1-4 orders", "5-9 orders", "10+ orders"}
     assert sum(int(r.seller_count) for r in rows) == spark.read.parquet(f"{SF_SMALL}/supplier.parquet").count()
+
+
+def test_reports_over_colocated_tables_are_unchanged(spark):
+    from tests.conftest import SF_SMALL
+    from tradelens.plans import reports as R
+    from tradelens.plans.catalog import TEST_PARAMS
+    from tradelens.sources.tables import colocate_order_facts, star_tables
+
+    base = star_tables(spark, SF_SMALL)
+    where = tempfile.mkdtemp(prefix="tl-colocated-", dir="/tmp")
+    stored = colocate_order_facts(base, where, 4, database="tl_test_reports")
+    for report in (R.order_value_stats, R.seller_scorecard, R.order_cost_split):
+        assert sorted(report(stored, TEST_PARAMS).collect()) == sorted(report(base, TEST_PARAMS).collect())
