@@ -67,6 +67,10 @@ def compare(spark_rows, spark_cols, duck_rows, duck_cols):
     for x, y in zip(a, b):
         if not all(_close(p, q) for p, q in zip(x, y)):
             return f"VALUES first diff spark={x} duck={y}"
+    if os.environ.get("APPROX_DETAIL"):
+        for x, y in zip(a, b):
+            if x != y:
+                return f"APPROX first diff spark={x} duck={y}"
     return "APPROX"
 
 

@@ -36,3 +36,22 @@ def round_ratio(num, den, digits: int) -> Column:
     den = _c(den).cast("decimal(38,0)")
     mag = F.call_function("div", F.abs(units) * 2 + den, den * 2)
     return F.when(den > 0, F.signum(units) * mag.cast("double") / F.lit(float(scale)))
+
+
+def ratio_units(num, den, scale: int) -> Column:
+    """``num / den * scale`` rounded half away from zero, as an exact integer (decimal(38,0)).
+
+    ``num`` is an integer or decimal column whose product with ``scale`` is whole,
+    ``den`` a positive integer.  Summing such units is exact and order independent,
+    which a sum of doubles is not.
+    """
+    n = (_c(num).cast("decimal(38,6)") * F.lit(scale).cast("decimal(20,0)")).cast("decimal(38,0)")
+    d = _c(den).cast("decimal(38,0)")
+    mag = F.call_function("div", F.abs(n) * 2 + d, d * 2).cast("decimal(38,0)")
+    return F.when(d > 0, F.when(n < 0, -mag).otherwise(mag))
+
+
+def mean_of_units(units, scale: int) -> Column:
+    """Aggregate: mean of fixed-point ``units`` (value * ``scale``) as a double; exact sum, one division."""
+    u = _c(units)
+    return F.try_divide(F.try_divide(F.sum(u).cast("double"), F.count(u).cast("double")), F.lit(float(scale)))

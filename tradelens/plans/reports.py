@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.functions.numeric import mean_of, round_ratio, safe_div
+from tradelens.functions.numeric import mean_of, mean_of_units, ratio_units, round_ratio, safe_div
 from tradelens.functions.timecols import (
     MICROS_PER_DAY,
     between_half_open,
@@ -95,6 +95,9 @@ class Params:
     preview_rows: int = 5
 
 
+UNITS = 10 ** 8          # fixed-point scale of per-row values that are then averaged
+
+
 def _days_between(a: str, b: str) -> int:
     return (dt.date.fromisoformat(b) - dt.date.fromisoformat(a)).days
 
@@ -357,8 +360,16 @@ def daily_delivery_time(t: Tables, p: Params) -> DataFrame:
             .select(F.date_format("_d", "yyyy-MM-dd").alias("purchase_date"), "avg_delivery_time"))
 
 
+DAY_UNITS = 10 ** 12      # fixed-point scale of per-day mean delivery times (days)
+
+
 def mean_delivery_time(t: Tables, p: Params) -> DataFrame:
-    return mean_of_means(daily_delivery_time(t, p), "avg_delivery_time", out="mean_delivery_time")
+    """Unweighted mean of the daily means (O10), each daily mean held as exact 1e-12-day units."""
+    orders = t.orders.filter(between_half_open("purchased", p.shipping_from, p.shipping_to))
+    us = elapsed_micros("purchased", "delivered")
+    daily = orders.groupBy(F.to_date("purchased").alias("_d")).agg(F.sum(us).alias("_s"), F.count(us).alias("_c"))
+    units = ratio_units(F.col("_s"), F.col("_c") * F.lit(MICROS_PER_DAY), DAY_UNITS)
+    return daily.agg(mean_of_units(units, DAY_UNITS).alias("mean_delivery_time"))
 
 
 # ---------------------------------------------------------------------------
@@ -443,7 +454,8 @@ def rfm_segments(t: Tables, p: Params) -> DataFrame:
     people = _rfm_people(t, p)
     return people.groupBy("rfm_bucket").agg(
         mean_days(elapsed_micros(F.col("last_purchase"), ts_literal(p.as_of))).alias("avg_days_since_purchase"),
-        F.avg(safe_div("total_spent", "total_orders")).alias("avg_sales_per_customer"),
+        # per-person spend per order in exact 1e-8 units, so the mean does not depend on task order
+        mean_of_units(ratio_units("total_spent", "total_orders", UNITS), UNITS).alias("avg_sales_per_customer"),
         F.count(F.lit(1)).alias("customer_count"))
 
 
@@ -480,7 +492,13 @@ def _clv_people(t: Tables, p: Params) -> DataFrame:
     floor_us = p.acl_floor_days * MICROS_PER_DAY
     acl = F.when(span < floor_us, F.lit(1.0)).otherwise(
         span.cast("double") / F.lit(float(MICROS_PER_DAY)) / F.lit(float(p.acl_floor_days)))
-    return people.select("person_id", "zip", "pf", safe_div("_total", "pf").alias("aov"), acl.alias("acl"))
+    # CLV = PF x AOV x ACL = total x ACL, also as exact 1e-8 units for averaging
+    cents = (F.col("_total") * 100).cast("decimal(38,0)")
+    week_us = p.acl_floor_days * MICROS_PER_DAY
+    clv_units = F.when(span < floor_us, cents * F.lit(UNITS // 100)).otherwise(
+        ratio_units(cents * span, F.lit(week_us // (UNITS // 100)), 1))
+    return people.select("person_id", "zip", "pf", safe_div("_total", "pf").alias("aov"), acl.alias("acl"),
+                         clv_units.alias("_clv_units"))
 
 
 def customer_lifetime_value(t: Tables, p: Params) -> DataFrame:
@@ -496,13 +514,24 @@ def clv_by_area(t: Tables, p: Params, raw_fanout: bool = False) -> DataFrame:
     customer count, which counts every (customer, geo point) pair; it is
     computed as customers x points, without building the pairs.
     """
-    clv = _clv_people(t, p).select("person_id", "zip", (F.col("pf") * F.col("aov") * F.col("acl")).alias("clv"))
-    per_zip = clv.groupBy("zip").agg(F.avg("clv").alias("avg_clv"), F.count("person_id").alias("customer_count"))
-    geo = t.geo.groupBy("zip").agg(mean_of("lat").alias("latitude"), mean_of("lng").alias("longitude"),
+    clv = _clv_people(t, p).select("person_id", "zip", "_clv_units")
+    per_zip = clv.groupBy("zip").agg(F.sum("_clv_units").alias("_su"), F.count("_clv_units").alias("_nu"),
+                                     F.count("person_id").alias("customer_count"))
+    geo = t.geo.groupBy("zip").agg(F.sum("lat").alias("_slat"), F.count("lat").alias("_nlat"),
+                                   F.sum("lng").alias("_slng"), F.count("lng").alias("_nlng"),
                                    F.count(F.lit(1)).alias("_points"))
+    # every mean is an exact sum over an exact count; in fan-out mode both are taken over the
+    # (customer, point) pairs, i.e. multiplied by the other side's count
+    k_geo = F.col("_points") if raw_fanout else F.lit(1)
+    k_cust = F.col("customer_count") if raw_fanout else F.lit(1)
+
+    def mean(total, n, k, scale=1):
+        return F.try_divide(safe_div(F.col(total) * k, F.col(n) * k), F.lit(float(scale)))
     count = F.col("customer_count") * F.col("_points") if raw_fanout else F.col("customer_count")
-    return per_zip.join(geo, "zip").select(F.col("zip").alias("zip_prefix"), "avg_clv",
-                                           count.alias("customer_count"), "latitude", "longitude")
+    return per_zip.join(geo, "zip").select(
+        F.col("zip").alias("zip_prefix"), mean("_su", "_nu", k_geo, UNITS).alias("avg_clv"),
+        count.alias("customer_count"), mean("_slat", "_nlat", k_cust).alias("latitude"),
+        mean("_slng", "_nlng", k_cust).alias("longitude"))
 
 
 def clv_by_area_raw(t: Tables, p: Params) -> DataFrame:
