@@ -52,3 +52,14 @@ def test_elapsed_micros_ignores_session_time_zone(spark):
             assert df.select(elapsed_micros("a", "b").alias("u")).first().u == 2 * 86_400_000_000 + 250
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_ratio_units_exact_and_mean(spark):
+    from decimal import Decimal
+
+    from tradelens.functions import mean_of_units, ratio_units
+    df = spark.createDataFrame([(Decimal("10.00"), 3), (Decimal("0.05"), 2), (None, 1)], "s decimal(18,2), n long")
+    got = [r.u for r in df.select(ratio_units("s", "n", 10 ** 8).alias("u")).collect()]
+    assert got == [Decimal(333333333), Decimal(2500000), None]
+    mean = df.agg(mean_of_units(ratio_units("s", "n", 10 ** 8), 10 ** 8).alias("m")).first().m
+    assert mean == (333333333 + 2500000) / 2 / 10 ** 8
