@@ -1,7 +1,8 @@
 """Run every registered query on Spark and its DuckDB oracle; compare rows, columns and values.
 
 Usage: python tools/check_oracle.py [sf_dir] [key ...]
-Prints one line per key: OK (exact), APPROX (equal within 1e-9 relative), or the difference.
+Prints one line per key: OK (exact), APPROX (equal within 1e-9 relative), or the difference,
+plus any column whose type kind differs.  APPROX_DETAIL=1 shows the first inexact row.
 """
 
 from __future__ import annotations
