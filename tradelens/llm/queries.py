@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradelens.llm import bpe, fingerprints, langid, secrets, sharding, topk
+from tradelens.llm import bpe, fingerprints, langid, neardup, secrets, sharding, topk
 from tradelens.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_exact_topk": _over("embeddings", topk.op2),
         "op3_prefix_fingerprints": _over("documents", fingerprints.op3),
+        "op4_setsketch_near_dedup": _over("documents", neardup.op4),
         "op5_byte_bpe": _over("documents", bpe.op5),
         "op6_language_id": _over("documents", langid.op6),
         "op9_ring_shards": _over("documents", sharding.op9),
