@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradelens.llm import bpe, fingerprints, langid, neardup, secrets, sharding, topk
+from tradelens.llm import bpe, fingerprints, langid, linededup, neardup, secrets, sharding, topk
 from tradelens.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def _over(table: str, fn: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": _over("documents", linededup.op1),
         "op2_exact_topk": _over("embeddings", topk.op2),
         "op3_prefix_fingerprints": _over("documents", fingerprints.op3),
         "op4_setsketch_near_dedup": _over("documents", neardup.op4),
@@ -32,4 +33,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": linededup.ORACLE_SQL}
