@@ -22,6 +22,13 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list[dict] | dict | pa.RecordBatch],
                 schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch that returns a dict of columns in schema order."""

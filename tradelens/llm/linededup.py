@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import texts_of
+from tradelens.llm.common import spare, texts_of
 from tradelens.session import cut_lineage
 
 CLASS_BITS = 18
@@ -159,15 +159,18 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     Documents that lose all their lines with words go.  Documents without removed lines are not
     touched; rows with equal doc_id lose the same line numbers.
     """
-    gone = (removed_lines(docs, percent).where("removed").groupBy(F.col("doc_id").alias("_id"))
-            .agg(F.collect_set("line_no").alias("_gone")))
-    rows = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left")
-    kept = F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
-    rows = rows.withColumn("_text", text).where(F.col("_gone").isNull() | F.col("_text").rlike("[^\\x20\\x09-\\x0D]"))
-    new = {"text": F.col("_text"), "n_chars": F.when(F.col("_gone").isNull(), docs["n_chars"]).otherwise(
-        F.length("_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("_text")}
-    return rows.select(*[new[c].alias(c) if c in new else docs[f"`{c}`"] for c in docs.columns])
+    own, gone, left = (spare(docs, c) for c in ("_id", "_gone", "_left"))
+    marks = (removed_lines(docs, percent).where("removed").groupBy(F.col("doc_id").alias(own))
+             .agg(F.collect_set("line_no").alias(gone)))
+    rows = docs.join(marks, docs["doc_id"].eqNullSafe(marks[own]), "left")
+    untouched = F.col(gone).isNull()
+    kept = F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.array_contains(gone, i))
+    rows = rows.withColumn(left, F.when(untouched, F.col("text")).otherwise(F.array_join(kept, "\n")))
+    rows = rows.where(untouched | F.col(left).rlike("[^\\x20\\x09-\\x0D]"))
+    new = {"text": F.col(left)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(untouched, F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import arrow_schema, map_batches, texts_of
+from tradelens.llm.common import arrow_schema, map_batches, spare, texts_of
 from tradelens.llm.graph import components
 from tradelens.session import cut_lineage
 
@@ -285,11 +285,13 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows one stays.
     """
     marks = near_duplicates(docs, percent=percent)
-    kept = marks.where("kept and doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("_n"))
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_id"), docs["doc_id"] == F.col("_id"))
-    copies = Window.partitionBy("_id", F.xxhash64("text")).orderBy(F.lit(0))
-    rows = rows.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1 or _n = 0")
-    return rows.select(*[rows[f"`{c}`"] for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    own, words, copy = (spare(docs, c) for c in ("_id", "_words", "_copy"))
+    kept = (marks.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(own))
+            .agg(F.max("n_shingles").alias(words)))
+    rows = docs.join(kept, docs["doc_id"] == F.col(own))
+    copies = Window.partitionBy(own, F.xxhash64("text")).orderBy(F.lit(0))
+    rows = rows.withColumn(copy, F.row_number().over(copies)).where((F.col(copy) == 1) | (F.col(words) == 0))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
 def op4(docs: DataFrame) -> DataFrame:

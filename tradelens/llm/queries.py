@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradelens.llm import bpe, fingerprints, langid, linededup, neardup, secrets, sharding, topk
+from tradelens.llm import bpe, fingerprints, langid, linededup, neardup, packing, secrets, sharding, topk
 from tradelens.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op4_setsketch_near_dedup": _over("documents", neardup.op4),
         "op5_byte_bpe": _over("documents", bpe.op5),
         "op6_language_id": _over("documents", langid.op6),
+        "op8_best_fit_packing": _over("documents", packing.op8),
         "op9_ring_shards": _over("documents", sharding.op9),
         "op10_secret_scan": _over("documents", secrets.op10),
     }
