@@ -9,6 +9,6 @@ plans/      named reports built from the operators, the query registry and the D
 streaming/  intentionally empty (the analysed workload has no streaming part)
 """
 
-from tradelens.session import build_session, ensure_checkpoint_dir
+from tradelens.session import build_session, shared_folder
 
-__all__ = ["build_session", "ensure_checkpoint_dir"]
+__all__ = ["build_session", "shared_folder"]

@@ -6,8 +6,6 @@ its configuration.  ``build_session`` is only for local use.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 LOCAL_DEFAULTS = {
@@ -23,52 +21,41 @@ LOCAL_DEFAULTS = {
 
 
 def build_session(cores: int = 8, shuffle_partitions: int | None = None, app: str = "tradelens",
-                  extra: dict | None = None) -> SparkSession:
+                  extra: dict | None = None, checkpoint_dir: str | None = None) -> SparkSession:
+    """A local session.  ``checkpoint_dir`` becomes ``spark.checkpoint.dir``; without it, see :func:`shared_folder`."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     conf = dict(LOCAL_DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cores)
+    if checkpoint_dir:
+        conf["spark.checkpoint.dir"] = checkpoint_dir
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; create a scratch one only when unset (tests)."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    path = configured or tempfile.mkdtemp(prefix="tradelens-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that the driver and all executors see.
+
+    It is ``spark.checkpoint.dir``.  Only where that is unset, it is a folder in the SQL warehouse, which
+    every session has and which tables need to be shared as well.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
 
 def cut_lineage(df, eager: bool = True):
-    """Materialise ``df`` in the cluster's checkpoint folder and continue from the files.
+    """Materialise ``df`` in the shared folder and continue from the files.
 
-    Used where one intermediate feeds many branches of a plan: later stages
-    rescan the checkpoint instead of recomputing (or re-planning) the upstream
-    joins, and a lost executor does not force a recompute from the sources.
-    The folder is ``spark.checkpoint.dir``; only a local session without one
-    gets a scratch folder.  A cluster session without a checkpoint folder falls
-    back to a disk-backed persist.
+    Used where one intermediate feeds many branches of a plan, or must be the same for all of them: later
+    stages rescan the checkpoint instead of recomputing the upstream joins, and a lost executor does
+    not force a recompute from the sources.
     """
-    from pyspark import StorageLevel
-
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured:
-            sc.setCheckpointDir(configured)
-        elif sc.master.startswith("local"):
-            ensure_checkpoint_dir(spark)
-        else:
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=eager)
 
 
