@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import arrow_schema
+from tradelens.llm.common import arrow_schema, spare
 
 DIM = 1024
 NGRAM = 3
@@ -189,5 +189,21 @@ def identify(docs: DataFrame, dim: int = DIM) -> DataFrame:
     return predict_languages(rows.drop("lang"), prototypes)
 
 
+def keep_recognised(docs: DataFrame, min_score: float, dim: int = DIM) -> DataFrame:
+    """The rows whose text has letters and reaches ``min_score`` with some language, all columns unchanged.
+
+    Prototypes are learned from the labelled rows outside the held-out fold.  Without any prototype there is
+    nothing to compare with, and all rows with letters stay.
+    """
+    labelled = docs.where(~held_out(docs["doc_id"])).select(docs["lang"].alias("lang"), docs["text"].alias("text"))
+    prototypes = learn_prototypes(labelled, dim)
+    if not prototypes:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    ours = {c: spare(docs, f"own_{c}") for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    renamed = docs.withColumnsRenamed(ours)
+    kept = predict_languages(renamed, prototypes).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
+    return kept.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in ours.items()})
+
+
 def op6(docs: DataFrame) -> DataFrame:
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
