@@ -11,10 +11,11 @@ registers agree about as often as the sets overlap.
    but for a chance of (1 - s**rows)**bands: 3e-7 at 0.85 with the defaults.
 3. Every member of a bucket is paired with the bucket's smallest id.  The joint likelihood of both
    sketches, with the exact set sizes, estimates the similarity; pairs far below the threshold go
-   (``slack`` is six standard deviations).  The others are confirmed on full sets.  Components follow.
+   (``slack`` is four and a half standard deviations).  The others are confirmed on full sets.  Components follow.
 4. Buckets that still hold several components are searched once more: block against block, their
-   members' registers are compared, and the likely pairs across components are confirmed.  So a link is
-   missed only where the first chance or an estimate of over six deviations strikes.
+   members' registers are compared, and the likely pairs across components are confirmed, but for those
+   that other links of the same block connect already.  So a link is missed only where the first chance or
+   an estimate that is off by over four and a half deviations strikes.
 
 Hot groups: copies are one representative; near copies are linked to one member, not to each other; a
 bucket's rows are joined with its minimum (a join whose skew Spark splits) and searched in blocks of
@@ -46,7 +47,7 @@ BASE = 1.001
 RATE = 20.0
 TOP = 65_534
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 256
+BLOCK = 1024
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -116,29 +117,38 @@ def registers(elements: np.ndarray, m: int) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
-def joint_estimate(n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below: np.ndarray, m: int) -> np.ndarray:
-    """The similarity of greatest likelihood, given the set sizes and how many of the m registers of the
-    one sketch are above and below those of the other."""
-    u = n_a / (n_a + n_b)
-    v = 1 - u
-    low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
+def _log_likelihood(j: np.ndarray, u: np.ndarray, above: np.ndarray, below: np.ndarray, m: int) -> np.ndarray:
+    """Of similarity j, given the first set's share u of both sizes and how many of the m registers of its
+    sketch are above and below those of the second."""
+    def p(x):
+        return np.clip(-np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE), 1e-12, 1)
+    more, less = p(u - (1 - u) * j), p((1 - u) - u * j)
+    return above * np.log(more) + below * np.log(less) + (m - above - below) * np.log(np.clip(1 - more - less, 1e-12, 1))
 
-    def likelihood(j: np.ndarray) -> np.ndarray:
-        def p(x):
-            return np.clip(-np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE), 1e-12, 1)
-        more, less = p(u - v * j), p(v - u * j)
-        return above * np.log(more) + below * np.log(less) + (m - above - below) * np.log(np.clip(1 - more - less, 1e-12, 1))
 
+def joint_estimate(n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below: np.ndarray, m: int) -> np.ndarray:
+    """The similarity of greatest likelihood of two sketches, given the set sizes."""
+    u = n_a / (n_a + n_b)
+    low, high = np.zeros(len(u)), np.minimum(u / (1 - u), (1 - u) / u)
     for _ in range(40):  # the likelihood has one peak
         third = (high - low) / 3
-        left = likelihood(low + third) < likelihood(high - third)
+        left = _log_likelihood(low + third, u, above, below, m) < _log_likelihood(high - third, u, above, below, m)
         low, high = np.where(left, low + third, low), np.where(left, high, high - third)
     return (low + high) / 2
 
 
+def reaches(cutoff: float, n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below: np.ndarray, m: int) -> np.ndarray:
+    """Whether ``joint_estimate`` is at least the cutoff: the likelihood still rises there."""
+    u = n_a / (n_a + n_b)
+    step = 1e-6
+    rises = (_log_likelihood(np.full(len(u), cutoff + step), u, above, below, m)
+             >= _log_likelihood(np.full(len(u), cutoff), u, above, below, m))
+    return rises & (np.minimum(u / (1 - u), (1 - u) / u) >= cutoff)
+
+
 def slack(threshold: float, m: int) -> float:
-    """Six standard deviations of an estimate at the threshold."""
-    return 6 * float(np.sqrt(threshold * (1 - threshold) / m))
+    """Four and a half standard deviations of an estimate at the threshold (a chance of 3e-6)."""
+    return 4.5 * float(np.sqrt(threshold * (1 - threshold) / m))
 
 
 def sketch_documents(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, width: int = SHINGLE) -> DataFrame:
@@ -159,10 +169,10 @@ def sketch_documents(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
 
 
 def _bucket_rows(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``id, bucket`` for each band of each representative."""
+    """``id, bucket, band`` for each band of each representative."""
     width = 2 * rows  # bytes of a band
     parts = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(bands)])
-    return reps.select("id", F.explode(parts).alias("bucket"))
+    return reps.select("id", F.posexplode(parts).alias("band", "bucket"))
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, cutoff: float, m: int) -> DataFrame:
@@ -174,73 +184,119 @@ def _likely(pairs: DataFrame, reps: DataFrame, cutoff: float, m: int) -> DataFra
     def fn(batch: pa.RecordBatch) -> dict:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, m) for c in ("sketch_a", "sketch_b"))
         n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
-        keep = joint_estimate(n_a, n_b, (x > y).sum(axis=1), (x < y).sum(axis=1), m) >= cutoff
+        keep = reaches(cutoff, n_a, n_b, (x > y).sum(axis=1), (x < y).sum(axis=1), m)
         return {"a": batch.column("a").to_numpy()[keep], "b": batch.column("b").to_numpy()[keep]}
 
     return map_batches(full, fn, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    pairs = cut_lineage(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
+def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``id, elements`` of the documents named in ``ids``."""
     def sets(batch: pa.RecordBatch) -> dict:
         return {"id": batch.column(0), "elements": [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]}
 
-    # one text for each representative, even where rows of one doc_id differ
-    texts = docs.join(needed, docs["doc_id"] == needed["id"], "left_semi")
-    found = cut_lineage(map_batches(texts, sets, "id long, elements binary"))
-    full = (pairs.join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b"))
+    return map_batches(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi"), sets, "id long, elements binary")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    full = (pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b"))
 
     def check(batch: pa.RecordBatch) -> dict:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.sort(np.concatenate([x, y]), kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-        keep = np.array(keep, bool)
+        keep = np.array([_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                         for x, y in zip(batch.column(2), batch.column(3))], bool)
         return {"a": batch.column(0).to_numpy()[keep], "b": batch.column(1).to_numpy()[keep]}
 
     return map_batches(full, check, "a long, b long").distinct()
 
 
-def _across(buckets: DataFrame, reps: DataFrame, labels: DataFrame, percent: int, cutoff: float, m: int) -> DataFrame:
-    """Likely pairs of different components that share a bucket: bounded blocks of members, compared by
-    their registers."""
+def _candidates(table: pa.Table, key: tuple, percent: int, cutoff: float, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the likely pairs of one block pair, across components.
+
+    A pair that shares several buckets belongs to that of its first common band.
+    """
+    m = bands * rows
+    ids, component, n, block = (table.column(c).to_numpy() for c in ("id", "component", "n", "block"))
+    regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, m)
+    x, y, band = (k.as_py() for k in key[1:])
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    earlier = regs[:, :band * rows].reshape(len(regs), band, rows)
+    out_a, out_b = [], []
+    for at in range(0, len(left), 16):
+        part = left[at:at + 16]
+        small, large = np.minimum(n[part][:, None], n[right]), np.maximum(n[part][:, None], n[right])
+        fits = (component[part][:, None] != component[right]) & (100 * small >= percent * large)
+        if x == y:
+            fits &= ids[part][:, None] < ids[right]
+        i, j = np.nonzero(fits)
+        i, j = part[i], right[j]
+        for b in range(band):
+            new = ~(earlier[i, b] == earlier[j, b]).all(axis=1)
+            i, j = i[new], j[new]
+        if len(i):
+            hit = reaches(cutoff, n[i].astype(float), n[j].astype(float), (regs[i] > regs[j]).sum(axis=1),
+                          (regs[i] < regs[j]).sum(axis=1), m)
+            out_a.append(i[hit])
+            out_b.append(j[hit])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+
+
+_PLACED = ["bucket", "x", "y", "band", "block", "id", "component", "n", "sketch"]
+
+
+def _across(buckets: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, cutoff: float,
+            bands: int, rows: int) -> DataFrame:
+    """Links ``a, b`` between different components within the buckets, enough to connect all that are linked.
+
+    Members of a bucket meet in pairs of bounded blocks.  A first pass compares registers and keeps the members
+    of likely pairs; the second has their full sets and confirms the pairs that confirmed links of
+    its block have not connected yet.
+    """
     own = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (own.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("c0"),
                                        F.max("component").alias("c1"))
-             .where("c0 < c1").select("bucket", "members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+             .where("c0 < c1").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
     placed = (own.join(mixed, "bucket")
-              .withColumn("blocks", blocks)
               .withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")))
-    placed = placed.join(reps.select("id", "n", "sketch"), "id").select("bucket", "x", "y", "block", "id", "component", "n", "sketch")
-    schema = arrow_schema("a long, b long")
+              .withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+              .join(reps.select("id", "n", "sketch"), "id").select(*_PLACED))
+    kinds = ("bucket long, x int, y int, band int, block int, id long, component long, n long, sketch binary")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        ids, component, n, block = (table.column(c).to_numpy() for c in ("id", "component", "n", "block"))
-        regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, m)
-        x, y = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in left:
-            other = right[(component[right] != component[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if x == y:
-                other = other[ids[other] > ids[i]]
-            if len(other):
-                above, below = (regs[i] > regs[other]).sum(axis=1), (regs[i] < regs[other]).sum(axis=1)
-                est = joint_estimate(np.full(len(other), float(n[i])), n[other].astype(float), above, below, m)
-                hit = other[est >= cutoff]
-                out.append((np.full(len(hit), ids[i]), ids[hit]))
-        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=schema)
-
-    return placed.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+        i, j = _candidates(table, key, percent, cutoff, bands, rows)
+        return table.take(pa.array(np.union1d(i, j))).cast(arrow_schema(kinds))
+
+    by = ["bucket", "x", "y", "band"]
+    likely = cut_lineage(placed.groupBy(*by).applyInArrow(compare, kinds))
+
+    def confirm(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = _candidates(table, key, percent, cutoff, bands, rows)
+        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+        elements = [np.frombuffer(e.as_buffer(), np.uint64) for e in table.column("elements")]
+        above: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in above:
+                c = above[c]
+            return c
+
+        links = []
+        for p, q in zip(i.tolist(), j.tolist()):
+            c, d = root(component[p]), root(component[q])
+            if c != d and _linked(elements[p], elements[q], percent):
+                above[c] = d
+                links.append((ids[p], ids[q]))
+        return pa.table({"a": [min(x) for x in links], "b": [max(x) for x in links]}, schema=arrow_schema("a long, b long"))
+
+    return likely.join(sets, "id").groupBy(*by).applyInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, bands: int = BANDS,
@@ -261,12 +317,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, ba
     buckets = cut_lineage(_bucket_rows(reps, bands, rows))
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1")
     buckets = cut_lineage(buckets.join(shared.select("bucket", "a"), "bucket"))
+    sets = cut_lineage(_full_sets(texts, buckets.select("id").distinct(), width))
     stars = buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = cut_lineage(_confirmed(_likely(stars, reps, cutoff, m), texts, percent, width))
-    first = components(links)
-    more = _across(buckets.select("bucket", "id"), reps, first, percent, cutoff, m)
-    tried = more.join(links, ["a", "b"], "left_anti")
-    joined = components(links.union(_confirmed(tried, texts, percent, width)))
+    links = cut_lineage(_confirmed(_likely(stars, reps, cutoff, m), sets, percent))
+    first = cut_lineage(components(links))
+    more = _across(buckets.select("bucket", "band", "id"), reps, first, sets, percent, cutoff, bands, rows)
+    joined = components(links.union(more))
     ids = (reps.select("signature", F.col("id").alias("class_id"))
            .join(joined.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
            .select("signature", "class_id", F.coalesce("component", "class_id").alias("component_id")))
