@@ -22,7 +22,7 @@ def test_quantiles_match_percentile(spark):
     rows += [("x", 50.0)] * 500   # heavy tie
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r.g: (r.q1, r.med, r.q3) for r in
-           group_quantiles(df, ["g"], "v", {"q1": .25, "med": .5, "q3": .75}, grid=50).collect()}
+           group_quantiles(df, ["g"], "v", {"q1": .25, "med": .5, "q3": .75}).collect()}
     want = {r.g: tuple(r.p) for r in
             df.groupBy("g").agg(F.percentile("v", [0.25, 0.5, 0.75]).alias("p")).collect()}
     for g in want:
@@ -48,8 +48,6 @@ def test_expand_positions_chunked(spark):
     hist = spark.createDataFrame([("a", None, 2), ("a", 5, 7), ("a", 9, 1), ("b", 1, 3)], "g string, w int, c long")
     out = expand_positions(hist, ["g"], "w", "c", chunk=3).collect()
     got = sorted((r.g, r.position, r.w, r.group_count) for r in out)
-    spread = expand_positions(hist, ["g"], "w", "c", chunk=3, few_values=False).collect()
-    assert sorted((r.g, r.position, r.w, r.group_count) for r in spread) == got
     want = sorted([("a", i + 1, None, 10) for i in range(2)] + [("a", 3 + i, 5, 10) for i in range(7)]
                   + [("a", 10, 9, 10)] + [("b", i + 1, 1, 3) for i in range(3)])
     assert got == want
@@ -59,7 +57,7 @@ def test_order_statistics_random_against_python(spark):
     from hypothesis import given, settings
     from hypothesis import strategies as st
 
-    from tradelens.operators.distribution import order_statistics
+    from tradelens.operators.distribution import order_statistics, value_counts
 
     @settings(max_examples=4, deadline=None)
     @given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.integers(-5, 40))),
@@ -68,7 +66,7 @@ def test_order_statistics_random_against_python(spark):
         df = spark.createDataFrame(rows, "g string, v int")
         targets = {"lo": lambda n, z: F.lit(1).cast("long"), "mid": lambda n, z: F.ceil(n / 2).cast("long"),
                    "hi": lambda n, z: n, "out": lambda n, z: n + 1}
-        got = {r.g: (r.lo, r.mid, r.hi, r.out) for r in order_statistics(df, ["g"], "v", targets, grid=20).collect()}
+        got = {r.g: (r.lo, r.mid, r.hi, r.out) for r in order_statistics(value_counts(df, ["g"], "v"), ["g"], "v", targets).collect()}
         for g in {x for x, _ in rows}:
             vals = sorted(v for x, v in rows if x == g and v is not None)
             n = len(vals)
@@ -77,11 +75,24 @@ def test_order_statistics_random_against_python(spark):
     check()
 
 
-def test_few_values_path_matches_bracketing(spark):
+def test_null_groups_keep_their_values(spark):
+    rows = [(None, 1.0), (None, 3.0), (None, None), ("a", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    assert {r.g: r.median for r in group_median(df, ["g"], "v", "skip").collect()} == {None: 2.0, "a": 7.0}
+    assert {r.g: r.median for r in group_median(df, ["g"], "v", "lowest").collect()} == {None: 1.0, "a": 7.0}
+    box = {r.g: (r.n, r.q1, r.q3, r.whisker_low, r.whisker_high) for r in box_stats(df, ["g"], "v").collect()}
+    assert box == {None: (2, 1.5, 2.5, 1.0, 3.0), "a": (1, 7.0, 7.0, 7.0, 7.0)}
+    hist = spark.createDataFrame([(None, 2, 3), ("a", 1, 1), ("a", None, 1)], "g string, w int, c long")
+    rows = sorted(((r.g or "", r.position, r.w, r.group_count) for r in expand_positions(hist, ["g"], "w", "c").collect()), key=str)
+    assert rows == sorted([("", 1, 2, 3), ("", 2, 2, 3), ("", 3, 2, 3), ("a", 1, None, 2), ("a", 2, 1, 2)], key=str)
+
+
+def test_counted_rows_stand_for_many(spark):
     rnd = random.Random(9)
     rows = [(rnd.choice("abc"), rnd.choice([None, 100, 200, 200, 300, 500, 900])) for _ in range(2000)]
     df = spark.createDataFrame(rows, "g string, w int")
+    counted = df.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n"))
     for fn in (lambda d, **k: group_median(d, ["g"], "w", "lowest", **k),
                lambda d, **k: group_median(d, ["g"], "w", "skip", **k),
                lambda d, **k: box_stats(d, ["g"], "w", **k)):
-        assert sorted(fn(df, few_values=True).collect()) == sorted(fn(df).collect())
+        assert sorted(fn(counted, count="n").collect()) == sorted(fn(df).collect())

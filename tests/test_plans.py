@@ -3,7 +3,8 @@
 import re
 
 from tests.conftest import SF_SMALL
-from tradelens.plans.catalog import queries
+from tradelens.plans.catalog import queries, tables_for
+from tradelens.sources.tables import TABLE_NAMES
 
 
 def _plan(df) -> str:
@@ -54,3 +55,42 @@ def test_no_cross_joins_anywhere(spark):
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             bad.append(key)
     assert bad == []
+
+
+def _scans(plan: str, table: str) -> int:
+    return sum("FileScan" in ln and f"{table}.parquet" in ln for ln in plan.splitlines())
+
+
+def test_weights_are_counted_once(spark):
+    for key in ("weight_box_stats", "category_median_weight"):
+        assert _scans(_plan(queries()[key](spark, SF_SMALL)), "lineitem") <= 2
+
+
+def test_products_are_joined_before_orders(spark):
+    for key in ("monthly_category_sales", "daily_category_sales", "category_trend", "fastest_growing", "regression_lines"):
+        plan = queries()[key](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        joins = [(len(ln) - len(ln.lstrip(" :+-")), ln) for ln in plan if "Join Inner" in ln]
+        outer = min(joins)[1]
+        assert "order_id" in outer and "product_id" not in outer, outer
+
+
+def _jobs_while(spark, group, build) -> int:
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        build()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_few_jobs_while_plans_are_built(spark):
+    """Two checkpoints for NTILE, one for distributions (each a job per shuffle or broadcast), none elsewhere."""
+    for name in TABLE_NAMES:  # opening a Parquet table reads its footer in a job
+        getattr(tables_for(spark, SF_SMALL), name)
+    most = {k: 20 for k in ("ntile_scores", "rfm_segments", "rfm_bubbles", "delivery_box_stats", "weight_box_stats",
+                            "category_median_weight", "ordered_weights", "december_forecast")} | {"table_preview": 1}
+    for key, fn in queries().items():
+        if key.startswith("op") or key == "pipeline":
+            continue
+        jobs = _jobs_while(spark, f"building {key}", lambda fn=fn: fn(spark, SF_SMALL))
+        assert jobs <= most.get(key, 0), (key, jobs)

@@ -42,9 +42,9 @@ def test_rfm_counts_sum_to_scored_people(spark):
 
 def test_pairs_do_not_depend_on_basket_order(spark):
     t = tables_for(spark, SF_SMALL)
-    p = R.Params(**{**P.__dict__, "pair_min": 1, "pair_item_min": 1})
+    p = R.Params(**{**P.__dict__, "pair_min": 1})
     a = {tuple(r) for r in R.co_purchased_products(t, p).collect()}
-    rev = t.__class__(**{**t.__dict__, "items": t.items.orderBy(F.desc("order_id"), F.desc("seller_id"))})
+    rev = t.replaced(items=t.items.orderBy(F.desc("order_id"), F.desc("seller_id")))
     b = {tuple(r) for r in R.co_purchased_products(rev, p).collect()}
     assert a == b and all(r[0] < r[1] for r in a)
 
@@ -53,7 +53,7 @@ def test_e10_zero_fit_gives_null_forecast(spark):
     daily = spark.createDataFrame([("x", 0, Decimal("5.00")), ("x", 1, Decimal("7.00"))],
                                   "category string, day int, sales decimal(18,2)")
     model = spark.createDataFrame([("x", 1.0, 0.0)], "category string, slope double, intercept double")
-    out = {r.day: r.forecast for r in seasonal_forecast(daily, model, ["category"], "day", "sales", 1, 0, 5, 1)
+    out = {r.day: r.forecast for r in seasonal_forecast(daily, model, ["category"], "day", "sales", 1, 0, 5)
            .collect()}
     assert out[0] is None                     # fit(day 0) = 0: no division error, NULL
     assert out[1] == 2.0 / 1.0 * 7.0

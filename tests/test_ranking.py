@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tradelens.operators.ranking import RFM_RULES, ntile_score, segment_label
 
 
-def _check(spark, rows, k, descending, buckets, schema="id long, v long"):
+def _check(spark, rows, k, descending, schema="id long, v long"):
     df = spark.createDataFrame(rows, schema)
-    got = ntile_score(df, "v", k, "id", descending=descending, out="t", buckets=buckets)
+    got = ntile_score(df, "v", k, "id", descending=descending, out="t")
     order = F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_first()
     want = df.withColumn("t", F.ntile(k).over(Window.orderBy(order, F.col("id"))))
     a = sorted(got.select("id", "t").collect())
@@ -26,19 +26,19 @@ def test_ntile_matches_window_heavy_ties(spark, k, descending):
         r = rnd.random()
         v = 1 if r < 0.6 else (None if r < 0.65 else rnd.randint(2, 40))
         rows.append((i * 3 + 1, v))
-    _check(spark, rows, k, descending, buckets=4)
+    _check(spark, rows, k, descending)
 
 
 def test_ntile_small_inputs(spark):
-    _check(spark, [(i, 10) for i in range(7)], 5, True, buckets=4)   # sizes 2,2,1,1,1
-    _check(spark, [(i, i) for i in range(3)], 5, True, buckets=4)    # fewer rows than tiles
-    _check(spark, [(1, 5)], 5, False, buckets=4)
+    _check(spark, [(i, 10) for i in range(7)], 5, True)   # sizes 2,2,1,1,1
+    _check(spark, [(i, i) for i in range(3)], 5, True)    # fewer rows than tiles
+    _check(spark, [(1, 5)], 5, False)
 
 
 def test_ntile_distinct_values_many_buckets(spark):
     rnd = random.Random(7)
     rows = [(i, rnd.randint(0, 10_000)) for i in range(2000)]
-    _check(spark, rows, 5, True, buckets=32)
+    _check(spark, rows, 5, True)
 
 
 def test_rfm_rules_cover_all_cells(spark):
@@ -55,7 +55,7 @@ def test_grouped_ntile_matches_partitioned_window(spark):
     rows = [(g, i, rnd.choice([1, 1, 1, 2, 3, rnd.randint(4, 99)])) for g in ("a", "b", "c") for i in range(300)]
     rows += [("d", i, 7) for i in range(5)]
     df = spark.createDataFrame(rows, "g string, id long, v long")
-    got = grouped_ntile(df, ["g"], "v", 5, "id", out="t", buckets=8, max_groups=4)
+    got = grouped_ntile(df, ["g"], "v", 5, "id", out="t")
     want = df.withColumn("t", F.ntile(5).over(Window.partitionBy("g").orderBy(F.desc("v"), "id")))
     assert sorted(got.select("g", "id", "t").collect()) == sorted(want.select("g", "id", "t").collect())
 
@@ -63,6 +63,23 @@ def test_grouped_ntile_matches_partitioned_window(spark):
 def test_ntile_string_tie_key(spark):
     rows = [(f"id{i:04d}", i % 3) for i in range(200)]
     df = spark.createDataFrame(rows, "id string, v long")
-    got = ntile_score(df, "v", 4, "id", out="t", buckets=4)
+    got = ntile_score(df, "v", 4, "id", out="t")
     want = df.withColumn("t", F.ntile(4).over(Window.orderBy(F.desc("v"), F.xxhash64("id"), "id")))
     assert sorted(got.select("id", "t").collect()) == sorted(want.select("id", "t").collect())
+
+
+def test_null_group_is_tiled(spark):
+    from tradelens.operators.ranking import grouped_ntile
+    rows = [(None, i, i % 4) for i in range(6)] + [("a", i, 1) for i in range(4)]
+    df = spark.createDataFrame(rows, "g string, id long, v long")
+    got = grouped_ntile(df, ["g"], "v", 3, "id", out="t")
+    want = df.withColumn("t", F.ntile(3).over(Window.partitionBy("g").orderBy(F.desc("v"), "id")))
+    assert sorted(map(str, got.select("g", "id", "t").collect())) == sorted(map(str, want.select("g", "id", "t").collect()))
+
+
+def test_many_tiles(spark):
+    from tradelens.operators.ranking import ntile_score
+    df = spark.createDataFrame([(i, i % 5) for i in range(12)], "id long, v long")
+    got = ntile_score(df, "v", 100, "id", out="t")
+    want = df.withColumn("t", F.ntile(100).over(Window.orderBy(F.desc("v"), "id")))
+    assert sorted(got.collect()) == sorted(want.collect())

@@ -10,7 +10,7 @@ from tradelens.operators.bands import volume_band
 from tradelens.operators.trend import centered_mean, fit_line
 from tradelens.plans import reports as R
 
-P = R.Params(as_of="2018-01-01", frequent_min=0, pair_key="product_id", pair_min=1, scorecard_min=0,
+P = R.Params(as_of="2018-01-01", frequent_min=0, pair_min=1, scorecard_min=0,
              top_categories=18)
 
 
@@ -97,7 +97,7 @@ def test_e17_e18_pairs(spark):
     got = co_purchase_pairs(items, "o", "k", cands, 1).collect()
     assert [(r.k1, r.k2, r.common_orders_count) for r in got] == [("a", "b", 2)]
     assert co_purchase_pairs(items, "o", "k", cands, 2).count() == 0      # strict >
-    salted = co_purchase_pairs(items, "o", "k", cands, 0, hot_basket=1, salts=3)
+    salted = co_purchase_pairs(items, "o", "k", cands, 0, pairs_per_task=1)
     plain = co_purchase_pairs(items, "o", "k", cands, 0)
     assert sorted(salted.collect()) == sorted(plain.collect())
 
@@ -124,7 +124,7 @@ def test_e22_negative_comments_skip_null(spark):
     rows = R.negative_comment_text(t, P).orderBy("review_id").collect()
     assert [r.comment for r in rows] == ["b b", "a"]
     terms = {r.word: r["count"] for r in R.negative_terms(t, P).collect()}
-    assert terms == {}                         # single letters are below the minimum length
+    assert terms == {"a": 1, "b": 2}           # words of one letter count too
     t2 = make_tables(spark, comments=[(1, 1, "Atraso atraso, produto!")])
     assert {r.word: r["count"] for r in R.negative_terms(t2, P).collect()} == {"atraso": 2, "produto": 1}
 
@@ -164,6 +164,69 @@ def test_pairs_match_brute_force(spark):
             want[(a, b)] = want.get((a, b), 0) + 1
     want = {p: c for p, c in want.items() if c > 3}
     cands = items.select("k").distinct()
-    for hot in (10_000, 5):
-        got = co_purchase_pairs(items, "o", "k", cands, 3, hot_basket=hot, salts=4).collect()
+    for most in (10_000, 5):
+        got = co_purchase_pairs(items, "o", "k", cands, 3, pairs_per_task=most).collect()
         assert {(r.k1, r.k2): r.common_orders_count for r in got} == want
+
+
+def test_lead_order_counts_joined_rows(spark):
+    t = make_tables(spark, leads=[(1, "b"), (2, "a"), (3, "a")], closed=[(1,)] * 5)
+    assert [r.origin for r in R.lead_conversion(t, P).collect()] == ["b", "a"]   # 5 joined rows against 2
+
+
+def test_city_keys_tell_same_named_cities_apart(spark):
+    orders = [order(i, 10 + i % 3, "2017-01-01 00:00:00") for i in range(7)]
+    t = make_tables(spark, orders=orders, customers=[(10, 1, "X", 1), (11, 2, "X", 2), (12, 3, "Y", 3)])
+    one = [(r.customer_city, r.city_order_count) for r in R.top_cities(t, P).collect()]
+    assert one == [("X", 5), ("Y", 2)]
+    by_zip = R.Params(**{**P.__dict__, "city_keys": ("city", "zip")})
+    two = [(r.customer_city, r.zip, r.city_order_count) for r in R.top_cities(t, by_zip).collect()]
+    assert two == [("X", 1, 3), ("X", 2, 2), ("Y", 3, 2)]
+    assert R.stage_latency_top_cities(t, by_zip).count() == 3
+
+
+def test_one_time_and_repeat_customers(spark):
+    orders = [order(1, 10, "2017-01-01 00:00:00"), order(2, 10, "2018-01-01 00:00:00"), order(3, 11, "2017-01-01 00:00:00"),
+              order(4, 12, "2017-01-01 00:00:00")]
+    t = make_tables(spark, orders=orders, customers=[(10, 1, "X", 1), (11, 2, "X", 1), (12, 3, "X", 1)])
+    assert {(r.order_type, r.proportion) for r in R.repeat_customer_share(t, P).collect()} == {("repeat", 33.3), ("one-time", 66.7)}
+
+
+def test_hot_basket_is_split_over_tasks(spark):
+    """A basket with a third of all rows: no task of the pair join reads most of it."""
+    rows = [(0, k) for k in range(400)] + [(1 + i // 2, i % 40) for i in range(800)]
+    items = spark.createDataFrame(rows, "o long, k long")
+    n = 400
+    parts = items.join(items.selectExpr("k as kk", "o as oo"), F.col("o") == F.col("oo")).where("k < kk").count()
+    got = co_purchase_pairs(items, "o", "k", items.select("k").distinct(), 0, pairs_per_task=10_000)
+    assert got.selectExpr("sum(common_orders_count)").first()[0] == parts
+    left = (items.where("o = 0").groupBy(F.pmod(F.xxhash64("k"), F.lit(-(-n * n // 10_000)))).count().agg(F.max("count")).first()[0])
+    assert left * n <= 3 * 10_000
+
+
+def test_mean_of_means_is_close_to_the_plain_mean(spark):
+    from fractions import Fraction
+
+    import random
+    rnd = random.Random(1)
+    rows = [(i, rnd.randint(0, 10 ** 13), rnd.randint(1, 999)) for i in range(200)]
+    from tradelens.operators.aggregates import mean_of_means
+    got = mean_of_means(spark.createDataFrame(rows, "g long, s long, c long"), "s", "c", 86_400_000_000).first()[0]
+    exact = sum(Fraction(s, c * 86_400_000_000) for _, s, c in rows) / len(rows)
+    plain = sum(s / c / 86_400_000_000 for _, s, c in rows) / len(rows)
+    assert abs(got - float(exact)) <= 1e-12 and abs(got - plain) <= 1e-11
+
+
+def test_fixed_point_means_are_close_to_plain_averages(spark):
+    """Spend per order and CLV are averaged in exact units; plain averages of doubles differ by rounding only."""
+    from tests.conftest import SF_SMALL
+    from tradelens.plans.catalog import TEST_PARAMS, tables_for
+    t = tables_for(spark, SF_SMALL)
+    people = R.ntile_scores(t, TEST_PARAMS)
+    plain = {r.rfm_bucket: r.m for r in people.groupBy("rfm_bucket").agg(F.avg(F.col("total_spent") / F.col("total_orders")).alias("m")).collect()}
+    for r in R.rfm_segments(t, TEST_PARAMS).collect():
+        assert abs(r.avg_sales_per_customer - plain[r.rfm_bucket]) <= 1e-8 + 1e-12 * abs(plain[r.rfm_bucket])
+    clv = R.customer_lifetime_value(t, TEST_PARAMS).select("zip_code_prefix", (F.col("pf") * F.col("aov") * F.col("acl")).alias("v"))
+    want = {r.zip_code_prefix: r.m for r in clv.groupBy("zip_code_prefix").agg(F.avg("v").alias("m")).collect()}
+    for r in R.clv_by_area(t, TEST_PARAMS).collect():
+        assert abs(r.avg_clv - want[r.zip_prefix]) <= 1e-8 + 1e-12 * abs(want[r.zip_prefix])

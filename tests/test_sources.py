@@ -113,3 +113,31 @@ def test_reports_over_colocated_tables_are_unchanged(spark):
     stored = colocate_order_facts(base, where, 4, database="tl_test_reports")
     for report in (R.order_value_stats, R.seller_scorecard, R.order_cost_split):
         assert sorted(report(stored, TEST_PARAMS).collect()) == sorted(report(base, TEST_PARAMS).collect())
+
+
+REVIEWS = 'review_id,order_id,review_score,review_comment_message\nr1,o1,1,"late ""again""\nnever came"\nr2,o2,5,\n'
+
+
+def test_csv_comments_are_read_whole(spark, tmp_path):
+    (tmp_path / "order_reviews.csv").write_text(REVIEWS)
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        t = marketplace_tables(spark, root, fmt="csv")   # the other tables are not there, and not needed
+        rows = sorted((r.review_id, r.score, r.comment) for r in t.comments.collect())
+        assert rows == [("r1", 1, 'late "again"\nnever came'), ("r2", 5, None)]
+
+
+def test_layouts_by_path_and_uri(spark, tmp_path):
+    spark.createDataFrame([("s1",)], "seller_id string").write.parquet(str(tmp_path / "a" / "sellers"))
+    spark.createDataFrame([("s1",)], "seller_id string").write.parquet(str(tmp_path / "b" / "sellers.parquet"))
+    for root, layout in (("a", "{name}"), ("b", "{name}.{fmt}")):
+        for prefix in ("", "file://"):
+            assert marketplace_tables(spark, f"{prefix}{tmp_path}/{root}", layout=layout).sellers.count() == 1
+
+
+def test_csv_sink_round_trip(spark, tmp_path):
+    rows = [("a", 'he said "no"\nand left', 1.5), ("b,c", "", 2.0), ("d", None, 3.25), ("e", "back\\slash\\", 4.0)]
+    df = spark.createDataFrame(rows, "k string, t string, v double")
+    write_report(df, str(tmp_path / "out"), fmt="csv")
+    from tradelens.sources.tables import read_table
+    back = read_table(spark, str(tmp_path), "out", "csv", "k string, t string, v double", layout="{name}")
+    assert sorted(back.collect()) == sorted(df.collect())

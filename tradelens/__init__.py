@@ -6,7 +6,6 @@ sources/    table loaders (canonical model), sinks, previews
 functions/  column-level helpers (time arithmetic, exact ratios)
 operators/  reusable DataFrame operators (aggregates, ranking, quantiles, trends, affinity, text)
 plans/      named reports built from the operators, the query registry and the DuckDB oracles
-streaming/  intentionally empty (the analysed workload has no streaming part)
 """
 
 from tradelens.session import build_session, shared_folder

@@ -5,47 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.session import cut_lineage
-
 
 def frequent_items(items: DataFrame, key: str, basket: str, min_count: int, out: str = "item_count") -> DataFrame:
     """Items occurring in more than ``min_count`` item rows (O13; strict ``>``)."""
     return items.groupBy(key).agg(F.count(basket).alias(out)).filter(F.col(out) > min_count)
 
 
+#: Pairs of one basket that one task forms at most (about).
+PAIRS_PER_TASK = 1_000_000
+
+
 def co_purchase_pairs(items: DataFrame, basket: str, key: str, candidates: DataFrame, min_common: int,
-                      hot_basket: int = 5000, salts: int = 64, out: str = "common_orders_count") -> DataFrame:
+                      pairs_per_task: int = PAIRS_PER_TASK, out: str = "common_orders_count") -> DataFrame:
     """Unordered item pairs bought in more than ``min_common`` distinct baskets.
 
+    * ``(basket, item)`` is deduplicated first, so counting pairs counts distinct baskets and a hot item
+      is one row per basket.
     * Only candidate items take part (semi join), and a pair can only pass if
       both its items are in more than ``min_common`` distinct baskets, so
       items below that are dropped before any pair is formed.
-    * ``(basket, item)`` is deduplicated first, so counting pairs counts
-      distinct baskets.
     * Pairs come from a self join on the basket with ``a < b``; this is the
       definition of the result, and its cost is the number of co-occurrences.
-      Baskets with more than ``hot_basket`` candidate items are spread over
-      ``salts`` tasks: the left side is split by a hash of the item and the
-      right side is replicated once per split, so each pair is formed exactly
-      once and no single task builds a huge basket's pairs.
+      A basket of n items is split into ``ceil(n * n / pairs_per_task)`` parts: the left side is dealt to the parts by
+      a hash of the item and the right side is sent to every part, so each pair is formed exactly once and
+      the work of a task is bounded whatever the basket's size.  Baskets of usual size have one part.
     * Pair counts are combined map-side before the shuffle on the pair.
     """
-    bi = (items.select(basket, key).join(candidates.select(key), key, "left_semi").distinct())
+    bi = items.select(basket, key).distinct().join(candidates.select(key), key, "left_semi")
     support = bi.groupBy(key).agg(F.count(F.lit(1)).alias("_sup")).filter(F.col("_sup") > min_common)
     bi = bi.join(support.select(key), key, "left_semi")
-    hot = (bi.groupBy(basket).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > hot_basket)
-           .select(basket, F.lit(True).alias("_hot")))
-    # both sides of the self join read this: continue from a checkpoint, not from its plan
-    flagged = cut_lineage(bi.join(hot, basket, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False))))
-    left = flagged.select(
-        F.col(basket).alias("_bk"), F.col(key).alias("_a"),
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(key)), F.lit(salts))).otherwise(F.lit(0)).alias("_salt"))
-    right = flagged.select(
-        F.col(basket).alias("_bk2"), F.col(key).alias("_b"),
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                  .otherwise(F.array(F.lit(0)))).alias("_salt2"))
-    pairs = left.join(right, (F.col("_bk") == F.col("_bk2")) & (F.col("_salt") == F.col("_salt2"))
-                      & (F.col("_a") < F.col("_b")))
+    n = F.col("_size").cast("double")
+    parts = (bi.groupBy(basket).agg(F.count(F.lit(1)).alias("_size"))
+             .select(F.col(basket).alias("_bk"), F.ceil(n * n / F.lit(float(pairs_per_task))).cast("int").alias("_parts")))
+    dealt = bi.join(parts, F.col(basket) == F.col("_bk"))
+    left = dealt.select(F.col("_bk").alias("_bk1"), F.col(key).alias("_a"),
+                        F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_p1"))
+    right = dealt.select(F.col("_bk").alias("_bk2"), F.col(key).alias("_b"),
+                         F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_p2"))
+    pairs = left.join(right, (F.col("_bk1") == F.col("_bk2")) & (F.col("_p1") == F.col("_p2")) & (F.col("_a") < F.col("_b")))
     return (pairs.groupBy(F.col("_a").alias(f"{key}1"), F.col("_b").alias(f"{key}2"))
             .agg(F.count(F.lit(1)).alias(out)).filter(F.col(out) > min_common))
 

@@ -11,23 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.functions.numeric import round_ratio, safe_div
-
-
-def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for a frame whose row count is bounded by construction.
-
-    Use only where the bound is a property of the plan (a ``limit(k)``, a fixed
-    list, a one-row aggregate), never for data-sized frames: for those, leave
-    the choice to Spark's size statistics (``autoBroadcastJoinThreshold``) and
-    AQE, which fall back to a shuffle join when the side is large.
-    """
-    if max_rows > 1_000_000:
-        raise ValueError("broadcast_bounded is for small, bounded frames only")
-    return F.broadcast(df)
+from tradelens.functions.numeric import mean_of_units, ratio_units, round_ratio, safe_div
 
 
 def two_level_stats(df: DataFrame, key: str, measure: Column | str, digits: int = 2) -> DataFrame:
@@ -87,52 +74,36 @@ def top_n_with_other(ranked: DataFrame, key: str, measure: str, rank_col: str, n
     return rows.unionByName(placeholder).groupBy(key).agg(F.sum(measure).alias(measure))
 
 
-def share_of_total(df: DataFrame, measure: str, out: str = "share", bounded_rows: int | None = None) -> DataFrame:
-    """Each row's share of the global sum of ``measure``.
-
-    For a frame with a plan-bounded row count (``bounded_rows``, e.g. one row per
-    category) the total is a window over all rows; otherwise it is a scalar
-    subquery (one aggregate job, inlined as a value).
-    """
-    if bounded_rows is not None:
-        total = F.sum(measure).over(Window.partitionBy())
-    else:
-        total = df.agg(F.sum(measure)).scalar()
-    return df.withColumn(out, safe_div(F.col(measure), total))
+def share_of_total(df: DataFrame, measure: str, out: str = "share") -> DataFrame:
+    """Each row's share of the global sum of ``measure``."""
+    return df.withColumn(out, safe_div(F.col(measure), df.agg(F.sum(measure)).scalar()))
 
 
-def cell_vs_mean(cells: DataFrame, value: str, out: str = "above_mean", bounded_rows: int | None = None) -> DataFrame:
-    """Flag each matrix cell above the grand mean of all cells (O10, long form).
-
-    ``bounded_rows``: the cell count is fixed by the plan (e.g. 7 x 24), so the mean
-    is a window over the cells instead of a second pass over the input.
-    """
-    if bounded_rows is not None:
-        mean = safe_div(F.sum(value).over(Window.partitionBy()), F.count(value).over(Window.partitionBy()))
-    else:
-        mean = cells.agg(safe_div(F.sum(value), F.count(value))).scalar()
+def cell_vs_mean(cells: DataFrame, value: str, out: str = "above_mean") -> DataFrame:
+    """Flag each matrix cell above the grand mean of all cells (O10, long form)."""
+    mean = cells.agg(safe_div(F.sum(value), F.count(value))).scalar()
     return cells.withColumn("grand_mean", mean).withColumn(out, F.col(value) > F.col("grand_mean"))
 
 
-def mean_of_means(df: DataFrame, value: str, out: str = "mean_value") -> DataFrame:
-    """Unweighted mean of per-group means (O10): one row."""
-    return df.agg(F.avg(value).alias(out))
+def mean_of_means(df: DataFrame, total: str, count: str, scale: int, out: str = "mean_value",
+                  units: int = 10 ** 12) -> DataFrame:
+    """Unweighted mean of per-group means (O10), one row: each group's mean is ``total / count / scale``.
+
+    Group means are rounded to whole numbers of ``1 / units``, so their sum does not depend on the order of
+    the rows; the result is within ``0.5 / units`` of the exact mean (tested).
+    """
+    means = ratio_units(F.col(total), F.col(count) * F.lit(scale), units)
+    return df.agg(mean_of_units(means, units).alias(out))
 
 
 def bubble_scale(df: DataFrame, count_col: str, value_col: str, radius_factor: float = 0.1,
-                 base_opacity: float = 0.1, opacity_factor: float = 0.1,
-                 bounded_rows: int | None = None) -> DataFrame:
+                 base_opacity: float = 0.1, opacity_factor: float = 0.1) -> DataFrame:
     """Marker sizes for a bubble map.
 
     ``radius = radius_factor * sqrt(count)``,
-    ``opacity = base + factor * sqrt(value / max(value))``.  The global max is a
-    window over the rows when their number is bounded (``bounded_rows``, e.g. one
-    row per 5-digit zip prefix), else a scalar subquery.
+    ``opacity = base + factor * sqrt(value / max(value))``.
     """
-    if bounded_rows is not None:
-        vmax = F.max(value_col).over(Window.partitionBy())
-    else:
-        vmax = df.agg(F.max(value_col)).scalar()
+    vmax = df.agg(F.max(value_col)).scalar()
     return df.select(
         "*",
         (F.lit(radius_factor) * F.sqrt(F.col(count_col).cast("double"))).alias("radius"),

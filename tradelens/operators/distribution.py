@@ -2,23 +2,15 @@
 
 Exact order statistics at scale
 -------------------------------
-``order_statistics`` returns, per group, the exact values at requested ranks
-without sorting whole groups in one task:
-
-1. one aggregation per group gives the non-NULL count ``n``, the NULL count
-   ``z``, min, max and an approximate quantile grid (``percentile_approx``);
-2. for every requested rank the grid gives a bracket ``[lo, hi]`` that is
-   guaranteed to contain the ranked value (approximate rank error is at most
-   ``n / accuracy``; the bracket is widened by three times that);
-3. one pass counts rows below each bracket; rows *inside* a bracket (about
-   ``2n/grid``) get a second, finer grid per (group, target); the rows inside
-   that second bracket (about ``2n/grid**2``) are counted per distinct value and
-   a running count over those few values finds the target.  A value shared by a
-   huge number of rows is a single row at that point.
-
-The per-group statistics table has one row per group: the operators here are
-meant for groups drawn from a dimension (categories, size bands), and Spark's
-own size statistics decide how that table is joined.
+All of them work on counts per (group, value): equal values are interchangeable, and counting them is
+one map-side combined aggregation, so a value or group that holds most rows is a few rows from then on.
+The counts are materialised once (``cut_lineage``, the only job that runs while a plan is built); every further step
+reads them.
+
+A value at a given rank is found by cutting each group's range ``[min, max]`` into buckets of equal width,
+adding up the buckets, and numbering the distinct values of the buckets that hold a wanted rank.  The cuts
+follow from the data alone, so nothing is approximate and every step sees the same buckets.  Groups
+may be NULL; all joins on the group are NULL-safe.
 """
 
 from __future__ import annotations
@@ -28,126 +20,60 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.operators.aggregates import broadcast_bounded
+from tradelens.operators.keys import join_null_safe, range_bucket, shuffle_width
 from tradelens.session import cut_lineage
 
 RankFn = Callable[[Column, Column], Column]
 
 
-def _bracket(grid_col: str, n_col: str, lo_col: str, hi_col: str, rank: Column, grid: int, delta: float):
-    """``[lo, hi]`` from an approximate quantile grid, certain to hold the value of ``rank``."""
-    frac = F.try_divide(rank.cast("double"), F.col(n_col).cast("double"))
-    lo_i = F.least(F.greatest(F.floor((frac - delta) * grid).cast("int"), F.lit(0)), F.lit(grid))
-    hi_i = F.least(F.greatest(F.ceil((frac + delta) * grid).cast("int"), F.lit(0)), F.lit(grid))
-    lo = F.when(lo_i <= 0, F.col(lo_col)).otherwise(F.element_at(grid_col, lo_i + 1))
-    hi = F.when(hi_i >= grid, F.col(hi_col)).otherwise(F.element_at(grid_col, hi_i + 1))
-    return lo, hi
+def value_counts(df: DataFrame, group: Sequence[str], value: str, count: str | None = None) -> DataFrame:
+    """``group, value, _c``: rows (or the sum of ``count``) per group and distinct value, materialised."""
+    rows = F.count(F.lit(1)) if count is None else F.sum(count)
+    return cut_lineage(df.groupBy(*group, value).agg(rows.alias("_c")))
 
 
-def order_statistics_by_histogram(df: DataFrame, group: Sequence[str], value: str,
-                                  targets: dict[str, RankFn]) -> DataFrame:
-    """Same contract as :func:`order_statistics`, for values with a small domain per group
-    (e.g. weights in grams): rows are counted per (group, value) with map-side
-    partial aggregation, and a running count over the distinct values of each group
-    finds every target.  One aggregation, one window over distinct values."""
-    g = list(group)
-    names = list(targets)
+def _group_totals(hist: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     v = F.col(value)
-    hist = df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranks = hist.groupBy(*g).agg(
+    return hist.groupBy(*group).agg(
         F.coalesce(F.sum(F.when(v.isNotNull(), F.col("_c"))), F.lit(0)).alias("_n"),
-        F.coalesce(F.sum(F.when(v.isNull(), F.col("_c"))), F.lit(0)).alias("_z"))
-    ranks = ranks.select(*g, "_n", "_z", *[targets[name](F.col("_n"), F.col("_z")).alias(f"_r{i}")
-                                           for i, name in enumerate(names)])
-    upto = F.sum("_c").over(Window.partitionBy(*g).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    cum = hist.filter(v.isNotNull()).withColumn("_upto", upto)
-    picked = cum.join(ranks, g).groupBy(*g).agg(*[
-        F.max(F.when((F.col("_upto") - F.col("_c") < F.col(f"_r{i}")) & (F.col(f"_r{i}") <= F.col("_upto")), v))
-        .alias(name) for i, name in enumerate(names)])
-    return ranks.select(*g, "_n", "_z").join(picked, g, "left")
-
+        F.coalesce(F.sum(F.when(v.isNull(), F.col("_c"))), F.lit(0)).alias("_z"),
+        F.min(v.cast("double")).alias("_lo"), F.max(v.cast("double")).alias("_hi"))
 
-def order_statistics(df: DataFrame, group: Sequence[str], value: str, targets: dict[str, RankFn],
-                     grid: int = 1000, accuracy: int = 10_000, materialized: bool = False,
-                     max_groups: int = 10_000, few_values: bool = False) -> DataFrame:
-    """Per group: ``_n`` (non-NULL count), ``_z`` (NULL count) and, for each target,
-    the value at 1-based ascending rank ``targets[name](n, z)`` among non-NULL values
-    (NULL when the rank is outside ``1..n``).
 
-    Two bracketing rounds: the group-wide quantile grid narrows each target to about
-    ``2n/grid`` rows, a second grid over those rows narrows it to about
-    ``2n/grid**2``, and only those are numbered.
+def order_statistics(hist: DataFrame, group: Sequence[str], value: str, targets: dict[str, RankFn]) -> DataFrame:
+    """Per group: ``_n`` (non-NULL count), ``_z`` (NULL count) and, for each target, the value at 1-based
+    ascending rank ``targets[name](n, z)`` among the non-NULL values (NULL when the rank is outside ``1..n``).
 
-    Groups come from a dimension (categories, size bands): at most ``max_groups``
-    of them, so the per-group tables are broadcast.  The data rows are never
-    shuffled by group, which matters because a few groups may hold most rows.
+    ``hist`` comes from :func:`value_counts`.
     """
-    if few_values:
-        return order_statistics_by_histogram(df, group, value, targets)
-    g = list(group)
-    names = list(targets)
-    v = F.col(value)
-    probs = [i / grid for i in range(grid + 1)]
-    delta = 3.0 / accuracy
-    # the rows feed several steps below: continue from a checkpoint, not from their plan
-    df = df.select(*g, value) if materialized else cut_lineage(df.select(*g, value))
-    stats = df.groupBy(*g).agg(
-        F.count(v).alias("_n"), (F.count(F.lit(1)) - F.count(v)).alias("_z"),
-        F.min(v).alias("_min"), F.max(v).alias("_max"),
-        F.percentile_approx(v, probs, accuracy).alias("_grid"))
-    sel = [F.col(c) for c in g] + [F.col("_n"), F.col("_z")]
-    for i, name in enumerate(names):
-        r = targets[name](F.col("_n"), F.col("_z"))
-        lo, hi = _bracket("_grid", "_n", "_min", "_max", r, grid, delta)
-        sel += [r.alias(f"_r{i}"), lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-    # one row per group, read by every step below; materialised once so that all steps see
-    # the same approximate grid (a recomputed sketch could differ)
-    bounds = cut_lineage(stats.select(*sel))
-
-    # round 1: rows below / inside each target's bracket, per group
-    rows = df.filter(v.isNotNull()).join(broadcast_bounded(bounds, max_groups), g)
-    below = rows.groupBy(*g).agg(*[
-        F.count(F.when(v < F.col(f"_lo{i}"), 1)).alias(f"_below{i}") for i in range(len(names))])
-    # targets whose bracket holds the row (plain CASE expressions, no lambdas: stays in codegen)
-    inside = F.array_compact(F.array(*[
-        F.when((v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")), F.lit(i)) for i in range(len(names))]))
-    tagged = rows.select(*g, value, F.explode(inside).alias("_t"))
-    unit = g + ["_t"]
-    want = bounds.join(below, g).select(*g, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_t"), (F.col(f"_r{i}") - F.col(f"_below{i}")).alias("_k"))
-        for i in range(len(names))])).alias("_w")).select(*g, "_w._t", "_w._k")
-
-    # round 2: a finer grid inside each bracket, per (group, target)
-    inner = tagged.groupBy(*unit).agg(
-        F.count(F.lit(1)).alias("_n2"), F.min(v).alias("_min2"), F.max(v).alias("_max2"),
-        F.percentile_approx(v, probs, accuracy).alias("_grid2"))
-    inner = inner.join(want, unit)
-    lo2, hi2 = _bracket("_grid2", "_n2", "_min2", "_max2", F.col("_k"), grid, delta)
-    inner = cut_lineage(inner.select(*unit, "_k", lo2.alias("_lo2"), hi2.alias("_hi2")))   # one row per target
-    tagged2 = tagged.join(broadcast_bounded(inner, max_groups * len(names)), unit)
-    below2 = tagged2.groupBy(*unit).agg(F.count(F.when(v < F.col("_lo2"), 1)).alias("_below2"))
-    # the rows left are counted per distinct value (equal values are interchangeable, so a
-    # value shared by many rows is one row here) and a running count finds the target
-    core = (tagged2.filter((v >= F.col("_lo2")) & (v <= F.col("_hi2")))
-            .groupBy(*unit, value).agg(F.count(F.lit(1)).alias("_c")))
-    upto = F.sum("_c").over(Window.partitionBy(*unit).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    numbered = core.withColumn("_upto", upto)
-    pick = inner.join(below2, unit).select(*unit, (F.col("_k") - F.col("_below2")).alias("_pos"))
-    hit = (F.col("_pos") > F.col("_upto") - F.col("_c")) & (F.col("_pos") <= F.col("_upto"))
-    picked = numbered.join(pick, unit).filter(hit).groupBy(*g).agg(*[
-        F.max(F.when(F.col("_t") == i, v)).alias(name) for i, name in enumerate(names)])
-    return bounds.select(*g, "_n", "_z").join(picked, g, "left")
-
-
-def group_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float],
-                    **kw) -> DataFrame:
-    """Exact linearly interpolated quantiles per group (position ``p * (n - 1)``, as in
-    Spark's ``percentile``), plus ``_n`` and ``_z``."""
+    g, v, buckets = list(group), F.col(value), shuffle_width(hist)
+    totals = _group_totals(hist, g, value)
+    values = (join_null_safe(hist.filter(v.isNotNull()), totals.select(*g, "_lo", "_hi"), g)
+              .withColumn("_b", range_bucket(v.cast("double"), F.col("_lo"), F.col("_hi"), buckets)).drop("_lo", "_hi"))
+    upto = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # ``buckets`` rows a group
+    cells = values.groupBy(*g, "_b").agg(F.sum("_c").alias("_k")).withColumn("_end", F.sum("_k").over(upto))
+    ranks = totals.select(*g, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_t"), targets[name](F.col("_n"), F.col("_z")).cast("long").alias("_r"))
+        for i, name in enumerate(targets)])).alias("_w")).select(*g, "_w.*")
+    wanted = (join_null_safe(cells, ranks, g)
+              .filter((F.col("_r") <= F.col("_end")) & (F.col("_r") > F.col("_end") - F.col("_k")))
+              .select(*g, "_b", "_t", (F.col("_r") - F.col("_end") + F.col("_k")).alias("_r")))
+    inside = Window.partitionBy(*g, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    held = join_null_safe(values, wanted.select(*g, "_b").distinct(), [*g, "_b"]).withColumn("_end", F.sum("_c").over(inside))
+    found = (join_null_safe(held, wanted, [*g, "_b"])
+             .filter((F.col("_r") <= F.col("_end")) & (F.col("_r") > F.col("_end") - F.col("_c")))
+             .groupBy(*g).agg(*[F.max(F.when(F.col("_t") == i, v)).alias(name) for i, name in enumerate(targets)]))
+    return join_null_safe(totals.select(*g, "_n", "_z"), found, g, "left")
+
+
+def quantiles(hist: DataFrame, group: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linearly interpolated quantiles per group (position ``p * (n - 1)``, as in Spark's
+    ``percentile``), plus ``_n`` and ``_z``, from :func:`value_counts`."""
     targets: dict[str, RankFn] = {}
     for name, p in probs.items():
         targets[f"{name}__a"] = lambda n, z, p=p: F.floor(F.lit(p) * (n - 1)).cast("long") + 1
         targets[f"{name}__b"] = lambda n, z, p=p: F.ceil(F.lit(p) * (n - 1)).cast("long") + 1
-    st = order_statistics(df, group, value, targets, **kw)
+    st = order_statistics(hist, group, value, targets)
     cols = [F.col(c) for c in group] + [F.col("_n"), F.col("_z")]
     for name, p in probs.items():
         a, b = F.col(f"{name}__a").cast("double"), F.col(f"{name}__b").cast("double")
@@ -157,31 +83,33 @@ def group_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict
     return st.select(*cols)
 
 
-def box_stats(df: DataFrame, group: Sequence[str], value: str, whisker: float = 1.5, max_groups: int = 10_000,
-              few_values: bool = False, **kw) -> DataFrame:
+def group_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float],
+                    count: str | None = None) -> DataFrame:
+    """:func:`quantiles` of the rows of ``df`` (``count``: each row stands for so many)."""
+    return quantiles(value_counts(df, group, value, count), group, value, probs)
+
+
+def box_stats(df: DataFrame, group: Sequence[str], value: str, whisker: float = 1.5,
+              count: str | None = None) -> DataFrame:
     """Box-plot numbers per group (O9): n, q1, median, q3 and the whisker ends, i.e. the
-    most extreme values within ``whisker * IQR`` of the quartiles.  ``few_values``: the
-    value has a small domain per group, so exact quartiles come from (group, value) counts."""
+    most extreme values within ``whisker * IQR`` of the quartiles.  ``count``: each row of ``df``
+    stands for so many."""
     g = list(group)
-    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    if few_values:
-        q = group_quantiles(df, g, value, probs, few_values=True, **kw)
-    else:
-        df = cut_lineage(df.select(*g, value))   # read by the quantiles and the whisker pass
-        q = group_quantiles(df, g, value, probs, materialized=True, max_groups=max_groups, **kw)
+    hist = value_counts(df, g, value, count)
+    q = quantiles(hist, g, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     q = q.select(*g, F.col("_n").alias("n"), "q1", "median", "q3",
                  (F.col("q1") - F.lit(whisker) * iqr).alias("_wlo"), (F.col("q3") + F.lit(whisker) * iqr).alias("_whi"))
     v = F.col(value).cast("double")
-    fences = broadcast_bounded(q.select(*g, "_wlo", "_whi"), max_groups)
-    ends = df.select(*g, value).join(fences, g).groupBy(*g).agg(
+    # one row per group meets one row per (group, distinct value)
+    boxed = join_null_safe(q, hist.select(*g, value), g)
+    return boxed.groupBy(*g, "n", "q1", "median", "q3").agg(
         F.min(F.when(v >= F.col("_wlo"), v)).alias("whisker_low"),
         F.max(F.when(v <= F.col("_whi"), v)).alias("whisker_high"))
-    return q.drop("_wlo", "_whi").join(ends, g, "left")
 
 
 def group_median(df: DataFrame, group: Sequence[str], value: str, nulls: str = "lowest", out: str = "median",
-                 **kw) -> DataFrame:
+                 count: str | None = None) -> DataFrame:
     """Median per group.
 
     ``nulls='skip'``: median of the non-NULL values.
@@ -189,14 +117,13 @@ def group_median(df: DataFrame, group: Sequence[str], value: str, nulls: str = "
     rows are averaged, skipping NULLs (NULL if both middle rows are NULL).
     """
     if nulls == "skip":
-        return group_quantiles(df, group, value, {out: 0.5}, **kw).select(*group, out)
+        return group_quantiles(df, group, value, {out: 0.5}, count).select(*group, out)
     if nulls != "lowest":
         raise ValueError(nulls)
-    total = lambda n, z: n + z
-    st = order_statistics(df, group, value, {
-        "_m1": lambda n, z: F.call_function("div", total(n, z) + 1, F.lit(2)) - z,
-        "_m2": lambda n, z: F.call_function("div", total(n, z), F.lit(2)) + 1 - z,
-    }, **kw)
+    st = order_statistics(value_counts(df, group, value, count), group, value, {
+        "_m1": lambda n, z: F.call_function("div", n + z + 1, F.lit(2)) - z,
+        "_m2": lambda n, z: F.call_function("div", n + z, F.lit(2)) + 1 - z,
+    })
     a, b = F.col("_m1").cast("double"), F.col("_m2").cast("double")
     med = F.when(a.isNull(), b).when(b.isNull(), a).otherwise((a + b) / 2)
     return st.select(*group, med.alias(out))
@@ -225,33 +152,23 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def expand_positions(hist: DataFrame, group: Sequence[str], order: str, count: str, chunk: int = 1 << 20,
-                     out: str = "position", total: str = "group_count", few_values: bool = True) -> DataFrame:
+                     out: str = "position", total: str = "group_count") -> DataFrame:
     """Rows numbered 1..n inside each group, ordered by ``order`` (NULLs first), from a
     histogram ``(group, order, count)`` of interchangeable rows.
 
-    Each value's first position is a prefix sum over the histogram.  With
-    ``few_values`` (the ``order`` column has a small domain per group, e.g. weights
-    in grams) it is one window per group over its distinct values; otherwise the
-    distributed :func:`prefix_counts` is used, so no window spans a whole group.
-    Each histogram row then becomes ``count`` output rows; large counts are split
-    into chunks of at most ``chunk`` positions, hash-partitioned before they are
-    expanded, so a value held by a third of all rows is generated by many tasks.
+    Each value's first position is a prefix sum over the histogram (:func:`prefix_counts`: no window spans a
+    whole group).  Each histogram row then becomes ``count`` output rows; large counts are split into chunks of
+    at most ``chunk`` positions, hash-partitioned before they are expanded, so a value held by a third of all
+    rows is generated by many tasks.
     """
-    g = list(group)
-    if few_values:
-        w = Window.partitionBy(*g).orderBy(F.col(order).asc_nulls_first())
-        h = hist.select(
-            *g, order, count,
-            F.coalesce(F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"),
-            F.sum(count).over(Window.partitionBy(*g)).alias(total))
-    else:
-        from tradelens.operators.ranking import prefix_counts
+    from tradelens.operators.ranking import prefix_counts
 
-        h = prefix_counts(hist.select(*g, order, count), g, order, count).select(
-            *g, order, count, F.col("_start").alias("_s"), F.col("_n").alias(total))
+    g = list(group)
+    h = prefix_counts(cut_lineage(hist.select(*g, order, count)), g, order, count)
     nchunks = F.call_function("div", F.col(count) + (chunk - 1), F.lit(chunk))
-    chunks = (h.select(*g, order, count, "_s", total, F.explode(F.sequence(F.lit(0), nchunks - 1)).alias("_ch"))
+    chunks = (h.select(*g, order, count, "_start", F.col("_n").alias(total),
+                       F.explode(F.sequence(F.lit(0), nchunks - 1)).alias("_ch"))
               .repartition(*g, order, "_ch"))
-    first = F.col("_s") + F.col("_ch") * chunk + 1
-    last = F.least(F.col("_s") + (F.col("_ch") + 1) * chunk, F.col("_s") + F.col(count))
+    first = F.col("_start") + F.col("_ch") * chunk + 1
+    last = F.least(F.col("_start") + (F.col("_ch") + 1) * chunk, F.col("_start") + F.col(count))
     return chunks.select(*g, order, F.explode(F.sequence(first, last)).alias(out), total)

@@ -1,30 +1,16 @@
 """Global tiling and RFM labels.
 
-``ntile_score`` computes exactly what ``NTILE(k) OVER (ORDER BY value [DESC], tie)``
-computes, but without Spark's window over the whole table (which moves every
-row into a single partition).  It works from a histogram of distinct values:
+``ntile_score`` computes exactly what ``NTILE(k) OVER (ORDER BY value [DESC], tie)`` computes, but without Spark's
+window over the whole table (which moves every row into a single partition):
 
-1. ``hist`` = row count per distinct value (partial aggregation, so a value held
-   by a third of all rows is still one small row).
-2. A distributed prefix sum over ``hist`` gives each value's first rank: values
-   are cut into buckets at approximate quantiles of the distinct values, a
-   window *partitioned by bucket* sums inside each bucket and a tiny table of
-   bucket totals supplies the offsets.
-3. The ``k-1`` tile edges (last rank of tiles 1..k-1) fall in at most ``k-1``
-   values; they form a ``k-1`` element array per partition, joined back as a
-   broadcast table with one row per partition.
-4. A row's tile is ``1 + #edges whose value sorts before the row's value`` plus,
-   only for the few values an edge cuts through ("straddling" values), the
-   number of those edges lying before the row's position inside its value.
-5. Positions inside a straddling value (which may be huge) are found by cutting
-   the tie key into sub-buckets at approximate quantiles, counting per
-   sub-bucket, and numbering rows only inside the sub-buckets an edge cuts.
+1. Rows are counted per distinct value, and a prefix sum over these counts (:func:`prefix_counts`) gives each value's first
+   rank.  From it and the count follow the tiles of the value's first and last row.
+2. Where both are the same tile, that is the tile of all its rows.
+3. At most ``k - 1`` values straddle an edge.  Their rows (there may be many) are dealt to buckets of the tie
+   key, the buckets are added up, and rows are numbered inside their bucket only.
 
-Every shuffle is keyed by a bucket, a value or a (value, sub-bucket) pair whose
-size is bounded by ``rows / buckets``; windows are partitioned by (partition,
-bucket) or (partition, value, sub-bucket).  ``buckets`` (default 64) sets that
-split: raise it when the number of distinct values per partition is in the
-billions (each row does ``log2(buckets)`` comparisons to find its bucket).
+Buckets are parts of equal width of a key's range; their number follows the session's shuffle partitions.  Building the plan
+materialises the input and the counts (two checkpoints); everything else is lazy.
 """
 
 from __future__ import annotations
@@ -33,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelens.operators.aggregates import broadcast_bounded
+from tradelens.operators.keys import join_null_safe, range_bucket, shuffle_width
 from tradelens.session import cut_lineage
 
 _EPOCH = "1970-01-01 00:00:00"
@@ -58,180 +44,81 @@ def monotone_key(col: Column, dtype: T.DataType, allow_hash: bool = False) -> Co
     raise TypeError(f"cannot order-bucket a column of type {dtype.simpleString()}")
 
 
-def _before(a: Column, b: Column, descending: bool) -> Column:
-    """``a`` sorts strictly before ``b`` (NULLs first ascending, last descending)."""
-    if descending:
-        return (a.isNotNull() & b.isNull()) | (a > b)
-    return (a.isNull() & b.isNotNull()) | (a < b)
-
-
-def count_below(key: str, cuts: str, n: int, inclusive: bool = False) -> Column:
-    """Number of entries of the ascending array column ``cuts`` (length ``n``) below the
-    column ``key`` (``<``, or ``<=`` with ``inclusive``): a binary search unrolled into
-    nested CASE expressions, so each row makes ``log2(n)`` codegen'd comparisons.
-
-    Built as one SQL expression string (one parse instead of thousands of Column
-    objects)."""
-    op = "<=" if inclusive else "<"
-
-    def search(lo: int, hi: int) -> str:
-        if lo >= hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return (f"CASE WHEN element_at(`{cuts}`, {mid + 1}) {op} `{key}` "
-                f"THEN {search(mid + 1, hi)} ELSE {search(lo, mid)} END")
-    return F.expr(search(0, n))
-
-
-def prefix_counts(hist: DataFrame, groups: list[str], value: str, count: str, descending: bool = False,
-                  buckets: int = 64, accuracy: int = 10000, max_groups: int | None = None) -> DataFrame:
+def prefix_counts(hist: DataFrame, groups: list[str], value: str, count: str, descending: bool = False) -> DataFrame:
     """For a histogram (one row per ``groups`` + distinct ``value``, with a row ``count``),
     add ``_start`` = rows of the same group ordered before this value and ``_n`` = rows
-    of the group.  NULL values sort first ascending, last descending.
+    of the group.  NULL values sort first ascending, last descending; groups may be NULL.
 
-    A distributed prefix sum: values are cut into ``buckets`` at approximate quantiles
-    of the distinct values per group, a window partitioned by (group, bucket) sums
-    inside each bucket, and a small table of bucket totals gives the offsets.  No
-    window spans a whole group.  ``max_groups`` (when the number of groups is bounded
-    by the plan) broadcasts the per-group tables.
+    A distributed prefix sum: each group's range of values is cut into buckets, a window partitioned by
+    (group, bucket) sums inside each bucket and a table of bucket totals gives the offsets.  No window spans
+    a whole group.  ``hist`` is read three times: materialise it before.
     """
     g = list(groups)
     if not g:
         raise ValueError("prefix_counts needs at least one group column")
-    v = F.col(value)
-    vkey = monotone_key(v, {f.name: f.dataType for f in hist.schema.fields}[value])
-    nb = buckets - 1
-    probs = [i / buckets for i in range(1, buckets)]
-
-    def small(df: DataFrame, rows_per_group: int) -> DataFrame:
-        return broadcast_bounded(df, max_groups * rows_per_group) if max_groups is not None else df
-
-    # Approximate cuts are materialised once: every later step must see the same cuts, and
-    # a recomputed sketch (other merge order after a retry) could differ.
-    gstats = cut_lineage(hist.groupBy(*g).agg(
-        F.sum(count).alias("_n"), F.percentile_approx(vkey, probs, accuracy).alias("_vc")))
-    if descending:
-        bucket = F.when(v.isNull(), F.lit(buckets)).otherwise(F.lit(nb) - count_below("_vk", "_vc", nb, True))
-        vorder = v.desc_nulls_last()
-    else:
-        bucket = F.when(v.isNull(), F.lit(-1)).otherwise(count_below("_vk", "_vc", nb))
-        vorder = v.asc_nulls_first()
-    hist_b = (hist.join(small(gstats, 1), g)
-              .withColumn("_vk", vkey).withColumn("_b", bucket).drop("_vc", "_vk"))
-    within = Window.partitionBy(*g, "_b").orderBy(vorder).rowsBetween(Window.unboundedPreceding, -1)
-    totals = hist_b.groupBy(*g, "_b").agg(F.sum(count).alias("_bc"))
-    offsets = totals.select(*g, "_b", F.coalesce(F.sum("_bc").over(
-        Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_boff"))
-    return (hist_b.withColumn("_in", F.coalesce(F.sum(count).over(within), F.lit(0)))
-            .join(small(offsets, buckets + 2), g + ["_b"])
-            .select(*hist.columns, "_n", (F.col("_boff") + F.col("_in")).alias("_start")))
+    v, buckets = F.col(value), shuffle_width(hist)
+    key = monotone_key(v, {f.name: f.dataType for f in hist.schema.fields}[value]).cast("double")
+    stats = hist.groupBy(*g).agg(F.sum(count).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    bucket = range_bucket(key, F.col("_lo"), F.col("_hi"), buckets)
+    order = v.desc_nulls_last() if descending else v.asc_nulls_first()
+    place = F.when(v.isNull(), F.lit(buckets if descending else -1)).otherwise(buckets - 1 - bucket if descending else bucket)
+    dealt = join_null_safe(hist, stats, g).withColumn("_b", place).drop("_lo", "_hi")
+    before = Window.partitionBy(*g, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*g, "_b").agg(F.sum(count).alias("_k"))
+    offsets = totals.select(*g, "_b", F.coalesce(F.sum("_k").over(  # ``buckets`` + 1 rows a group at most
+        Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (join_null_safe(dealt.withColumn("_in", F.coalesce(F.sum(count).over(before), F.lit(0))), offsets, [*g, "_b"])
+            .select(*hist.columns, "_n", (F.col("_off") + F.col("_in")).alias("_start")))
+
+
+def _tile(rank: Column, n: Column, k: int) -> Column:
+    """The NTILE tile of a 1-based rank among n rows: the first ``n % k`` tiles have a row more."""
+    size, more = F.call_function("div", n, F.lit(k)), n % k
+    long = more * (size + 1)  # rows in the longer tiles
+    return F.when(rank <= long, F.call_function("div", rank - 1, size + 1)).otherwise(
+        more + F.coalesce(F.call_function("div", rank - 1 - long, F.nullif(size, F.lit(0))), F.lit(0))).cast("int") + 1
 
 
 def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str, descending: bool = True,
-                  out: str = "tile", buckets: int = 64, accuracy: int = 10000, max_groups: int = 64) -> DataFrame:
+                  out: str = "tile") -> DataFrame:
     """Add ``out`` = NTILE(``k``) OVER (PARTITION BY groups ORDER BY value [DESC], tie).
 
-    ``groups`` name a small, bounded set of partitions (at most ``max_groups``,
-    e.g. metric names); each partition may be arbitrarily large.  ``tie`` must be
-    unique inside a partition.  Per-partition helper tables (quantile cuts, tile
-    edges) have one row per partition and are broadcast; no scalar subquery and
-    no single-partition window over data rows is used.
-    """
-    if k < 1 or buckets < 2:
-        raise ValueError("k must be positive and buckets at least 2")
-    g = list(groups)
-    schema = {f.name: f.dataType for f in df.schema.fields}
-    v = F.col(value)
-    tie_is_natural = not isinstance(schema[tie], (T.StringType, T.BinaryType))
-    tkey = monotone_key(F.col(tie), schema[tie], allow_hash=True)
-    tie_order = [tkey] if tie_is_natural else [tkey, F.col(tie)]
-    nb = buckets - 1
-    probs = [i / buckets for i in range(1, buckets)]
-    # the input feeds every step below: continue from a checkpoint, not from its plan
-    df = cut_lineage(df.select(*df.columns))
-
-    # 1-2. histogram of distinct values and each value's first rank ---------------------
-    hist = df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
-    starts = prefix_counts(hist, g, value, "_c", descending, buckets, accuracy, max_groups)
-
-    # 3. tile edges: last rank of tiles 1..k-1 and the value holding each -----------------
-    marked = df
-    inner: list[Column] = []
-    base = F.lit(0)
-    st = F.lit(False)
-    if k > 1:
-        q = F.call_function("div", F.col("_n"), F.lit(k))
-        m = F.col("_n") % k
-        edge_ranks = F.array(*[F.lit(j) * q + F.least(F.lit(j), m) for j in range(1, k)])
-        hit = starts.select(*g, value, "_c", "_start", F.posexplode(edge_ranks).alias("_j", "_r"))
-        edges = hit.filter((F.col("_r") > F.col("_start")) & (F.col("_r") <= F.col("_start") + F.col("_c")))
-        edge_tab = edges.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct(
-            F.col("_j").alias("j"), F.col("_r").alias("r"), F.col(value).alias("v"),
-            F.col("_start").alias("start"), F.col("_c").alias("c")))).alias("_ea"))
-        edge_tab = cut_lineage(edge_tab)   # one row per partition
-        marked = df.join(broadcast_bounded(edge_tab, max_groups), g, "left")
-        # 4. base tile from the k - 1 edges (unrolled; k is small) ------------------------
-        for j in range(1, k):
-            ej = F.try_element_at(F.col("_ea"), F.lit(j))
-            base = base + F.when(_before(ej["v"], v, descending), 1).otherwise(0)
-            straddling = (ej["r"] > ej["start"]) & (ej["r"] < ej["start"] + ej["c"]) & ej["v"].eqNullSafe(v)
-            st = st | F.coalesce(straddling, F.lit(False))
-            inner.append(F.when(straddling, ej["r"] - ej["start"]))
-    marked = marked.withColumn("_base", base).withColumn("_st", st)
-    for i, x in enumerate(inner):
-        marked = marked.withColumn(f"_e{i}", x)
-    ecols = [F.col(f"_e{i}") for i in range(len(inner))]
-    plain = marked.filter(~F.col("_st")).withColumn(out, (F.col("_base") + 1).cast("int"))
-
-    # 5. positions inside straddling values ------------------------------------------------
-    srows = marked.filter(F.col("_st")).withColumn("_tk", tkey)
-    keys = g + [value]
-    scuts = cut_lineage(srows.groupBy(*[F.col(c).alias(f"_j_{c}") for c in keys]).agg(
-        F.percentile_approx("_tk", probs, accuracy).alias("_sc")))   # fixed once, like the value cuts
-    on = None
-    for c in keys:
-        cond = F.col(c).eqNullSafe(F.col(f"_j_{c}"))
-        on = cond if on is None else on & cond
-    srows = (srows.join(broadcast_bounded(scuts, max_groups * k), on).drop(*[f"_j_{c}" for c in keys])
-             .withColumn("_sb", count_below("_tk", "_sc", nb)).drop("_sc"))
-    counts = srows.groupBy(*keys, "_sb", *[f"_e{i}" for i in range(len(inner))]).agg(F.count(F.lit(1)).alias("_n"))
-    off, cnt = F.col("_off"), F.col("_n")
-    is_cut = F.lit(False)
-    inc = F.lit(0)
-    for x in ecols:
-        is_cut = is_cut | F.coalesce((x > off) & (x < off + cnt), F.lit(False))
-        inc = inc + F.when(x <= off, 1).otherwise(0)
-    sb_tab = (counts
-              .withColumn("_off", F.coalesce(F.sum("_n").over(
-                  Window.partitionBy(*keys).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .select(*[F.col(c).alias(f"_j_{c}") for c in keys], F.col("_sb").alias("_jsb"), "_off",
-                      is_cut.alias("_cut"), inc.alias("_inc")))
-    srows = (srows.join(broadcast_bounded(sb_tab, max_groups * k * buckets), on & (F.col("_sb") == F.col("_jsb")))
-             .drop(*[f"_j_{c}" for c in keys], "_jsb"))
-    whole = srows.filter(~F.col("_cut")).withColumn(out, (F.col("_base") + F.col("_inc") + 1).cast("int"))
-    pos = F.col("_off") + F.row_number().over(Window.partitionBy(*keys, "_sb").orderBy(*tie_order))
-    after = F.lit(0)
-    for x in ecols:
-        after = after + F.when(x < F.col("_p"), 1).otherwise(0)
-    cut = (srows.filter(F.col("_cut")).withColumn("_p", pos)
-           .withColumn(out, (F.col("_base") + after + 1).cast("int")))
-
-    cols = df.columns + [out]
-    return plain.select(*cols).unionByName(whole.select(*cols)).unionByName(cut.select(*cols))
-
-
-def ntile_score(df: DataFrame, value: str, k: int, tie: str, descending: bool = True,
-                out: str = "tile", buckets: int = 64, accuracy: int = 10000) -> DataFrame:
-    """Add ``out`` = NTILE(``k``) OVER (ORDER BY value [DESC], tie) over the whole frame.
-
-    Same algorithm as :func:`grouped_ntile` with a single partition.  The
-    partition key is a zero derived from a column (not a literal), so the
-    optimizer keeps the helper-table joins as broadcast equi-joins.
+    Each group may be arbitrarily large and may be NULL.  ``tie`` must be unique inside a group; string
+    ties are ordered by ``(xxhash64(tie), tie)``.
     """
-    zero = F.coalesce(F.col(tie).isNull().cast("int") * 0, F.lit(0))
-    tiled = grouped_ntile(df.withColumn("_one_part", zero), ["_one_part"], value, k, tie, descending, out,
-                          buckets, accuracy, max_groups=1)
-    return tiled.drop("_one_part")
+    if k < 1:
+        raise ValueError("k must be positive")
+    g, unit = list(groups), [*groups, value]
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    natural = not isinstance(kinds[tie], (T.StringType, T.BinaryType))
+    tie_key = monotone_key(F.col(tie), kinds[tie], allow_hash=True)
+    df = cut_lineage(df)
+    hist = cut_lineage(df.groupBy(*unit).agg(F.count(F.lit(1)).alias("_c")))
+    values = prefix_counts(hist, g, value, "_c", descending).select(
+        *unit, "_start", "_n", _tile(F.col("_start") + 1, F.col("_n"), k).alias("_first"),
+        _tile(F.col("_start") + F.col("_c"), F.col("_n"), k).alias("_last"))
+    rows = join_null_safe(df, values, unit)
+    plain = rows.filter(F.col("_first") == F.col("_last")).withColumn(out, F.col("_first"))
+
+    buckets = shuffle_width(df)
+    cut = rows.filter(F.col("_first") < F.col("_last")).withColumn("_key", tie_key).withColumn("_d", F.col("_key").cast("double"))
+    spread = cut.groupBy(*unit).agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
+    dealt = join_null_safe(cut, spread, unit).withColumn(
+        "_b", F.coalesce(range_bucket(F.col("_d"), F.col("_lo"), F.col("_hi"), buckets), F.lit(-1)))
+    totals = dealt.groupBy(*unit, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    offsets = totals.select(*unit, "_b", F.coalesce(F.sum("_k").over(
+        Window.partitionBy(*unit).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    own = Window.partitionBy(*unit, "_b").orderBy(*([F.col("_key")] if natural else [F.col("_key"), F.col(tie)]))
+    numbered = join_null_safe(dealt.withColumn("_i", F.row_number().over(own)), offsets, [*unit, "_b"])
+    numbered = numbered.withColumn(out, _tile(F.col("_start") + F.col("_off") + F.col("_i"), F.col("_n"), k))
+    cols = [*df.columns, out]
+    return plain.select(*cols).unionByName(numbered.select(*cols))
+
+
+def ntile_score(df: DataFrame, value: str, k: int, tie: str, descending: bool = True, out: str = "tile") -> DataFrame:
+    """Add ``out`` = NTILE(``k``) OVER (ORDER BY value [DESC], tie) over the whole frame: one group."""
+    tiled = grouped_ntile(df.withColumn("_all", F.lit(0)), ["_all"], value, k, tie, descending, out)
+    return tiled.drop("_all")
 
 
 # RFM segment rules (first match wins), by recency score and

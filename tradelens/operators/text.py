@@ -12,15 +12,16 @@ WORD_PATTERN = r"[\p{L}\p{N}]+"
 
 
 def term_frequency(df: DataFrame, text: str, top: int | None = None, stopwords: Sequence[str] = (),
-                   min_length: int = 2, pattern: str = WORD_PATTERN) -> DataFrame:
+                   min_length: int = 1, pattern: str = WORD_PATTERN) -> DataFrame:
     """Lower-cased word counts over whole texts (the data a word cloud draws).
 
     Words are extracted per row, exploded and counted with a map-side partial
-    aggregation; nothing is concatenated.  ``top`` keeps the most frequent words
+    aggregation; nothing is concatenated.  Every word counts, unless a caller asks for longer ones (``min_length``).  ``top`` keeps the most frequent words
     (ties by word) through a distributed top-k.
     """
     words = df.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), 0)).alias("word"))
-    words = words.filter(F.length("word") >= min_length)
+    if min_length > 1:
+        words = words.filter(F.length("word") >= min_length)
     if stopwords:
         words = words.filter(~F.col("word").isin(list(stopwords)))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))

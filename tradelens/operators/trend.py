@@ -20,10 +20,11 @@ def fit_line(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     xc, yc = F.col(x), F.col(y).cast("decimal(38,2)")
     sums = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(xc.cast("long")).alias("_sx"), F.sum(yc).alias("_sy"),
-        F.sum(xc.cast("decimal(20,0)") * yc).alias("_sxy"), F.sum(xc.cast("long") * xc.cast("long")).alias("_sxx"))
+        F.sum(xc.cast("decimal(20,0)") * yc).alias("_sxy"), F.sum(xc.cast("decimal(10,0)") * xc.cast("decimal(10,0)")).alias("_sxx"))
     n = F.col("_n")
     num = n.cast("decimal(20,0)") * F.col("_sxy") - F.col("_sx").cast("decimal(20,0)") * F.col("_sy")
-    den = n * F.col("_sxx") - F.col("_sx") * F.col("_sx")
+    wide = "decimal(20,0)"
+    den = n.cast(wide) * F.col("_sxx") - F.col("_sx").cast(wide) * F.col("_sx").cast(wide)
     slope = safe_div(num, den)
     return sums.select(
         *keys, slope.alias("slope"),
@@ -68,17 +69,14 @@ def centered_mean(df: DataFrame, keys: Sequence[str], order: str, value: str, be
 
 
 def seasonal_forecast(daily: DataFrame, model: DataFrame, keys: Sequence[str], day: str, value: str,
-                      shift_days: int, target_lo: int, target_hi: int, model_rows: int) -> DataFrame:
+                      shift_days: int, target_lo: int, target_hi: int) -> DataFrame:
     """Forecast ``value * fit(day + shift) / fit(day)`` for target days.
 
     Only base days whose shifted day lies in ``[target_lo, target_hi]`` are kept;
-    the bound is on ``day`` itself, so it filters before the join.  ``model``
-    has ``model_rows`` rows at most (one per requested group) and is broadcast.
+    the bound is on ``day`` itself, so it filters before the join.
     """
-    from tradelens.operators.aggregates import broadcast_bounded
-
     base = daily.filter(F.col(day).between(target_lo - shift_days, target_hi - shift_days))
-    joined = base.join(broadcast_bounded(model, model_rows), list(keys))
+    joined = base.join(model, list(keys))
     fit_now = F.col("intercept") + F.col("slope") * F.col(day)
     fit_then = F.col("intercept") + F.col("slope") * (F.col(day) + F.lit(shift_days))
     return joined.withColumn("forecast", F.try_divide(fit_then, fit_now) * F.col(value).cast("double"))

@@ -27,11 +27,10 @@ TEST_PARAMS = R.Params(
     shipping_from="1999-06-01",
     shipping_to="2000-06-30",
     as_of="2001-08-02",
-    repeat_before="1995-10-01",
-    frequent_min=40,
-    pair_key="seller_id",
-    pair_min=30,
-    pair_item_min=40,
+    frequent_min=5,
+    pair_min=1,
+    seller_item_min=40,
+    seller_pair_min=5,
     scorecard_min=620,
     band_edges=(1, 550, 600, 650),
 )
@@ -76,7 +75,9 @@ REPORTS: dict[str, Callable] = {
     "clv_bubbles": R.clv_bubbles,
     "frequent_products": R.frequent_products,
     "co_purchased_products": R.co_purchased_products,
+    "co_sold_sellers": R.co_sold_sellers,
     "affinity_vertices": R.affinity_vertices,
+    "affinity_categories": R.affinity_categories,
     "affinity_edges": R.affinity_edges,
     "affinity_nodes_sized": R.affinity_nodes_sized,
     "seller_scorecard": R.seller_scorecard,

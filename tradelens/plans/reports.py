@@ -10,10 +10,8 @@ Plan shape, used throughout:
   (items per order or product, orders per customer, payments per order), so
   joins see one row per key and partial aggregation absorbs skewed keys;
 * filters are plain comparisons on scanned columns, so they reach Parquet;
-* small frames whose size is bounded by the plan (top-k lists, one model row
-  per requested category) are broadcast with ``broadcast_bounded``; everything
-  else is left to Spark's size statistics and AQE (runtime broadcast, or
-  sort-merge with skew-partition splitting for hot keys);
+* no join side is broadcast by a hint: Spark's size statistics and AQE decide (a broadcast for
+  sides that turn out small, else sort-merge with skew-partition splitting for hot keys);
 * money is summed as ``decimal(18,2)`` and cast to double at the end; means are
   exact sums divided once.
 """
@@ -27,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.functions.numeric import mean_of, mean_of_units, ratio_units, round_ratio, safe_div
+from tradelens.functions.numeric import mean_of_units, ratio_units, round_ratio, safe_div
 from tradelens.functions.timecols import (
     MICROS_PER_DAY,
     between_half_open,
@@ -43,7 +41,6 @@ from tradelens.functions.timecols import (
 )
 from tradelens.operators.affinity import affinity_graph, co_purchase_pairs, frequent_items
 from tradelens.operators.aggregates import (
-    broadcast_bounded,
     bubble_scale,
     cell_vs_mean,
     mean_of_means,
@@ -58,6 +55,7 @@ from tradelens.operators.distribution import box_stats, expand_positions, group_
 from tradelens.operators.ranking import grouped_ntile, segment_label
 from tradelens.operators.text import term_frequency
 from tradelens.operators.trend import centered_mean, fit_line, rank_slopes, score_line, seasonal_forecast
+from tradelens.session import cut_lineage
 from tradelens.sources.tables import Tables
 
 
@@ -81,12 +79,12 @@ class Params:
     shipping_to: str = "2018-06-30"          # exclusive
     negative_scores: tuple = (1, 2)
     as_of: str | None = None                 # RFM reference time; required
-    repeat_before: str | None = None         # optional upper bound on purchase time
     acl_floor_days: int = 7
     frequent_min: int = 5
-    pair_key: str = "product_id"
-    pair_min: int = 5
-    pair_item_min: int = 5
+    pair_min: int = 5                        # products, in common orders
+    seller_item_min: int = 5
+    seller_pair_min: int = 5
+    city_keys: tuple = ("city",)             # columns that tell cities apart, the name first
     scorecard_min: int = 10
     band_edges: tuple = (1, 10, 100, 1000)
     approximate_distinct: bool = False       # HyperLogLog counts instead of exact distinct counts
@@ -143,23 +141,26 @@ def heat_cells_flagged(t: Tables, p: Params) -> DataFrame:
         F.floor(F.col("id") / 24).cast("long").alias("day_of_week_int"), (F.col("id") % 24).alias("hour"))
     cells = grid.join(counts, ["day_of_week_int", "hour"], "left").select(
         "day_of_week_int", "hour", F.coalesce("order_count", F.lit(0)).cast("long").alias("order_count"))
-    return cell_vs_mean(cells, "order_count", bounded_rows=7 * 24)
+    return cell_vs_mean(cells, "order_count")
 
 
 # ---------------------------------------------------------------------------
 # Cities (R05, R06, R17)
 # ---------------------------------------------------------------------------
 
-def _city_counts(t: Tables) -> DataFrame:
+def _city_counts(t: Tables, p: Params) -> DataFrame:
+    keys = list(p.city_keys)
     per_customer = t.orders.groupBy("customer_id").agg(F.count("order_id").alias("_n"))
-    return (per_customer.join(t.customers.select("customer_id", "city"), "customer_id")
-            .groupBy("city").agg(F.sum("_n").alias("city_order_count")))
+    return (per_customer.join(t.customers.select("customer_id", *keys), "customer_id")
+            .groupBy(*keys).agg(F.sum("_n").alias("city_order_count")))
 
 
 def top_cities(t: Tables, p: Params) -> DataFrame:
-    counts = _city_counts(t).select(F.col("city").alias("customer_city"), F.upper("city").alias("city"),
-                                    "city_order_count")
-    return top_n(counts, "city_order_count", p.top_cities, tie_break=["customer_city"])
+    """Cities with the most orders; further ``city_keys`` keep same-named cities apart and are returned."""
+    name, *others = p.city_keys
+    counts = _city_counts(t, p).select(F.col(name).alias("customer_city"), F.upper(name).alias("city"), *others,
+                                       "city_order_count")
+    return top_n(counts, "city_order_count", p.top_cities, tie_break=["customer_city", *others])
 
 
 def top_cities_ascending(t: Tables, p: Params) -> DataFrame:
@@ -172,11 +173,12 @@ STAGES = [("approved", "purchased", "approved"), ("delivered_to_carrier", "appro
 
 def stage_latency_top_cities(t: Tables, p: Params) -> DataFrame:
     """Mean fractional days of each order stage for the top cities (each mean skips its own NULLs)."""
-    top = broadcast_bounded(top_cities(t, p).select(F.col("customer_city").alias("city")), p.top_cities)
-    customers = t.customers.select("customer_id", "city").join(top, "city", "left_semi")
+    name, *others = p.city_keys
+    top = top_cities(t, p).select(F.col("customer_city").alias(name), *others)
+    customers = t.customers.select("customer_id", *p.city_keys).join(top, list(p.city_keys), "left_semi")
     rows = t.orders.join(customers, "customer_id")
-    out = rows.groupBy("city").agg(*[mean_days(elapsed_micros(a, b)).alias(name) for name, a, b in STAGES])
-    out = out.select(F.upper("city").alias("city"), *[name for name, _, _ in STAGES])
+    out = rows.groupBy(*p.city_keys).agg(*[mean_days(elapsed_micros(a, b)).alias(n) for n, a, b in STAGES])
+    out = out.select(F.upper(name).alias("city"), *others, *[n for n, _, _ in STAGES])
     return out.orderBy(F.desc(F.col("approved") + F.col("delivered_to_carrier") + F.col("delivered_to_customer")))
 
 
@@ -250,40 +252,33 @@ def category_sales_summary(t: Tables, p: Params) -> DataFrame:
 
 
 def share_of_total_report(t: Tables, p: Params) -> DataFrame:
-    # the summary has one row per top category plus one: a window over it is small
-    return share_of_total(_category_summary(t, p), "sales", bounded_rows=1000).select(
+    return share_of_total(_category_summary(t, p), "sales").select(
         "category", F.col("sales").cast("double").alias("sales"), "share")
 
 
-def _top_category_items(t: Tables, p: Params) -> DataFrame:
-    """(category, weight) per item sold in a top category; no status filter."""
+def _top_category_weights(t: Tables, p: Params) -> DataFrame:
+    """``category, weight, items``: items sold per top category and weight (no status filter).  Items are
+    counted per product before products are looked up."""
     top = _category_sales(t, p).filter(F.col("rank") <= p.top_categories).select("category")
-    products = _named_products(t).join(top, "category", "left_semi")
-    return t.items.select("product_id").join(products, "product_id").select(
-        "category", F.col("weight_g").alias("weight"))
+    per_product = t.items.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
+    return (per_product.join(_named_products(t).join(top, "category", "left_semi"), "product_id")
+            .groupBy("category", F.col("weight_g").alias("weight")).agg(F.sum("_n").alias("items")))
 
 
 def ordered_weights(t: Tables, p: Params) -> DataFrame:
     """Every item of a top category numbered by weight inside its category (NULL weights first)."""
-    top = _category_sales(t, p).filter(F.col("rank") <= p.top_categories).select("category")
-    per_product = t.items.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
-    hist = (per_product.join(_named_products(t).join(top, "category", "left_semi"), "product_id")
-            .groupBy("category", F.col("weight_g").alias("weight")).agg(F.sum("_n").alias("_c")))
-    # weights (grams) have a small domain per category: the prefix window runs over distinct weights
-    rows = expand_positions(hist, ["category"], "weight", "_c", out="category_row_n", total="category_count",
-                            few_values=True)
+    rows = expand_positions(_top_category_weights(t, p), ["category"], "weight", "items", out="category_row_n",
+                            total="category_count")
     return rows.select("weight", "category", "category_row_n", "category_count")
 
 
 def category_median_weight(t: Tables, p: Params) -> DataFrame:
-    # weights (grams) have a small domain: exact order statistics from (category, weight) counts
-    med = group_median(_top_category_items(t, p), ["category"], "weight", nulls="lowest", out="median_weight",
-                       few_values=True)
+    med = group_median(_top_category_weights(t, p), ["category"], "weight", nulls="lowest", out="median_weight", count="items")
     return med.orderBy(F.col("median_weight").asc_nulls_first(), "category")
 
 
 def weight_box_stats(t: Tables, p: Params) -> DataFrame:
-    return box_stats(_top_category_items(t, p), ["category"], "weight", few_values=True)
+    return box_stats(_top_category_weights(t, p), ["category"], "weight", count="items")
 
 
 # ---------------------------------------------------------------------------
@@ -296,10 +291,16 @@ def _selected_products(t: Tables, p: Params) -> DataFrame:
     return t.products.join(names, "category_code").select("product_id", "category")
 
 
+def _selected_items(t: Tables, p: Params) -> DataFrame:
+    """``order_id, category, price``: products are looked up first, so only items of selected categories meet
+    the orders."""
+    return t.items.select("order_id", "product_id", "price").join(_selected_products(t, p), "product_id").select(
+        "order_id", "category", "price")
+
+
 def monthly_category_sales(t: Tables, p: Params) -> DataFrame:
     orders = t.orders.filter(between_half_open("purchased", lo=p.monthly_since)).select("order_id", "purchased")
-    rows = (t.items.select("order_id", "product_id", "price").join(orders, "order_id")
-            .join(_selected_products(t, p), "product_id"))
+    rows = _selected_items(t, p).join(orders, "order_id")
     cats = list(p.selected_categories)
     wide = pivot_measure(rows.withColumn("year_month", year_month("purchased")), ["year_month"], "category",
                          cats, [column_name(c) for c in cats], how="sum", measure="price")
@@ -309,8 +310,7 @@ def monthly_category_sales(t: Tables, p: Params) -> DataFrame:
 def _daily_category_sales(t: Tables, p: Params) -> DataFrame:
     orders = t.orders.filter(between_half_open("purchased", p.daily_start, p.daily_end)).select(
         "order_id", "purchased")
-    rows = (t.items.select("order_id", "product_id", "price").join(orders, "order_id")
-            .join(_selected_products(t, p), "product_id"))
+    rows = _selected_items(t, p).join(orders, "order_id")
     return rows.groupBy(day_index("purchased", p.daily_start).cast("long").alias("day"), "category").agg(
         F.sum("price").alias("sales"))
 
@@ -340,9 +340,9 @@ def december_forecast(t: Tables, p: Params) -> DataFrame:
     shift = _days_between(p.forecast_shift_from, p.forecast_last)
     lo = _days_between(p.daily_start, p.forecast_first)
     hi = _days_between(p.daily_start, p.forecast_last)
-    daily = _daily_category_sales(t, p)
-    fc = seasonal_forecast(daily, category_trend(t, p), ["category"], "day", "sales", shift, lo, hi,
-                           model_rows=len(p.selected_categories))   # one model row per selected category
+    daily = cut_lineage(_daily_category_sales(t, p))  # one row per day and category, read by model and forecast
+    model = fit_line(daily, ["category"], "day", "sales")
+    fc = seasonal_forecast(daily, model, ["category"], "day", "sales", shift, lo, hi)
     origin = F.to_date(F.lit(p.daily_start))
     fc = fc.withColumn("_date", shift_year(F.date_add(origin, F.col("day").cast("int"))))
     out = centered_mean(fc, ["category"], "_date", "forecast", 2, 2, out="moving_avg_sales")
@@ -360,16 +360,12 @@ def daily_delivery_time(t: Tables, p: Params) -> DataFrame:
             .select(F.date_format("_d", "yyyy-MM-dd").alias("purchase_date"), "avg_delivery_time"))
 
 
-DAY_UNITS = 10 ** 12      # fixed-point scale of per-day mean delivery times (days)
-
-
 def mean_delivery_time(t: Tables, p: Params) -> DataFrame:
-    """Unweighted mean of the daily means (O10), each daily mean held as exact 1e-12-day units."""
+    """Unweighted mean of the daily means."""
     orders = t.orders.filter(between_half_open("purchased", p.shipping_from, p.shipping_to))
     us = elapsed_micros("purchased", "delivered")
     daily = orders.groupBy(F.to_date("purchased").alias("_d")).agg(F.sum(us).alias("_s"), F.count(us).alias("_c"))
-    units = ratio_units(F.col("_s"), F.col("_c") * F.lit(MICROS_PER_DAY), DAY_UNITS)
-    return daily.agg(mean_of_units(units, DAY_UNITS).alias("mean_delivery_time"))
+    return mean_of_means(daily, "_s", "_c", MICROS_PER_DAY, out="mean_delivery_time")
 
 
 # ---------------------------------------------------------------------------
@@ -428,7 +424,7 @@ def _rfm_people(t: Tables, p: Params) -> DataFrame:
     long = rf_rows.unionByName(spend.select("person_id", F.lit("monetary").alias("metric"),
                                             F.col("total_spent").cast(metric_value).alias("v"),
                                             no_time.alias("_lp")))
-    tiles = grouped_ntile(long, ["metric"], "v", 5, "person_id", descending=True, out="tile", max_groups=3)
+    tiles = grouped_ntile(long, ["metric"], "v", 5, "person_id", descending=True, out="tile")
     metrics = ("recency", "frequency", "monetary")
     people = tiles.groupBy("person_id").agg(
         *[F.max(F.when(F.col("metric") == m, F.col("tile"))).alias(m) for m in metrics],
@@ -466,10 +462,7 @@ def rfm_bubbles(t: Tables, p: Params, size_factor: float = 0.55) -> DataFrame:
 
 
 def repeat_customer_share(t: Tables, p: Params) -> DataFrame:
-    orders = t.orders
-    if p.repeat_before:
-        orders = orders.filter(between_half_open("purchased", hi=p.repeat_before))
-    per_customer = orders.groupBy("customer_id").agg(F.count("order_id").alias("_n"))
+    per_customer = t.orders.groupBy("customer_id").agg(F.count("order_id").alias("_n"))
     per_person = (per_customer.join(t.customers.select("customer_id", "person_id"), "customer_id")
                   .groupBy("person_id").agg(F.sum("_n").alias("_n")))
     kinds = per_person.groupBy(
@@ -539,8 +532,7 @@ def clv_by_area_raw(t: Tables, p: Params) -> DataFrame:
 
 
 def clv_bubbles(t: Tables, p: Params) -> DataFrame:
-    # one row per zip prefix: at most 100,000 (five digits), so the max is a window over them
-    return bubble_scale(clv_by_area(t, p), "customer_count", "avg_clv", bounded_rows=100_000)
+    return bubble_scale(clv_by_area(t, p), "customer_count", "avg_clv")
 
 
 # ---------------------------------------------------------------------------
@@ -553,22 +545,28 @@ def frequent_products(t: Tables, p: Params) -> DataFrame:
         "product_id", "category", "orders_count")
 
 
-def _pair_candidates(t: Tables, p: Params) -> DataFrame:
-    if p.pair_key == "product_id":
-        return frequent_products(t, p).withColumnRenamed("orders_count", "item_count")
-    return frequent_items(t.items, p.pair_key, "order_id", p.pair_item_min)
+def co_purchased_products(t: Tables, p: Params) -> DataFrame:
+    return co_purchase_pairs(t.items, "order_id", "product_id", frequent_products(t, p), p.pair_min)
 
 
-def co_purchased_products(t: Tables, p: Params) -> DataFrame:
-    return co_purchase_pairs(t.items, "order_id", p.pair_key, _pair_candidates(t, p), p.pair_min)
+def co_sold_sellers(t: Tables, p: Params) -> DataFrame:
+    """Pairs of frequent sellers with orders in common."""
+    frequent = frequent_items(t.items, "seller_id", "order_id", p.seller_item_min)
+    return co_purchase_pairs(t.items, "order_id", "seller_id", frequent, p.seller_pair_min)
 
 
 def affinity_vertices(t: Tables, p: Params) -> DataFrame:
-    vertices, _ = affinity_graph(_pair_candidates(t, p), co_purchased_products(t, p), p.pair_key,
-                                 "common_orders_count")
+    """Products with a partner: category, item count, degree and weighted degree."""
+    products = frequent_products(t, p).withColumnRenamed("orders_count", "item_count")
+    vertices, _ = affinity_graph(products, co_purchased_products(t, p), "product_id", "common_orders_count")
     return vertices
 
 
+def affinity_categories(t: Tables, p: Params) -> DataFrame:
+    """Categories of the products that stay in the graph, with their number of products."""
+    return affinity_vertices(t, p).groupBy("category").agg(F.count(F.lit(1)).alias("product_count"))
+
+
 def affinity_nodes_sized(t: Tables, p: Params, size_factor: float = 5.0) -> DataFrame:
     """Graph vertices with the node size (``size_factor * item_count``)."""
     return affinity_vertices(t, p).withColumn(
@@ -576,8 +574,8 @@ def affinity_nodes_sized(t: Tables, p: Params, size_factor: float = 5.0) -> Data
 
 
 def affinity_edges(t: Tables, p: Params) -> DataFrame:
-    _, edges = affinity_graph(_pair_candidates(t, p), co_purchased_products(t, p), p.pair_key,
-                              "common_orders_count")
+    products = frequent_products(t, p).withColumnRenamed("orders_count", "item_count")
+    _, edges = affinity_graph(products, co_purchased_products(t, p), "product_id", "common_orders_count")
     return edges
 
 
@@ -636,15 +634,20 @@ def sellers_per_band(t: Tables, p: Params) -> DataFrame:
     return seller_bands(t, p).groupBy("bucket").agg(F.count("seller_id").alias("seller_count"))
 
 
+def _delivered_items(t: Tables, p: Params) -> DataFrame:
+    delivered = _delivered_orders(t, p).select("order_id", elapsed_days("purchased", "delivered").alias("delivery_time"))
+    return t.items.select("order_id", "seller_id").join(delivered, "order_id")
+
+
 def delivery_time_by_band(t: Tables, p: Params) -> DataFrame:
-    delivered = _delivered_orders(t, p).select("order_id", "purchased", "delivered")
-    rows = t.items.select("order_id", "seller_id").join(delivered, "order_id").join(seller_bands(t, p), "seller_id")
-    return rows.select("bucket", "seller_id", elapsed_days("purchased", "delivered").alias("delivery_time"))
+    rows = _delivered_items(t, p).join(seller_bands(t, p), "seller_id")
+    return rows.select("bucket", "seller_id", "delivery_time")
 
 
 def delivery_box_stats(t: Tables, p: Params) -> DataFrame:
-    # one group per band: len(band_edges) + 1 ("none") groups at most
-    return box_stats(delivery_time_by_band(t, p), ["bucket"], "delivery_time", max_groups=len(p.band_edges) + 1)
+    # items are counted per seller and delivery time before sellers get their band
+    counts = _delivered_items(t, p).groupBy("seller_id", "delivery_time").agg(F.count(F.lit(1)).alias("_n"))
+    return box_stats(counts.join(seller_bands(t, p), "seller_id"), ["bucket"], "delivery_time", count="_n")
 
 
 # ---------------------------------------------------------------------------
@@ -652,14 +655,15 @@ def delivery_box_stats(t: Tables, p: Params) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def lead_conversion(t: Tables, p: Params) -> DataFrame:
-    closed = t.closed.select("lead_id").distinct().withColumn("_closed", F.lit(True))
+    """Leads by origin; the origin with the most rows of leads joined to closures comes first."""
+    closed = t.closed.groupBy("lead_id").agg(F.count(F.lit(1)).alias("_closures"))
     rows = t.leads.join(closed, "lead_id", "left")
     distinct = F.approx_count_distinct if p.approximate_distinct else F.count_distinct
     out = rows.groupBy(F.coalesce(F.col("origin"), F.lit("unknown")).alias("origin")).agg(
         distinct("lead_id").alias("qualified_leads"),
-        distinct(F.when(F.col("_closed"), F.col("lead_id"))).alias("closed_leads"),
-        F.count("lead_id").alias("_rows"))
-    return out.orderBy(F.desc("_rows"), "origin").select(
+        distinct(F.when(F.col("_closures").isNotNull(), F.col("lead_id"))).alias("closed_leads"),
+        # a lead counts once for each of its closures, and once without any
+        F.sum(F.when(F.col("lead_id").isNotNull(), F.coalesce("_closures", F.lit(1)))).alias("_rows"))
+    return out.orderBy(F.desc_nulls_last("_rows"), "origin").select(
         "origin", "qualified_leads", "closed_leads",
         safe_div(F.col("closed_leads").cast("double") * 100.0, "qualified_leads").alias("conversion_rate"))
-

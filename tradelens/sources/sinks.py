@@ -30,7 +30,8 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by: S
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        # quotes in values are doubled, line breaks kept and empty texts quoted, so read_table gets the same back
+        writer.options(header=True, quote='"', escape='"').csv(path)
     else:
         writer.format(fmt).save(path)
 

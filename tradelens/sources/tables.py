@@ -24,22 +24,25 @@ Two loaders produce them:
 * :func:`star_tables` derives every table deterministically from the TPC-H-like
   star schema used for testing (the adapter definitions are in FIXTURES.md).
 
-All frames are lazy; loading only reads Parquet footers.
+Tables are opened when a report first uses them, so an export needs only the tables that its reports
+read.  Frames are lazy; opening one reads Parquet footers at most.
 """
 
 from __future__ import annotations
 
-import os
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+TABLE_NAMES = ("orders", "customers", "items", "products", "category_names", "payments", "reviews", "comments", "geo",
+               "sellers", "leads", "closed")
 
 
-@dataclass(frozen=True)
 class Tables:
+    """The canonical frames as attributes: each given as a DataFrame, or as a function that opens it on first use."""
+
     orders: DataFrame
     customers: DataFrame
     items: DataFrame
@@ -53,60 +56,113 @@ class Tables:
     leads: DataFrame
     closed: DataFrame
 
+    def __init__(self, **sources: DataFrame | Callable[[], DataFrame]):
+        unknown = set(sources) - set(TABLE_NAMES)
+        if unknown:
+            raise TypeError(f"no such tables: {sorted(unknown)}")
+        self._sources = sources
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in TABLE_NAMES:
+            raise AttributeError(name)
+        if name not in self._sources:
+            raise AttributeError(f"the table {name} was not given")
+        source = self._sources[name]
+        frame = source if isinstance(source, DataFrame) else source()
+        self.__dict__[name] = frame
+        return frame
+
+    def replaced(self, **frames: DataFrame) -> Tables:
+        """The same tables, some of them replaced."""
+        return Tables(**(self._sources | frames))
+
 
-def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet") -> DataFrame:
-    path = os.path.join(root, f"{name}.{fmt}")
-    if not os.path.exists(path) and os.path.exists(os.path.join(root, name)):
-        path = os.path.join(root, name)
+def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet", schema: str | None = None,
+               layout: str = "{name}.{fmt}") -> DataFrame:
+    """One table of a folder, by path or URI; only Spark looks at the path.
+
+    ``layout`` is the table's place below ``root``, e.g. ``"{name}"`` for a folder per table.  CSV has a header,
+    may hold line breaks in quoted values, and doubles quotes within quotes.
+    """
+    path = f"{root.rstrip('/')}/{layout.format(name=name, fmt=fmt)}"
+    reader = spark.read
     if fmt == "csv":
-        return spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return spark.read.format(fmt).load(path)
+        # a null is an empty field without quotes; the token stands for it while reading, and is in no text
+        reader = reader.options(header=True, multiLine=True, quote='"', escape='"', nullValue="\x00\x00", emptyValue="")
+        if schema:
+            # columns are found by name, so a file may have them in another order, or more
+            return reader.option("inferSchema", False).csv(path).select(
+                *[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in _columns(schema)])
+        return reader.csv(path)
+    frame = reader.format(fmt).load(path)
+    return frame.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in _columns(schema)]) if schema else frame
+
+
+def _columns(schema: str) -> list[tuple[str, str]]:
+    return [tuple(c.split(None, 1)) for c in schema.split(", ")]
 
 
 # ---------------------------------------------------------------------------
 # Marketplace export layout
 # ---------------------------------------------------------------------------
 
-def marketplace_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
-    """Canonical tables from a marketplace export (one dataset per source table)."""
+# The export's tables and the columns that reports use, with their types.
+EXPORT_SCHEMAS = {
+    "orders": "order_id string, customer_id string, order_status string, order_purchase_timestamp timestamp_ntz, "
+              "order_approved_at timestamp_ntz, order_delivered_carrier_date timestamp_ntz, "
+              "order_delivered_customer_date timestamp_ntz, order_estimated_delivery_date timestamp_ntz",
+    "customers": "customer_id string, customer_unique_id string, customer_city string, customer_state string, "
+                 "customer_zip_code_prefix int",
+    "order_items": "order_id string, product_id string, seller_id string, price decimal(18,2), freight_value decimal(18,2)",
+    "products": "product_id string, product_category_name string, product_weight_g double",
+    "product_category_name_translation": "product_category_name string, product_category_name_english string",
+    "order_payments": "order_id string, payment_value decimal(18,2)",
+    "order_reviews": "review_id string, order_id string, review_score int, review_comment_message string",
+    "geolocation": "geolocation_zip_code_prefix int, geolocation_lat double, geolocation_lng double",
+    "sellers": "seller_id string",
+    "leads_qualified": "mql_id string, origin string",
+    "leads_closed": "mql_id string",
+}
+
+
+def marketplace_tables(spark: SparkSession, root: str, fmt: str = "parquet", layout: str = "{name}.{fmt}") -> Tables:
+    """Canonical tables from a marketplace export (one dataset per source table; see :func:`read_table`).
+
+    ``customers`` has the state beside the city, for ``Params(city_keys=("city", "state"))``; an export without it
+    has a null state.
+    """
     def t(name):
-        return read_table(spark, root, name, fmt)
-
-    ts = "timestamp_ntz"
-    orders = t("orders").select(
-        F.col("order_id"), F.col("customer_id"), F.col("order_status").alias("status"),
-        F.col("order_purchase_timestamp").cast(ts).alias("purchased"),
-        F.col("order_approved_at").cast(ts).alias("approved"),
-        F.col("order_delivered_carrier_date").cast(ts).alias("to_carrier"),
-        F.col("order_delivered_customer_date").cast(ts).alias("delivered"),
-        F.col("order_estimated_delivery_date").cast(ts).alias("estimated"))
-    customers = t("customers").select(
-        "customer_id", F.col("customer_unique_id").alias("person_id"),
-        F.col("customer_city").alias("city"), F.col("customer_zip_code_prefix").cast("int").alias("zip"))
-    items = t("order_items").select(
-        "order_id", "product_id", "seller_id",
-        F.col("price").cast(MONEY).alias("price"), F.col("freight_value").cast(MONEY).alias("freight"))
-    products = t("products").select(
-        "product_id", F.col("product_category_name").alias("category_code"),
-        F.col("product_weight_g").cast("double").alias("weight_g"))
-    category_names = t("product_category_name_translation").select(
-        F.col("product_category_name").alias("category_code"),
-        F.col("product_category_name_english").alias("category"))
-    payments = t("order_payments").select("order_id", F.col("payment_value").cast(MONEY).alias("payment"))
-    raw_reviews = t("order_reviews")
-    reviews = raw_reviews.select("order_id", F.col("review_score").cast("int").alias("score"))
-    comments = raw_reviews.select(
-        F.col("review_id"), F.col("review_score").cast("int").alias("score"),
-        F.col("review_comment_message").alias("comment"))
-    geo = t("geolocation").select(
-        F.col("geolocation_zip_code_prefix").cast("int").alias("zip"),
-        F.col("geolocation_lat").cast("double").alias("lat"),
-        F.col("geolocation_lng").cast("double").alias("lng"))
-    sellers = t("sellers").select("seller_id")
-    leads = t("leads_qualified").select(F.col("mql_id").alias("lead_id"), "origin")
-    closed = t("leads_closed").select(F.col("mql_id").alias("lead_id"))
-    return Tables(orders, customers, items, products, category_names, payments, reviews, comments,
-                  geo, sellers, leads, closed)
+        schema = EXPORT_SCHEMAS[name]
+        if name == "customers":
+            there = read_table(spark, root, name, fmt, layout=layout).columns
+            if "customer_state" not in there:
+                schema = schema.replace("customer_state string, ", "")
+                return read_table(spark, root, name, fmt, schema, layout).withColumn("customer_state", F.lit(None).cast("string"))
+        return read_table(spark, root, name, fmt, schema, layout)
+
+    def renamed(name, **columns):
+        return lambda: t(name).select(*[F.col(source).alias(c) for c, source in columns.items()])
+
+    return Tables(
+        orders=renamed("orders", order_id="order_id", customer_id="customer_id", status="order_status",
+                       purchased="order_purchase_timestamp", approved="order_approved_at",
+                       to_carrier="order_delivered_carrier_date", delivered="order_delivered_customer_date",
+                       estimated="order_estimated_delivery_date"),
+        customers=renamed("customers", customer_id="customer_id", person_id="customer_unique_id", city="customer_city",
+                          state="customer_state", zip="customer_zip_code_prefix"),
+        items=renamed("order_items", order_id="order_id", product_id="product_id", seller_id="seller_id", price="price",
+                      freight="freight_value"),
+        products=renamed("products", product_id="product_id", category_code="product_category_name",
+                         weight_g="product_weight_g"),
+        category_names=renamed("product_category_name_translation", category_code="product_category_name",
+                               category="product_category_name_english"),
+        payments=renamed("order_payments", order_id="order_id", payment="payment_value"),
+        reviews=renamed("order_reviews", order_id="order_id", score="review_score"),
+        comments=renamed("order_reviews", review_id="review_id", score="review_score", comment="review_comment_message"),
+        geo=renamed("geolocation", zip="geolocation_zip_code_prefix", lat="geolocation_lat", lng="geolocation_lng"),
+        sellers=renamed("sellers", seller_id="seller_id"),
+        leads=renamed("leads_qualified", lead_id="mql_id", origin="origin"),
+        closed=renamed("leads_closed", lead_id="mql_id"))
 
 
 # ---------------------------------------------------------------------------
@@ -131,51 +187,66 @@ def star_tables(spark: SparkSession, root: str) -> Tables:
     def t(name):
         return read_table(spark, root, name)
 
-    customer, nation, lineitem, part = t("customer"), t("nation"), t("lineitem"), t("part")
-    orders_raw, supplier = t("orders"), t("supplier")
-
-    orders = star_orders(orders_raw)
-    customers = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
-        F.col("c_custkey").alias("customer_id"),
-        (F.col("c_custkey") - F.col("c_custkey") % 2).alias("person_id"),
-        F.col("n_name").alias("city"), F.col("c_nationkey").alias("zip"))
-    items = lineitem.select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_extendedprice").cast(MONEY).alias("price"),
-        F.col("l_quantity").cast(MONEY).alias("freight"))
-    pk = F.col("p_partkey")
-    products = part.select(
-        pk.alias("product_id"),
-        F.when(pk % 50 != 0, F.col("p_brand")).alias("category_code"),
-        F.when(pk % 40 != 7, F.col("p_size") * 100).alias("weight_g"))
-    category_names = (part.filter(F.col("p_brand") != "Brand#25")
-                      .select(F.col("p_brand").alias("category_code"),
-                              F.lower("p_brand").alias("category")).distinct())
-    payments = lineitem.select(F.col("l_orderkey").alias("order_id"),
-                               F.col("l_extendedprice").cast(MONEY).alias("payment"))
-    ok = F.col("o_orderkey")
-    reviews = (orders_raw.filter(ok % 10 != 0)
-               .select(ok.alias("order_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("score"))
-               .unionByName(orders_raw.filter(ok % 20 == 1)
-                            .select(ok.alias("order_id"), F.lit(1).alias("score"))))
-    docs, labels = t("documents"), t("labels")
-    comments = docs.join(labels, "doc_id").select(
-        F.col("doc_id").alias("review_id"),
-        F.when(F.col("quality") == 0, 1 + F.col("toxic")).otherwise(4 + F.col("toxic")).alias("score"),
-        F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("comment"))
-    geo = supplier.select(F.col("s_nationkey").alias("zip"),
-                          F.col("s_acctbal").cast(MONEY).alias("lat"),
-                          F.col("s_suppkey").cast(MONEY).alias("lng"))
-    sellers = supplier.select(F.col("s_suppkey").alias("seller_id")).unionByName(
-        spark.range(1).select(F.lit(-1).cast("bigint").alias("seller_id")))
-    leads = customer.select(F.col("c_custkey").alias("lead_id"),
-                            F.nullif(F.col("c_mktsegment"), F.lit("HOUSEHOLD")).alias("origin"))
-    closed = orders_raw.filter((F.col("o_orderpriority") == "1-URGENT")
-                               & (F.col("o_orderdate") >= F.to_timestamp_ntz(F.lit("2001-01-01 00:00:00")))
-                               ).select(F.col("o_custkey").alias("lead_id"))
-    return Tables(orders, customers, items, products, category_names, payments, reviews, comments,
-                  geo, sellers, leads, closed)
+    def customers():
+        customer, nation = t("customer"), t("nation")
+        return customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
+            F.col("c_custkey").alias("customer_id"),
+            (F.col("c_custkey") - F.col("c_custkey") % 2).alias("person_id"),
+            F.col("n_name").alias("city"), F.col("c_nationkey").alias("zip"))
+
+    def items():
+        return t("lineitem").select(
+            F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+            F.col("l_suppkey").alias("seller_id"),
+            F.col("l_extendedprice").cast(MONEY).alias("price"),
+            F.col("l_quantity").cast(MONEY).alias("freight"))
+
+    def products():
+        pk = F.col("p_partkey")
+        return t("part").select(
+            pk.alias("product_id"),
+            F.when(pk % 50 != 0, F.col("p_brand")).alias("category_code"),
+            F.when(pk % 40 != 7, F.col("p_size") * 100).alias("weight_g"))
+
+    def category_names():
+        return (t("part").filter(F.col("p_brand") != "Brand#25")
+                .select(F.col("p_brand").alias("category_code"), F.lower("p_brand").alias("category")).distinct())
+
+    def payments():
+        return t("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_extendedprice").cast(MONEY).alias("payment"))
+
+    def reviews():
+        orders, ok = t("orders"), F.col("o_orderkey")
+        return (orders.filter(ok % 10 != 0)
+                .select(ok.alias("order_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("score"))
+                .unionByName(orders.filter(ok % 20 == 1).select(ok.alias("order_id"), F.lit(1).alias("score"))))
+
+    def comments():
+        return t("documents").join(t("labels"), "doc_id").select(
+            F.col("doc_id").alias("review_id"),
+            F.when(F.col("quality") == 0, 1 + F.col("toxic")).otherwise(4 + F.col("toxic")).alias("score"),
+            F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("comment"))
+
+    def geo():
+        return t("supplier").select(F.col("s_nationkey").alias("zip"), F.col("s_acctbal").cast(MONEY).alias("lat"),
+                                    F.col("s_suppkey").cast(MONEY).alias("lng"))
+
+    def sellers():
+        return t("supplier").select(F.col("s_suppkey").alias("seller_id")).unionByName(
+            spark.range(1).select(F.lit(-1).cast("bigint").alias("seller_id")))
+
+    def leads():
+        return t("customer").select(F.col("c_custkey").alias("lead_id"),
+                                    F.nullif(F.col("c_mktsegment"), F.lit("HOUSEHOLD")).alias("origin"))
+
+    def closed():
+        urgent = F.col("o_orderpriority") == "1-URGENT"
+        late = F.col("o_orderdate") >= F.to_timestamp_ntz(F.lit("2001-01-01 00:00:00"))
+        return t("orders").filter(urgent & late).select(F.col("o_custkey").alias("lead_id"))
+
+    return Tables(orders=lambda: star_orders(t("orders")), customers=customers, items=items, products=products,
+                  category_names=category_names, payments=payments, reviews=reviews, comments=comments, geo=geo,
+                  sellers=sellers, leads=leads, closed=closed)
 
 
 # ---------------------------------------------------------------------------
@@ -194,14 +265,12 @@ def colocate_order_facts(tables: Tables, location: str, buckets: int, database:
     (a shared folder on a cluster); returns the same canonical model reading them.
     Worth it when the facts are queried repeatedly.
     """
-    from dataclasses import replace
-
     spark = tables.orders.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     stored = {}
     for name in ORDER_KEYED:
         full = f"{database}.{name}"
         (getattr(tables, name).write.mode("overwrite").bucketBy(buckets, "order_id").sortBy("order_id")
-         .option("path", os.path.join(location, name)).saveAsTable(full))
+         .option("path", f"{location.rstrip('/')}/{name}").saveAsTable(full))
         stored[name] = spark.table(full)
-    return replace(tables, **stored)
+    return tables.replaced(**stored)
