@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradelens.session import shared_folder
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -22,6 +27,25 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this library where it lies (a session may be started from any folder).
+
+    On a cluster whose nodes do not share that place, ship the library with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+    return spark
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame, written as Parquet in the shared folder and read again: for wide rows that are read in parts."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     while name.lower() in (c.lower() for c in df.columns):

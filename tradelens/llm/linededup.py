@@ -12,7 +12,7 @@ the order of the work.
 3. Similar sets share a word among the first ``n - ceil(t n) + 1`` of each (prefix filter); lengths, positions and
    a bitmap that bounds the symmetric difference from below rule out most pairs inside the join.
 4. Large families of near copies would make pairs by the square of their size.  So lines that share two
-   neighbouring prefix words are first held against the earliest of them; lines that match it are
+   neighbouring prefix words are first held against the one of the smallest doc_id; lines that match it are
    decided and no longer look for partners (they remain partners of others).
 5. Candidates are verified on the lines' words.
 
@@ -28,10 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import spare, texts_of
+from tradelens.llm.common import spare, stored, texts_of
 from tradelens.session import cut_lineage
 
 CLASS_BITS = 18
+#: Size of the bitmap that sorts out lines before they are read again, whatever the input.
+SIEVE_BITS = 22
 _WORDS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -90,23 +92,41 @@ def _may_match(percent: int, a: str = "", b: str = "o_") -> Column:
             & (differ * (100 + percent) <= (n + m) * (100 - percent)))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """``key`` of the lines for which a pair (``key, o_key``) names an earlier similar line."""
+def _sieve(spark: SparkSession, places: DataFrame) -> DataFrame:
+    """One row: a bitmap of the hashed ``doc_id, line_no``, as an array of longs of fixed length."""
+    slot = _slot(F.col("doc_id"), F.col("line_no"))
+    words = places.groupBy(F.shiftright(slot, 6).cast("long").alias("id")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)))).alias("bits"))
+    table = spark.range(1 << (SIEVE_BITS - 6)).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0)).cast("long").alias("bits"))
+    return table.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda e: e["bits"]).alias("sieve"))
+
+
+def _slot(doc_id: Column, line_no: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, line_no), F.lit(1 << SIEVE_BITS)).cast("int")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``key`` of the later line of every pair (``key, o_key``) of similar lines.
+
+    The lines are read from the texts again.  A bitmap of fixed size drops most lines that no pair names
+    before they are shuffled; where it lets others pass, the join drops them.
+    """
     pairs = cut_lineage(pairs.distinct())
     keys = pairs.select(F.explode(F.array("key", "o_key")).alias("key")).distinct()
-    wanted = reps.select("key", "doc_id", "line_no").join(keys, "key", "left_semi")
-    # the lines of a representative, one row for each even where rows share a doc_id
-    found = (_lines(texts.join(wanted.select("doc_id").distinct().withColumnRenamed("doc_id", "w_id"),
-                               F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi"))
-             .join(wanted.select("key", F.col("doc_id").alias("w_id"), F.col("line_no").alias("w_no")),
-                   F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("line_no") == F.col("w_no")))
-             .select("key", "doc_id", "line_no", _hashes(F.col("line")).alias("words")))
-    found = cut_lineage(found)
+    wanted = cut_lineage(classes.join(keys, "key", "left_semi").select("key", "doc_id", "line_no"))
+    slot = _slot(F.col("doc_id"), F.col("line_no").cast("int"))
+    sieve = _sieve(texts.sparkSession, wanted).scalar()
+    kept = sieve[F.shiftright(slot, 6)].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63))))
+    lines = _lines(texts).where(kept != 0)
+    place = wanted.select("key", F.col("doc_id").alias("w_id"), F.col("line_no").alias("w_no"))
+    found = cut_lineage(lines.join(place, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("line_no") == F.col("w_no")))
+                        .select("key", "doc_id", "line_no", _hashes(F.col("line")).alias("words")))
     other = found.toDF("o_key", "o_doc", "o_line", "o_words")
     both = pairs.join(found, "key").join(other, "o_key")
     shared = F.size(F.array_intersect("words", "o_words"))
     similar = shared * 100 >= (F.size("words") + F.size("o_words") - shared) * percent
-    return both.where(_earlier(F.col("o_doc"), F.col("o_line"), F.col("doc_id"), F.col("line_no")) & similar).select("key").distinct()
+    first = _earlier(F.col("doc_id"), F.col("line_no"), F.col("o_doc"), F.col("o_line"))
+    return both.where(similar).select(F.when(first, F.col("o_key")).otherwise(F.col("key")).alias("key")).distinct()
 
 
 def _earlier(doc: Column, line: Column, than_doc: Column, than_line: Column) -> Column:
@@ -117,36 +137,40 @@ def _earlier(doc: Column, line: Column, than_doc: Column, than_line: Column) ->
 def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line_no, removed`` of every line of every document."""
     texts = texts_of(docs, id_col, text_col)
-    lines = cut_lineage(line_sets(texts, percent))
-    reps = (lines.where("n > 0").groupBy("key")
-            .agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"),
-                 F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-            .select("key", "at.doc_id", "at.line_no", "n", "prefix", "bits"))
+    lines = stored(line_sets(texts, percent))
+    classes = lines.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("key", "at.*")
 
-    # lines with two neighbouring prefix words in common, against the earliest of them
+    # lines with two neighbouring prefix words in common, against the one of the smallest doc_id
     twos = F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.greatest(F.size("prefix") - 1, F.lit(1)))),
                        lambda i: F.xxhash64(F.element_at("prefix", i), F.try_element_at("prefix", i + 1)))
-    families = reps.select("key", "n", "bits", "doc_id", "line_no", F.explode(twos).alias("family"))
+    families = (lines.where("n > 0").select("key", "n", "bits", "doc_id", F.explode(twos).alias("family"))
+                .repartition("family"))  # one shuffle for both sides of the join
     heads = (families.groupBy("family")
-             .agg(F.min(F.struct("doc_id", "line_no", "key", "n", "bits")).alias("h"), F.count("*").alias("members"))
-             .where("members > 1").select("family", F.col("h.key").alias("o_key"), F.col("h.n").alias("o_n"), F.col("h.bits").alias("o_bits")))
-    stars = families.join(heads, "family").where((F.col("key") != F.col("o_key")) & _may_match(percent)).select("key", "o_key")
-    decided = cut_lineage(_verified(stars, reps, texts, percent))
-
-    # the rest, against every line that shares a prefix word
-    entry = F.posexplode("prefix").alias("place", "word")
-    index = reps.select("key", "n", "bits", entry)
-    probe = index.join(decided, "key", "left_anti")
+             .agg(F.min(F.struct("doc_id", "key", "n", "bits")).alias("h"), F.count("*").alias("members"))
+             .where("members > 1").select("family", F.col("h.doc_id").alias("o_doc"), F.col("h.key").alias("o_key"),
+                                          F.col("h.n").alias("o_n"), F.col("h.bits").alias("o_bits")))
+    # the condition on doc_id always holds; it keeps the columns of both branches alike, so that they share a shuffle
+    stars = families.join(heads, "family").where(
+        (F.col("key") != F.col("o_key")) & F.coalesce(F.col("o_doc") <= F.col("doc_id"), F.lit(True)) & _may_match(percent)
+    ).select(F.least("key", "o_key").alias("key"), F.greatest("key", "o_key").alias("o_key"))
+    decided = cut_lineage(_verified(stars, classes, texts, percent))
+
+    # the rest, against every line that shares a prefix word; equal sets are one row from here on
+    sets = (lines.where("n > 0").select("key", "n", "bits", "prefix").dropDuplicates(["key"])
+            .join(decided.withColumn("done", F.lit(True)), "key", "left"))
+    index = (sets.select("key", "n", "bits", F.col("done").isNotNull().alias("done"), F.posexplode("prefix").alias("place", "word"))
+             .repartition("word"))
     other = index.select(*[F.col(c).alias(f"o_{c}") for c in index.columns])
     n, m = F.col("n"), F.col("o_n")
     least_shared = F.floor(((n + m) * percent + 99 + percent) / (100 + percent))  # ceil(t / (1 + t) * (n + m))
     in_reach = F.least(n - F.col("place"), m - F.col("o_place")) >= least_shared
-    pairs = probe.join(other, F.col("word") == F.col("o_word")).where(
-        (F.col("key") != F.col("o_key")) & in_reach & _may_match(percent)).select("key", "o_key")
-    more = _verified(pairs, reps, texts, percent)
+    # both sides of the join have the same columns and no filter of their own, so they share a shuffle
+    pairs = index.join(other, (F.col("word") == F.col("o_word")) & (F.col("key") < F.col("o_key"))
+                       & ~(F.col("done") & F.col("o_done")) & in_reach & _may_match(percent)).select("key", "o_key")
+    more = _verified(pairs, classes, texts, percent)
 
-    gone = decided.union(more).withColumn("matched", F.lit(True))
-    firsts = reps.select("key", F.col("doc_id").alias("r_doc"), F.col("line_no").alias("r_line")).join(gone, "key", "left")
+    gone = decided.union(more).distinct().withColumn("matched", F.lit(True))
+    firsts = classes.select("key", F.col("doc_id").alias("r_doc"), F.col("line_no").alias("r_line")).join(gone, "key", "left")
     marked = lines.select("doc_id", "line_no", "key").join(firsts, "key", "left")
     copy = _earlier(F.col("r_doc"), F.col("r_line"), F.col("doc_id"), F.col("line_no"))
     return marked.select("doc_id", "line_no", F.coalesce(F.col("r_line").isNotNull() & (copy | F.coalesce("matched", F.lit(False))),
