@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradelens.llm import langid, linededup, neardup, packing, secrets
-from tradelens.llm.common import read_table
+from tradelens.llm.common import importable, read_table
 from tradelens.session import shared_folder
 
 #: Cosine with the nearest language prototype under which a document is in no known language.
@@ -59,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is written to the shared folder."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_table(importable(spark), sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -189,11 +189,12 @@ def identify(docs: DataFrame, dim: int = DIM) -> DataFrame:
     return predict_languages(rows.drop("lang"), prototypes)
 
 
-def keep_recognised(docs: DataFrame, min_score: float, dim: int = DIM) -> DataFrame:
+def keep_recognised(docs: DataFrame, min_score: float, min_letters: int = 50, dim: int = DIM) -> DataFrame:
     """The rows whose text has letters and reaches ``min_score`` with some language, all columns unchanged.
 
-    Prototypes are learned from the labelled rows outside the held-out fold.  Without any prototype there is
-    nothing to compare with, and all rows with letters stay.
+    The cosine of a text with fewer than ``min_letters`` letters is mostly chance, so such texts stay if
+    they have any letter.  Prototypes are learned from the labelled rows outside the held-out fold.  Without any
+    prototype there is nothing to compare with, and all rows with letters stay.
     """
     labelled = docs.where(~held_out(docs["doc_id"])).select(docs["lang"].alias("lang"), docs["text"].alias("text"))
     prototypes = learn_prototypes(labelled, dim)
@@ -201,7 +202,8 @@ def keep_recognised(docs: DataFrame, min_score: float, dim: int = DIM) -> DataFr
         return docs.where(F.col("text").rlike("\\p{L}"))
     ours = {c: spare(docs, f"own_{c}") for c in docs.columns if c.lower() in ("lang_pred", "score")}
     renamed = docs.withColumnsRenamed(ours)
-    kept = predict_languages(renamed, prototypes).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
+    few = F.length(F.regexp_replace("text", "[^\\p{L}]", "")) < min_letters
+    kept = predict_languages(renamed, prototypes).where((F.col("lang_pred") != UNDETERMINED) & ((F.col("score") >= min_score) | few))
     return kept.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in ours.items()})
 
 

@@ -352,3 +352,29 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def op4(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+  from words
+), elements as (
+  select doc_id, len(s) as n, unnest(s) as x from sets
+), links as (
+  select a.doc_id as a, b.doc_id as b
+  from elements a join elements b on a.x = b.x and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), edges as (
+  select a, b from links union all select b, a from links
+), reach(doc_id, root) as (
+  select doc_id, doc_id from sets union select edges.b, reach.root from reach join edges on edges.a = reach.doc_id
+)
+select sets.doc_id, len(any_value(s)) as n_shingles, min(root) as component_id, min(root) = sets.doc_id as kept
+from sets join reach on reach.doc_id = sets.doc_id group by sets.doc_id
+"""

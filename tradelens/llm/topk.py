@@ -136,4 +136,18 @@ def nra_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows:
 
 def op2(embeddings: DataFrame) -> DataFrame:
     vectors = scaled_vectors(embeddings)
-    return nra_topk(vectors.where(F.col("id") % 50 == 0), vectors)
+    return nra_topk(vectors.where(F.col("id") % 50 == 0), vectors).drop("read")
+
+
+ORACLE_SQL = """
+with usable as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from usable q join usable c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 5
+"""
