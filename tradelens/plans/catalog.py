@@ -73,6 +73,7 @@ REPORTS: dict[str, Callable] = {
     "clv_by_area": R.clv_by_area,
     "clv_by_area_raw": R.clv_by_area_raw,
     "clv_bubbles": R.clv_bubbles,
+    "clv_popups": R.clv_popups,
     "frequent_products": R.frequent_products,
     "co_purchased_products": R.co_purchased_products,
     "co_sold_sellers": R.co_sold_sellers,

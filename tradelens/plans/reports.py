@@ -535,6 +535,14 @@ def clv_bubbles(t: Tables, p: Params) -> DataFrame:
     return bubble_scale(clv_by_area(t, p), "customer_count", "avg_clv")
 
 
+def clv_popups(t: Tables, p: Params) -> DataFrame:
+    """Map popups: a line of text per zip prefix (F23), and the customer count on a log axis."""
+    area = clv_by_area(t, p).select("zip_prefix", "customer_count")
+    text = F.concat(F.lit("Zip "), F.col("zip_prefix").cast("string"), F.lit(": "),
+                    F.col("customer_count").cast("string"), F.lit(" customers"))
+    return area.select("zip_prefix", text.alias("popup"), F.round(F.log10("customer_count"), 9).alias("log_customers"))
+
+
 # ---------------------------------------------------------------------------
 # Product affinity
 # ---------------------------------------------------------------------------
