@@ -185,7 +185,7 @@ def neighbours_in_order(rows: DataFrame, ranges: int) -> DataFrame:
                             F.struct(F.col("_above").alias("_range"), F.lit(True).alias("_copy")))
                     ).otherwise(F.array(F.struct(F.col("_range"), F.lit(False).alias("_copy"))))
     out = out.select("doc_id", "text", F.explode(copies).alias("_at")).select("doc_id", "text", "_at.*")
-    return (out.repartition(ranges, "_range")
+    return (out.repartitionById(ranges, F.col("_range"))  # a partition for each range
             .sortWithinPartitions("_range", "_copy", F.col("doc_id").desc_nulls_last(), "text"))
 
 
