@@ -33,7 +33,7 @@ DIM = 1024
 NGRAM = 3
 SEED = 20240229
 UNDETERMINED = "und"
-_GRAMS_AT_ONCE = 4096
+_GRAMS_AT_ONCE = 1024
 _DOCS_AT_ONCE = 256
 _SUMS = "lang string, bundle binary"
 _STATE: dict[str, np.ndarray | dict] = {}
