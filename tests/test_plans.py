@@ -90,7 +90,5 @@ def test_few_jobs_while_plans_are_built(spark):
     most = {k: 20 for k in ("ntile_scores", "rfm_segments", "rfm_bubbles", "delivery_box_stats", "weight_box_stats",
                             "category_median_weight", "ordered_weights", "december_forecast")} | {"table_preview": 1}
     for key, fn in queries().items():
-        if key.startswith("op") or key == "pipeline":
-            continue
         jobs = _jobs_while(spark, f"building {key}", lambda fn=fn: fn(spark, SF_SMALL))
         assert jobs <= most.get(key, 0), (key, jobs)
