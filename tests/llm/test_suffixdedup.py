@@ -59,16 +59,25 @@ def test_planted_passages(spark):
         assert got(df, block_bytes=block_bytes) == brute(rows)
 
 
-def test_small_sorts_change_nothing(spark, small_docs, monkeypatch):
+def test_windows_of_segments(small_docs):
     segments = [d["text"][:200].encode() for d in small_docs if len(d["text"]) > 60] * 2
     least = np.arange(len(segments))[::-1].copy()
-    values = sd.equal_windows(segments, least)
+    length = np.array([len(s) for s in segments])
+    raw = np.frombuffer(b"".join(segments), np.uint8)
+    owner, offset, value = sd.equal_windows(raw, np.cumsum(length) - length, length, least)
     where = {}
     for s, low in zip(segments, least):
         for a in range(len(s) - 49):
             w = s[a:a + 50]
             where[w] = min(where.get(w, low), low)
-    assert all(v[a] == where[s[a:a + 50]] for s, v in zip(segments, values) for a in range(len(v)))
+    assert len(value) == sum(len(s) - 49 for s in segments)
+    assert all(v == where[segments[i][a:a + 50]] for i, a, v in zip(owner, offset, value))
+
+
+def test_parts_of_anchors_are_even(small_docs):
+    h = np.concatenate([sd.anchors(d["text"].encode())[0] for d in small_docs])
+    counts = np.bincount(sd._range_of(h, 20).astype(int), minlength=20)
+    assert counts.max() < 2 * counts.min()
 
 
 def test_suffix_order_and_common_prefixes():

@@ -41,10 +41,9 @@ WIDTH = 50
 GRAM = 16
 #: Bytes to which suffixes are sorted; at least the width, in whole words of 8.
 DEPTH = 56
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of segments that are sorted at a time (the segments of one anchor stay together).
-SORT_BYTES = 2 << 20
-_HASH_BITS = 48
+SORT_BYTES = 1 << 20
 _NO_ID = np.iinfo(np.int64).min
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _SEPARATOR = 0xFF  # in no UTF-8 text
@@ -107,10 +106,8 @@ def suffix_order(data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     # a larger suffix follows from its successor, so the successors up to the next direct one are needed too
     chain = np.where(direct, np.arange(n), n - 1)
     ends = np.minimum.accumulate(chain[::-1])[::-1]
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, np.flatnonzero(wanted), 1)
-    np.add.at(edge, ends[wanted] + 1, -1)
-    needed = np.cumsum(edge[:-1]) > 0
+    edge = wanted - np.bincount(ends[wanted] + 1, minlength=n + 1)[:n]
+    needed = np.cumsum(edge) > 0
     padded = np.append(data, np.zeros(DEPTH + 8, np.uint8))
     start = _sorted_directly(padded, np.flatnonzero(needed & direct))
     induced = needed & ~direct
@@ -167,15 +164,20 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 # -- anchors and segments ---------------------------------------------------------------------------
 
+def _grams(data: bytes) -> np.ndarray:
+    """Hashes of all spans of GRAM bytes."""
+    view = np.lib.stride_tricks.as_strided(np.frombuffer(data, np.uint8), (len(data) - 7, 8), (1, 1))
+    eight = np.ascontiguousarray(view).view("<u8").ravel()
+    grams = eight[:-8] * _MIX[0] ^ (eight[8:] * _MIX[1] >> np.uint64(7))
+    return (grams ^ grams >> np.uint64(29)) * _MIX[2]
+
+
 def anchors(data: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a text: the hash of each anchor, and the first and last window start that it is the anchor of."""
     n = len(data) - width + 1
     if n <= 0:
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
-    view = np.lib.stride_tricks.as_strided(np.frombuffer(data, np.uint8), (len(data) - 7, 8), (1, 1))
-    eight = np.ascontiguousarray(view).view("<u8").ravel()
-    grams = eight[:-8] * _MIX[0] ^ (eight[8:] * _MIX[1] >> np.uint64(7))
-    grams = (grams ^ grams >> np.uint64(29)) * _MIX[2]
+    grams = _grams(data)
     # the place, modulo 2**16, under the hash: the smallest is found by minima over growing spans
     place = np.arange(len(grams), dtype=np.uint64)
     least = (grams >> np.uint64(16) << np.uint64(16)) | place & np.uint64(0xFFFF)
@@ -189,12 +191,12 @@ def anchors(data: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np
     return least[first] >> np.uint64(16), first, np.append(first[1:], n) - 1
 
 
-def _segment_hashes(data: bytes, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of the segments, from prefix sums of random byte values times powers."""
+def _segment_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans, from prefix sums of random byte values times powers."""
     values = _BYTES[np.frombuffer(data, np.uint8)]
     power, inverse = _powers(len(data))
     sums = np.append(np.uint64(0), np.cumsum(values * power))
-    h = (sums[last + width] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _MIX[0]
+    h = (sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _MIX[0]
     h = (h ^ h >> np.uint64(31)) * _MIX[1]
     return h ^ h >> np.uint64(29)
 
@@ -224,7 +226,8 @@ def _split(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    return (hashes >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(_HASH_BITS - 16)
+    """The part of each anchor.  Anchors are minima, so their hashes crowd near 0 and are mixed again."""
+    return (hashes * _MIX[0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
 
 
 # -- the passes -------------------------------------------------------------------------------------
@@ -301,7 +304,7 @@ def _repeated(key: tuple, table: pa.Table) -> pa.Table:
                     schema=arrow_schema("block int, hashes binary"))
 
 
-_MESSAGE = "part int, block int, anchor binary, segment binary, lengths binary, least binary, most binary, bytes binary"
+_MESSAGE = "part int, block int, packed binary"
 _ANSWER = "block int, segment binary, first binary, last binary, least binary"
 
 
@@ -320,7 +323,7 @@ def _segments(ranges: int, width: int):
             at = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
             if not len(at):
                 continue
-            names = _segment_hashes(data, first[at], last[at], width).tolist()
+            names = _segment_hashes(data, first[at], last[at] + width).tolist()
             for name, anchor, a, b in zip(names, h[at].tolist(), first[at].tolist(), last[at].tolist()):
                 entry = seen.get(name)
                 if entry is None:
@@ -331,54 +334,67 @@ def _segments(ranges: int, width: int):
                     entry[3] = doc_id
         if not seen:
             return schema.empty_table()
-        names = np.fromiter(seen, np.uint64, len(seen))
         entries = list(seen.values())
+        seen.clear()
         anchor = np.array([e[0] for e in entries], np.uint64)
         block = docs.column("block")[0].as_py()
+        press = zstandard.ZstdCompressor(level=1)
         out: dict[str, list] = {f.name: [] for f in schema}
         for part, at in _split(_range_of(anchor, ranges).astype(np.int64)):
-            own = [entries[i] for i in at]
+            own = sorted((entries[i] for i in at), key=lambda e: e[2])
+            least = np.array([e[2] for e in own], np.int64)
+            head = [np.array([len(own)], np.int64), np.array([len(e[1]) for e in own], np.int64), np.diff(least, prepend=np.int64(0)),
+                    np.array([e[3] for e in own], np.int64) - least]
             out["part"].append(part)
             out["block"].append(block)
-            out["anchor"].append(anchor[at].tobytes())
-            out["segment"].append(names[at].tobytes())
-            out["lengths"].append(np.array([len(e[1]) for e in own], np.int32).tobytes())
-            out["least"].append(np.array([e[2] for e in own], np.int64).tobytes())
-            out["most"].append(np.array([e[3] for e in own], np.int64).tobytes())
-            out["bytes"].append(b"".join(e[1] for e in own))
+            out["packed"].append(press.compress(b"".join([*(h.tobytes() for h in head), *(e[1] for e in own)])))
         return pa.table(out, schema=schema)
     return run
 
 
-def equal_windows(segments: list[bytes], least: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
-    """For each window of each segment the smallest ``least`` of all segments that hold an equal window."""
-    data = np.frombuffer(b"".join(s + bytes([_SEPARATOR]) for s in segments), np.uint8)
-    lengths = np.array([len(s) + 1 for s in segments])
-    starts = np.cumsum(lengths) - lengths
-    windows = lengths - width
-    wanted = np.zeros(len(data), bool)
-    for a, k in zip(starts.tolist(), windows.tolist()):
-        wanted[a:a + k] = True
+def _message(packed: bytes, width: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a message: the bytes, and of each segment its length, name, anchor, least and most doc_id."""
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    lengths, steps, spread = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n)
+    data, least = raw[8 + 24 * n:], np.cumsum(steps)
+    ends = np.cumsum(lengths)
+    grams = _grams(data) >> np.uint64(16)
+    # the anchor of a segment is that of its first window
+    anchor = np.concatenate([np.zeros(0, np.uint64), *(
+        grams[(ends - lengths)[i:i + 4096, None] + np.arange(width - GRAM + 1)].min(axis=1) for i in range(0, n, 4096))])
+    return data, lengths, _segment_hashes(data, ends - lengths, ends), anchor, least, least + spread
+
+
+def equal_windows(raw: np.ndarray, start: np.ndarray, length: np.ndarray, least: np.ndarray,
+                  width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of the segments ``raw[start:start + length]``: its segment, its offset there, and the
+    smallest ``least`` of all segments that hold an equal window."""
+    size = length + 1  # with a separator
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(size)), size)
+    offset = np.arange(len(owner)) - begin[owner]
+    data = np.where(offset < length[owner], raw[np.minimum(start[owner] + offset, len(raw) - 1)], np.uint8(_SEPARATOR)).astype(np.uint8)
+    wanted = offset <= (length - width)[owner]
     order = suffix_order(data, wanted)
     new = common_prefixes(data, order) < width
-    new[0] = True
-    owner = np.searchsorted(starts, order, side="right") - 1
+    new[:1] = True
     runs = np.flatnonzero(new)
-    lowest = np.minimum.reduceat(least[owner], runs)
     value = np.zeros(len(data), np.int64)
-    value[order] = np.repeat(lowest, np.diff(np.append(runs, len(order))))
-    return [value[a:a + k] for a, k in zip(starts.tolist(), windows.tolist())]
+    if len(order):
+        lowest = np.minimum.reduceat(least[owner[order]], runs)
+        value[order] = np.repeat(lowest, np.diff(np.append(runs, len(order))))
+    return owner[wanted], offset[wanted], value[wanted]
 
 
 def _sorted_range(width: int):
     """Of a hash range: suffix arrays of its segments, and the answers to the blocks."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        names = _joined(table, "segment", np.uint64)
-        anchor, least, most = _joined(table, "anchor", np.uint64), _joined(table, "least", np.int64), _joined(table, "most", np.int64)
-        counts = [len(s.as_py()) // 8 for s in table.column("segment")]
-        block = np.repeat(table.column("block").to_numpy(), counts)
-        lengths = _joined(table, "lengths", np.int32).astype(np.int64)
-        raw = b"".join(table.column("bytes").to_pylist())
+        data, *columns = zip(*(_message(p.as_py(), width) for p in table.column("packed")))
+        block = np.repeat(table.column("block").to_numpy(), [len(c) for c in columns[0]])
+        lengths, names, anchor, least, most = (np.concatenate(c) for c in columns)
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        del data, columns
         ends = np.cumsum(lengths)
         # equal segments of several blocks are one text with the smallest doc_id
         order = np.lexsort((names, anchor))
@@ -389,7 +405,7 @@ def _sorted_range(width: int):
         lowest = np.minimum.reduceat(least[order], heads)
         pick = order[heads]
         group = anchor[pick]
-        answers: dict[str, list] = {k: [] for k in ("text", "first", "last", "least")}
+        answers: list[tuple[np.ndarray, ...]] = []  # segment, first and last offset, smallest doc_id
         size = lengths[pick] + 1
         at = 0
         while at < len(pick):
@@ -399,16 +415,13 @@ def _sorted_range(width: int):
             if stop < len(pick) and group[stop] == group[stop - 1]:
                 back = int(np.searchsorted(group, group[stop], side="left"))
                 stop = back if back > at else int(np.searchsorted(group, group[stop], side="right"))
-            segments = [raw[ends[i] - lengths[i]:ends[i]] for i in pick[at:stop].tolist()]
-            for j, value in enumerate(equal_windows(segments, lowest[at:stop], width)):
-                cuts = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-                answers["text"].extend([at + j] * len(cuts))
-                answers["first"].extend(cuts.tolist())
-                answers["last"].extend((np.append(cuts[1:], len(value)) - 1).tolist())
-                answers["least"].extend(value[cuts].tolist())
+            own = pick[at:stop]
+            segment, offset, value = equal_windows(raw, ends[own] - lengths[own], lengths[own], lowest[at:stop], width)
+            cuts = np.flatnonzero(np.append(True, (segment[1:] != segment[:-1]) | (value[1:] != value[:-1])))
+            close = np.append(cuts[1:], len(segment)) - 1
+            answers.append((segment[cuts] + at, offset[cuts].astype(np.int32), offset[close].astype(np.int32), value[cuts]))
             at = stop
-        owner, low = np.array(answers["text"], np.int64), np.array(answers["least"], np.int64)
-        first, last = np.array(answers["first"], np.int32), np.array(answers["last"], np.int32)
+        owner, first, last, low = (np.concatenate(c) for c in zip(*answers))
         runs = np.searchsorted(owner, np.arange(len(pick) + 1))
         # every block gets the runs of its segments that hold a smaller doc_id than one of its documents
         n_runs = (runs[1:] - runs[:-1])[text]
@@ -436,7 +449,7 @@ def _cut(width: int, with_bytes: bool):
         cover = np.zeros(len(data) + 1, np.int32)
         if doc_id != _NO_ID and len(names) and len(data) >= width:
             h, a, b = anchors(data, width)
-            own = _segment_hashes(data, a, b, width)
+            own = _segment_hashes(data, a, b + width)
             low, high = np.searchsorted(names, own, side="left"), np.searchsorted(names, own, side="right")
             n = high - low
             seg = np.repeat(np.arange(len(own)), n)
