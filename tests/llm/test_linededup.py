@@ -66,6 +66,24 @@ def test_documents_without_their_removed_lines(odd_docs, spark):
         [rows[0], (2, "keep two here", 13, "q"), rows[3], rows[4], rows[5]], key=lambda r: r[0])
 
 
+def test_rows_that_share_a_null_or_repeated_id_lose_their_own_lines_only(spark):
+    for i in (None, 7):
+        rows = [(i, "a b c\nx"), (i, "y\na b c"), (i, "y\na b c"), (i, "p q r s t u\nfirst here"), (i, "p q r s t u\nsecond there"),
+                (9, "k l m n o p q\nalone"), (9, "some\nk l m n o p z"), (9, "other\nk l m n o p q")]
+        out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        texts = sorted(r.text for r in out if r.doc_id == i)
+        assert texts.count("y") == 2 and "a b c\nx" in texts
+        assert sum("p q r s t u" in t for t in texts) == 1
+        assert {line for t in texts for line in t.split("\n")} == {"a b c", "x", "y", "p q r s t u", "first here", "second there"}
+        assert sorted(r.text for r in out if r.doc_id == 9) == ["k l m n o p q\nalone", "other", "some\nk l m n o p z"]
+
+
+def test_op1_reports_rows_of_one_id_as_its_sql(spark):
+    # lines of one id: of those that agree in line number none is earlier; words are compared within their own rows
+    rows = [(1, "a b c d e f g h i j\nu1"), (1, "k l m n o p\na b c d e f g h i j z"), (1, "k l m n o p\nu2"), (2, "v\nk l m n o p")]
+    check(rows, spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_weights_are_a_constant_and_not_in_rows(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = linededup.line_sets(docs, 80)._jdf.queryExecution().optimizedPlan().toString()

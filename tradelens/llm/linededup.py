@@ -18,9 +18,11 @@ the order of the work.
 
 Cases: words are runs of anything but ASCII white space, in lower case; lines without words are never
 removed; null and empty texts have one line without words; long lines and texts are taken whole; an
-equal line in the same document counts; rows with equal doc_id share their line numbers, and of rows that
-agree in doc_id and line number none is earlier; null doc_ids come first; an empty table gives no
-rows; other columns are not read.
+equal line in the same document counts; null doc_ids come first; an empty table gives no rows; other
+columns are not read.  A row is known by its doc_id and the hash of its text, so texts that share a null or
+repeated doc_id are told apart.  ``op1`` reports by doc_id, and as in its SQL, of lines that agree in doc_id
+and line number none is earlier; ``dedup_lines`` decides between those by the hash of the text, and only rows
+that agree in doc_id and text are treated alike.
 """
 
 from __future__ import annotations
@@ -44,7 +46,8 @@ def _hashes(line: Column) -> Column:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    return texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = texts.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    return rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def rarity(spark: SparkSession, hashes: DataFrame) -> DataFrame:
@@ -66,20 +69,20 @@ def _needed(n: Column, percent: int) -> Column:
 
 
 def line_sets(docs: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, line_no, key, n, prefix, bits`` of every line; ``key`` tells sets apart."""
+    """``doc_id, row, line_no, key, n, prefix, bits`` of every line; ``key`` tells sets apart."""
     spark, lines = docs.sparkSession, _lines(docs)
     words = lines.select(F.explode(_hashes(F.col("line"))).alias("h"))
     weights = rarity(spark, words).scalar()
     mask = F.lit((1 << CLASS_BITS) - 1)
     # the optimizer puts the one-row table, as a constant, where it is used once (tested: it is in no row)
-    lines = lines.select("doc_id", "line_no", "line", weights.alias("weights"))
+    lines = lines.select("doc_id", "row", "line_no", "line", weights.alias("weights"))
     code = F.sort_array(F.transform(_hashes(F.col("line")), lambda h: F.col("weights")[h.bitwiseAND(mask).cast("int")]
                                     .bitwiseOR(F.shiftrightunsigned(h, 12))))
-    coded = lines.select("doc_id", "line_no", code.alias("codes"))
+    coded = lines.select("doc_id", "row", "line_no", code.alias("codes"))
     n = F.size("codes")
     bits = F.aggregate("codes", F.lit(0).cast("long"),
                        lambda acc, c: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-    return coded.select("doc_id", "line_no", F.xxhash64("codes").alias("key"), n.alias("n"),
+    return coded.select("doc_id", "row", "line_no", F.xxhash64("codes").alias("key"), n.alias("n"),
                         F.slice("codes", 1, n - _needed(n, percent) + F.when(n > 0, 1).otherwise(0)).alias("prefix"),
                         bits.alias("bits"))
 
@@ -93,52 +96,61 @@ def _may_match(percent: int, a: str = "", b: str = "o_") -> Column:
 
 
 def _sieve(spark: SparkSession, places: DataFrame) -> DataFrame:
-    """One row: a bitmap of the hashed ``doc_id, line_no``, as an array of longs of fixed length."""
-    slot = _slot(F.col("doc_id"), F.col("line_no"))
+    """One row: a bitmap of the hashed ``doc_id, row, line_no``, as an array of longs of fixed length."""
+    slot = _slot()
     words = places.groupBy(F.shiftright(slot, 6).cast("long").alias("id")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)))).alias("bits"))
     table = spark.range(1 << (SIEVE_BITS - 6)).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0)).cast("long").alias("bits"))
     return table.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda e: e["bits"]).alias("sieve"))
 
 
-def _slot(doc_id: Column, line_no: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id, line_no), F.lit(1 << SIEVE_BITS)).cast("int")
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "row", F.col("line_no").cast("int")), F.lit(1 << SIEVE_BITS)).cast("int")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, by_row: bool) -> DataFrame:
     """``key`` of the later line of every pair (``key, o_key``) of similar lines.
 
     The lines are read from the texts again.  A bitmap of fixed size drops most lines that no pair names
-    before they are shuffled; where it lets others pass, the join drops them.
+    before they are shuffled; where it lets others pass, the join drops them.  Of equal rows one is read.
     """
     pairs = cut_lineage(pairs.distinct())
     keys = pairs.select(F.explode(F.array("key", "o_key")).alias("key")).distinct()
-    wanted = cut_lineage(classes.join(keys, "key", "left_semi").select("key", "doc_id", "line_no"))
-    slot = _slot(F.col("doc_id"), F.col("line_no").cast("int"))
+    wanted = cut_lineage(classes.join(keys, "key", "left_semi").select("key", "doc_id", "row", "line_no"))
+    slot = _slot()
     sieve = _sieve(texts.sparkSession, wanted).scalar()
     kept = sieve[F.shiftright(slot, 6)].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63))))
-    lines = _lines(texts).where(kept != 0)
-    place = wanted.select("key", F.col("doc_id").alias("w_id"), F.col("line_no").alias("w_no"))
-    found = cut_lineage(lines.join(place, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("line_no") == F.col("w_no")))
-                        .select("key", "doc_id", "line_no", _hashes(F.col("line")).alias("words")))
-    other = found.toDF("o_key", "o_doc", "o_line", "o_words")
+    # structs are equal where nulls in them meet; the join shares the shuffle of the aggregation
+    place = F.struct("doc_id", "row", F.col("line_no").cast("int").alias("line_no")).alias("place")
+    lines = _lines(texts).where(kept != 0).groupBy(place).agg(F.first("line").alias("line"))
+    found = cut_lineage(lines.join(wanted.select("key", place), "place")
+                        .select("key", "place.*", _hashes(F.col("line")).alias("words")))
+    other = found.toDF("o_key", "o_doc", "o_row", "o_line", "o_words")
     both = pairs.join(found, "key").join(other, "o_key")
     shared = F.size(F.array_intersect("words", "o_words"))
     similar = shared * 100 >= (F.size("words") + F.size("o_words") - shared) * percent
-    first = _earlier(F.col("doc_id"), F.col("line_no"), F.col("o_doc"), F.col("o_line"))
-    return both.where(similar).select(F.when(first, F.col("o_key")).otherwise(F.col("key")).alias("key")).distinct()
+    first, then = ("doc_id", "line_no", "row"), ("o_doc", "o_line", "o_row")
+    later = F.when(_earlier(first, then, by_row), F.col("o_key")).when(_earlier(then, first, by_row), F.col("key"))
+    return both.where(similar).select(later.alias("key")).where("key is not null").distinct()
 
 
-def _earlier(doc: Column, line: Column, than_doc: Column, than_line: Column) -> Column:
+def _earlier(at: tuple[str, str, str], than: tuple[str, str, str], by_row: bool) -> Column:
+    """Whether the line at ``doc_id, line_no, row`` comes before another one; without ``by_row``, by the first two only."""
+    (doc, line, row), (than_doc, than_line, than_row) = ([F.col(c) for c in names] for names in (at, than))
     first = F.when(doc.isNull() | than_doc.isNull(), doc.isNull() & than_doc.isNotNull()).otherwise(doc < than_doc)
-    return first | (doc.eqNullSafe(than_doc) & (line < than_line))
+    within = (line < than_line) | ((line == than_line) & (row < than_row)) if by_row else line < than_line
+    return first | (doc.eqNullSafe(than_doc) & within)
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line_no, removed`` of every line of every document."""
+def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+                  by_row: bool = False) -> DataFrame:
+    """``doc_id, row, line_no, removed`` of every line of every row (``row``: the hash of its text).
+
+    With ``by_row``, of lines that agree in doc_id and line number that of the smallest ``row`` is the earliest.
+    """
     texts = texts_of(docs, id_col, text_col)
     lines = stored(line_sets(texts, percent))
-    classes = lines.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("key", "at.*")
+    classes = lines.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("at")).select("key", "at.*")
 
     # lines with two neighbouring prefix words in common, against the one of the smallest doc_id
     twos = F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.greatest(F.size("prefix") - 1, F.lit(1)))),
@@ -153,7 +165,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     stars = families.join(heads, "family").where(
         (F.col("key") != F.col("o_key")) & F.coalesce(F.col("o_doc") <= F.col("doc_id"), F.lit(True)) & _may_match(percent)
     ).select(F.least("key", "o_key").alias("key"), F.greatest("key", "o_key").alias("o_key"))
-    decided = cut_lineage(_verified(stars, classes, texts, percent))
+    decided = cut_lineage(_verified(stars, classes, texts, percent, by_row))
 
     # the rest, against every line that shares a prefix word; equal sets are one row from here on
     sets = (lines.where("n > 0").select("key", "n", "bits", "prefix").dropDuplicates(["key"])
@@ -167,13 +179,14 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     # both sides of the join have the same columns and no filter of their own, so they share a shuffle
     pairs = index.join(other, (F.col("word") == F.col("o_word")) & (F.col("key") < F.col("o_key"))
                        & ~(F.col("done") & F.col("o_done")) & in_reach & _may_match(percent)).select("key", "o_key")
-    more = _verified(pairs, classes, texts, percent)
+    more = _verified(pairs, classes, texts, percent, by_row)
 
     gone = decided.union(more).distinct().withColumn("matched", F.lit(True))
-    firsts = classes.select("key", F.col("doc_id").alias("r_doc"), F.col("line_no").alias("r_line")).join(gone, "key", "left")
-    marked = lines.select("doc_id", "line_no", "key").join(firsts, "key", "left")
-    copy = _earlier(F.col("r_doc"), F.col("r_line"), F.col("doc_id"), F.col("line_no"))
-    return marked.select("doc_id", "line_no", F.coalesce(F.col("r_line").isNotNull() & (copy | F.coalesce("matched", F.lit(False))),
+    firsts = (classes.select("key", F.col("doc_id").alias("r_doc"), F.col("line_no").alias("r_line"), F.col("row").alias("r_row"))
+              .join(gone, "key", "left"))
+    marked = lines.select("doc_id", "row", "line_no", "key").join(firsts, "key", "left")
+    copy = _earlier(("r_doc", "r_line", "r_row"), ("doc_id", "line_no", "row"), by_row)
+    return marked.select("doc_id", "row", "line_no", F.coalesce(F.col("r_line").isNotNull() & (copy | F.coalesce("matched", F.lit(False))),
                                                          F.lit(False)).alias("removed"))
 
 
@@ -181,12 +194,13 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents without their removed lines; all other columns but ``n_chars`` stay as they are.
 
     Documents that lose all their lines with words go.  Documents without removed lines are not
-    touched; rows with equal doc_id lose the same line numbers.
+    touched; each row loses its own lines, also where several share a doc_id or have none.
     """
-    own, gone, left = (spare(docs, c) for c in ("_id", "_gone", "_left"))
-    marks = (removed_lines(docs, percent).where("removed").groupBy(F.col("doc_id").alias(own))
+    own, row, gone, left = (spare(docs, c) for c in ("_id", "_row", "_gone", "_left"))
+    marks = (removed_lines(docs, percent, by_row=True).where("removed").groupBy(F.col("doc_id").alias(own), F.col("row").alias(row))
              .agg(F.collect_set("line_no").alias(gone)))
-    rows = docs.join(marks, docs["doc_id"].eqNullSafe(marks[own]), "left")
+    same = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == marks[row]
+    rows = docs.join(marks, docs["doc_id"].eqNullSafe(marks[own]) & same, "left")
     untouched = F.col(gone).isNull()
     kept = F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.array_contains(gone, i))
     rows = rows.withColumn(left, F.when(untouched, F.col("text")).otherwise(F.array_join(kept, "\n")))
