@@ -100,6 +100,24 @@ def test_odd_documents(odd_docs, spark):
     assert ids == sorted(map(str, [0, 0, 1, 2, None, 4, 5, 7, 8, 9, 10, 12, 13]))
 
 
+def test_rows_that_share_a_null_or_repeated_id(spark):
+    """Nodes are texts: copies without a doc_id are found, and other texts of the same id stay."""
+    def text(c, last="z"):
+        return " ".join([f"{c}{i}" for i in range(80)] + [last])
+    rows = [(1, text("a")), (7, text("a", "y")), (7, text("b")), (7, text("b", "y")), (None, text("c")), (None, text("c", "y")),
+            (None, text("d")), (None, text("d")), (None, text("a")), (None, text("e")), (9, text("f")), (9, text("f")), (None, ""), (None, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    out = neardup.op4(df).collect()
+    assert len(out) == len(rows)
+    assert sorted((str(r.component_id), r.n_shingles) for r in out if r.kept) == sorted(
+        [("1", 77), ("7", 77), ("None", 77), ("None", 77), ("None", 77), ("9", 77), ("None", 0), ("None", 0)])
+    kept = [(r.doc_id, r.text) for r in neardup.one_of_each(df).collect()]
+    assert len(kept) == 8 and (1, text("a")) in kept and (9, text("f")) in kept and kept.count((None, "")) == 2
+    assert sorted(t.split()[0] for _, t in kept if t) == ["a0", "b0", "c0", "d0", "e0", "f0"]
+    assert sorted(t.split()[0] for i, t in kept if i == 7) == ["b0"]
+    assert sorted(t.split()[0] for i, t in kept if i is None and t) == ["c0", "d0", "e0"]
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(3)
     m = 4096 // 2

@@ -5,11 +5,11 @@ exponentially distributed hashes of the set's elements, on a logarithmic scale a
 small whole number: ``floor(1 - log_b(min))``.  Sketches of unions merge by the larger register, and two
 registers agree about as often as the sets overlap.
 
-1. Documents with equal sets form a class; its smallest doc_id stands for it.
+1. Documents with equal sets form a class, a node with a number of its own; doc_ids name no nodes.
 2. The registers of a representative are cut into bands; equal bands put documents into one bucket.
    With ``rows`` registers a band and ``bands`` bands, a pair at similarity s meets in some bucket
    but for a chance of (1 - s**rows)**bands: 3e-7 at 0.85 with the defaults.
-3. Every member of a bucket is paired with the bucket's smallest id.  The joint likelihood of both
+3. Every member of a bucket is paired with the bucket's smallest node.  The joint likelihood of both
    sketches, with the exact set sizes, estimates the similarity; pairs far below the threshold go
    (``slack`` is four and a half standard deviations).  The others are confirmed on full sets.  Components follow.
 4. Buckets that still hold several components are searched once more: block against block, their
@@ -24,15 +24,17 @@ bounded size.  No links, components or sketches reach the driver.
 Cases: A-Z are lower-cased, words are runs of anything but ASCII white space; a text with fewer words
 than a shingle has its whole word sequence as its one element; null and empty texts and texts without
 words have no set and are linked with nothing; long texts are read whole; repeated rows are copies of each
-other; rows with a null doc_id take part but never name a component: alone, their component is null;
-an empty table gives no rows; other columns are not read.
+other; a row is known by its doc_id and the hash of its text, so texts that share a null or repeated
+doc_id are told apart.  Of each component one row is kept: that of the smallest doc_id, then of the smallest
+hash, and one of equal rows.  Rows with a null doc_id take part but never name a component: without others,
+their component is null; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.llm.common import arrow_schema, map_batches, spare, texts_of
@@ -152,7 +154,7 @@ def slack(threshold: float, m: int) -> float:
 
 
 def sketch_documents(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, width: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, signature, sketch``; equal sets have equal 128-bit signatures."""
+    """``doc_id, row, n_shingles, signature, sketch`` of ``doc_id, text, row``; equal sets have equal 128-bit signatures."""
     m = bands * rows
 
     def fn(batch: pa.RecordBatch) -> dict:
@@ -163,9 +165,9 @@ def sketch_documents(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
             both = np.array([found.sum(dtype=np.uint64), _mix(found * _WORD_ODD).sum(dtype=np.uint64)], np.uint64)
             signatures.append(both.tobytes())
             sketches.append(registers(found, m).tobytes())
-        return {"doc_id": batch.column(0), "n_shingles": sizes, "signature": signatures, "sketch": sketches}
+        return {"doc_id": batch.column(0), "row": batch.column(2), "n_shingles": sizes, "signature": signatures, "sketch": sketches}
 
-    return map_batches(docs, fn, "doc_id long, n_shingles long, signature binary, sketch binary")
+    return map_batches(docs, fn, "doc_id long, row long, n_shingles long, signature binary, sketch binary")
 
 
 def _bucket_rows(reps: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -190,12 +192,15 @@ def _likely(pairs: DataFrame, reps: DataFrame, cutoff: float, m: int) -> DataFra
     return map_batches(full, fn, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``id, elements`` of the documents named in ``ids``."""
+def _full_sets(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``id, elements`` of the ``nodes`` (``id, doc_id, row``); of equal rows one is read."""
     def sets(batch: pa.RecordBatch) -> dict:
         return {"id": batch.column(0), "elements": [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]}
 
-    return map_batches(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi"), sets, "id long, elements binary")
+    # structs are equal where nulls in them meet; the join shares the shuffle of the aggregation
+    place = F.struct("doc_id", "row").alias("place")
+    found = texts.groupBy(place).agg(F.first("text").alias("text")).join(nodes.select("id", place), "place")
+    return map_batches(found.select("id", "text"), sets, "id long, elements binary")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -299,55 +304,66 @@ def _across(buckets: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFr
     return likely.join(sets, "id").groupBy(*by).applyInArrow(confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, bands: int = BANDS,
-                    rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id, kept`` of every row.
-
-    Documents are linked where ``100 * intersection >= percent * union``; ``class_id`` is the smallest
-    doc_id with an equal set, ``component_id`` the smallest reachable by links.
-    """
+def _decided(docs: DataFrame, percent: int, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, row, n_shingles, class_id, component_id, kept`` of every row; ``row`` is the hash of its text."""
     m, threshold = bands * rows, percent / 100
     cutoff = threshold - slack(threshold, m)
-    texts = texts_of(docs, id_col, text_col)
-    sketched = cut_lineage(sketch_documents(texts, bands, rows, width))
+    texts = texts_of(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
+    sketched = cut_lineage(sketch_documents(texts, bands, rows, width).withColumn("number", F.monotonically_increasing_id()))
+    first_row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "number")
     classes = (sketched.where("n_shingles > 0").groupBy("signature")
-               .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("n_shingles").alias("n"), "sketch")).alias("r"))
-               .select("signature", F.col("r.doc_id").alias("id"), "r.n", "r.sketch"))
-    reps = cut_lineage(classes.where("id is not null"))
+               .agg(F.min(F.struct(first_row.alias("at"), F.col("n_shingles").alias("n"), "sketch")).alias("r"))
+               .select("signature", "r.*"))
+    # numbered once, in the files that all later steps read
+    reps = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()))
     buckets = cut_lineage(_bucket_rows(reps, bands, rows))
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1")
     buckets = cut_lineage(buckets.join(shared.select("bucket", "a"), "bucket"))
-    sets = cut_lineage(_full_sets(texts, buckets.select("id").distinct(), width))
+    nodes = reps.select("id", "at.doc_id", "at.row").join(buckets.select("id").distinct(), "id", "left_semi")
+    sets = cut_lineage(_full_sets(texts, nodes, width))
     stars = buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = cut_lineage(_confirmed(_likely(stars, reps, cutoff, m), sets, percent))
     first = cut_lineage(components(links))
     more = _across(buckets.select("bucket", "band", "id"), reps, first, sets, percent, cutoff, bands, rows)
     joined = components(links.union(more))
-    ids = (reps.select("signature", F.col("id").alias("class_id"))
-           .join(joined.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-           .select("signature", "class_id", F.coalesce("component", "class_id").alias("component_id")))
-    out = (sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("signature")).alias("signature"))
+    ids = cut_lineage(reps.select("signature", "id", "at").join(joined, "id", "left")
+                      .select("signature", "at", F.coalesce("component", "id").alias("component")))
+    heads = ids.groupBy("component").agg(F.min("at").alias("head"))
+    ids = ids.join(heads, "component").select("signature", F.col("at.doc_id").alias("class_id"), "head")
+    out = (sketched.select("doc_id", "row", "number", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("signature")).alias("signature"))
            .join(ids, "signature", "left"))
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"),
-                      component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    alone = F.col("head").isNull()  # no set
+    return out.select("doc_id", "row", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+                      F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
+                      (alone | (F.col("number") == F.col("head.number"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, bands: int = BANDS,
+                    rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, class_id, component_id, kept`` of every row.
+
+    Documents are linked where ``100 * intersection >= percent * union``; ``class_id`` is the smallest
+    doc_id with an equal set, ``component_id`` the smallest reachable by links.  One row of each component
+    is kept, and every row without words.
+    """
+    return _decided(docs, percent, width, bands, rows, id_col, text_col).drop("row")
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents without near duplicates: one row of each component, all columns unchanged.
 
-    Rows without words stay; so do rows with a null doc_id, which no decision can name.  Of equal
-    rows one stays.
+    Rows without words stay; rows with a null or repeated doc_id are decided by their texts.
     """
-    marks = near_duplicates(docs, percent=percent)
-    own, words, copy = (spare(docs, c) for c in ("_id", "_words", "_copy"))
-    kept = (marks.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(own))
-            .agg(F.max("n_shingles").alias(words)))
-    rows = docs.join(kept, docs["doc_id"] == F.col(own))
-    copies = Window.partitionBy(own, F.xxhash64("text")).orderBy(F.lit(0))
-    rows = rows.withColumn(copy, F.row_number().over(copies)).where((F.col(copy) == 1) | (F.col(words) == 0))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    place, whole = (spare(docs, c) for c in ("_place", "_whole"))
+    marks = _decided(docs, percent, SHINGLE, BANDS, BAND_ROWS, "doc_id", "text")
+    kept = marks.where("kept and n_shingles > 0").select(F.struct("doc_id", "row").alias(place))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    words = text.rlike("[^\\x20\\x09-\\x0D]")
+    own = F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("row"))
+    # equal rows meet before the shuffle, which the join shares
+    rows = (docs.where(words).groupBy(own.alias(place)).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(whole))
+            .join(kept, place, "left_semi"))
+    return rows.select(F.col(f"{whole}.*")).unionByName(docs.where(~words))
 
 
 def op4(docs: DataFrame) -> DataFrame:
