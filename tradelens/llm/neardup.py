@@ -8,7 +8,8 @@ registers agree about as often as the sets overlap.
 1. Documents with equal sets form a class, a node with a number of its own; doc_ids name no nodes.
 2. The registers of a representative are cut into bands; equal bands put documents into one bucket.
    With ``rows`` registers a band and ``bands`` bands, a pair at similarity s meets in some bucket
-   but for a chance of (1 - s**rows)**bands: 3e-7 at 0.85 with the defaults.
+   but for a chance of (1 - s**rows)**bands: 3e-7 at 0.85 with the defaults, but 6e-5 at 0.8,
+   the threshold of the pipeline.
 3. Every member of a bucket is paired with the bucket's smallest node.  The joint likelihood of both
    sketches, with the exact set sizes, estimates the similarity; pairs far below the threshold go
    (``slack`` is four and a half standard deviations).  The others are confirmed on full sets.  Components follow.
