@@ -7,8 +7,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tradelens.llm import (bpe, fingerprints, langid, linededup, neardup, packing, secrets, sharding,
-                           suffixdedup, topk)
+from tradelens.llm import (bpe, fingerprints, langid, linededup, neardup, packing, runs, secrets, sharding,
+                           suffixdedup, tokenfiles, topk)
 from tradelens.llm.common import importable, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,8 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": _over("documents", packing.op8),
         "op9_ring_shards": _over("documents", sharding.op9),
         "op10_secret_scan": _over("documents", secrets.op10),
+        "op12_periodic_runs": _over("documents", runs.op12),
+        "op13_token_files": _over("documents", tokenfiles.op13),
         "pipeline": corpus_pipeline.run,
     }
 
