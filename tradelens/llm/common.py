@@ -8,11 +8,14 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradelens.session import shared_folder
 
+#: Bits of the bitmaps that sort out rows before a shuffle, whatever the input (512 KB).
+BITMAP_BITS = 22
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -39,6 +42,31 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bit_of(slot: Column) -> Column:
+    """The bit of a number in its word of 64 bits."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def bitmap_slot(*columns: Column | str) -> Column:
+    """A place in a bitmap, from a hash of the columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << BITMAP_BITS)).cast("int")
+
+
+def bitmap(slots: DataFrame) -> Column:
+    """A bitmap of the numbers in ``slot``: a constant array of longs, added up by Spark, of fixed length.
+
+    It sorts out most rows that a join would drop, before they are shuffled for it; the join drops the others.
+    """
+    words = slots.groupBy(F.shiftright("slot", 6).cast("long").alias("id")).agg(F.bit_or(bit_of(F.col("slot"))).alias("bits"))
+    table = (slots.sparkSession.range(1 << (BITMAP_BITS - 6)).join(words, "id", "left")
+             .select("id", F.coalesce("bits", F.lit(0)).cast("long").alias("bits")))
+    return table.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda e: e["bits"])).scalar()
+
+
+def in_bitmap(words: Column, slot: Column) -> Column:
+    return words[F.shiftright(slot, 6)].bitwiseAND(bit_of(slot)) != 0
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame, written as Parquet in the shared folder and read again: for wide rows that are read in parts."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
@@ -46,6 +74,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that an operator wrote, on any filesystem that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     while name.lower() in (c.lower() for c in df.columns):

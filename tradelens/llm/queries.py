@@ -7,8 +7,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tradelens.llm import (bpe, fingerprints, langid, linededup, neardup, packing, runs, secrets, sharding,
-                           suffixdedup, tokenfiles, topk)
+from tradelens.llm import (bpe, collocations, fingerprints, langid, linededup, neardup, packing, runs, secrets,
+                           sharding, suffixdedup, tokenfiles, topk)
 from tradelens.llm.common import importable, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": _over("documents", packing.op8),
         "op9_ring_shards": _over("documents", sharding.op9),
         "op10_secret_scan": _over("documents", secrets.op10),
+        "op11_phrase_collocations": _over("documents", collocations.op11),
         "op12_periodic_runs": _over("documents", runs.op12),
         "op13_token_files": _over("documents", tokenfiles.op13),
         "pipeline": corpus_pipeline.run,
@@ -42,4 +43,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     # the others cannot be said in SQL; tests/llm has their brute-force checks
     return {"op1_line_dedup": linededup.ORACLE_SQL, "op2_exact_topk": topk.ORACLE_SQL,
-            "op4_setsketch_near_dedup": neardup.ORACLE_SQL}
+            "op4_setsketch_near_dedup": neardup.ORACLE_SQL, "op11_phrase_collocations": collocations.ORACLE_SQL}
