@@ -81,12 +81,11 @@ def test_rows_and_bitmap_sizes_change_nothing(spark, monkeypatch):
     rnd = random.Random(2)
     rows = [(i, t, rnd.choice(["en", "fr"])) for i, t in enumerate(texts(rnd, 80))]
     df, want = spark.createDataFrame(rows, SCHEMA), plain([r[1:] for r in rows], 4)
-    for size, bits in ((1, 64), (100, 64), (1 << 19, 1 << 16)):  # 64 bits: nearly all hashes meet another one
-        monkeypatch.setattr(collocations, "ROW_BYTES", size)
+    for size, bits in ((1, 64), (300, 64), (1 << 19, 1 << 16)):  # 64 bits: nearly all hashes meet another one
+        monkeypatch.setattr(collocations, "BLOCK_BYTES", size)
+        monkeypatch.setattr(collocations, "BLOCK_WORDS", size)
         monkeypatch.setattr(collocations, "MAX_BITS", bits)
         monkeypatch.setattr(collocations, "MIN_BITS", min(bits, 64))
-        relation = next(collocations._rows(iter(df.select("lang", "text").toArrow().to_batches())))
-        assert relation.lang in ("en", "fr")
         assert mined(df, top=2000, least=4) == want
 
 
@@ -110,9 +109,12 @@ def test_large_counts_are_exact(spark):
 
 
 def test_merge_join_is_by_piece_and_position():
-    r = collocations.Occurrences.of_texts("en", [b"a b. c d", b"e"])
-    assert r.piece.tolist() == [0, 0, 1, 1, 2] and r.pos.tolist() == [0, 1, 0, 1, 0]
+    r = collocations.Occurrences.of_texts("en", [b"a b. c d", b"", b"e"])
+    assert r.piece.tolist() == [0, 0, 1, 1, 3] and r.pos.tolist() == [0, 1, 0, 1, 0] and r.text.tolist() == [0, 0, 0, 0, 2]
     assert r.extended().tolist() == [0, 2]
+    again = collocations.Occurrences.of_rows("en", r.to_rows())
+    assert [again.vocabulary[i].as_py() for i in again.word] == list("abcde") and again.extended().tolist() == [0, 2]
+    assert r.to_rows().num_rows == 2 and again.start.tolist() == r.start.tolist()
     r.pos = np.array([0, 2, 0, 1, 0], np.int32)  # a word between has gone
     assert r.extended().tolist() == [2]
 

@@ -96,3 +96,11 @@ def test_counted_rows_stand_for_many(spark):
                lambda d, **k: group_median(d, ["g"], "w", "skip", **k),
                lambda d, **k: box_stats(d, ["g"], "w", **k)):
         assert sorted(fn(counted, count="n").collect()) == sorted(fn(df).collect())
+
+
+def test_histogram_leaves_out_what_is_not_finite(spark):
+    df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 4.0, float("nan"), float("inf"), float("-inf"), None)], "v double")
+    rows = histogram(df, "v", 2).orderBy("bin").collect()
+    assert [(r.bin_low, r.bin_high, r["count"]) for r in rows] == [(0.0, 2.0, 2), (2.0, 4.0, 1)]
+    empty = histogram(df.where("v is null"), "v", 2).orderBy("bin").collect()
+    assert [(r.bin_low, r["count"]) for r in empty] == [(None, 0), (None, 0)]

@@ -141,3 +141,17 @@ def test_csv_sink_round_trip(spark, tmp_path):
     from tradelens.sources.tables import read_table
     back = read_table(spark, str(tmp_path), "out", "csv", "k string, t string, v double", layout="{name}")
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_only_free_text_csv_is_one_task(spark, tmp_path):
+    rows = "".join(f"c{i},u{i},town,SP,{i}\n" for i in range(20_000))
+    (tmp_path / "customers.csv").write_text("customer_id,customer_unique_id,customer_city,customer_state,customer_zip_code_prefix\n" + rows)
+    (tmp_path / "order_reviews.csv").write_text(REVIEWS + "".join(f'r{i},o{i},1,"line {i}\nnext"\n' for i in range(3, 20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        t = marketplace_tables(spark, str(tmp_path), fmt="csv")
+        assert t.customers.rdd.getNumPartitions() > 4 and t.customers.count() == 20_000
+        assert t.comments.rdd.getNumPartitions() == 1 and t.comments.count() == 19_999
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

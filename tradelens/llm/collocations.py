@@ -8,9 +8,9 @@ Relation R1 holds an occurrence ``(piece, position, word)`` of every word, sorte
 3. Merge-join: an occurrence of k words at ``(piece, position)`` meets one at ``(piece, position + 1)``; both make
    an occurrence of k + 1 words.  Then 1. again.
 
-How it runs: a row of a stored relation holds the occurrences of a few hundred KB of text of one language as arrays, whole
-pieces together, so merge-joins stay within a row and nothing is shuffled for them.  Only counted groups are
-shuffled, combined before.  The semi-join goes through a bitmap of the groups' hashes, whose size is bounded
+How it runs: a row of a stored relation holds the occurrences of one text as arrays, so merge-joins stay within a row and
+nothing is shuffled for them; tasks join the rows of some MB at once.  Only counted groups are shuffled, combined
+before.  The semi-join goes through a bitmap of the groups' hashes, whose size is bounded
 (``MAX_BITS``) and checked; a hash that meets another one lets occurrences through that the next group count drops
 exactly, so it costs time but changes no result.  Group counts are exact and kept as strings, not as hashes.
 
@@ -37,8 +37,8 @@ from tradelens.session import cut_lineage, shared_folder
 
 LEAST = 30
 LONGEST = 4
-#: Bytes of text whose words make a row of a relation (a longer text is one row of its own).
-ROW_BYTES = 1 << 19
+#: Bytes of text, and words of a relation, that a task takes at once (one longer text is taken whole).
+BLOCK_BYTES, BLOCK_WORDS = 1 << 22, 1 << 19
 #: Bits of the bitmap of the semi-join for each group, and its bounds (16 MB at most).
 GROUP_BITS, MIN_BITS, MAX_BITS = 32, 1 << 16, 1 << 27
 
@@ -47,17 +47,21 @@ _FOLD = bytes.maketrans(bytes(range(ord("A"), ord("Z") + 1)) + b".,;:!?\x0b\x0c\
                         bytes(range(ord("a"), ord("z") + 1)) + bytes([_BREAK] * 9 + [_GAP]))
 _SEED = 42  # of Spark's xxhash64
 
-RELATION = "lang string, vocabulary array<string>, piece array<int>, pos array<int>, word array<int>, start array<int>"
-_ARROW_RELATION = pa.schema([("lang", pa.string()), ("vocabulary", pa.list_(pa.string())),
-                             *((c, pa.list_(pa.int32())) for c in ("piece", "pos", "word", "start"))])
+RELATION = "lang string, piece array<int>, pos array<int>, word array<string>, start array<int>"
+_INTS = pa.list_(pa.int32())
+_ARROW_RELATION = pa.schema([("lang", pa.string()), ("piece", _INTS), ("pos", _INTS), ("word", pa.list_(pa.string())), ("start", _INTS)])
 GROUPS = "lang string, phrase string, a long"
 
 
 class Occurrences:
-    """A row of a relation: words sorted by piece and position, and where phrases of k of them start."""
+    """Rows of a relation: words by text, piece and position, and where phrases of k of them start.
 
-    def __init__(self, lang: str, vocabulary: pa.StringArray, piece: np.ndarray, pos: np.ndarray, word: np.ndarray, start: np.ndarray):
-        self.lang, self.vocabulary, self.piece, self.pos, self.word, self.start = lang, vocabulary, piece, pos, word, start
+    ``piece`` tells the pieces of all texts apart; ``word`` are places in ``vocabulary``, ``start`` places in ``word``.
+    """
+
+    def __init__(self, lang: str, vocabulary: pa.StringArray, text: np.ndarray, piece: np.ndarray, pos: np.ndarray,
+                 word: np.ndarray, start: np.ndarray):
+        self.lang, self.vocabulary, self.text, self.piece, self.pos, self.word, self.start = lang, vocabulary, text, piece, pos, word, start
 
     @classmethod
     def of_texts(cls, lang: str, texts: list[bytes]) -> Occurrences:
@@ -72,28 +76,52 @@ class Occurrences:
         np.cumsum(end - first, out=offsets[1:])
         words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(code[inside].tobytes()))
         named = words.dictionary_encode()
-        piece = np.searchsorted(np.flatnonzero(breaks), first).astype(np.int32)
-        place = np.arange(len(first), dtype=np.int32)
-        begins = np.diff(piece, prepend=np.int32(-1)) != 0
+        piece = np.searchsorted(np.flatnonzero(breaks), first)
+        place = np.arange(len(first))
+        begins = np.diff(piece, prepend=-1) != 0
         pos = place - np.maximum.accumulate(np.where(begins, place, 0)) if len(place) else place
-        return cls(lang, named.dictionary.cast(pa.string()), piece, pos, named.indices.to_numpy(zero_copy_only=False).astype(np.int32), place)
+        text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right")
+        return cls(lang, named.dictionary.cast(pa.string()), text, piece, pos, named.indices.to_numpy(zero_copy_only=False), place)
 
     @classmethod
-    def of_row(cls, batch: pa.RecordBatch, i: int) -> Occurrences:
-        arrays = [batch.column(c)[i].values for c in range(1, 6)]
-        return cls(batch.column(0)[i].as_py(), arrays[0], *(a.to_numpy(zero_copy_only=False) for a in arrays[1:]))
+    def of_rows(cls, lang: str, rows: pa.RecordBatch) -> Occurrences:
+        """The rows of a stored relation, all of one language."""
+        def flat(name: str) -> tuple[np.ndarray, pa.Array]:
+            column = rows.column(name)
+            return np.diff(column.offsets.to_numpy()), column.flatten()
+
+        sizes, words = flat("word")
+        text, before = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+        piece, pos = (flat(c)[1].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("piece", "pos"))
+        begins = (np.diff(piece, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0)
+        starts, start = flat("start")
+        named = words.dictionary_encode()
+        return cls(lang, named.dictionary, text, np.cumsum(begins), pos, named.indices.to_numpy(zero_copy_only=False),
+                   start.to_numpy(zero_copy_only=False) + np.repeat(before, starts))
+
+    def to_rows(self) -> pa.RecordBatch:
+        """A row for each text that has occurrences."""
+        texts = np.unique(self.text)
+        ends = np.append(np.searchsorted(self.text, texts), len(self.text)).astype(np.int32)
+        start_ends = np.searchsorted(self.start, ends).astype(np.int32)
+
+        def lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
-    def to_batch(self) -> pa.RecordBatch:
-        columns = [pa.array([self.lang]), pa.array([self.vocabulary], pa.list_(pa.string()))]
-        columns += [pa.array([a.astype(np.int32)], pa.list_(pa.int32())) for a in (self.piece, self.pos, self.word, self.start)]
-        return pa.RecordBatch.from_arrays(columns, schema=_ARROW_RELATION)
+        def ints(values: np.ndarray) -> pa.Array:
+            return pa.array(values.astype(np.int32))
+
+        local = self.start - np.repeat(ends[:-1], np.diff(start_ends))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([self.lang] * len(texts), pa.string()), lists(ends, ints(self.piece)), lists(ends, ints(self.pos)),
+             lists(ends, self.vocabulary.take(pa.array(self.word))), lists(start_ends, ints(local))], schema=_ARROW_RELATION)
 
     def merge_join(self) -> np.ndarray:
         """For each start but the last, whether the next one is at the next position of the same piece.
 
         Places are sorted, so the partner of an occurrence is the one behind it or there is none.
         """
-        at = self.piece[self.start].astype(np.int64) << 32 | self.pos[self.start]
+        at = self.piece[self.start] << 32 | self.pos[self.start]
         return at[1:] == at[:-1] + 1
 
     def extended(self) -> np.ndarray:
@@ -122,7 +150,7 @@ class Occurrences:
         seed, digest = xxhash.xxh64_intdigest(self.lang.encode(), _SEED), xxhash.xxh64_intdigest
         slots = np.fromiter((digest(p, seed) for p in phrases.cast(pa.binary()).to_pylist()), np.uint64, len(phrases)) & np.uint64(64 * len(bits) - 1)
         known = bits[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)
-        out = Occurrences(self.lang, self.vocabulary, self.piece, self.pos, self.word, start[known[group].astype(bool)])
+        out = Occurrences(self.lang, self.vocabulary, self.text, self.piece, self.pos, self.word, start[known[group].astype(bool)])
         joined = out.merge_join()
         ends = np.append(joined, False) | np.insert(joined, 0, False) if len(out.start) else np.zeros(0, bool)
         return out.compact(out.start[ends], k)
@@ -132,9 +160,8 @@ class Occurrences:
         held = np.zeros(len(self.word), bool)
         for i in range(k):
             held[start + i] = True
-        named = pa.array(self.word[held]).dictionary_encode()
-        return Occurrences(self.lang, self.vocabulary.take(named.dictionary), self.piece[held], self.pos[held],
-                           named.indices.to_numpy(zero_copy_only=False), (np.cumsum(held) - 1)[start])
+        return Occurrences(self.lang, self.vocabulary, self.text[held], self.piece[held], self.pos[held], self.word[held],
+                           (np.cumsum(held) - 1)[start])
 
 
 def _groups(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
@@ -142,25 +169,34 @@ def _groups(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
                                        "a": pa.array(counts.astype(np.int64))})
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Occurrences]:
-    """R1 rows of ``lang, text`` batches."""
+def _blocks(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Neighbouring rows whose sizes add up to about ``most``."""
+    if len(sizes):
+        block = (np.cumsum(sizes) - sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
+        yield from (slice(a, b) for a, b in zip(cuts, cuts[1:]))
+
+
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    for lang in pc.unique(batch.column(0)).to_pylist():
+        yield lang, batch.filter(pc.equal(batch.column(0), lang))
+
+
+def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Occurrences]:
+    """R1 of ``lang, text`` batches."""
     for batch in batches:
-        by_lang: dict[str, list[bytes]] = {}
-        held: dict[str, int] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            by_lang.setdefault(lang, []).append(text)
-            held[lang] = held.get(lang, 0) + len(text)
-            if held[lang] >= ROW_BYTES:
-                yield Occurrences.of_texts(lang, by_lang.pop(lang))
-                del held[lang]
-        for lang, texts in by_lang.items():
-            yield Occurrences.of_texts(lang, texts)
+        for lang, rows in _by_lang(batch):
+            texts = rows.column(1).cast(pa.binary()).to_pylist()
+            for part in _blocks(np.array([len(t) for t in texts]), BLOCK_BYTES):
+                yield Occurrences.of_texts(lang, texts[part])
 
 
 def _relation_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Occurrences]:
+    """The rows of a stored relation."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield Occurrences.of_row(batch, i)
+        for lang, rows in _by_lang(batch):
+            for part in _blocks(np.diff(rows.column("word").offsets.to_numpy()), BLOCK_WORDS):
+                yield Occurrences.of_rows(lang, rows.slice(part.start, part.stop - part.start))
 
 
 def _count(partial: DataFrame, least: int) -> DataFrame:
@@ -191,13 +227,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
     folder = f"{shared_folder(spark)}/occurrences-{uuid.uuid4().hex}"
 
     def first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
+        for r in _text_rows(batches):
             yield r.counted(r.start, 1)
             yield _groups(r.lang, pa.nulls(1, pa.string()), np.array([len(r.word)]))
 
     counts = _count(texts.mapInArrow(first_counts, GROUPS), least)
     out = counts.select("lang", "phrase", F.when(F.col("phrase").isNull(), 0).otherwise(1).alias("k"), "a")
-    relation, read = texts, _rows
+    relation, read = texts, _text_rows
     for k in range(2, longest + 1):
         bits = spark.sparkContext.broadcast(_bitmap(counts.where("phrase is not null")))
 
@@ -205,7 +241,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
             for r in read(batches):
                 left = r.semi_join(r.start if k == 2 else r.extended(), k - 1, bits.value)
                 if len(left.start):
-                    yield left.to_batch()
+                    yield left.to_rows()
 
         relation.mapInArrow(kept, RELATION).write.parquet(f"{folder}/r{k - 1}")
         relation, read = spark.read.schema(RELATION).parquet(f"{folder}/r{k - 1}"), _relation_rows

@@ -13,10 +13,50 @@ def frequent_items(items: DataFrame, key: str, basket: str, min_count: int, out:
 
 #: Pairs of one basket that one task forms at most (about).
 PAIRS_PER_TASK = 1_000_000
+#: Hash classes in which pairs are counted before the pairs themselves (a bitmap of 512 KB).
+PAIR_CLASSES = 1 << 22
+#: The least threshold for which that is worth a second pass over the pairs.
+PRUNE_FROM = 5
+
+
+def basket_pairs(items: DataFrame, basket: str, key: str, candidates: DataFrame, min_common: int,
+                 pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """``_a, _b`` (``_a < _b``): the pairs of candidate items, once for each basket that holds both."""
+    bi = items.select(basket, key).distinct()
+    support = bi.groupBy(key).agg(F.count(F.lit(1)).alias("_sup")).filter(F.col("_sup") > min_common)
+    wanted = support.select(key).join(candidates.select(key), key, "left_semi")
+    bi = bi.join(wanted, key, "left_semi")
+    n = F.col("_size").cast("double")
+    parts = (bi.groupBy(basket).agg(F.count(F.lit(1)).alias("_size"))
+             .select(F.col(basket).alias("_bk"), F.ceil(n * n / F.lit(float(pairs_per_task))).cast("int").alias("_parts")))
+    dealt = bi.join(parts, F.col(basket) == F.col("_bk"))
+    left = dealt.select(F.col("_bk").alias("_bk1"), F.col(key).alias("_a"),
+                        F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_p1"))
+    right = dealt.select(F.col("_bk").alias("_bk2"), F.col(key).alias("_b"),
+                         F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_p2"))
+    return left.join(right, (F.col("_bk1") == F.col("_bk2")) & (F.col("_p1") == F.col("_p2")) & (F.col("_a") < F.col("_b"))).select("_a", "_b")
+
+
+def in_frequent_classes(pairs: DataFrame, min_common: int, classes: int = PAIR_CLASSES) -> DataFrame:
+    """The rows of ``pairs`` whose hash class has more than ``min_common`` rows.
+
+    A pair has no more rows than its class, so no pair above the threshold is lost.  Classes are counted
+    in the tasks and then added up: at most ``classes`` rows a task, whatever the number of pairs.  The
+    classes above the threshold are one bitmap of ``classes`` bits, a constant of the second pass.
+    """
+    slot = F.pmod(F.xxhash64("_a", "_b"), F.lit(classes)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)))
+    above = pairs.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_common)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_slot").bitwiseAND(F.lit(63)))
+    words = above.groupBy(F.shiftright("_slot", 6).cast("long").alias("id")).agg(F.bit_or(one).alias("_bits"))
+    table = pairs.sparkSession.range(max(1, classes >> 6)).join(words, "id", "left").select("id", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits"))
+    bitmap = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "_bits"))), lambda w: w["_bits"])).scalar()
+    return pairs.filter(bitmap[F.shiftright(slot, 6)].bitwiseAND(bit) != 0)
 
 
 def co_purchase_pairs(items: DataFrame, basket: str, key: str, candidates: DataFrame, min_common: int,
-                      pairs_per_task: int = PAIRS_PER_TASK, out: str = "common_orders_count") -> DataFrame:
+                      pairs_per_task: int = PAIRS_PER_TASK, out: str = "common_orders_count",
+                      prune: bool | None = None, classes: int = PAIR_CLASSES) -> DataFrame:
     """Unordered item pairs bought in more than ``min_common`` distinct baskets.
 
     * ``(basket, item)`` is deduplicated first, so counting pairs counts distinct baskets and a hot item
@@ -29,20 +69,14 @@ def co_purchase_pairs(items: DataFrame, basket: str, key: str, candidates: DataF
       A basket of n items is split into ``ceil(n * n / pairs_per_task)`` parts: the left side is dealt to the parts by
       a hash of the item and the right side is sent to every part, so each pair is formed exactly once and
       the work of a task is bounded whatever the basket's size.  Baskets of usual size have one part.
+    * Pairs in hash classes that cannot reach the threshold are dropped before the shuffle on the pair
+      (:func:`in_frequent_classes`); this forms the pairs twice, from the same shuffled baskets.  ``prune`` says whether,
+      by default from a threshold of ``PRUNE_FROM`` on; it changes no result.
     * Pair counts are combined map-side before the shuffle on the pair.
     """
-    bi = items.select(basket, key).distinct().join(candidates.select(key), key, "left_semi")
-    support = bi.groupBy(key).agg(F.count(F.lit(1)).alias("_sup")).filter(F.col("_sup") > min_common)
-    bi = bi.join(support.select(key), key, "left_semi")
-    n = F.col("_size").cast("double")
-    parts = (bi.groupBy(basket).agg(F.count(F.lit(1)).alias("_size"))
-             .select(F.col(basket).alias("_bk"), F.ceil(n * n / F.lit(float(pairs_per_task))).cast("int").alias("_parts")))
-    dealt = bi.join(parts, F.col(basket) == F.col("_bk"))
-    left = dealt.select(F.col("_bk").alias("_bk1"), F.col(key).alias("_a"),
-                        F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_p1"))
-    right = dealt.select(F.col("_bk").alias("_bk2"), F.col(key).alias("_b"),
-                         F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_p2"))
-    pairs = left.join(right, (F.col("_bk1") == F.col("_bk2")) & (F.col("_p1") == F.col("_p2")) & (F.col("_a") < F.col("_b")))
+    pairs = basket_pairs(items, basket, key, candidates, min_common, pairs_per_task)
+    if min_common >= PRUNE_FROM if prune is None else prune:
+        pairs = in_frequent_classes(pairs, min_common, classes)
     return (pairs.groupBy(F.col("_a").alias(f"{key}1"), F.col("_b").alias(f"{key}2"))
             .agg(F.count(F.lit(1)).alias(out)).filter(F.col(out) > min_common))
 

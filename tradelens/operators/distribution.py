@@ -7,10 +7,10 @@ one map-side combined aggregation, so a value or group that holds most rows is a
 The counts are materialised once (``cut_lineage``, the only job that runs while a plan is built); every further step
 reads them.
 
-A value at a given rank is found by cutting each group's range ``[min, max]`` into buckets of equal width,
-adding up the buckets, and numbering the distinct values of the buckets that hold a wanted rank.  The cuts
-follow from the data alone, so nothing is approximate and every step sees the same buckets.  Groups
-may be NULL; all joins on the group are NULL-safe.
+A value at a given rank is found by cutting each group's range into cells of a bounded number of distinct values
+(:func:`tradelens.operators.keys.with_cells`), adding up the cells, and numbering the distinct values of the cells that
+hold a wanted rank.  The cuts follow from the data alone, so nothing is approximate and every step sees the
+same cells.  Groups may be NULL; all joins on the group are NULL-safe.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.operators.keys import join_null_safe, range_bucket, shuffle_width
+from tradelens.operators.keys import CELL_ROWS, join_null_safe, with_cells
 from tradelens.session import cut_lineage
 
 RankFn = Callable[[Column, Column], Column]
@@ -36,36 +36,51 @@ def _group_totals(hist: DataFrame, group: Sequence[str], value: str) -> DataFram
     v = F.col(value)
     return hist.groupBy(*group).agg(
         F.coalesce(F.sum(F.when(v.isNotNull(), F.col("_c"))), F.lit(0)).alias("_n"),
-        F.coalesce(F.sum(F.when(v.isNull(), F.col("_c"))), F.lit(0)).alias("_z"),
-        F.min(v.cast("double")).alias("_lo"), F.max(v.cast("double")).alias("_hi"))
+        F.coalesce(F.sum(F.when(v.isNull(), F.col("_c"))), F.lit(0)).alias("_z"))
 
 
-def order_statistics(hist: DataFrame, group: Sequence[str], value: str, targets: dict[str, RankFn]) -> DataFrame:
+def order_statistics(hist: DataFrame, group: Sequence[str], value: str, targets: dict[str, RankFn],
+                     cell_rows: int = CELL_ROWS) -> DataFrame:
     """Per group: ``_n`` (non-NULL count), ``_z`` (NULL count) and, for each target, the value at 1-based
     ascending rank ``targets[name](n, z)`` among the non-NULL values (NULL when the rank is outside ``1..n``).
 
     ``hist`` comes from :func:`value_counts`.
     """
-    g, v, buckets = list(group), F.col(value), shuffle_width(hist)
+    g, v = list(group), F.col(value)
+    values, cut = with_cells(hist.filter(v.isNotNull()), g, v, cell_rows)
+    if not cut:
+        return _ranks_in_one_window(hist, g, value, targets)
     totals = _group_totals(hist, g, value)
-    values = (join_null_safe(hist.filter(v.isNotNull()), totals.select(*g, "_lo", "_hi"), g)
-              .withColumn("_b", range_bucket(v.cast("double"), F.col("_lo"), F.col("_hi"), buckets)).drop("_lo", "_hi"))
-    upto = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # ``buckets`` rows a group
-    cells = values.groupBy(*g, "_b").agg(F.sum("_c").alias("_k")).withColumn("_end", F.sum("_k").over(upto))
+    upto = Window.partitionBy(*g).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)  # a row for each cell of a group
+    cells = values.groupBy(*g, "_cell").agg(F.sum("_c").alias("_k")).withColumn("_end", F.sum("_k").over(upto))
     ranks = totals.select(*g, F.explode(F.array(*[
         F.struct(F.lit(i).alias("_t"), targets[name](F.col("_n"), F.col("_z")).cast("long").alias("_r"))
         for i, name in enumerate(targets)])).alias("_w")).select(*g, "_w.*")
     wanted = (join_null_safe(cells, ranks, g)
               .filter((F.col("_r") <= F.col("_end")) & (F.col("_r") > F.col("_end") - F.col("_k")))
-              .select(*g, "_b", "_t", (F.col("_r") - F.col("_end") + F.col("_k")).alias("_r")))
-    inside = Window.partitionBy(*g, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    held = join_null_safe(values, wanted.select(*g, "_b").distinct(), [*g, "_b"]).withColumn("_end", F.sum("_c").over(inside))
-    found = (join_null_safe(held, wanted, [*g, "_b"])
+              .select(*g, "_cell", "_t", (F.col("_r") - F.col("_end") + F.col("_k")).alias("_r")))
+    inside = Window.partitionBy(*g, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    held = join_null_safe(values, wanted.select(*g, "_cell").distinct(), [*g, "_cell"]).withColumn("_end", F.sum("_c").over(inside))
+    found = (join_null_safe(held, wanted, [*g, "_cell"])
              .filter((F.col("_r") <= F.col("_end")) & (F.col("_r") > F.col("_end") - F.col("_c")))
              .groupBy(*g).agg(*[F.max(F.when(F.col("_t") == i, v)).alias(name) for i, name in enumerate(targets)]))
     return join_null_safe(totals.select(*g, "_n", "_z"), found, g, "left")
 
 
+def _ranks_in_one_window(hist: DataFrame, g: list[str], value: str, targets: dict[str, RankFn]) -> DataFrame:
+    """:func:`order_statistics` where every group is small enough for one window: one shuffle by group."""
+    v, in_group = F.col(value), Window.partitionBy(*g)
+    here = F.when(v.isNotNull(), F.col("_c")).otherwise(0)
+    totals = {"_n": F.coalesce(F.sum(here).over(in_group), F.lit(0)), "_z": F.sum(F.col("_c") - here).over(in_group)}
+    upto = in_group.orderBy(v.asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = hist.withColumns(totals).withColumn("_end", F.sum(here).over(upto))
+    picked = []
+    for name, target in targets.items():
+        rank = target(F.col("_n"), F.col("_z")).cast("long")
+        picked.append(F.max(F.when(v.isNotNull() & (rank <= F.col("_end")) & (rank > F.col("_end") - F.col("_c")), v)).alias(name))
+    return rows.groupBy(*g, "_n", "_z").agg(*picked)
+
+
 def quantiles(hist: DataFrame, group: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per group (position ``p * (n - 1)``, as in Spark's
     ``percentile``), plus ``_n`` and ``_z``, from :func:`value_counts`."""
@@ -130,13 +145,14 @@ def group_median(df: DataFrame, group: Sequence[str], value: str, nulls: str = "
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Equal-width histogram over ``[min, max]`` of all non-NULL values.
+    """Equal-width histogram over ``[min, max]`` of all finite values (O9b); NULL, NaN and infinities are in no bin.
 
     Bins are 1-based; the last bin is closed; every bin is reported (count 0
     when empty); all values fall into bin 1 when ``min == max``.  The range is
     one scalar subquery (a single global min/max job).
     """
     v = F.col(value).cast("double")
+    v = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
     rng = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias("r")).scalar()
     lo, hi = F.col("_r.lo"), F.col("_r.hi")
     idx = F.when(hi == lo, F.lit(1).cast("long")).otherwise(

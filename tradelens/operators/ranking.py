@@ -6,11 +6,11 @@ window over the whole table (which moves every row into a single partition):
 1. Rows are counted per distinct value, and a prefix sum over these counts (:func:`prefix_counts`) gives each value's first
    rank.  From it and the count follow the tiles of the value's first and last row.
 2. Where both are the same tile, that is the tile of all its rows.
-3. At most ``k - 1`` values straddle an edge.  Their rows (there may be many) are dealt to buckets of the tie
-   key, the buckets are added up, and rows are numbered inside their bucket only.
+3. At most ``k - 1`` values straddle an edge.  Their rows (there may be many) are dealt to cells of the tie
+   key, the cells are added up, and rows are numbered inside their cell only.
 
-Buckets are parts of equal width of a key's range; their number follows the session's shuffle partitions.  Building the plan
-materialises the input and the counts (two checkpoints); everything else is lazy.
+Cells are ranges of a key with a bounded number of rows (:func:`tradelens.operators.keys.with_cells`).  Building the plan
+materialises the input, the counts and the cells' bounds (checkpoints); everything else is lazy.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradelens.operators.keys import join_null_safe, range_bucket, shuffle_width
+from tradelens.operators.keys import CELL_ROWS, join_null_safe, with_cells
 from tradelens.session import cut_lineage
 
 _EPOCH = "1970-01-01 00:00:00"
@@ -44,31 +44,45 @@ def monotone_key(col: Column, dtype: T.DataType, allow_hash: bool = False) -> Co
     raise TypeError(f"cannot order-bucket a column of type {dtype.simpleString()}")
 
 
-def prefix_counts(hist: DataFrame, groups: list[str], value: str, count: str, descending: bool = False) -> DataFrame:
+def offsets_of_cells(counted: DataFrame, groups: list[str], count: str, descending: bool = False) -> DataFrame:
+    """``groups, _cell, _off``: rows (the sum of ``count``) in the cells of a group before this one.
+
+    The window of a group has a row for each of its cells, which hold so many rows each that it stays short.
+    """
+    cell = F.col("_cell")
+    before = Window.partitionBy(*groups).orderBy(cell.desc_nulls_last() if descending else cell.asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    totals = counted.groupBy(*groups, "_cell").agg(F.sum(count).alias("_k"))
+    return totals.select(*groups, "_cell", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_off"))
+
+
+def prefix_counts(hist: DataFrame, groups: list[str], value: str, count: str, descending: bool = False,
+                  cell_rows: int = CELL_ROWS) -> DataFrame:
     """For a histogram (one row per ``groups`` + distinct ``value``, with a row ``count``),
     add ``_start`` = rows of the same group ordered before this value and ``_n`` = rows
     of the group.  NULL values sort first ascending, last descending; groups may be NULL.
 
-    A distributed prefix sum: each group's range of values is cut into buckets, a window partitioned by
-    (group, bucket) sums inside each bucket and a table of bucket totals gives the offsets.  No window spans
-    a whole group.  ``hist`` is read three times: materialise it before.
+    A distributed prefix sum: each group's range of values is cut into cells of at most ``cell_rows`` values, a window
+    partitioned by (group, cell) sums inside each cell and a table of cell totals gives the offsets.  No window
+    holds more rows of a group than that.  ``hist`` is read several times: materialise it before.
     """
     g = list(groups)
     if not g:
         raise ValueError("prefix_counts needs at least one group column")
-    v, buckets = F.col(value), shuffle_width(hist)
-    key = monotone_key(v, {f.name: f.dataType for f in hist.schema.fields}[value]).cast("double")
-    stats = hist.groupBy(*g).agg(F.sum(count).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    bucket = range_bucket(key, F.col("_lo"), F.col("_hi"), buckets)
+    v = F.col(value)
+    key = monotone_key(v, {f.name: f.dataType for f in hist.schema.fields}[value])
+    dealt, cut = with_cells(hist, g, key, cell_rows)
     order = v.desc_nulls_last() if descending else v.asc_nulls_first()
-    place = F.when(v.isNull(), F.lit(buckets if descending else -1)).otherwise(buckets - 1 - bucket if descending else bucket)
-    dealt = join_null_safe(hist, stats, g).withColumn("_b", place).drop("_lo", "_hi")
-    before = Window.partitionBy(*g, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy(*g, "_b").agg(F.sum(count).alias("_k"))
-    offsets = totals.select(*g, "_b", F.coalesce(F.sum("_k").over(  # ``buckets`` + 1 rows a group at most
-        Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (join_null_safe(dealt.withColumn("_in", F.coalesce(F.sum(count).over(before), F.lit(0))), offsets, [*g, "_b"])
-            .select(*hist.columns, "_n", (F.col("_off") + F.col("_in")).alias("_start")))
+    if not cut:  # each group is small enough for one window
+        in_group = Window.partitionBy(*g)
+        before = in_group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return hist.select(*hist.columns, F.sum(count).over(in_group).alias("_n"),
+                           F.coalesce(F.sum(count).over(before), F.lit(0)).alias("_start"))
+    before = Window.partitionBy(*g, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("_in", F.coalesce(F.sum(count).over(before), F.lit(0)))
+    n = hist.groupBy(*g).agg(F.sum(count).alias("_n"))
+    out = join_null_safe(join_null_safe(summed, offsets_of_cells(dealt, g, count, descending), [*g, "_cell"]), n, g)
+    return out.select(*hist.columns, "_n", (F.col("_off") + F.col("_in")).alias("_start"))
 
 
 def _tile(rank: Column, n: Column, k: int) -> Column:
@@ -80,11 +94,11 @@ def _tile(rank: Column, n: Column, k: int) -> Column:
 
 
 def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str, descending: bool = True,
-                  out: str = "tile") -> DataFrame:
+                  out: str = "tile", cell_rows: int = CELL_ROWS) -> DataFrame:
     """Add ``out`` = NTILE(``k``) OVER (PARTITION BY groups ORDER BY value [DESC], tie).
 
     Each group may be arbitrarily large and may be NULL.  ``tie`` must be unique inside a group; string
-    ties are ordered by ``(xxhash64(tie), tie)``.
+    ties are ordered by ``(xxhash64(tie), tie)``.  No window holds more than ``cell_rows`` rows of a group.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -94,22 +108,19 @@ def grouped_ntile(df: DataFrame, groups: list[str], value: str, k: int, tie: str
     tie_key = monotone_key(F.col(tie), kinds[tie], allow_hash=True)
     df = cut_lineage(df)
     hist = cut_lineage(df.groupBy(*unit).agg(F.count(F.lit(1)).alias("_c")))
-    values = prefix_counts(hist, g, value, "_c", descending).select(
+    values = prefix_counts(hist, g, value, "_c", descending, cell_rows).select(
         *unit, "_start", "_n", _tile(F.col("_start") + 1, F.col("_n"), k).alias("_first"),
         _tile(F.col("_start") + F.col("_c"), F.col("_n"), k).alias("_last"))
     rows = join_null_safe(df, values, unit)
     plain = rows.filter(F.col("_first") == F.col("_last")).withColumn(out, F.col("_first"))
 
-    buckets = shuffle_width(df)
-    cut = rows.filter(F.col("_first") < F.col("_last")).withColumn("_key", tie_key).withColumn("_d", F.col("_key").cast("double"))
-    spread = cut.groupBy(*unit).agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
-    dealt = join_null_safe(cut, spread, unit).withColumn(
-        "_b", F.coalesce(range_bucket(F.col("_d"), F.col("_lo"), F.col("_hi"), buckets), F.lit(-1)))
-    totals = dealt.groupBy(*unit, "_b").agg(F.count(F.lit(1)).alias("_k"))
-    offsets = totals.select(*unit, "_b", F.coalesce(F.sum("_k").over(
-        Window.partitionBy(*unit).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    own = Window.partitionBy(*unit, "_b").orderBy(*([F.col("_key")] if natural else [F.col("_key"), F.col(tie)]))
-    numbered = join_null_safe(dealt.withColumn("_i", F.row_number().over(own)), offsets, [*unit, "_b"])
+    cut = rows.filter(F.col("_first") < F.col("_last")).withColumn("_tie", tie_key)
+    dealt, several = with_cells(cut, unit, F.col("_tie"), cell_rows)
+    own = Window.partitionBy(*unit, "_cell").orderBy(*([F.col("_tie")] if natural else [F.col("_tie"), F.col(tie)]))
+    numbered = dealt.withColumns({"_i": F.row_number().over(own), "_off": F.lit(0)})
+    if several:
+        offsets = offsets_of_cells(dealt.withColumn("_one", F.lit(1)), unit, "_one")
+        numbered = join_null_safe(numbered.drop("_off"), offsets, [*unit, "_cell"])
     numbered = numbered.withColumn(out, _tile(F.col("_start") + F.col("_off") + F.col("_i"), F.col("_n"), k))
     cols = [*df.columns, out]
     return plain.select(*cols).unionByName(numbered.select(*cols))

@@ -96,14 +96,17 @@ def _table_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
                    order_by=["o_orderkey"])
 
 
-_TABLES: dict[tuple[int, str], object] = {}
+_TABLES: dict[tuple[str, str], object] = {}
 
 
 def tables_for(spark: SparkSession, sf_dir: str):
-    """Canonical tables for one session and directory, built once (frames are lazy and
+    """Canonical tables for one application and directory, built once (frames are lazy and
     immutable, so every report can share them; this saves re-reading Parquet footers)."""
-    key = (id(spark), sf_dir)
+    application = spark.sparkContext.applicationId
+    key = (application, sf_dir)
     if key not in _TABLES:
+        for other in [k for k in _TABLES if k[0] != application]:  # of a context that has stopped
+            del _TABLES[other]
         _TABLES[key] = star_tables(spark, sf_dir)
     return _TABLES[key]
 

@@ -78,17 +78,18 @@ class Tables:
 
 
 def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet", schema: str | None = None,
-               layout: str = "{name}.{fmt}") -> DataFrame:
+               layout: str = "{name}.{fmt}", free_text: bool = True) -> DataFrame:
     """One table of a folder, by path or URI; only Spark looks at the path.
 
-    ``layout`` is the table's place below ``root``, e.g. ``"{name}"`` for a folder per table.  CSV has a header,
-    may hold line breaks in quoted values, and doubles quotes within quotes.
+    ``layout`` is the table's place below ``root``, e.g. ``"{name}"`` for a folder per table.  CSV has a header and
+    doubles quotes within quotes.  With ``free_text``, quoted values may hold line breaks, and a CSV file is one
+    task; without, a row is a line and large files are split.
     """
     path = f"{root.rstrip('/')}/{layout.format(name=name, fmt=fmt)}"
     reader = spark.read
     if fmt == "csv":
         # a null is an empty field without quotes; the token stands for it while reading, and is in no text
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"', nullValue="\x00\x00", emptyValue="")
+        reader = reader.options(header=True, multiLine=free_text, quote='"', escape='"', nullValue="\x00\x00", emptyValue="")
         if schema:
             # columns are found by name, so a file may have them in another order, or more
             return reader.option("inferSchema", False).csv(path).select(
@@ -125,6 +126,10 @@ EXPORT_SCHEMAS = {
 }
 
 
+#: Tables of the export whose values may hold line breaks.
+FREE_TEXT = ("order_reviews",)
+
+
 def marketplace_tables(spark: SparkSession, root: str, fmt: str = "parquet", layout: str = "{name}.{fmt}") -> Tables:
     """Canonical tables from a marketplace export (one dataset per source table; see :func:`read_table`).
 
@@ -132,13 +137,13 @@ def marketplace_tables(spark: SparkSession, root: str, fmt: str = "parquet", lay
     has a null state.
     """
     def t(name):
-        schema = EXPORT_SCHEMAS[name]
+        schema, free_text = EXPORT_SCHEMAS[name], name in FREE_TEXT
         if name == "customers":
-            there = read_table(spark, root, name, fmt, layout=layout).columns
+            there = read_table(spark, root, name, fmt, layout=layout, free_text=free_text).columns
             if "customer_state" not in there:
                 schema = schema.replace("customer_state string, ", "")
-                return read_table(spark, root, name, fmt, schema, layout).withColumn("customer_state", F.lit(None).cast("string"))
-        return read_table(spark, root, name, fmt, schema, layout)
+                return read_table(spark, root, name, fmt, schema, layout, free_text).withColumn("customer_state", F.lit(None).cast("string"))
+        return read_table(spark, root, name, fmt, schema, layout, free_text)
 
     def renamed(name, **columns):
         return lambda: t(name).select(*[F.col(source).alias(c) for c, source in columns.items()])
