@@ -57,3 +57,21 @@ def test_bundles_equal_plain_sums():
         assert np.array_equal(s, want)
         exact = langid.bundle_counts(*np.unique(langid.ngrams(t), return_counts=True))
         assert np.array_equal(exact, want)
+
+
+def test_rejection_follows_the_number_of_ngrams(spark):
+    words = "the of and to in is that for it was on are with as his they at be this from have or by one had not but what all were".split()
+    rows = [(i, " ".join(words[(i * 7 + k * k) % len(words)] for k in range(60)), "en") for i in range(40)]
+    russian = "все люди рождаются свободными и равными в своём достоинстве и правах они наделены разумом и совестью и должны поступать"
+    odd = [(100, russian, None), (101, russian[:40], None), (102, "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待人", None),
+           (103, "ελευθεροι και ισοι στην αξιοπρεπεια", None)]
+    short = [(200 + i, t, None) for i, t in enumerate(["the", "and the", "this is that", "it was one of all", "a", "of", "they were not with his"])]
+    df = spark.createDataFrame(rows + odd + short, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in langid.keep_recognised(df).collect()}
+    assert kept >= {r[0] for r in rows + short}  # clean texts, however short
+    assert not kept & {r[0] for r in odd}  # languages that were not learned, long and short
+
+
+def test_documents_in_their_language_stay(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    assert langid.keep_recognised(docs).count() == docs.where("text rlike '\\\\p{L}'").count()

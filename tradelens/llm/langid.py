@@ -144,8 +144,10 @@ def bundle_counts(grams: np.ndarray, counts: np.ndarray, dim: int = DIM) -> np.n
     return total
 
 
-def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``lang_pred`` and ``score`` (cosine, 0 to 1) appended.
+def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text",
+                      rejects: bool = False) -> DataFrame:
+    """The rows of ``docs`` with ``lang_pred`` and ``score`` (cosine, 0 to 1) appended.  With ``rejects``, rows go whose
+    text has no letters or scores less than :func:`least_score` asks of so many n-grams.
 
     Columns of these names that are already there are replaced.
     """
@@ -168,9 +170,13 @@ def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], text_c
                 pred = [names[b] if k else UNDETERMINED for b, k in zip(best, known)]
                 score = [float(min(1.0, max(0.0, cosines[i, b]))) if k else 0.0
                          for i, (b, k) in enumerate(zip(best, known))]
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                     names=[*batch.schema.names, "lang_pred", "score"])
+                if rejects:
+                    distinct = np.array([len(g) for g, _ in counts])
+                    out = out.filter(pa.array(known & (np.array(score) >= least_score(distinct, dim))))
+                yield out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
@@ -189,21 +195,30 @@ def identify(docs: DataFrame, dim: int = DIM) -> DataFrame:
     return predict_languages(rows.drop("lang"), prototypes)
 
 
-def keep_recognised(docs: DataFrame, min_score: float, min_letters: int = 50, dim: int = DIM) -> DataFrame:
-    """The rows whose text has letters and reaches ``min_score`` with some language, all columns unchanged.
+def least_score(n: np.ndarray, dim: int = DIM, few: int = 8, enough: int = 72, deviations: float = 4.0) -> np.ndarray:
+    """The cosine that a text of ``n`` distinct n-grams must reach with some language.
 
-    The cosine of a text with fewer than ``min_letters`` letters is mostly chance, so such texts stay if
-    they have any letter.  Prototypes are learned from the labelled rows outside the held-out fold.  Without any
-    prototype there is nothing to compare with, and all rows with letters stay.
+    The cosine of a text with a language it shares nothing with is chance, with a standard deviation of ``dim ** -0.5``.
+    That of a text in the language grows with the number of its n-grams, about as their root; with ``few`` of them it
+    may be none.  So the bound rises evenly from 0 there to ``deviations`` of chance at ``enough`` n-grams: on the
+    test documents it is at most half the least score of a text of as many n-grams.
+    """
+    return deviations * dim ** -0.5 * np.clip((n - few) / (enough - few), 0, 1)
+
+
+def keep_recognised(docs: DataFrame, dim: int = DIM) -> DataFrame:
+    """The rows whose text has letters and reaches :func:`least_score` with some language, all columns unchanged.
+
+    Prototypes are learned from the labelled rows outside the held-out fold.  Without any prototype there is nothing to
+    compare with, and all rows with letters stay.  Null texts go; repeated rows and rows of equal doc_id are judged
+    each by their own text; an empty table gives no rows.
     """
     labelled = docs.where(~held_out(docs["doc_id"])).select(docs["lang"].alias("lang"), docs["text"].alias("text"))
     prototypes = learn_prototypes(labelled, dim)
     if not prototypes:
         return docs.where(F.col("text").rlike("\\p{L}"))
     ours = {c: spare(docs, f"own_{c}") for c in docs.columns if c.lower() in ("lang_pred", "score")}
-    renamed = docs.withColumnsRenamed(ours)
-    few = F.length(F.regexp_replace("text", "[^\\p{L}]", "")) < min_letters
-    kept = predict_languages(renamed, prototypes).where((F.col("lang_pred") != UNDETERMINED) & ((F.col("score") >= min_score) | few))
+    kept = predict_languages(docs.withColumnsRenamed(ours), prototypes, rejects=True)
     return kept.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in ours.items()})
 
 
