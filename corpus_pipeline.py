@@ -15,33 +15,46 @@ from tradelens.llm import langid, linededup, neardup, packing, secrets
 from tradelens.llm.common import importable, read_table
 from tradelens.session import shared_folder
 
-#: Cosine with the nearest language prototype under which a document is in no known language.
-MIN_LANGUAGE_SCORE = 0.1
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is recognised; learns from the labelled documents."""
-    out = langid.keep_recognised(docs, MIN_LANGUAGE_SCORE)
+    """Keeps the documents whose language is recognised; learns from the labelled documents.
+
+    Null texts and texts without letters go.  The score that is asked for rises with the text's number of n-grams, so
+    very short texts stay.  Repeated rows are judged alike; an empty table gives no rows.
+    """
+    out = langid.keep_recognised(docs)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that are similar to an earlier line; documents left without words go."""
+    """Removes lines that are similar to an earlier line; documents left without words go.
+
+    Rows are told apart by doc_id (also null or repeated) and text; of lines that agree in doc_id and number that of the
+    smaller text hash is the earlier.  Null and empty texts stay as they are; an empty table gives no rows.
+    """
     return linededup.dedup_lines(docs)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates.
+
+    It is the one of the smallest doc_id (null after all others), then of the smallest text hash; of equal rows one stays.
+    Null, empty and blank texts are in no group and stay; an empty table gives no rows.
+    """
     return neardup.one_of_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts."""
+    """Replaces secrets in the texts; all rows stay, null texts stay null, and an empty table gives no rows."""
     return secrets.redact_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences."""
+    """Packs the documents into sequences.
+
+    Null and empty texts are pieces of a separator only; repeated rows are pieces like any other; an empty table gives
+    no rows.
+    """
     return packing.pack_documents(docs)
 
 
