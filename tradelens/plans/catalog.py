@@ -88,6 +88,9 @@ REPORTS: dict[str, Callable] = {
     "delivery_time_by_band": R.delivery_time_by_band,
     "delivery_box_stats": R.delivery_box_stats,
     "lead_conversion": R.lead_conversion,
+    "lead_conversion_sketched": R.lead_conversion_sketched,
+    "weight_quantiles_sketched": R.weight_quantiles_sketched,
+    "top_negative_terms": R.top_negative_terms,
 }
 
 

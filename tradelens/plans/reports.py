@@ -53,7 +53,15 @@ from tradelens.operators.aggregates import (
 from tradelens.operators.bands import volume_band
 from tradelens.operators.distribution import box_stats, expand_positions, group_median, histogram
 from tradelens.operators.ranking import grouped_ntile, segment_label
-from tradelens.operators.text import term_frequency
+from tradelens.operators.sketches import (
+    common_count,
+    distinct_count,
+    distinct_states,
+    merged_distinct,
+    merged_quantiles,
+    quantile_states,
+)
+from tradelens.operators.text import term_frequency, top_terms
 from tradelens.operators.trend import centered_mean, fit_line, rank_slopes, score_line, seasonal_forecast
 from tradelens.session import cut_lineage
 from tradelens.sources.tables import Tables
@@ -91,6 +99,7 @@ class Params:
     product_bins: int = 1000
     shipping_bins: int = 800
     preview_rows: int = 5
+    top_terms: int = 50
 
 
 UNITS = 10 ** 8          # fixed-point scale of per-row values that are then averaged
@@ -281,6 +290,19 @@ def weight_box_stats(t: Tables, p: Params) -> DataFrame:
     return box_stats(_top_category_weights(t, p), ["category"], "weight", count="items")
 
 
+def weight_states(t: Tables, p: Params) -> DataFrame:
+    """``category, month, n, sketch``: quantile sketches of the weights of the items sold, to be stored and merged."""
+    items = t.items.select("order_id", "product_id").join(_named_products(t), "product_id")
+    rows = items.join(t.orders.select("order_id", year_month("purchased").alias("month")), "order_id")
+    return quantile_states(rows, ["category", "month"], "weight_g")
+
+
+def weight_quantiles_sketched(t: Tables, p: Params) -> DataFrame:
+    """Quartiles of the item weights per category from merged monthly sketches (ranks within ``rank_error()``)."""
+    return merged_quantiles(weight_states(t, p), ["category"], {"q1": 0.25, "median": 0.5, "q3": 0.75}).select(
+        "category", F.col("n").alias("item_count"), "q1", "median", "q3")
+
+
 # ---------------------------------------------------------------------------
 # Category trends and forecast
 # ---------------------------------------------------------------------------
@@ -395,6 +417,11 @@ def negative_terms(t: Tables, p: Params) -> DataFrame:
     return term_frequency(_negative_comments(t, p), "comment")
 
 
+def top_negative_terms(t: Tables, p: Params) -> DataFrame:
+    """The most frequent words of the negative comments, without counting all others."""
+    return top_terms(_negative_comments(t, p), "comment", p.top_terms)
+
+
 # ---------------------------------------------------------------------------
 # Customers
 # ---------------------------------------------------------------------------
@@ -675,3 +702,19 @@ def lead_conversion(t: Tables, p: Params) -> DataFrame:
     return out.orderBy(F.desc_nulls_last("_rows"), "origin").select(
         "origin", "qualified_leads", "closed_leads",
         safe_div(F.col("closed_leads").cast("double") * 100.0, "qualified_leads").alias("conversion_rate"))
+
+
+def lead_states(t: Tables, p: Params) -> tuple[DataFrame, DataFrame]:
+    """``origin, sketch`` of the leads and ``sketch`` of the closed ones: states that can be stored and merged."""
+    leads = t.leads.select(F.coalesce(F.col("origin"), F.lit("unknown")).alias("origin"), "lead_id")
+    return distinct_states(leads, ["origin"], "lead_id"), distinct_states(t.closed, [], "lead_id")
+
+
+def lead_conversion_sketched(t: Tables, p: Params) -> DataFrame:
+    """Leads and closed leads by origin, and over all origins, from distinct sketches and their intersections."""
+    leads, closed = lead_states(t, p)
+    every = merged_distinct(leads, []).select(F.lit("all origins").alias("origin"), "sketch")
+    both = leads.unionByName(every).withColumn("won", closed.select("sketch").scalar())
+    counted = both.select("origin", distinct_count("sketch").alias("qualified_leads"),
+                          common_count("sketch", "won").alias("closed_leads"))
+    return counted.select("*", safe_div(F.col("closed_leads").cast("double") * 100.0, "qualified_leads").alias("conversion_rate"))
