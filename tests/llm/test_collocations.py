@@ -83,7 +83,6 @@ def test_rows_and_bitmap_sizes_change_nothing(spark, monkeypatch):
     df, want = spark.createDataFrame(rows, SCHEMA), plain([r[1:] for r in rows], 4)
     for size, bits in ((1, 64), (300, 64), (1 << 19, 1 << 16)):  # 64 bits: nearly all hashes meet another one
         monkeypatch.setattr(collocations, "BLOCK_BYTES", size)
-        monkeypatch.setattr(collocations, "BLOCK_WORDS", size)
         monkeypatch.setattr(collocations, "MAX_BITS", bits)
         monkeypatch.setattr(collocations, "MIN_BITS", min(bits, 64))
         assert mined(df, top=2000, least=4) == want
@@ -109,14 +108,29 @@ def test_large_counts_are_exact(spark):
 
 
 def test_merge_join_is_by_piece_and_position():
-    r = collocations.Occurrences.of_texts("en", [b"a b. c d", b"", b"e"])
-    assert r.piece.tolist() == [0, 0, 1, 1, 3] and r.pos.tolist() == [0, 1, 0, 1, 0] and r.text.tolist() == [0, 0, 0, 0, 2]
-    assert r.extended().tolist() == [0, 2]
-    again = collocations.Occurrences.of_rows("en", r.to_rows())
-    assert [again.vocabulary[i].as_py() for i in again.word] == list("abcde") and again.extended().tolist() == [0, 2]
-    assert r.to_rows().num_rows == 2 and again.start.tolist() == r.start.tolist()
-    r.pos = np.array([0, 2, 0, 1, 0], np.int32)  # a word between has gone
-    assert r.extended().tolist() == [2]
+    r = collocations.Occurrences("en", [b"a b. c d", b"", b"e"])
+    assert r.place.tolist() == [0, 1, 3, 4, 7] and r.text.tolist() == [0, 0, 0, 0, 2]
+    assert r.starts(2).tolist() == [0, 2] and r.starts(3).tolist() == []
+    r.place = np.array([0, 2, 3, 4, 7])  # a word between has gone
+    assert r.starts(2).tolist() == [1, 2] and r.starts(3).tolist() == [1]
+
+
+def test_stored_rows_hold_the_occurrences_that_have_a_neighbour():
+    r = collocations.Occurrences("en", [b"a b c x d e", b"x", b"A B, c D e f"])
+    seed = xxhash.xxh64_intdigest(b"en", 42)
+
+    def bits(*phrases):
+        out = np.zeros(1 << 10, np.uint64)
+        for p in phrases:
+            slot = xxhash.xxh64_intdigest(p, seed) & ((1 << 16) - 1)
+            out[slot >> 6] |= np.uint64(1) << np.uint64(slot & 63)
+        return out
+
+    kept = r.semi_join(r.starts(1), 1, bits(*b"abcdef".split(b" "), *(bytes([c]) for c in b"abcdef")))
+    assert kept.column(1).to_pylist() == ["a b c\nd e\n", "a b\nc d e f\n"]
+    twos = r.semi_join(r.starts(2), 2, bits(b"a b", b"b c", b"d e", b"c d"))
+    assert twos.column(1).to_pylist() == ["a b c\n", "c d e\n"]  # "d e" and "a b" are alone where nothing follows
+    assert r.semi_join(r.starts(2), 2, bits(b"a b")) is None
 
 
 def test_sql_on_odd_texts(spark):

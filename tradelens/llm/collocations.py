@@ -1,16 +1,19 @@
 """Phrase collocation mining by SETM: sorted occurrence relations, merge-joins, group counts, semi-joins.
 
 Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and pieces into words ``[^\\x20\\x09]+``.
-Relation R1 holds an occurrence ``(piece, position, word)`` of every word, sorted; Rk those of phrases of k words.
+Relation R1 holds an occurrence of every word, sorted by piece and position; Rk those of phrases of k words.  Both are
+one number, the ``place``: it grows by one from word to word of a piece and by two or more from piece to piece.
 
 1. Group counts: occurrences of each phrase, added up in the tasks and then by Spark; groups under ``least`` go.
-2. Semi-join: occurrences of the groups that are left stay in the relation, which is written again.
-3. Merge-join: an occurrence of k words at ``(piece, position)`` meets one at ``(piece, position + 1)``; both make
-   an occurrence of k + 1 words.  Then 1. again.
-
-How it runs: a row of a stored relation holds the occurrences of one text as arrays, so merge-joins stay within a row and
-nothing is shuffled for them; tasks join the rows of some MB at once.  Only counted groups are shuffled, combined
-before.  The semi-join goes through a bitmap of the groups' hashes, whose size is bounded
+2. Semi-join: occurrences of the groups that are left stay in the relation, which is written again, as long as they
+   have a neighbour to be joined with.
+3. Merge-join: an occurrence of k words meets one at the next position of the same piece (``place + 1``); both
+   make an occurrence of k + 1 words.  Then 1. again.
+
+How it runs: a row of a stored relation holds the occurrences of one text in order, as a line of words for each stretch of
+occurrences at neighbouring places (phrases of such a line overlap but for a word).  So the relation is never larger
+than the texts, merge-joins stay within a row and nothing is shuffled for them; tasks take rows of some MB at once
+and join them as arrays of places.  Only counted groups are shuffled, combined before.  The semi-join goes through a bitmap of the groups' hashes, whose size is bounded
 (``MAX_BITS``) and checked; a hash that meets another one lets occurrences through that the next group count drops
 exactly, so it costs time but changes no result.  Group counts are exact and kept as strings, not as hashes.
 
@@ -37,8 +40,10 @@ from tradelens.session import cut_lineage, shared_folder
 
 LEAST = 30
 LONGEST = 4
-#: Bytes of text, and words of a relation, that a task takes at once (one longer text is taken whole).
-BLOCK_BYTES, BLOCK_WORDS = 1 << 22, 1 << 19
+#: Bytes of text that a task takes at once (one longer text is taken whole).
+BLOCK_BYTES = 1 << 21
+#: Rows of a batch that goes back to Spark (larger ones pile up outside its heap).
+BATCH_ROWS = 4096
 #: Bits of the bitmap of the semi-join for each group, and its bounds (16 MB at most).
 GROUP_BITS, MIN_BITS, MAX_BITS = 32, 1 << 16, 1 << 27
 
@@ -47,25 +52,19 @@ _FOLD = bytes.maketrans(bytes(range(ord("A"), ord("Z") + 1)) + b".,;:!?\x0b\x0c\
                         bytes(range(ord("a"), ord("z") + 1)) + bytes([_BREAK] * 9 + [_GAP]))
 _SEED = 42  # of Spark's xxhash64
 
-RELATION = "lang string, piece array<int>, pos array<int>, word array<string>, start array<int>"
-_INTS = pa.list_(pa.int32())
-_ARROW_RELATION = pa.schema([("lang", pa.string()), ("piece", _INTS), ("pos", _INTS), ("word", pa.list_(pa.string())), ("start", _INTS)])
+RELATION = "lang string, text string"
+_ARROW_RELATION = pa.schema([("lang", pa.string()), ("text", pa.string())])
 GROUPS = "lang string, phrase string, a long"
 
 
 class Occurrences:
-    """Rows of a relation: words by text, piece and position, and where phrases of k of them start.
+    """The words of some texts, sorted by text and place.
 
-    ``piece`` tells the pieces of all texts apart; ``word`` are places in ``vocabulary``, ``start`` places in ``word``.
+    ``place`` tells the pieces of all texts apart; ``word`` are indices of ``vocabulary``.
     """
 
-    def __init__(self, lang: str, vocabulary: pa.StringArray, text: np.ndarray, piece: np.ndarray, pos: np.ndarray,
-                 word: np.ndarray, start: np.ndarray):
-        self.lang, self.vocabulary, self.text, self.piece, self.pos, self.word, self.start = lang, vocabulary, text, piece, pos, word, start
-
-    @classmethod
-    def of_texts(cls, lang: str, texts: list[bytes]) -> Occurrences:
-        """R1 of some texts."""
+    def __init__(self, lang: str, texts: list[bytes]):
+        self.lang = lang
         data = b"\n".join(texts).translate(_FOLD)
         code = np.frombuffer(data, np.uint8)
         breaks = code == _BREAK
@@ -76,57 +75,25 @@ class Occurrences:
         np.cumsum(end - first, out=offsets[1:])
         words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(code[inside].tobytes()))
         named = words.dictionary_encode()
-        piece = np.searchsorted(np.flatnonzero(breaks), first)
-        place = np.arange(len(first))
-        begins = np.diff(piece, prepend=-1) != 0
-        pos = place - np.maximum.accumulate(np.where(begins, place, 0)) if len(place) else place
-        text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right")
-        return cls(lang, named.dictionary.cast(pa.string()), text, piece, pos, named.indices.to_numpy(zero_copy_only=False), place)
-
-    @classmethod
-    def of_rows(cls, lang: str, rows: pa.RecordBatch) -> Occurrences:
-        """The rows of a stored relation, all of one language."""
-        def flat(name: str) -> tuple[np.ndarray, pa.Array]:
-            column = rows.column(name)
-            return np.diff(column.offsets.to_numpy()), column.flatten()
-
-        sizes, words = flat("word")
-        text, before = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
-        piece, pos = (flat(c)[1].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("piece", "pos"))
-        begins = (np.diff(piece, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0)
-        starts, start = flat("start")
-        named = words.dictionary_encode()
-        return cls(lang, named.dictionary, text, np.cumsum(begins), pos, named.indices.to_numpy(zero_copy_only=False),
-                   start.to_numpy(zero_copy_only=False) + np.repeat(before, starts))
-
-    def to_rows(self) -> pa.RecordBatch:
-        """A row for each text that has occurrences."""
-        texts = np.unique(self.text)
-        ends = np.append(np.searchsorted(self.text, texts), len(self.text)).astype(np.int32)
-        start_ends = np.searchsorted(self.start, ends).astype(np.int32)
-
-        def lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        self.vocabulary = named.dictionary.cast(pa.string())
+        self.word = named.indices.to_numpy(zero_copy_only=False)
+        self.place = np.arange(len(first)) + np.searchsorted(np.flatnonzero(breaks), first)  # a break before a word adds one
+        self.text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right")
 
-        def ints(values: np.ndarray) -> pa.Array:
-            return pa.array(values.astype(np.int32))
-
-        local = self.start - np.repeat(ends[:-1], np.diff(start_ends))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([self.lang] * len(texts), pa.string()), lists(ends, ints(self.piece)), lists(ends, ints(self.pos)),
-             lists(ends, self.vocabulary.take(pa.array(self.word))), lists(start_ends, ints(local))], schema=_ARROW_RELATION)
-
-    def merge_join(self) -> np.ndarray:
-        """For each start but the last, whether the next one is at the next position of the same piece.
+    def merge_join(self, start: np.ndarray) -> np.ndarray:
+        """For each occurrence but the last, whether the next one is at the next position of the same piece.
 
         Places are sorted, so the partner of an occurrence is the one behind it or there is none.
         """
-        at = self.piece[self.start] << 32 | self.pos[self.start]
+        at = self.place[start]
         return at[1:] == at[:-1] + 1
 
-    def extended(self) -> np.ndarray:
-        """Starts of the phrases that are one word longer."""
-        return self.start[:-1][self.merge_join()] if len(self.start) else self.start
+    def starts(self, k: int) -> np.ndarray:
+        """Where the phrases of k words start: k - 1 merge-joins, each of the last relation with itself."""
+        start = np.arange(len(self.word))
+        for _ in range(k - 1):
+            start = start[:-1][self.merge_join(start)] if len(start) else start
+        return start
 
     def groups(self, start: np.ndarray, k: int) -> tuple[pa.StringArray, np.ndarray]:
         """The distinct phrases of k words at ``start``, and which of them each start has."""
@@ -140,33 +107,43 @@ class Occurrences:
             group = named.indices.to_numpy(zero_copy_only=False)
         return phrases, group
 
-    def counted(self, start: np.ndarray, k: int) -> pa.RecordBatch:
+    def counted(self, start: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
         phrases, group = self.groups(start, k)
-        return _groups(self.lang, phrases, np.bincount(group, minlength=len(phrases)))
+        yield from _groups(self.lang, phrases, np.bincount(group, minlength=len(phrases)))
 
-    def semi_join(self, start: np.ndarray, k: int, bits: np.ndarray) -> Occurrences:
-        """The occurrences of the groups in the bitmap that have a neighbour to be joined with."""
+    def semi_join(self, start: np.ndarray, k: int, bits: np.ndarray) -> pa.RecordBatch | None:
+        """Rows with the occurrences of the groups in the bitmap, but for those without a neighbour."""
         phrases, group = self.groups(start, k)
         seed, digest = xxhash.xxh64_intdigest(self.lang.encode(), _SEED), xxhash.xxh64_intdigest
         slots = np.fromiter((digest(p, seed) for p in phrases.cast(pa.binary()).to_pylist()), np.uint64, len(phrases)) & np.uint64(64 * len(bits) - 1)
         known = bits[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)
-        out = Occurrences(self.lang, self.vocabulary, self.text, self.piece, self.pos, self.word, start[known[group].astype(bool)])
-        joined = out.merge_join()
-        ends = np.append(joined, False) | np.insert(joined, 0, False) if len(out.start) else np.zeros(0, bool)
-        return out.compact(out.start[ends], k)
-
-    def compact(self, start: np.ndarray, k: int) -> Occurrences:
-        """The words that the phrases of k words at ``start`` hold."""
-        held = np.zeros(len(self.word), bool)
-        for i in range(k):
-            held[start + i] = True
-        return Occurrences(self.lang, self.vocabulary, self.text[held], self.piece[held], self.pos[held], self.word[held],
-                           (np.cumsum(held) - 1)[start])
-
-
-def _groups(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": phrases,
-                                       "a": pa.array(counts.astype(np.int64))})
+        start = start[known[group].astype(bool)]
+        joined = self.merge_join(start)
+        if not joined.any():
+            return None
+        edge = np.diff(joined.view(np.int8), prepend=np.int8(0), append=np.int8(0))  # stretches of neighbours
+        first, last = start[np.flatnonzero(edge == 1)], start[np.flatnonzero(edge == -1)]
+        return self._rows(first, last - first + k)
+
+    def _rows(self, first: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        """A row for each text with the stretches of words that begin at ``first``, as lines."""
+        ends = np.cumsum(length)
+        words = np.arange(ends[-1]) + np.repeat(first - ends + length, length)
+        gap = np.full(len(words), " ")
+        gap[ends - 1] = "\n"
+        lines = pc.binary_join_element_wise(self.vocabulary.take(pa.array(self.word[words])), pa.array(gap), "")
+        data, place = lines.buffers()[2], np.frombuffer(lines.buffers()[1], np.int32, len(lines) + 1)
+        texts, begins = np.unique(self.text[words], return_index=True)
+        offsets = np.append(place[begins], place[len(lines)]).astype(np.int32)
+        rows = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), data)
+        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(texts), pa.string()), rows], schema=_ARROW_RELATION)
+
+
+def _groups(lang: str, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(phrases), BATCH_ROWS):
+        part = phrases.slice(i, BATCH_ROWS)
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(part), pa.string()), "phrase": part,
+                                          "a": pa.array(counts[i:i + BATCH_ROWS].astype(np.int64))})
 
 
 def _blocks(sizes: np.ndarray, most: int) -> Iterator[slice]:
@@ -177,26 +154,16 @@ def _blocks(sizes: np.ndarray, most: int) -> Iterator[slice]:
         yield from (slice(a, b) for a, b in zip(cuts, cuts[1:]))
 
 
-def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
-    for lang in pc.unique(batch.column(0)).to_pylist():
-        yield lang, batch.filter(pc.equal(batch.column(0), lang))
-
-
-def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Occurrences]:
-    """R1 of ``lang, text`` batches."""
-    for batch in batches:
-        for lang, rows in _by_lang(batch):
-            texts = rows.column(1).cast(pa.binary()).to_pylist()
-            for part in _blocks(np.array([len(t) for t in texts]), BLOCK_BYTES):
-                yield Occurrences.of_texts(lang, texts[part])
-
-
-def _relation_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Occurrences]:
-    """The rows of a stored relation."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Occurrences]:
+    """The occurrences in ``lang, text`` batches, of texts or of a stored relation."""
     for batch in batches:
-        for lang, rows in _by_lang(batch):
-            for part in _blocks(np.diff(rows.column("word").offsets.to_numpy()), BLOCK_WORDS):
-                yield Occurrences.of_rows(lang, rows.slice(part.start, part.stop - part.start))
+        named, sizes = batch.column(0).dictionary_encode(), pc.binary_length(batch.column(1))
+        code, sizes = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (named.indices, sizes))
+        for i, lang in enumerate(named.dictionary.to_pylist()):
+            own = np.flatnonzero(code == i)
+            for part in _blocks(sizes[own], BLOCK_BYTES):
+                yield Occurrences(lang, batch.column(1).take(pa.array(own[part])).cast(pa.binary()).to_pylist())
+        pa.default_memory_pool().release_unused()
 
 
 def _count(partial: DataFrame, least: int) -> DataFrame:
@@ -226,31 +193,30 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
                         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     folder = f"{shared_folder(spark)}/occurrences-{uuid.uuid4().hex}"
 
-    def first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _text_rows(batches):
-            yield r.counted(r.start, 1)
-            yield _groups(r.lang, pa.nulls(1, pa.string()), np.array([len(r.word)]))
-
-    counts = _count(texts.mapInArrow(first_counts, GROUPS), least)
+    def counted(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in _rows(batches):
+                yield from r.counted(r.starts(k), k)
+                if k == 1:
+                    yield from _groups(r.lang, pa.nulls(1, pa.string()), np.array([len(r.word)]))
+        return run
+
+    def kept(k: int, bits):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in _rows(batches):
+                left = r.semi_join(r.starts(k), k, bits.value)
+                if left is not None:
+                    yield left
+        return run
+
+    relation = texts
+    counts = _count(relation.mapInArrow(counted(1), GROUPS), least)
     out = counts.select("lang", "phrase", F.when(F.col("phrase").isNull(), 0).otherwise(1).alias("k"), "a")
-    relation, read = texts, _text_rows
     for k in range(2, longest + 1):
         bits = spark.sparkContext.broadcast(_bitmap(counts.where("phrase is not null")))
-
-        def kept(batches: Iterator[pa.RecordBatch], k=k, bits=bits, read=read) -> Iterator[pa.RecordBatch]:
-            for r in read(batches):
-                left = r.semi_join(r.start if k == 2 else r.extended(), k - 1, bits.value)
-                if len(left.start):
-                    yield left.to_rows()
-
-        relation.mapInArrow(kept, RELATION).write.parquet(f"{folder}/r{k - 1}")
-        relation, read = spark.read.schema(RELATION).parquet(f"{folder}/r{k - 1}"), _relation_rows
-
-        def counted(batches: Iterator[pa.RecordBatch], k=k) -> Iterator[pa.RecordBatch]:
-            for r in _relation_rows(batches):
-                yield r.counted(r.extended(), k)
-
-        counts = _count(relation.mapInArrow(counted, GROUPS), least)
+        relation.mapInArrow(kept(k - 1, bits), RELATION).write.parquet(f"{folder}/r{k - 1}")
+        relation = spark.read.schema(RELATION).parquet(f"{folder}/r{k - 1}")
+        counts = _count(relation.mapInArrow(counted(k), GROUPS), least)
         out = out.unionByName(counts.select("lang", "phrase", F.lit(k).alias("k"), "a"))
     delete_folder(spark, folder)
     return out
