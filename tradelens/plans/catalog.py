@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tradelens.plans import reports as R
+from tradelens.plans import state as S
 from tradelens.sources.sinks import preview
 from tradelens.sources.tables import read_table, star_tables
 
@@ -33,6 +34,8 @@ TEST_PARAMS = R.Params(
     seller_pair_min=5,
     scorecard_min=620,
     band_edges=(1, 550, 600, 650),
+    state_until="2001-07-01",
+    state_again_from="2001-06-24",
 )
 
 REPORTS: dict[str, Callable] = {
@@ -91,6 +94,7 @@ REPORTS: dict[str, Callable] = {
     "lead_conversion_sketched": R.lead_conversion_sketched,
     "weight_quantiles_sketched": R.weight_quantiles_sketched,
     "top_negative_terms": R.top_negative_terms,
+    "monthly_sales_from_state": S.monthly_sales_from_state,
 }
 
 

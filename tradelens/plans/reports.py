@@ -100,6 +100,8 @@ class Params:
     shipping_bins: int = 800
     preview_rows: int = 5
     top_terms: int = 50
+    state_until: str = "2018-08-01"          # first build of the daily state, exclusive
+    state_again_from: str = "2018-07-25"     # the refresh after it
 
 
 UNITS = 10 ** 8          # fixed-point scale of per-row values that are then averaged
