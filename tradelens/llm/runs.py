@@ -6,8 +6,8 @@ A run is a stretch of words with smallest period q (words q apart are the same),
 Words are appended one at a time.  Over every completed block of ``2**k`` words that starts at a multiple of its
 length stands a catcher: it waits for the block to come back ``p`` words later, for the periods ``p`` of its
 level, ``(2 b - 1) / (times - 1) <= p < (4 b - 1) / (times - 1)`` with ``b = 2**k``.  The levels share out all
-periods, and at most one catcher of a level listens at any word.  Where the appended word ends such a copy, the
-last ``p`` words are compared with the ``p`` words before them: first by prefix hashes, then word by word.  If
+periods, and at most one catcher of a level listens at any word.  Where the appended word is the last of such a block,
+the last ``p`` words are compared with the ``p`` words before them: by one word, by prefix hashes, then word by word.  If
 they are equal, a square ends here.  It becomes an open run of period ``p``, extended to the left once and by
 every further word that keeps the period; the first word that does not closes it.
 
@@ -50,39 +50,58 @@ class RunCatcher:
             raise ValueError("catchers over single blocks need runs of three periods or more")
         self.least, self.times = least, times
         self.items: list = []
-        self.prefix = [0]  # polynomial hash of the first i items
+        self.prefix = [0]  # polynomial hash of the first i items, as far as it was needed
         self.powers = [1]
         self.open: dict[int, int] = {}  # period -> start of the run that is being extended
         self.found: list[Run] = []
-        self.levels: list[tuple[int, int, int]] = []  # block length, its smallest period, number of further periods
+        self.levels: list[tuple[int, int]] = []  # of blocks of 2**k items: smallest period, number of further periods
+        #: last item of a block -> its catchers: the first and the last place that they listen at, and the block's end
+        self.waiting: dict[object, list[tuple[int, int, int]]] = {}
 
-    def _level(self, b: int) -> tuple[int, int, int]:
+    def _level(self, b: int) -> tuple[int, int]:
         """The periods that a catcher over ``b`` items answers for."""
         low, high = -(-(2 * b - 1) // (self.times - 1)), -(-(4 * b - 1) // (self.times - 1)) - 1
-        return b, low, high - low
+        return low, high - low
 
     def extend(self, items) -> None:
         """Appends items one after the other."""
-        t, prefix, open_runs, levels = self.items, self.prefix, self.open, self.levels
-        due = 1 << len(levels)
+        t, open_runs, waiting, levels = self.items, self.open, self.waiting, self.levels
+        n = len(t)
         for item in items:
-            n = len(t)
             t.append(item)
-            prefix.append((prefix[-1] * _BASE + hash(item)) % _MODULUS)
-            if n + 1 > due:  # the first block of the next length is complete
-                levels.append(self._level(due))
-                due *= 2
             if open_runs:
                 ended = [p for p in open_runs if t[n - p] != item]
                 if ended:
                     self._close(ended, n)
-            for b, low, more in levels:
-                latest = n + 1 - b - low  # the last start of a block whose copy may end here
-                if latest < 0:
-                    break
-                start = latest & -b
-                if latest - start <= more and t[start + b - 1] == item:
-                    self._compare(n, n + 1 - b - start)
+            catchers = waiting.get(item)
+            if catchers:  # the item may end a copy of their blocks
+                late = False
+                for first, last, end in reversed(catchers):
+                    if first <= n <= last:
+                        p = n - end
+                        if p < 2 or t[n - 1] == t[end - 1]:
+                            self._compare(n, p)
+                    late |= last <= n
+                if late:
+                    catchers[:] = [c for c in catchers if c[1] > n]
+            n += 1
+            b, k = 1, 0
+            while not n & (b - 1) and b <= n:  # the blocks that this item completes
+                if k == len(levels):
+                    levels.append(self._level(b))
+                low, more = levels[k]
+                if more >= 0:
+                    waiting.setdefault(item, []).append((n - 1 + low, n - 1 + low + more, n - 1))
+                b, k = 2 * b, k + 1
+
+    def _hash(self, first: int, end: int) -> int:
+        """Hash of the items from ``first`` up to ``end``."""
+        t, prefix, powers = self.items, self.prefix, self.powers
+        for i in range(len(prefix) - 1, end):
+            prefix.append((prefix[i] * _BASE + hash(t[i])) % _MODULUS)
+        while len(powers) <= end - first:
+            powers.append(powers[-1] * _BASE % _MODULUS)
+        return (prefix[end] - prefix[first] * powers[end - first]) % _MODULUS
 
     def _compare(self, n: int, p: int) -> None:
         """Opens a run if a square of period ``p`` ends at item ``n``."""
@@ -91,13 +110,8 @@ class RunCatcher:
             return
         if any(p % q == 0 and start <= first for q, start in self.open.items()):
             return  # a multiple of an open run's period
-        while len(self.powers) <= p:
-            self.powers.append(self.powers[-1] * _BASE % _MODULUS)
-        t, prefix, power = self.items, self.prefix, self.powers[p]
-        middle = first + p
-        if ((prefix[n + 1] - prefix[middle] * power) - (prefix[middle] - prefix[first] * power)) % _MODULUS:
-            return
-        if t[middle:n + 1] != t[first:middle]:
+        t, middle = self.items, first + p
+        if self._hash(middle, n + 1) != self._hash(first, middle) or t[middle:n + 1] != t[first:middle]:
             return
         step = 1
         while first:  # to the left by growing steps, then item by item
