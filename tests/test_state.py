@@ -8,7 +8,7 @@ from tests.conftest import SF_SMALL
 from tradelens.plans import state as S
 from tradelens.plans.catalog import TEST_PARAMS as P
 from tradelens.plans.catalog import tables_for
-from tradelens.sources.tables import marketplace_tables
+from tradelens.sources.tables import marketplace_tables, partition_facts_by_month
 
 
 def rows(df):
@@ -54,3 +54,15 @@ def test_a_refresh_reads_its_days_only(spark, tmp_path):
     pushed = [ln for ln in plan.splitlines() if "FileScan" in ln and "order_purchase_timestamp" in ln]
     assert pushed and all(re.search(r"PushedFilters:.*GreaterThanOrEqual\(order_purchase_timestamp,2000-03-01.*"
                                     r"LessThan\(order_purchase_timestamp,2000-03-02", ln) for ln in pushed)
+
+
+def test_facts_by_month_are_pruned_on_both_sides(spark, tmp_path):
+    base = tables_for(spark, SF_SMALL)
+    t = partition_facts_by_month(base, str(tmp_path))
+    assert t.orders.drop("month").exceptAll(base.orders).count() == 0 and t.items.count() == base.items.count()
+    facts = S.daily_facts(t, P, "2000-02-10", "2000-03-05")
+    assert rows(facts) == rows(S.daily_facts(base, P, "2000-02-10", "2000-03-05"))
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    scans = [ln for ln in plan.splitlines() if "FileScan" in ln and "month#" in ln]
+    assert len(scans) >= 3  # orders twice, items
+    assert all(re.search(r"PartitionFilters: \[[^\]]*month#\d+ >= 2000-02", ln) for ln in scans), scans

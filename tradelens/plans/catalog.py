@@ -34,6 +34,7 @@ TEST_PARAMS = R.Params(
     seller_pair_min=5,
     scorecard_min=620,
     band_edges=(1, 550, 600, 650),
+    quarter_start="2001-05-01",
     state_until="2001-07-01",
     state_again_from="2001-06-24",
 )
@@ -95,6 +96,7 @@ REPORTS: dict[str, Callable] = {
     "weight_quantiles_sketched": R.weight_quantiles_sketched,
     "top_negative_terms": R.top_negative_terms,
     "monthly_sales_from_state": S.monthly_sales_from_state,
+    "quarter_sales_of_monthly_facts": S.quarter_sales_of_monthly_facts,
 }
 
 

@@ -100,6 +100,7 @@ class Params:
     shipping_bins: int = 800
     preview_rows: int = 5
     top_terms: int = 50
+    quarter_start: str = "2018-06-01"        # of facts stored by month, up to daily_end
     state_until: str = "2018-08-01"          # first build of the daily state, exclusive
     state_again_from: str = "2018-07-25"     # the refresh after it
 

@@ -13,10 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.functions.timecols import between_half_open
 from tradelens.plans.reports import Params
 from tradelens.session import cut_lineage, shared_folder
-from tradelens.sources.tables import Tables
+from tradelens.sources.tables import Tables, items_of_orders, partition_facts_by_month, purchased_between
 
 _LIST = "version long, day string, refresh string"
 
@@ -24,17 +23,18 @@ _LIST = "version long, day string, refresh string"
 def daily_facts(t: Tables, p: Params, first: str, end: str) -> DataFrame:
     """``day, category, orders, items, sales`` of the purchases from ``first`` up to ``end`` (exclusive).
 
-    The bounds are comparisons on the purchase time, so Parquet skips other days.  A row with a null category counts all
+    The bounds are comparisons on the purchase time, so Parquet skips other days, and other months are not read where the
+    facts are stored by month.  A row with a null category counts all
     orders of the day; the others its items by category.  All measures add up over days but ``orders``, which
     adds up over days in the rows with a null category only (an order may hold several categories).
     """
-    orders = t.orders.filter(between_half_open("purchased", first, end)).select(
-        "order_id", F.date_format("purchased", "yyyy-MM-dd").alias("day"))
+    months = ["month"] if "month" in t.orders.columns else []  # of facts stored by month
+    orders = purchased_between(t.orders, first, end).select("order_id", F.date_format("purchased", "yyyy-MM-dd").alias("day"), *months)
     every = orders.groupBy("day").agg(F.count(F.lit(1)).alias("orders")).select(
         "day", F.lit(None).cast("string").alias("category"), "orders", F.lit(0).cast("long").alias("items"),
         F.lit(0).cast("decimal(28,2)").alias("sales"))
     named = t.products.join(t.category_names, "category_code").select("product_id", "category")
-    items = t.items.select("order_id", "product_id", "price").join(orders, "order_id").join(named, "product_id")
+    items = items_of_orders(t.items, orders).select("order_id", "product_id", "price", "day").join(named, "product_id")
     return every.unionByName(items.groupBy("day", "category").agg(
         F.count_distinct("order_id").alias("orders"), F.count(F.lit(1)).alias("items"),
         F.sum("price").cast("decimal(28,2)").alias("sales")))
@@ -124,3 +124,15 @@ def monthly_sales_from_state(t: Tables, p: Params) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(state.root)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return out
+
+
+def quarter_sales_of_monthly_facts(t: Tables, p: Params) -> DataFrame:
+    """Daily sales by category of the last quarter of the analysed range, from facts stored by month: the folders of
+    three months are read, of orders and of items.  The facts are deleted once the rows are kept."""
+    spark = t.orders.sparkSession
+    root = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
+    facts = daily_facts(partition_facts_by_month(t, root), p, p.quarter_start, p.daily_end)
+    out = cut_lineage(facts.filter(F.col("category").isNotNull()).select("day", "category", "items", F.col("sales").cast("double").alias("sales")))
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out

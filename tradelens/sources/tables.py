@@ -35,6 +35,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradelens.functions.timecols import between_half_open
+
 MONEY = "decimal(18,2)"
 TABLE_NAMES = ("orders", "customers", "items", "products", "category_names", "payments", "reviews", "comments", "geo",
                "sellers", "leads", "closed")
@@ -279,3 +281,38 @@ def colocate_order_facts(tables: Tables, location: str, buckets: int, database:
          .option("path", f"{location.rstrip('/')}/{name}").saveAsTable(full))
         stored[name] = spark.table(full)
     return tables.replaced(**stored)
+
+
+# ---------------------------------------------------------------------------
+# Facts by month
+# ---------------------------------------------------------------------------
+
+def partition_facts_by_month(tables: Tables, location: str) -> Tables:
+    """Store orders and items below ``location`` (path or URI) in one folder for each month of purchase.
+
+    Items get the month of their order, so a range of purchase times prunes the folders of both
+    (:func:`purchased_between`, :func:`items_of_orders`).  A month is written by several tasks, cut by order.  Orders without
+    a purchase time, and items without an order, are in the folder of the null month.  Returns the same canonical
+    model with ``month`` beside the other columns of both.
+    """
+    spark = tables.orders.sparkSession
+    root = location.rstrip("/")
+    orders = tables.orders.withColumn("month", F.date_format("purchased", "yyyy-MM"))
+    orders.repartitionByRange("month", "order_id").write.partitionBy("month").parquet(f"{root}/orders")
+    stored = spark.read.schema(orders.schema).parquet(f"{root}/orders")
+    items = tables.items.join(stored.select("order_id", "month"), "order_id", "left").select(*tables.items.columns, "month")
+    items.repartitionByRange("month", "order_id").write.partitionBy("month").parquet(f"{root}/items")
+    return tables.replaced(orders=stored, items=spark.read.schema(items.schema).parquet(f"{root}/items"))
+
+
+def purchased_between(orders: DataFrame, first: str, end: str) -> DataFrame:
+    """Orders purchased from the date ``first`` up to ``end`` (exclusive); other months' folders are not read."""
+    rows = orders.filter(between_half_open("purchased", first, end))
+    return rows.filter(F.col("month").between(first[:7], end[:7])) if "month" in orders.columns else rows
+
+
+def items_of_orders(items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Items with the columns of their orders.  Where both know the month it is joined too: Spark carries the bounds on
+    the orders' month over to the items', whose other folders are not read either."""
+    keys = ["order_id", "month"] if "month" in items.columns and "month" in orders.columns else ["order_id"]
+    return items.join(orders, keys)
