@@ -107,7 +107,11 @@ def test_rows_that_share_a_null_or_repeated_id(spark):
     rows = [(1, text("a")), (7, text("a", "y")), (7, text("b")), (7, text("b", "y")), (None, text("c")), (None, text("c", "y")),
             (None, text("d")), (None, text("d")), (None, text("a")), (None, text("e")), (9, text("f")), (9, text("f")), (None, ""), (None, "")]
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
-    out = neardup.op4(df).collect()
+    # the query's column follows its contract, by doc_id; the operator keeps one row of each component
+    contract = neardup.op4(df).collect()
+    assert len(contract) == len(rows) and all(r.kept == (r.doc_id == r.component_id) for r in contract)
+    assert [r.kept for r in contract if r.doc_id == 9] == [True, True]
+    out = neardup.near_duplicates(df, percent=85).collect()
     assert len(out) == len(rows)
     assert sorted((str(r.component_id), r.n_shingles) for r in out if r.kept) == sorted(
         [("1", 77), ("7", 77), ("None", 77), ("None", 77), ("None", 77), ("9", 77), ("None", 0), ("None", 0)])
@@ -118,6 +122,30 @@ def test_rows_that_share_a_null_or_repeated_id(spark):
     assert sorted(t.split()[0] for i, t in kept if i is None and t) == ["c0", "d0", "e0"]
 
 
+def test_bands_follow_the_threshold():
+    assert neardup.banding(85) == (32, 6) and neardup.banding(80) == (38, 5)
+    for percent in range(40, 100, 5):
+        bands, rows = neardup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 3e-7 and bands * rows <= 192
+
+
+def test_recall_at_the_pipelines_threshold(spark):
+    """Every link at 0.8 and above, many of them just there."""
+    rnd, rows = random.Random(8), []
+    for g in range(150):
+        words = [f"g{g}w{i}" for i in range(104)]  # 100 shingles; one changed word in the middle changes 5
+        rows.append((10 * g, " ".join(words)))
+        for k, changes in enumerate((1, 2, 2, 2, 3)):  # 95/105, 90/110 = 0.818, 85/115
+            other = list(words)
+            for place in rnd.sample(range(5, 100, 6), changes):
+                other[place] = f"x{rnd.randint(0, 10 ** 9)}"
+            rows.append((10 * g + k + 1, " ".join(other)))
+    want = brute(rows, 80)
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.doc_id != want[r.doc_id][1] for r in out) > 500
+    assert [r.doc_id for r in out if (r.n_shingles, r.component_id) != want[r.doc_id]] == []
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(3)
     m = 4096 // 2

@@ -8,8 +8,7 @@ registers agree about as often as the sets overlap.
 1. Documents with equal sets form a class, a node with a number of its own; doc_ids name no nodes.
 2. The registers of a representative are cut into bands; equal bands put documents into one bucket.
    With ``rows`` registers a band and ``bands`` bands, a pair at similarity s meets in some bucket
-   but for a chance of (1 - s**rows)**bands: 3e-7 at 0.85 with the defaults, but 6e-5 at 0.8,
-   the threshold of the pipeline.
+   but for a chance of (1 - s**rows)**bands; :func:`banding` chooses both so that it is at most 3e-7 at the threshold.
 3. Every member of a bucket is paired with the bucket's smallest node.  The joint likelihood of both
    sketches, with the exact set sizes, estimates the similarity; pairs far below the threshold go
    (``slack`` is four and a half standard deviations).  The others are confirmed on full sets.  Components follow.
@@ -38,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import arrow_schema, map_batches, spare, texts_of
+from tradelens.llm.common import arrow_schema, bitmap, bitmap_slot, in_bitmap, map_batches, spare, texts_of
 from tradelens.llm.graph import components
 from tradelens.session import cut_lineage
 
 SHINGLE = 5
-BANDS = 32
-BAND_ROWS = 6
+#: Registers of a sketch at most, and the chance at which a pair at the threshold may meet in no bucket.
+REGISTERS = 192
+MISS = 3e-7
 #: Base and rate of the registers' scale, and their largest value.
 BASE = 1.001
 RATE = 20.0
@@ -154,7 +154,15 @@ def slack(threshold: float, m: int) -> float:
     return 4.5 * float(np.sqrt(threshold * (1 - threshold) / m))
 
 
-def sketch_documents(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, width: int = SHINGLE) -> DataFrame:
+def banding(percent: int, m: int = REGISTERS, miss: float = MISS) -> tuple[int, int]:
+    """Bands and registers a band: the longest bands that miss a pair at the threshold with a chance of ``miss`` at most."""
+    for rows in range(m, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (m // rows) <= miss:
+            return m // rows, rows
+    return m, 1
+
+
+def sketch_documents(docs: DataFrame, bands: int, rows: int, width: int = SHINGLE) -> DataFrame:
     """``doc_id, row, n_shingles, signature, sketch`` of ``doc_id, text, row``; equal sets have equal 128-bit signatures."""
     m = bands * rows
 
@@ -194,13 +202,18 @@ def _likely(pairs: DataFrame, reps: DataFrame, cutoff: float, m: int) -> DataFra
 
 
 def _full_sets(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``id, elements`` of the ``nodes`` (``id, doc_id, row``); of equal rows one is read."""
+    """``id, elements`` of the ``nodes`` (``id, doc_id, row``); of equal rows one is read.
+
+    A bitmap of fixed size drops most other texts before they are shuffled.
+    """
     def sets(batch: pa.RecordBatch) -> dict:
         return {"id": batch.column(0), "elements": [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]}
 
     # structs are equal where nulls in them meet; the join shares the shuffle of the aggregation
     place = F.struct("doc_id", "row").alias("place")
-    found = texts.groupBy(place).agg(F.first("text").alias("text")).join(nodes.select("id", place), "place")
+    slot = bitmap_slot("doc_id", "row")
+    wanted = texts.where(in_bitmap(bitmap(nodes.select(slot.alias("slot"))), slot))
+    found = wanted.groupBy(place).agg(F.first("text").alias("text")).join(nodes.select("id", place), "place")
     return map_batches(found.select("id", "text"), sets, "id long, elements binary")
 
 
@@ -305,8 +318,9 @@ def _across(buckets: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFr
     return likely.join(sets, "id").groupBy(*by).applyInArrow(confirm, "a long, b long")
 
 
-def _decided(docs: DataFrame, percent: int, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+def _decided(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, row, n_shingles, class_id, component_id, kept`` of every row; ``row`` is the hash of its text."""
+    bands, rows = banding(percent)
     m, threshold = bands * rows, percent / 100
     cutoff = threshold - slack(threshold, m)
     texts = texts_of(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
@@ -320,7 +334,7 @@ def _decided(docs: DataFrame, percent: int, width: int, bands: int, rows: int, i
     buckets = cut_lineage(_bucket_rows(reps, bands, rows))
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1")
     buckets = cut_lineage(buckets.join(shared.select("bucket", "a"), "bucket"))
-    nodes = reps.select("id", "at.doc_id", "at.row").join(buckets.select("id").distinct(), "id", "left_semi")
+    nodes = cut_lineage(reps.select("id", "at.doc_id", "at.row").join(buckets.select("id").distinct(), "id", "left_semi"))
     sets = cut_lineage(_full_sets(texts, nodes, width))
     stars = buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = cut_lineage(_confirmed(_likely(stars, reps, cutoff, m), sets, percent))
@@ -339,15 +353,15 @@ def _decided(docs: DataFrame, percent: int, width: int, bands: int, rows: int, i
                       (alone | (F.col("number") == F.col("head.number"))).alias("kept"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, bands: int = BANDS,
-                    rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id, kept`` of every row.
 
     Documents are linked where ``100 * intersection >= percent * union``; ``class_id`` is the smallest
     doc_id with an equal set, ``component_id`` the smallest reachable by links.  One row of each component
     is kept, and every row without words.
     """
-    return _decided(docs, percent, width, bands, rows, id_col, text_col).drop("row")
+    return _decided(docs, percent, width, id_col, text_col).drop("row")
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -356,7 +370,7 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     Rows without words stay; rows with a null or repeated doc_id are decided by their texts.
     """
     place, whole = (spare(docs, c) for c in ("_place", "_whole"))
-    marks = _decided(docs, percent, SHINGLE, BANDS, BAND_ROWS, "doc_id", "text")
+    marks = _decided(docs, percent, SHINGLE, "doc_id", "text")
     kept = marks.where("kept and n_shingles > 0").select(F.struct("doc_id", "row").alias(place))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     words = text.rlike("[^\\x20\\x09-\\x0D]")
@@ -368,7 +382,9 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+    out = near_duplicates(docs, percent=85)
+    # the contract's word for it is by doc_id, whatever the number of rows that share one
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 ORACLE_SQL = r"""
