@@ -8,14 +8,22 @@ the order of the work.
 1. Words are ordered by rarity.  How often a word occurs is counted over all lines by a hash of
    2**18 classes, so the table that every task needs has a fixed size; any order that is the same for
    all lines gives exact results, a better one only fewer candidates.
-2. Equal sets form a class.  Its earliest line stands for it and all others are removed.
-3. Similar sets share a word among the first ``n - ceil(t n) + 1`` of each (prefix filter); lengths, positions and
-   a bitmap that bounds the symmetric difference from below rule out most pairs inside the join.
-4. Large families of near copies would make pairs by the square of their size.  So lines that share two
-   neighbouring prefix words are first held against the one of the smallest doc_id; lines that match it are
-   decided and no longer look for partners (they remain partners of others).
+2. Equal sets form a class.  Its earliest line stands for it and all others are removed.  From here on there is one
+   row a class; texts are read again only for the lines of candidate pairs.
+3. Similar sets share a word among the first ``n - ceil(t n) + 1`` of each (prefix filter); lengths and positions rule out
+   most pairs inside the join, whose rows hold a few numbers.
+   So does the parity of their words in 64 classes, which bounds the symmetric difference from below.
+4. Large families of near copies would make pairs by the square of their size.  So classes that share their two
+   rarest words are first held against the one of the smallest doc_id; those that match it are decided and no longer look
+   for partners (they remain partners of others).
 5. Candidates are verified on the lines' words.
 
+Joins meet hot words, families and copies without a repartition of their own, so Spark splits skewed ones.  Tables that
+the steps share lie in the shared folder and are deleted at the end.
+
+A class is known by 96 bits of hashes of its words' codes of 64 bits; among 1e11 distinct lines two share them with a
+chance of 1e-7.
+
 Cases: words are runs of anything but ASCII white space, in lower case; lines without words are never
 removed; null and empty texts have one line without words; long lines and texts are taken whole; an
 equal line in the same document counts; null doc_ids come first; an empty table gives no rows; other
@@ -27,21 +35,24 @@ that agree in doc_id and text are treated alike.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import spare, stored, texts_of
-from tradelens.session import cut_lineage
+from tradelens.llm.common import bit_of, bitmap, bitmap_slot, delete_folder, in_bitmap, spare, texts_of
+from tradelens.session import cut_lineage, shared_folder
 
 CLASS_BITS = 18
-#: Size of the bitmap that sorts out lines before they are read again, whatever the input.
-SIEVE_BITS = 22
-_WORDS = "[\\x20\\x09-\\x0D]+"
+
+_BLANKS = "\x09\x0b\x0c\x0d"
 
 
 def _hashes(line: Column) -> Column:
     """Hashes of a line's distinct words."""
-    words = F.transform(F.split(F.lower(line), _WORDS), lambda w: F.xxhash64(w))
+    for blank in _BLANKS:
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    words = F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))
     return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))
 
 
@@ -69,8 +80,9 @@ def _needed(n: Column, percent: int) -> Column:
 
 
 def line_sets(docs: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, row, line_no, key, n, prefix, bits`` of every line; ``key`` tells sets apart."""
-    spark, lines = docs.sparkSession, _lines(docs)
+    """``doc_id, row, line_no, key, check, n, prefix, bits`` of every line with words; ``key`` and ``check`` tell sets
+    apart, ``prefix`` has numbers for the rarest words, ``bits`` the parity of the words' codes in 64 classes."""
+    spark, lines = docs.sparkSession, _lines(docs).where(F.col("line").rlike("[^\\x20\\x09-\\x0d]"))
     words = lines.select(F.explode(_hashes(F.col("line"))).alias("h"))
     weights = rarity(spark, words).scalar()
     mask = F.lit((1 << CLASS_BITS) - 1)
@@ -80,58 +92,50 @@ def line_sets(docs: DataFrame, percent: int) -> DataFrame:
                                     .bitwiseOR(F.shiftrightunsigned(h, 12))))
     coded = lines.select("doc_id", "row", "line_no", code.alias("codes"))
     n = F.size("codes")
-    bits = F.aggregate("codes", F.lit(0).cast("long"),
-                       lambda acc, c: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-    return coded.select("doc_id", "row", "line_no", F.xxhash64("codes").alias("key"), n.alias("n"),
-                        F.slice("codes", 1, n - _needed(n, percent) + F.when(n > 0, 1).otherwise(0)).alias("prefix"),
-                        bits.alias("bits"))
+    bits = F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit_of(c)))
+    rarest = F.slice("codes", 1, n - _needed(n, percent) + 1)
+    return coded.select("doc_id", "row", "line_no", F.xxhash64("codes").alias("key"), F.hash("codes").alias("check"), n.alias("n"),
+                        F.transform(rarest, lambda c: c.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"), bits.alias("bits"))
 
 
-def _may_match(percent: int, a: str = "", b: str = "o_") -> Column:
-    """Length and bitmap filters for columns ``n`` and ``bits`` with the prefixes a and b."""
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    differ = F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits")))
-    return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-            & (differ * (100 + percent) <= (n + m) * (100 - percent)))
+def _fits(n: Column, m: Column, bits: Column, other: Column, percent: int) -> Column:
+    """Whether sets of these sizes and parities can be similar: each word that only one has turns one bit."""
+    differ = F.bit_count(bits.bitwiseXOR(other))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def _sieve(spark: SparkSession, places: DataFrame) -> DataFrame:
-    """One row: a bitmap of the hashed ``doc_id, row, line_no``, as an array of longs of fixed length."""
-    slot = _slot()
-    words = places.groupBy(F.shiftright(slot, 6).cast("long").alias("id")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)))).alias("bits"))
-    table = spark.range(1 << (SIEVE_BITS - 6)).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0)).cast("long").alias("bits"))
-    return table.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda e: e["bits"]).alias("sieve"))
+_PLACE = ("doc_id", "row", "line_no")
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("doc_id", "row", F.col("line_no").cast("int")), F.lit(1 << SIEVE_BITS)).cast("int")
+def _named(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``id`` may be among ``ids``, by a bitmap: for a join with them that shuffles little."""
+    slot = bitmap_slot("id")
+    return rows.where(in_bitmap(bitmap(ids.select(slot.alias("slot"))), slot))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, by_row: bool) -> DataFrame:
-    """``key`` of the later line of every pair (``key, o_key``) of similar lines.
+    """``id`` of the later class of every pair (``id, o_id``) of similar classes.
 
     The lines are read from the texts again.  A bitmap of fixed size drops most lines that no pair names
     before they are shuffled; where it lets others pass, the join drops them.  Of equal rows one is read.
     """
     pairs = cut_lineage(pairs.distinct())
-    keys = pairs.select(F.explode(F.array("key", "o_key")).alias("key")).distinct()
-    wanted = cut_lineage(classes.join(keys, "key", "left_semi").select("key", "doc_id", "row", "line_no"))
-    slot = _slot()
-    sieve = _sieve(texts.sparkSession, wanted).scalar()
-    kept = sieve[F.shiftright(slot, 6)].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63))))
-    # structs are equal where nulls in them meet; the join shares the shuffle of the aggregation
-    place = F.struct("doc_id", "row", F.col("line_no").cast("int").alias("line_no")).alias("place")
-    lines = _lines(texts).where(kept != 0).groupBy(place).agg(F.first("line").alias("line"))
-    found = cut_lineage(lines.join(wanted.select("key", place), "place")
-                        .select("key", "place.*", _hashes(F.col("line")).alias("words")))
-    other = found.toDF("o_key", "o_doc", "o_row", "o_line", "o_words")
-    both = pairs.join(found, "key").join(other, "o_key")
+    ids = pairs.select(F.explode(F.array("id", "o_id")).alias("id")).distinct()
+    wanted = cut_lineage(_named(classes.select("id", *_PLACE), ids).join(ids, "id", "left_semi"))
+    slot = bitmap_slot("doc_id", "row", F.col("line_no").cast("int"))
+    named = in_bitmap(bitmap(wanted.select(slot.alias("slot"))), slot)
+    # keys without nulls, so that the join shares the shuffle of the aggregation
+    place = {"place_id": F.coalesce("doc_id", F.lit(0).cast("long")), "nameless": F.col("doc_id").isNull(), "place_row": F.col("row"),
+             "place_line": F.col("line_no").cast("int")}
+    lines = _lines(texts).where(named).withColumns(place).groupBy(*place).agg(F.first("line").alias("line"))
+    found = cut_lineage(lines.join(wanted.withColumns(place), list(place)).select("id", *_PLACE, _hashes(F.col("line")).alias("words")))
+    other = found.toDF("o_id", "o_doc", "o_row", "o_line", "o_words")
+    both = pairs.join(found, "id").join(other, "o_id")
     shared = F.size(F.array_intersect("words", "o_words"))
     similar = shared * 100 >= (F.size("words") + F.size("o_words") - shared) * percent
     first, then = ("doc_id", "line_no", "row"), ("o_doc", "o_line", "o_row")
-    later = F.when(_earlier(first, then, by_row), F.col("o_key")).when(_earlier(then, first, by_row), F.col("key"))
-    return both.where(similar).select(later.alias("key")).where("key is not null").distinct()
+    later = F.when(_earlier(first, then, by_row), F.col("o_id")).when(_earlier(then, first, by_row), F.col("id"))
+    return both.where(similar).select(later.alias("id")).where("id is not null").distinct()
 
 
 def _earlier(at: tuple[str, str, str], than: tuple[str, str, str], by_row: bool) -> Column:
@@ -142,6 +146,80 @@ def _earlier(at: tuple[str, str, str], than: tuple[str, str, str], by_row: bool)
     return first | (doc.eqNullSafe(than_doc) & within)
 
 
+def _of_families(classes: DataFrame, percent: int) -> DataFrame:
+    """``id, o_id``: classes that share two neighbouring prefix words with one of a smaller doc_id, against that one."""
+    two = F.xxhash64(F.element_at("prefix", 1), F.try_element_at("prefix", F.lit(2)))
+    families = classes.select("id", "n", "bits", "doc_id", two.alias("family"))
+    heads = (families.groupBy("family").agg(F.min(F.struct("doc_id", "id", "n", "bits")).alias("h"), F.count("*").alias("members"))
+             .where("members > 1").select(F.col("family").alias("o_family"), F.col("h.id").alias("o_id"), F.col("h.n").alias("m"),
+                                          F.col("h.bits").alias("o_bits")))
+    near = _fits(F.col("n"), F.col("m"), F.col("bits"), F.col("o_bits"), percent)
+    return (families.join(heads, (F.col("family") == F.col("o_family")) & (F.col("id") != F.col("o_id")) & near)
+            .select(F.least("id", "o_id").alias("id"), F.greatest("id", "o_id").alias("o_id")))
+
+
+def _of_prefixes(classes: DataFrame, decided: DataFrame, percent: int) -> DataFrame:
+    """``id, o_id``: classes that share a prefix word at positions from which they can still be similar."""
+    columns = ("id", "n", "bits", "prefix")
+    slot = bitmap_slot("id")
+    maybe = in_bitmap(bitmap(decided.select(slot.alias("slot"))), slot)
+    marked = classes.where(maybe).select(*columns).join(decided.select("id", F.lit(True).alias("done")), "id", "left")
+    flagged = classes.where(~maybe).select(*columns, F.lit(False).alias("done")).union(
+        marked.select(*columns, F.col("done").isNotNull()))
+    # size, position and mark in one number: a row for each prefix word is what the join costs
+    index = flagged.select("id", "n", "bits", "done", F.posexplode("prefix").alias("place", "word")).select(
+        "word", "id", "bits", (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("place").cast("long"), 1)
+                               + F.col("done").cast("int")).alias("pack"))
+    # two projections alike: the second reads the first one's shuffle
+    left, right = (index.select(*[F.col(c).alias(f"{side}_{c}") for c in index.columns]) for side in ("l", "r"))
+
+    def unpacked(side: str) -> tuple[Column, Column, Column]:
+        pack = F.col(f"{side}_pack")
+        return F.shiftright(pack, 32), F.shiftright(pack.bitwiseAND(F.lit((1 << 32) - 1)), 1), pack.bitwiseAND(F.lit(1))
+
+    (n, at, done), (m, o_at, o_done) = unpacked("l"), unpacked("r")
+    least_shared = F.floor(((n + m) * percent + 99 + percent) / (100 + percent))  # ceil(t / (1 + t) * (n + m))
+    in_reach = F.least(n - at, m - o_at) >= least_shared
+    met = left.join(right, (F.col("l_word") == F.col("r_word")) & (F.col("l_id") < F.col("r_id")) & (done + o_done < 2)
+                    & in_reach & _fits(n, m, F.col("l_bits"), F.col("r_bits"), percent))
+    return met.select(F.col("l_id").alias("id"), F.col("r_id").alias("o_id"))
+
+
+def _gone(texts: DataFrame, percent: int, by_row: bool) -> DataFrame:
+    """``doc_id, row, line_no`` of the removed lines of every row."""
+    spark = texts.sparkSession
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    lines = stored(line_sets(texts, percent), "lines")
+    classes = stored(lines.groupBy("key", "check").agg(
+        F.min(F.struct("doc_id", "line_no", "row")).alias("at"), F.count("*").alias("members"), F.first("n").alias("n"),
+        F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+        .select(F.monotonically_increasing_id().alias("id"), "key", "check", "at.*", "members", "n", "prefix", "bits"), "classes")
+
+    decided = cut_lineage(_verified(_of_families(classes, percent), classes, texts, percent, by_row))
+    more = _verified(_of_prefixes(classes, decided, percent), classes, texts, percent, by_row)
+
+    matched = cut_lineage(decided.union(more).distinct().withColumn("matched", F.lit(True)))
+    slot = bitmap_slot("id")
+    maybe = in_bitmap(bitmap(matched.select(slot.alias("slot"))), slot)
+    touched = cut_lineage(classes.where(maybe | (F.col("members") > 1))
+                          .select("id", "key", "check", "members", F.struct("doc_id", "line_no", "row").alias("at"))
+                          .join(matched, "id", "left").where("members > 1 or matched")
+                          .select("key", "check", F.col("at.doc_id").alias("r_doc"), F.col("at.line_no").alias("r_line"),
+                                  F.col("at.row").alias("r_row"), F.coalesce("matched", F.lit(False)).alias("matched")))
+    # lines of classes of one line that matches no earlier one are not shuffled (or few of them)
+    held = in_bitmap(bitmap(touched.select(bitmap_slot("key").alias("slot"))), bitmap_slot("key"))
+    copy = _earlier(("r_doc", "r_line", "r_row"), ("doc_id", "line_no", "row"), by_row)
+    gone = cut_lineage(lines.select(*_PLACE, "key", "check").where(held).join(touched, ["key", "check"])
+                       .where(F.col("matched") | copy).select(*_PLACE))
+    delete_folder(spark, folder)
+    return gone
+
+
 def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                   by_row: bool = False) -> DataFrame:
     """``doc_id, row, line_no, removed`` of every line of every row (``row``: the hash of its text).
@@ -149,45 +227,10 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     With ``by_row``, of lines that agree in doc_id and line number that of the smallest ``row`` is the earliest.
     """
     texts = texts_of(docs, id_col, text_col)
-    lines = stored(line_sets(texts, percent))
-    classes = lines.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("at")).select("key", "at.*")
-
-    # lines with two neighbouring prefix words in common, against the one of the smallest doc_id
-    twos = F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.greatest(F.size("prefix") - 1, F.lit(1)))),
-                       lambda i: F.xxhash64(F.element_at("prefix", i), F.try_element_at("prefix", i + 1)))
-    families = (lines.where("n > 0").select("key", "n", "bits", "doc_id", F.explode(twos).alias("family"))
-                .repartition("family"))  # one shuffle for both sides of the join
-    heads = (families.groupBy("family")
-             .agg(F.min(F.struct("doc_id", "key", "n", "bits")).alias("h"), F.count("*").alias("members"))
-             .where("members > 1").select("family", F.col("h.doc_id").alias("o_doc"), F.col("h.key").alias("o_key"),
-                                          F.col("h.n").alias("o_n"), F.col("h.bits").alias("o_bits")))
-    # the condition on doc_id always holds; it keeps the columns of both branches alike, so that they share a shuffle
-    stars = families.join(heads, "family").where(
-        (F.col("key") != F.col("o_key")) & F.coalesce(F.col("o_doc") <= F.col("doc_id"), F.lit(True)) & _may_match(percent)
-    ).select(F.least("key", "o_key").alias("key"), F.greatest("key", "o_key").alias("o_key"))
-    decided = cut_lineage(_verified(stars, classes, texts, percent, by_row))
-
-    # the rest, against every line that shares a prefix word; equal sets are one row from here on
-    sets = (lines.where("n > 0").select("key", "n", "bits", "prefix").dropDuplicates(["key"])
-            .join(decided.withColumn("done", F.lit(True)), "key", "left"))
-    index = (sets.select("key", "n", "bits", F.col("done").isNotNull().alias("done"), F.posexplode("prefix").alias("place", "word"))
-             .repartition("word"))
-    other = index.select(*[F.col(c).alias(f"o_{c}") for c in index.columns])
-    n, m = F.col("n"), F.col("o_n")
-    least_shared = F.floor(((n + m) * percent + 99 + percent) / (100 + percent))  # ceil(t / (1 + t) * (n + m))
-    in_reach = F.least(n - F.col("place"), m - F.col("o_place")) >= least_shared
-    # both sides of the join have the same columns and no filter of their own, so they share a shuffle
-    pairs = index.join(other, (F.col("word") == F.col("o_word")) & (F.col("key") < F.col("o_key"))
-                       & ~(F.col("done") & F.col("o_done")) & in_reach & _may_match(percent)).select("key", "o_key")
-    more = _verified(pairs, classes, texts, percent, by_row)
-
-    gone = decided.union(more).distinct().withColumn("matched", F.lit(True))
-    firsts = (classes.select("key", F.col("doc_id").alias("r_doc"), F.col("line_no").alias("r_line"), F.col("row").alias("r_row"))
-              .join(gone, "key", "left"))
-    marked = lines.select("doc_id", "row", "line_no", "key").join(firsts, "key", "left")
-    copy = _earlier(("r_doc", "r_line", "r_row"), ("doc_id", "line_no", "row"), by_row)
-    return marked.select("doc_id", "row", "line_no", F.coalesce(F.col("r_line").isNotNull() & (copy | F.coalesce("matched", F.lit(False))),
-                                                         F.lit(False)).alias("removed"))
+    place = F.struct(*_PLACE).alias("place")
+    gone = _gone(texts, percent, by_row).select(place).distinct().withColumn("gone", F.lit(True))
+    return (_lines(texts).select(*_PLACE, place).join(gone, "place", "left")
+            .select(*_PLACE, F.col("gone").isNotNull().alias("removed")))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -197,7 +240,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     touched; each row loses its own lines, also where several share a doc_id or have none.
     """
     own, row, gone, left = (spare(docs, c) for c in ("_id", "_row", "_gone", "_left"))
-    marks = (removed_lines(docs, percent, by_row=True).where("removed").groupBy(F.col("doc_id").alias(own), F.col("row").alias(row))
+    marks = (_gone(texts_of(docs), percent, by_row=True).groupBy(F.col("doc_id").alias(own), F.col("row").alias(row))
              .agg(F.collect_set("line_no").alias(gone)))
     same = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == marks[row]
     rows = docs.join(marks, docs["doc_id"].eqNullSafe(marks[own]) & same, "left")
@@ -213,10 +256,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def op1(docs: DataFrame) -> DataFrame:
     """Per document the number of its lines, of those removed, and their numbers."""
-    marks = removed_lines(docs)
-    gone = F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("line_no"))))
-    return (marks.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"),
-                                        F.array_join(gone.cast("array<string>"), ",").alias("removed_lines")))
+    texts = texts_of(docs)
+    sizes = texts.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"), F.lit(None).cast("int").alias("line_no"))
+    gone = _gone(texts, 80, False).select("doc_id", F.lit(0).cast("long").alias("lines"), "line_no")
+    listed = F.array_join(F.array_sort(F.collect_list("line_no")).cast("array<string>"), ",")
+    return sizes.union(gone).groupBy("doc_id").agg(F.sum("lines").alias("n_lines"), F.count("line_no").alias("n_removed"),
+                                                   listed.alias("removed_lines"))
 
 
 ORACLE_SQL = r"""
