@@ -26,8 +26,10 @@ columns other than the id and the text are not read.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -39,22 +41,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import texts_of
+from tradelens.llm.common import delete_folder, texts_of
 from tradelens.session import cut_lineage, shared_folder
 
 MAGIC = b"TOKENIDX"
-#: Pieces whose ids a worker keeps before it starts afresh, and the longest piece that is kept.
+#: Pieces, and words between spaces, whose ids a worker keeps before it starts afresh, and the longest that is kept.
 CACHE_PIECES = 500_000
 CACHE_PIECE_CHARS = 32
 #: Ids that a task holds before it writes them out.
 WRITE_IDS = 1 << 20
 
 
+#: A space before anything that might count as white space, or before the end.
+_OPEN_SPACE = re.compile(" (?:[\\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]|\\Z)")
+
+
+_STOPS = (".", ",", ";", ":", "!", "?")
+
+
 class PieceEncoder:
     """Ids of texts by a file of the ``tokenizers`` library, with no special tokens.
 
     Where the file splits texts by the byte-level pattern, the pieces are cut here and each distinct piece is
     merged once by the library while it stays in a bounded cache; other files go through the library's ``encode``.
+    The pattern has a cut before every space that is followed by something else than white space, and what lies
+    between two such cuts is split on its own.  So most texts are cut at their spaces, and the pattern only sees words
+    that are not in the cache.
     """
 
     def __init__(self, path: str, pattern: str | None, end_id: int):
@@ -74,28 +86,51 @@ class PieceEncoder:
         others = iter(range(256, 512))
         self.shown = {b: b if b in plain else next(others) for b in range(256)}  # the library's byte-to-character table
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]  # of array(); files are little-endian, as all of Spark's platforms
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # what follows a space, up to the next one -> ids with the space
 
-    def ids_of(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> bytes:
         """The ids of one piece, as bytes of the file's type."""
-        shown = piece.encode().decode("latin-1").translate(self.shown)
-        return np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
+        ids = self.pieces.get(piece)
+        if ids is None:
+            shown = piece.encode().decode("latin-1").translate(self.shown)
+            ids = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(piece) <= CACHE_PIECE_CHARS:
+                if len(self.pieces) > CACHE_PIECES:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
+        return ids
+
+    def _by_pattern(self, text: str) -> bytes:
+        return b"".join([self._piece(p) for p in self.split(text)])
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a space and what follows it up to the next one; letters are one piece, a stop behind them another."""
+        if word.isalpha():
+            return self._piece(" " + word)
+        if word[-1:] in _STOPS and word[:-1].isalpha():
+            return self._piece(" " + word[:-1]) + self._piece(word[-1])
+        return self._by_pattern(" " + word)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text and the end id, as bytes of the file's type."""
         if self.split is None:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes() + self.end
-        known, pieces = self.known, self.split(text)
+        if _OPEN_SPACE.search(text):
+            return self._by_pattern(text) + self.end
+        first, *words = text.split(" ")
+        known = self.words
         try:
-            return b"".join([known[p] for p in pieces]) + self.end
+            return self._by_pattern(first) + b"".join([known[w] for w in words]) + self.end
         except KeyError:
             pass
         if len(known) > CACHE_PIECES:
             known.clear()
         passing = {}
-        for p in {p for p in pieces if p not in known}:
-            (known if len(p) <= CACHE_PIECE_CHARS else passing)[p] = self.ids_of(p)
-        return b"".join([known[p] if p in known else passing[p] for p in pieces]) + self.end
+        for w in {w for w in words if w not in known}:
+            (known if len(w) <= CACHE_PIECE_CHARS else passing)[w] = self._word(w)
+        return self._by_pattern(first) + b"".join([known[w] if w in known else passing[w] for w in words]) + self.end
 
 
 _LOADED: dict[tuple, PieceEncoder] = {}
@@ -280,12 +315,6 @@ def token_digests(spark: SparkSession, folder: str, block: int = 4096) -> DataFr
     return _by_part(read_manifest(spark, folder), folder, rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def delete_folder(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder of this operator, wherever Spark keeps it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def op13(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """The query: writes the files to the shared folder, reads them back, and deletes them once the rows are kept."""
     import public_tokenizers
