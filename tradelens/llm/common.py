@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -11,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.session import shared_folder
-
 #: Bits of the bitmaps that sort out rows before a shuffle, whatever the input (512 KB).
 BITMAP_BITS = 22
 
@@ -67,13 +64,6 @@ def in_bitmap(words: Column, slot: Column) -> Column:
     return words[F.shiftright(slot, 6)].bitwiseAND(bit_of(slot)) != 0
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The frame, written as Parquet in the shared folder and read again: for wide rows that are read in parts."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that an operator wrote, on any filesystem that Spark reaches."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
