@@ -20,6 +20,16 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def dealt_by(rows: DataFrame, key: str) -> DataFrame:
+    """The rows with a ``key``, dealt by it to all of the session's shuffle partitions.
+
+    Spark merges small partitions up to a size of compressed bytes; sorted ids shrink so well that a merged one
+    holds millions of rows, which tasks that sort and count them have in memory.  These partitions stay apart.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.where(F.col(key).isNotNull()).repartition(n, key)
+
+
 #: Rows that a cell of :func:`with_cells` holds at most, and the window task that reads it.
 CELL_ROWS = 1 << 18
 #: Parts that a cell is cut into at once, at most.

@@ -52,6 +52,7 @@ from tradelens.operators.aggregates import (
 )
 from tradelens.operators.bands import volume_band
 from tradelens.operators.distribution import box_stats, expand_positions, group_median, histogram
+from tradelens.operators.keys import dealt_by
 from tradelens.operators.ranking import grouped_ntile, segment_label
 from tradelens.operators.sketches import (
     common_count,
@@ -649,16 +650,19 @@ def seller_scorecard(t: Tables, p: Params) -> DataFrame:
 def seller_scorecard_dedup(t: Tables, p: Params) -> DataFrame:
     """Scorecard without fan-out: sales once per item, each order's reviews once per seller.
 
-    Kept sellers have more than ``scorecard_min`` item rows on existing orders.
+    Kept sellers have more than ``scorecard_min`` item rows on existing orders.  An order's items lie together, sorted by
+    seller; the first of each seller carries the order and its reviews, so no table of (seller, order) is held.
     """
-    items = t.items.select("seller_id", "order_id", "price").join(t.orders.select("order_id"), "order_id",
-                                                                  "left_semi")
-    sales = items.groupBy("seller_id").agg(F.sum("price").alias("_sales"), F.count(F.lit(1)).alias("_items"),
-                                           F.count_distinct("order_id").alias("num_orders"))
-    scores = (items.select("seller_id", "order_id").distinct().join(_review_per_order(t), "order_id")
-              .groupBy("seller_id").agg(F.sum("_ss").alias("_ss"), F.sum("_ns").alias("_ns")))
-    out = t.sellers.join(sales, "seller_id").join(scores, "seller_id", "left").filter(
-        F.col("_items") > p.scorecard_min)
+    in_order = Window.partitionBy("order_id").orderBy("seller_id")
+    items = (dealt_by(t.items.select("seller_id", "order_id", "price"), "order_id")
+             .withColumn("_first", (F.row_number().over(in_order) == 1) | ~F.lag("seller_id").over(in_order).eqNullSafe(F.col("seller_id")))
+             .join(t.orders.select("order_id"), "order_id", "left_semi"))
+    rows = items.join(_review_per_order(t), "order_id", "left")
+    first = F.col("_first")
+    cards = rows.groupBy("seller_id").agg(
+        F.sum("price").alias("_sales"), F.count(F.lit(1)).alias("_items"), F.count(F.when(first, F.lit(1))).alias("num_orders"),
+        F.sum(F.when(first, F.col("_ss"))).alias("_ss"), F.sum(F.when(first, F.col("_ns"))).alias("_ns"))
+    out = t.sellers.join(cards, "seller_id").filter(F.col("_items") > p.scorecard_min)
     return out.select("seller_id", safe_div("_ss", "_ns").alias("avg_review_score"),
                       F.col("_sales").cast("double").alias("total_sales"), "num_orders")
 
