@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelens.operators.keys import dealt_by
+
 
 def frequent_items(items: DataFrame, key: str, basket: str, min_count: int, out: str = "item_count") -> DataFrame:
     """Items occurring in more than ``min_count`` item rows (O13; strict ``>``)."""
@@ -21,20 +23,29 @@ PRUNE_FROM = 5
 
 def basket_pairs(items: DataFrame, basket: str, key: str, candidates: DataFrame, min_common: int,
                  pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
-    """``_a, _b`` (``_a < _b``): the pairs of candidate items, once for each basket that holds both."""
-    bi = items.select(basket, key).distinct()
+    """``_a, _b`` (``_a < _b``): the pairs of candidate items, once for each basket that holds both.
+
+    Baskets lie together, sorted by item, so repeated rows follow each other and an item meets those before it.
+    Only baskets of more than ``pairs_per_task`` pairs are dealt to several tasks.
+    """
+    in_basket = Window.partitionBy(basket).orderBy(key)
+    rows = dealt_by(items.select(basket, key).where(F.col(key).isNotNull()), basket)
+    bi = rows.withColumn("_before", F.lag(key).over(in_basket)).where("_before is null or _before <> " + f"`{key}`").drop("_before")
     support = bi.groupBy(key).agg(F.count(F.lit(1)).alias("_sup")).filter(F.col("_sup") > min_common)
     wanted = support.select(key).join(candidates.select(key), key, "left_semi")
-    bi = bi.join(wanted, key, "left_semi")
+    sized = dealt_by(bi.join(wanted, key, "left_semi"), basket).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(basket)))
     n = F.col("_size").cast("double")
-    parts = (bi.groupBy(basket).agg(F.count(F.lit(1)).alias("_size"))
-             .select(F.col(basket).alias("_bk"), F.ceil(n * n / F.lit(float(pairs_per_task))).cast("int").alias("_parts")))
-    dealt = bi.join(parts, F.col(basket) == F.col("_bk"))
-    left = dealt.select(F.col("_bk").alias("_bk1"), F.col(key).alias("_a"),
+    sized = sized.withColumn("_parts", F.ceil(n * n / F.lit(float(pairs_per_task))).cast("int"))
+    before = F.collect_list(key).over(in_basket.rowsBetween(Window.unboundedPreceding, -1))
+    usual = (sized.where("_parts = 1 and _size > 1").select(F.col(key).alias("_b"), before.alias("_others"))
+             .select(F.explode("_others").alias("_a"), "_b"))
+    dealt = sized.where("_parts > 1")
+    left = dealt.select(F.col(basket).alias("_bk1"), F.col(key).alias("_a"),
                         F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_p1"))
-    right = dealt.select(F.col("_bk").alias("_bk2"), F.col(key).alias("_b"),
+    right = dealt.select(F.col(basket).alias("_bk2"), F.col(key).alias("_b"),
                          F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_p2"))
-    return left.join(right, (F.col("_bk1") == F.col("_bk2")) & (F.col("_p1") == F.col("_p2")) & (F.col("_a") < F.col("_b"))).select("_a", "_b")
+    large = left.join(right, (F.col("_bk1") == F.col("_bk2")) & (F.col("_p1") == F.col("_p2")) & (F.col("_a") < F.col("_b")))
+    return usual.union(large.select("_a", "_b"))
 
 
 def in_frequent_classes(pairs: DataFrame, min_common: int, classes: int = PAIR_CLASSES) -> DataFrame:
@@ -64,11 +75,11 @@ def co_purchase_pairs(items: DataFrame, basket: str, key: str, candidates: DataF
     * Only candidate items take part (semi join), and a pair can only pass if
       both its items are in more than ``min_common`` distinct baskets, so
       items below that are dropped before any pair is formed.
-    * Pairs come from a self join on the basket with ``a < b``; this is the
+    * An item of a basket meets the basket's smaller items; this is the
       definition of the result, and its cost is the number of co-occurrences.
-      A basket of n items is split into ``ceil(n * n / pairs_per_task)`` parts: the left side is dealt to the parts by
+      A basket of n items with ``n * n`` above ``pairs_per_task`` is joined with itself and split into ``ceil(n * n / pairs_per_task)`` parts: the left side is dealt to the parts by
       a hash of the item and the right side is sent to every part, so each pair is formed exactly once and
-      the work of a task is bounded whatever the basket's size.  Baskets of usual size have one part.
+      the work of a task is bounded whatever the basket's size.  Baskets of usual size are not joined.
     * Pairs in hash classes that cannot reach the threshold are dropped before the shuffle on the pair
       (:func:`in_frequent_classes`); this forms the pairs twice, from the same shuffled baskets.  ``prune`` says whether,
       by default from a threshold of ``PRUNE_FROM`` on; it changes no result.
