@@ -116,3 +116,15 @@ def test_files_are_deleted(spark, odd_docs):
     assert tokenfiles.op13(df).count() == len(rows)
     after = set(os.listdir(shared_folder(spark).removeprefix("file://"))) - before
     assert not [f for f in after if f.startswith("token-files")]
+
+
+def test_line_ends_between_words_are_pieces_of_their_own():
+    encoder = tokenfiles.PieceEncoder(PATH, P.PATTERN, 2)
+    text = ("one two.\nThree four\nfive six\n\nseven eight\n nine ten\r\neleven x1.\nTwelve a\n b\n1 c.\n\td é.\nÉtat end,\nof\n"
+            + " " + "w" * 40 + ".\nAgain again.\nAgain " + "w" * 40 + ".\nAgain don't.\nDon't z​\ny z\xa0\ny z\n　y z\x85\ny")
+    for part in (text, text[:30], *text.split("\n\n"), *text.split("\r")):
+        ids = np.frombuffer(encoder.encode(part), encoder.dtype).tolist()
+        assert ids == encoder.whole.encode(part, add_special_tokens=False).ids + [2]
+    known = tokenfiles.PieceEncoder(PATH, P.PATTERN, 2)
+    known.encode("one two.\nThree four\nfive six")
+    assert set(known.words) == {"six"}  # not what has a line end within, which seldom comes again

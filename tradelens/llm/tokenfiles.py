@@ -105,13 +105,22 @@ class PieceEncoder:
     def _by_pattern(self, text: str) -> bytes:
         return b"".join([self._piece(p) for p in self.split(text)])
 
-    def _word(self, word: str) -> bytes:
-        """The ids of a space and what follows it up to the next one; letters are one piece, a stop behind them another."""
+    def _letters(self, space: str, word: str) -> bytes | None:
+        """The ids of letters, one piece with the space before them, and of a stop behind them, another; else nothing."""
         if word.isalpha():
-            return self._piece(" " + word)
+            return self._piece(space + word)
         if word[-1:] in _STOPS and word[:-1].isalpha():
-            return self._piece(" " + word[:-1]) + self._piece(word[-1])
-        return self._by_pattern(" " + word)
+            return self._piece(space + word[:-1]) + self._piece(word[-1])
+        return None
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a space and what follows it up to the next one; a line end between words is a piece of its own."""
+        head, line_end, tail = word.partition("\n")
+        ids = self._letters(" ", head)
+        if line_end and ids:
+            rest = self._letters("", tail)
+            ids = rest and ids + self._piece(line_end) + rest
+        return ids or self._by_pattern(" " + word)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text and the end id, as bytes of the file's type."""
@@ -120,17 +129,19 @@ class PieceEncoder:
         if _OPEN_SPACE.search(text):
             return self._by_pattern(text) + self.end
         first, *words = text.split(" ")
-        known = self.words
-        try:
-            return self._by_pattern(first) + b"".join([known[w] for w in words]) + self.end
-        except KeyError:
-            pass
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        passing = {}
-        for w in {w for w in words if w not in known}:
-            (known if len(w) <= CACHE_PIECE_CHARS else passing)[w] = self._word(w)
-        return self._by_pattern(first) + b"".join([known[w] if w in known else passing[w] for w in words]) + self.end
+        known, passing = self.words, {}
+        ids, at = list(map(known.get, words)), -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            word = words[at]
+            # two words with a line end between them seldom come again, their pieces do
+            kept = known if len(word) <= CACHE_PIECE_CHARS and "\n" not in word else passing
+            ids[at] = kept.get(word)
+            if ids[at] is None:
+                if len(known) > CACHE_PIECES:
+                    known.clear()
+                kept[word] = ids[at] = self._word(word)
+        return self._by_pattern(first) + b"".join(ids) + self.end
 
 
 _LOADED: dict[tuple, PieceEncoder] = {}
