@@ -94,3 +94,18 @@ def test_no_python_in_the_plan(spark, small_docs):
     df = spark.createDataFrame([(d["doc_id"], d["text"]) for d in small_docs[:5]], "doc_id long, text string")
     plan = linededup.op1(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_class_is_first_held_against_one_earlier_class(spark, monkeypatch):
+    # near copies that share no two rarest words: each could be held against all others
+    words = [f"common{k}" for k in range(40)]
+    rows = [(i, " ".join(words + [f"own{i}a", f"own{i}b"])) for i in range(24)]
+    verified, counts = linededup._verified, []
+
+    def counting(pairs, *rest):
+        counts.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(linededup, "_verified", counting)
+    check(rows, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert counts and max(counts) <= len(rows)

@@ -16,7 +16,8 @@ the order of the work.
 4. Large families of near copies would make pairs by the square of their size.  So classes that share their two
    rarest words are first held against the one of the smallest doc_id; those that match it are decided and no longer look
    for partners (they remain partners of others).
-5. Candidates are verified on the lines' words.
+5. Candidates whose prefixes share too few words are dropped; the others are verified on the lines' words: first one a
+   class, the one whose prefix is most alike, then all others of the classes that are still undecided.
 
 Joins meet hot words, families and copies without a repartition of their own, so Spark splits skewed ones.  Tables that
 the steps share lie in the shared folder and are deleted at the end.
@@ -48,11 +49,16 @@ CLASS_BITS = 18
 _BLANKS = "\x09\x0b\x0c\x0d"
 
 
+def _words(text: Column, blanks: str = _BLANKS) -> Column:
+    """Words in lower case, with empty ones between neighbouring blanks."""
+    for blank in blanks:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.split(F.lower(text), " ")
+
+
 def _hashes(line: Column) -> Column:
     """Hashes of a line's distinct words."""
-    for blank in _BLANKS:
-        line = F.replace(line, F.lit(blank), F.lit(" "))
-    words = F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))
+    words = F.transform(_words(line), lambda w: F.xxhash64(w))
     return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))
 
 
@@ -83,8 +89,9 @@ def line_sets(docs: DataFrame, percent: int) -> DataFrame:
     """``doc_id, row, line_no, key, check, n, prefix, bits`` of every line with words; ``key`` and ``check`` tell sets
     apart, ``prefix`` has numbers for the rarest words, ``bits`` the parity of the words' codes in 64 classes."""
     spark, lines = docs.sparkSession, _lines(docs).where(F.col("line").rlike("[^\\x20\\x09-\\x0d]"))
-    words = lines.select(F.explode(_hashes(F.col("line"))).alias("h"))
-    weights = rarity(spark, words).scalar()
+    # whole texts: any weights do, and so rows of words need no lines, sets or functions of arrays
+    words = docs.select(F.explode(_words(F.col("text"), _BLANKS + "\n")).alias("word")).where("word != ''")
+    weights = rarity(spark, words.select(F.xxhash64("word").alias("h"))).scalar()
     mask = F.lit((1 << CLASS_BITS) - 1)
     # the optimizer puts the one-row table, as a constant, where it is used once (tested: it is in no row)
     lines = lines.select("doc_id", "row", "line_no", "line", weights.alias("weights"))
@@ -113,29 +120,69 @@ def _named(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.where(in_bitmap(bitmap(ids.select(slot.alias("slot"))), slot))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, by_row: bool) -> DataFrame:
-    """``id`` of the later class of every pair (``id, o_id``) of similar classes.
+def _ordered(pairs: DataFrame, classes: DataFrame, percent: int, by_row: bool) -> tuple[DataFrame, DataFrame]:
+    """``id, o_id, n, m, apart`` of the pairs (``id, o_id``) that can be similar, ``o_id`` the earlier class, and ``id`` with
+    the places of these classes.
 
-    The lines are read from the texts again.  A bitmap of fixed size drops most lines that no pair names
-    before they are shuffled; where it lets others pass, the join drops them.  Of equal rows one is read.
+    In the set whose prefix ends first all shared prefix words are in the other's prefix too, so the prefixes bound the
+    shared words from above (words of a prefix that share a number count as shared).  The smaller ``apart``, the more
+    alike the prefixes are.
     """
     pairs = cut_lineage(pairs.distinct())
     ids = pairs.select(F.explode(F.array("id", "o_id")).alias("id")).distinct()
-    wanted = cut_lineage(_named(classes.select("id", *_PLACE), ids).join(ids, "id", "left_semi"))
-    slot = bitmap_slot("doc_id", "row", F.col("line_no").cast("int"))
-    named = in_bitmap(bitmap(wanted.select(slot.alias("slot"))), slot)
+    # the joins' rows have little to compute: long code is not compiled
+    wanted = cut_lineage(_named(classes.select("id", *_PLACE, "n", "prefix"), ids).join(ids, "id", "left_semi")
+                         .withColumn("rest", F.col("n") - F.size("prefix"))
+                         .withColumn("alike", F.size("prefix") - F.size(F.array_distinct("prefix"))))
+    other = wanted.drop("alike").toDF("o_id", "o_doc", "o_row", "o_line", "m", "o_prefix", "o_rest")
+    shared = F.size(F.array_intersect("prefix", "o_prefix")) + F.col("alike")
+    can_be = (shared + F.greatest("rest", "o_rest")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    first, then = ("doc_id", "line_no", "row"), ("o_doc", "o_line", "o_row")
+    ends = (F.when(_earlier(first, then, by_row), F.struct(F.col("o_id").alias("id"), F.col("id").alias("o_id")))
+            .when(_earlier(then, first, by_row), F.struct("id", "o_id")))
+    apart = F.floor(F.lit(-1000) * shared / (F.col("n") + F.col("m") - F.col("rest") - F.col("o_rest"))).cast("int")
+    both = cut_lineage(pairs.join(wanted, "id").join(other, "o_id").where(can_be).select(ends.alias("ends"), "n", "m", apart.alias("apart")))
+    return both.where("ends is not null").select("ends.*", "n", "m", "apart"), wanted.select("id", *_PLACE)
+
+
+def _verified(pairs: DataFrame, places: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``id`` of every class that is similar to the earlier one of a pair (``id, o_id, n, m``).
+
+    The lines are read from the texts again, once, and go to the earlier class of their pairs.  A bitmap of fixed size
+    drops most lines that no pair names before they are shuffled; where it lets others pass, the join drops them.  Of
+    equal rows one is read.
+    """
+    spark = texts.sparkSession
+    folder = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    # without an own size, a line is the one that others are held against
+    asked = pairs.select("id", "o_id", (F.col("n") + F.col("m")).alias("sizes")).union(
+        pairs.select(F.col("o_id").alias("id"), "o_id", F.lit(None).cast("int")).distinct())
     # keys without nulls, so that the join shares the shuffle of the aggregation
     place = {"place_id": F.coalesce("doc_id", F.lit(0).cast("long")), "nameless": F.col("doc_id").isNull(), "place_row": F.col("row"),
              "place_line": F.col("line_no").cast("int")}
+    asked = cut_lineage(places.join(asked, "id").select("id", "o_id", "sizes", *_PLACE))
+    slot = bitmap_slot("doc_id", "row", F.col("line_no").cast("int"))
+    named = in_bitmap(bitmap(asked.select(slot.alias("slot"))), slot)
     lines = _lines(texts).where(named).withColumns(place).groupBy(*place).agg(F.first("line").alias("line"))
-    found = cut_lineage(lines.join(wanted.withColumns(place), list(place)).select("id", *_PLACE, _hashes(F.col("line")).alias("words")))
-    other = found.toDF("o_id", "o_doc", "o_row", "o_line", "o_words")
-    both = pairs.join(found, "id").join(other, "o_id")
-    shared = F.size(F.array_intersect("words", "o_words"))
-    similar = shared * 100 >= (F.size("words") + F.size("o_words") - shared) * percent
-    first, then = ("doc_id", "line_no", "row"), ("o_doc", "o_line", "o_row")
-    later = F.when(_earlier(first, then, by_row), F.col("o_id")).when(_earlier(then, first, by_row), F.col("id"))
-    return both.where(similar).select(later.alias("id")).where("id is not null").distinct()
+    found = lines.join(asked.withColumns(place).select("id", "o_id", "sizes", *place), list(place)).select("id", "o_id", "sizes", "line")
+    found.write.parquet(f"{folder}/lines")
+    found = spark.read.schema(found.schema).parquet(f"{folder}/lines")
+    heads = found.where("sizes is null").select("o_id", F.col("line").alias("o_line"))
+    shared = F.size(F.array_intersect(_hashes(F.col("line")), _hashes(F.col("o_line"))))
+    similar = shared * (100 + percent) >= F.col("sizes") * percent
+    matched = cut_lineage(found.where("sizes is not null").join(heads, "o_id").where(similar).select("id").distinct())
+    delete_folder(spark, folder)
+    return matched
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, by_row: bool) -> DataFrame:
+    """``id`` of the later class of every pair of similar classes, in two steps: first each class is held against the one
+    most alike, then those that are undecided against all others."""
+    ordered, places = _ordered(pairs, classes, percent, by_row)
+    first = cut_lineage(ordered.groupBy("id").agg(F.min(F.struct("apart", "o_id", "n", "m")).alias("best")).select("id", "best.*"))
+    matched = _verified(first, places, texts, percent)
+    others = ordered.join(matched, "id", "left_anti").join(first.select("id", "o_id"), ["id", "o_id"], "left_anti")
+    return matched.union(_verified(cut_lineage(others), places, texts, percent))
 
 
 def _earlier(at: tuple[str, str, str], than: tuple[str, str, str], by_row: bool) -> Column:
@@ -200,8 +247,8 @@ def _gone(texts: DataFrame, percent: int, by_row: bool) -> DataFrame:
         F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
         .select(F.monotonically_increasing_id().alias("id"), "key", "check", "at.*", "members", "n", "prefix", "bits"), "classes")
 
-    decided = cut_lineage(_verified(_of_families(classes, percent), classes, texts, percent, by_row))
-    more = _verified(_of_prefixes(classes, decided, percent), classes, texts, percent, by_row)
+    decided = _verified(*_ordered(_of_families(classes, percent), classes, percent, by_row), texts, percent)
+    more = _similar(_of_prefixes(classes, decided, percent), classes, texts, percent, by_row)
 
     matched = cut_lineage(decided.union(more).distinct().withColumn("matched", F.lit(True)))
     slot = bitmap_slot("id")
