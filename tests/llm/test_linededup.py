@@ -109,3 +109,25 @@ def test_a_class_is_first_held_against_one_earlier_class(spark, monkeypatch):
     monkeypatch.setattr(linededup, "_verified", counting)
     check(rows, spark.createDataFrame(rows, "doc_id long, text string"))
     assert counts and max(counts) <= len(rows)
+
+
+def test_near_copies_make_pairs_in_proportion_to_their_number(spark, monkeypatch):
+    # each is the same text with some words of its own, so that no two share their rarest words
+    ordered, counts = linededup._ordered, []
+
+    def counting(pairs, *rest):
+        out = ordered(pairs, *rest)
+        counts[-1] += out[0].count()
+        return out
+
+    monkeypatch.setattr(linededup, "_ordered", counting)
+    for members in (100, 300):
+        rnd, rows = random.Random(5), []
+        for i in range(members):
+            words = [f"common{k}" for k in range(60)]
+            for k in range(rnd.randint(2, 5)):
+                words[rnd.randrange(60)] = f"own{i}x{k}"
+            rows.append((i, " ".join(words)))
+        counts.append(0)
+        check(rows, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert counts[1] < 300 * 299 / 2 / 4, counts

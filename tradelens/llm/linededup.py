@@ -13,11 +13,12 @@ the order of the work.
 3. Similar sets share a word among the first ``n - ceil(t n) + 1`` of each (prefix filter); lengths and positions rule out
    most pairs inside the join, whose rows hold a few numbers.
    So does the parity of their words in 64 classes, which bounds the symmetric difference from below.
-4. Large families of near copies would make pairs by the square of their size.  So classes that share their two
-   rarest words are first held against the one of the smallest doc_id; those that match it are decided and no longer look
-   for partners (they remain partners of others).
-5. Candidates whose prefixes share too few words are dropped; the others are verified on the lines' words: first one a
-   class, the one whose prefix is most alike, then all others of the classes that are still undecided.
+4. Large families of near copies would make pairs by the square of their size.  So a class is in three families, by two
+   words of its prefix each, and is first held against the earliest of these, the one whose prefix is most alike; those
+   that match are decided and no longer look for partners (they remain partners of others).  Then the undecided are held
+   against the leaders, at most eight classes of each family, with which they share any prefix word.
+5. All pairs of a later undecided class and any earlier one that share a prefix word are left.  Candidates whose prefixes
+   share too few words are dropped; the others are verified on the lines' words.
 
 Joins meet hot words, families and copies without a repartition of their own, so Spark splits skewed ones.  Tables that
 the steps share lie in the shared folder and are deleted at the end.
@@ -175,14 +176,12 @@ def _verified(pairs: DataFrame, places: DataFrame, texts: DataFrame, percent: in
     return matched
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, by_row: bool) -> DataFrame:
-    """``id`` of the later class of every pair of similar classes, in two steps: first each class is held against the one
-    most alike, then those that are undecided against all others."""
+def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, by_row: bool, best: bool = False) -> DataFrame:
+    """``id`` of the later class of every pair of similar classes; with ``best``, each is held against the one most alike only."""
     ordered, places = _ordered(pairs, classes, percent, by_row)
-    first = cut_lineage(ordered.groupBy("id").agg(F.min(F.struct("apart", "o_id", "n", "m")).alias("best")).select("id", "best.*"))
-    matched = _verified(first, places, texts, percent)
-    others = ordered.join(matched, "id", "left_anti").join(first.select("id", "o_id"), ["id", "o_id"], "left_anti")
-    return matched.union(_verified(cut_lineage(others), places, texts, percent))
+    if best:
+        ordered = cut_lineage(ordered.groupBy("id").agg(F.min(F.struct("apart", "o_id", "n", "m")).alias("best")).select("id", "best.*"))
+    return _verified(ordered, places, texts, percent)
 
 
 def _earlier(at: tuple[str, str, str], than: tuple[str, str, str], by_row: bool) -> Column:
@@ -193,32 +192,60 @@ def _earlier(at: tuple[str, str, str], than: tuple[str, str, str], by_row: bool)
     return first | (doc.eqNullSafe(than_doc) & within)
 
 
-def _of_families(classes: DataFrame, percent: int) -> DataFrame:
-    """``id, o_id``: classes that share two neighbouring prefix words with one of a smaller doc_id, against that one."""
-    two = F.xxhash64(F.element_at("prefix", 1), F.try_element_at("prefix", F.lit(2)))
-    families = classes.select("id", "n", "bits", "doc_id", two.alias("family"))
-    heads = (families.groupBy("family").agg(F.min(F.struct("doc_id", "id", "n", "bits")).alias("h"), F.count("*").alias("members"))
-             .where("members > 1").select(F.col("family").alias("o_family"), F.col("h.id").alias("o_id"), F.col("h.n").alias("m"),
-                                          F.col("h.bits").alias("o_bits")))
+def _families(classes: DataFrame) -> DataFrame:
+    """``family, id, doc_id, n, bits``: a class is in three families, by two words of its prefix each: the smallest and the
+    largest two by number, which have nothing to do with rarity, and the two most frequent.  Families of one are left out.
+
+    Near copies share most words of their prefixes, so they meet in some family though each has rare words of its own.
+    """
+    order = F.array_sort("prefix")
+    keys = F.transform(F.array(F.slice(order, 1, 2), F.reverse(F.slice(F.reverse(order), 1, 2)), F.reverse(F.slice(F.reverse("prefix"), 1, 2))),
+                       lambda two, k: F.xxhash64(two, k))
+    rows = classes.select("id", "doc_id", "n", "bits", F.explode(keys).alias("family"))
+    slot = bitmap_slot("family")
+    shared = rows.groupBy("family").count().where("count > 1")
+    return rows.where(in_bitmap(bitmap(shared.select(slot.alias("slot"))), slot))
+
+
+def _of_families(families: DataFrame, percent: int) -> DataFrame:
+    """``id, o_id``: the members of each family against the one of the smallest doc_id."""
+    heads = families.groupBy("family").agg(F.min(F.struct("doc_id", "id", "n", "bits")).alias("h")).select(
+        F.col("family").alias("o_family"), F.col("h.id").alias("o_id"), F.col("h.n").alias("m"), F.col("h.bits").alias("o_bits"))
     near = _fits(F.col("n"), F.col("m"), F.col("bits"), F.col("o_bits"), percent)
     return (families.join(heads, (F.col("family") == F.col("o_family")) & (F.col("id") != F.col("o_id")) & near)
             .select(F.least("id", "o_id").alias("id"), F.greatest("id", "o_id").alias("o_id")))
 
 
-def _of_prefixes(classes: DataFrame, decided: DataFrame, percent: int) -> DataFrame:
-    """``id, o_id``: classes that share a prefix word at positions from which they can still be similar."""
-    columns = ("id", "n", "bits", "prefix")
-    slot = bitmap_slot("id")
-    maybe = in_bitmap(bitmap(decided.select(slot.alias("slot"))), slot)
-    marked = classes.where(maybe).select(*columns).join(decided.select("id", F.lit(True).alias("done")), "id", "left")
-    flagged = classes.where(~maybe).select(*columns, F.lit(False).alias("done")).union(
-        marked.select(*columns, F.col("done").isNotNull()))
+def _leaders(families: DataFrame) -> DataFrame:
+    """``id`` of at most eight classes of each family of four and more: the smallest doc_ids of eight shares of it."""
+    heads = families.groupBy("family", F.pmod(F.xxhash64("id"), F.lit(8)).alias("share")).agg(
+        F.min(F.struct("doc_id", "id")).alias("h"), F.count("*").alias("members"))
+    return (heads.groupBy("family").agg(F.collect_list("h.id").alias("ids"), F.sum("members").alias("members"))
+            .where("members > 3").select(F.explode("ids").alias("id")).distinct())
+
+
+def _marked(classes: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The classes with a flag ``name``: whether they are among ``ids``."""
+    columns, slot = classes.columns, bitmap_slot("id")
+    maybe = in_bitmap(bitmap(ids.select(slot.alias("slot"))), slot)
+    marked = classes.where(maybe).join(ids.select("id", F.lit(True).alias(name)), "id", "left")
+    return classes.where(~maybe).select(*columns, F.lit(False).alias(name)).union(
+        marked.select(*columns, F.col(name).isNotNull().alias(name)))
+
+
+def _index(classes: DataFrame) -> DataFrame:
+    """``word, id, at, bits, pack``: a row for each prefix word of the classes with a flag ``done``."""
     # size, position and mark in one number: a row for each prefix word is what the join costs
-    index = flagged.select("id", "n", "bits", "done", F.posexplode("prefix").alias("place", "word")).select(
-        "word", "id", "bits", (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("place").cast("long"), 1)
-                               + F.col("done").cast("int")).alias("pack"))
-    # two projections alike: the second reads the first one's shuffle
-    left, right = (index.select(*[F.col(c).alias(f"{side}_{c}") for c in index.columns]) for side in ("l", "r"))
+    return classes.select("id", "n", "bits", "done", F.coalesce("doc_id", F.lit(-1 << 63)).alias("at"),
+                          F.posexplode("prefix").alias("place", "word")).select(
+        "word", "id", "at", "bits", (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("place").cast("long"), 1)
+                                             + F.col("done").cast("int")).alias("pack"))
+
+
+def _met(left: DataFrame, right: DataFrame, percent: int, once: bool) -> DataFrame:
+    """``id, o_id`` of rows of two indexes that share a prefix word at positions from which their classes can still be
+    similar, if the one that may be later is not done.  ``once``: both are the same index."""
+    left, right = (index.select(*[F.col(c).alias(f"{side}_{c}") for c in index.columns]) for side, index in (("l", left), ("r", right)))
 
     def unpacked(side: str) -> tuple[Column, Column, Column]:
         pack = F.col(f"{side}_pack")
@@ -227,9 +254,29 @@ def _of_prefixes(classes: DataFrame, decided: DataFrame, percent: int) -> DataFr
     (n, at, done), (m, o_at, o_done) = unpacked("l"), unpacked("r")
     least_shared = F.floor(((n + m) * percent + 99 + percent) / (100 + percent))  # ceil(t / (1 + t) * (n + m))
     in_reach = F.least(n - at, m - o_at) >= least_shared
-    met = left.join(right, (F.col("l_word") == F.col("r_word")) & (F.col("l_id") < F.col("r_id")) & (done + o_done < 2)
+    asks = ((done == 0) & (F.col("l_at") >= F.col("r_at"))) | ((o_done == 0) & (F.col("r_at") >= F.col("l_at")))
+    other = F.col("l_id") < F.col("r_id") if once else F.col("l_id") != F.col("r_id")
+    met = left.join(right, (F.col("l_word") == F.col("r_word")) & other & asks
                     & in_reach & _fits(n, m, F.col("l_bits"), F.col("r_bits"), percent))
-    return met.select(F.col("l_id").alias("id"), F.col("r_id").alias("o_id"))
+    return met.select(F.least("l_id", "r_id").alias("id"), F.greatest("l_id", "r_id").alias("o_id"))
+
+
+_INDEXED = ("id", "doc_id", "n", "bits", "prefix")
+
+
+def _of_leaders(classes: DataFrame, decided: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """``id, o_id``: undecided classes and the leaders that share a prefix word with them."""
+    slot = bitmap_slot("word")
+    led = cut_lineage(_index(_named(classes.select(*_INDEXED), leaders).join(leaders, "id", "left_semi").withColumn("done", F.lit(True))))
+    open_ = _index(_marked(classes.select(*_INDEXED), decided, "done").where("not done"))
+    return _met(open_.where(in_bitmap(bitmap(led.select(slot.alias("slot"))), slot)), led, percent, False)
+
+
+def _of_prefixes(classes: DataFrame, decided: DataFrame, percent: int) -> DataFrame:
+    """``id, o_id``: classes that share a prefix word, the later one undecided."""
+    index = _index(_marked(classes.select(*_INDEXED), decided, "done"))
+    # two projections alike: the second reads the first one's shuffle
+    return _met(index, index, percent, True)
 
 
 def _gone(texts: DataFrame, percent: int, by_row: bool) -> DataFrame:
@@ -247,7 +294,10 @@ def _gone(texts: DataFrame, percent: int, by_row: bool) -> DataFrame:
         F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
         .select(F.monotonically_increasing_id().alias("id"), "key", "check", "at.*", "members", "n", "prefix", "bits"), "classes")
 
-    decided = _verified(*_ordered(_of_families(classes, percent), classes, percent, by_row), texts, percent)
+    families = cut_lineage(_families(classes))
+    decided = _similar(_of_families(families, percent), classes, texts, percent, by_row, best=True)
+    led = _similar(_of_leaders(classes, decided, _leaders(families), percent), classes, texts, percent, by_row)
+    decided = cut_lineage(decided.union(led).distinct())
     more = _similar(_of_prefixes(classes, decided, percent), classes, texts, percent, by_row)
 
     matched = cut_lineage(decided.union(more).distinct().withColumn("matched", F.lit(True)))
