@@ -1,8 +1,12 @@
 """Language identification: accuracy on the held-out fold, and the cases."""
 
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tradelens.llm import langid
 from tradelens.llm.common import read_table
@@ -75,3 +79,49 @@ def test_rejection_follows_the_number_of_ngrams(spark):
 def test_documents_in_their_language_stay(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")
     assert langid.keep_recognised(docs).count() == docs.where("text rlike '\\\\p{L}'").count()
+
+
+def test_learning_holds_few_texts_at_once(spark, monkeypatch):
+    # one batch of Spark's usual size must not need its n-grams side by side: tasks share an executor's memory
+    tasks, df = [], spark.createDataFrame([("en", "a")], "lang string, text string")
+
+    def caught(self, run, schema):
+        tasks.append(run)
+        raise InterruptedError
+
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", caught)
+        with pytest.raises(InterruptedError):
+            langid.learn_prototypes(df)
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(("the", "and", "thing", "ed", "ontion", "wörld")) for _ in range(450)) for _ in range(4000)] + ["", "7"]
+    langs = [("en", "de")[i % 2] for i in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"lang": langs, "text": texts})
+    langid.letter_classes()
+    tracemalloc.start()
+    found = pa.Table.from_batches(tasks[0](iter([batch, batch.slice(0, 10)]))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    for lang in ("en", "de"):
+        grams = np.concatenate([langid.ngrams(t) for own, t in [*zip(langs, texts), *zip(langs[:10], texts[:10])] if own == lang])
+        want = langid.bundle_counts(*np.unique(grams, return_counts=True))
+        assert np.array_equal(sum(np.frombuffer(r["bundle"], np.int64) for r in found if r["lang"] == lang), want)
+
+
+def test_held_ngrams_are_bounded(monkeypatch):
+    # more n-grams, languages and bytes than are held: the sums stay the same
+    rnd = random.Random(4)
+    texts = ["".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(rnd.choice((1, 40, 400)))) for _ in range(600)]
+    langs = [f"l{i % 290}" for i in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"lang": langs, "text": texts})
+    monkeypatch.setattr(langid, "_GRAMS_HELD", 3000)
+    monkeypatch.setattr(langid, "_BYTES_AT_ONCE", 2000)
+    sums = {}
+    for rows in langid._bundles(iter([batch]), langid.DIM):
+        for r in rows.to_pylist():
+            sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["bundle"], np.int64)
+    assert len(sums) == 290
+    for lang in ("l0", "l7", "l289"):
+        grams = np.concatenate([langid.ngrams(t) for own, t in zip(langs, texts) if own == lang])
+        assert np.array_equal(sums[lang], langid.bundle_counts(*np.unique(grams, return_counts=True)))

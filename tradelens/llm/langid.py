@@ -6,8 +6,8 @@ of its n-grams, a language prototype bundles all texts of the language, and a te
 prototype with the largest cosine.  All sums are whole numbers, so prototypes do not depend on the
 order of the rows.
 
-How it runs: learning counts n-grams per language within each partition, turns the counts into one
-vector per language and partition, and adds these up in two levels; prediction is one pass over the
+How it runs: learning counts n-grams per language within each partition, few texts at once, turns the
+counts into one vector per language and partition, and adds these up in two levels; prediction is one pass over the
 texts.  Prototypes are one vector per language; ``max_languages`` checks that bound before they are
 sent out.
 
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ SEED = 20240229
 UNDETERMINED = "und"
 _GRAMS_AT_ONCE = 1024
 _DOCS_AT_ONCE = 256
+_BYTES_AT_ONCE = 1 << 20
+_GRAMS_HELD = 1 << 17
 _SUMS = "lang string, bundle binary"
 _STATE: dict[str, np.ndarray | dict] = {}
 
@@ -99,33 +102,65 @@ def _sum_bundles(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"lang": [key[0].as_py()], "bundle": [total.tobytes()]}, schema=arrow_schema(_SUMS))
 
 
-def learn_prototypes(labelled: DataFrame, dim: int = DIM, max_languages: int = 1000) -> dict[str, np.ndarray]:
-    """Language -> bundled vector, from ``lang, text``; rows without either teach nothing."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-
-        def flush() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_pydict(
-                {"lang": list(sums), "bundle": [v.tobytes() for v in sums.values()]}, schema=arrow_schema(_SUMS))
-            sums.clear()
-            return rows
+def _slices(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, few at once; longer texts, fewer."""
+    ends = np.cumsum(pc.binary_length(batch.column(place)).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _BYTES_AT_ONCE, "right"))
+        b = min(max(a + 1, b), a + _DOCS_AT_ONCE)
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def _bundles(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """``lang, bundle`` of batches of ``lang, text``; what is held does not grow with the batches."""
+    counted: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    sums: dict[str, np.ndarray] = {}
+
+    def flush() -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_pydict(
+            {"lang": list(sums), "bundle": [v.tobytes() for v in sums.values()]}, schema=arrow_schema(_SUMS))
+        sums.clear()
+        return rows
+
+    def add() -> Iterator[pa.RecordBatch]:
+        for lang, found in counted.items():
+            exact = bundle_counts(*found, dim)
+            sums[lang] = sums[lang] + exact if lang in sums else exact
+            if len(sums) > 256:
+                yield flush()
+        counted.clear()
 
-        for batch in batches:
+    for batch in batches:
+        for part in _slices(batch, 1):
             grams: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 grams.setdefault(lang, []).append(ngrams(text))
             for lang, parts in grams.items():
                 found = np.unique(np.concatenate(parts), return_counts=True)
-                exact = bundle_counts(*found, dim)
-                sums[lang] = sums[lang] + exact if lang in sums else exact
-            if len(sums) > 256:
-                yield flush()
-        if sums:
-            yield flush()
+                counted[lang] = _merged(counted[lang], found) if lang in counted else found
+            if sum(len(g) for g, _ in counted.values()) + len(counted) > _GRAMS_HELD:
+                yield from add()
+    yield from add()
+    if sums:
+        yield flush()
+
+
+def _merged(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of both with the sums of their counts."""
+    grams, place = np.unique(np.concatenate([one[0], other[0]]), return_inverse=True)
+    counts = np.zeros(len(grams), np.int64)
+    for part, times in ((place[:len(one[0])], one[1]), (place[len(one[0]):], other[1])):
+        counts[part] += times
+    return grams, counts
 
+
+def learn_prototypes(labelled: DataFrame, dim: int = DIM, max_languages: int = 1000) -> dict[str, np.ndarray]:
+    """Language -> bundled vector, from ``lang, text``; rows without either teach nothing."""
     rows = labelled.select(labelled["lang"].cast("string").alias("lang"), labelled["text"].cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null")
-    parts = rows.mapInArrow(run, _SUMS)
+    parts = rows.mapInArrow(lambda batches: _bundles(batches, dim), _SUMS)
     level = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
     level = level.groupBy("lang", "part").applyInArrow(_sum_bundles, _SUMS)
     found = level.groupBy("lang").applyInArrow(_sum_bundles, _SUMS).limit(max_languages + 1).collect()
