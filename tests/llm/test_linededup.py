@@ -131,3 +131,20 @@ def test_near_copies_make_pairs_in_proportion_to_their_number(spark, monkeypatch
         counts.append(0)
         check(rows, spark.createDataFrame(rows, "doc_id long, text string"))
     assert counts[1] < 300 * 299 / 2 / 4, counts
+
+
+def test_long_lines_that_share_few_words_make_no_pairs(spark, monkeypatch):
+    # each shares rare words with many others, but they are no copies; two are
+    of_prefixes, counts = linededup._of_prefixes, []
+
+    def counting(*args):
+        out = of_prefixes(*args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "_of_prefixes", counting)
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(150, 160)))) for i in range(200)]
+    rows += [(300, rows[7][1] + " one two"), (301, "x y " + rows[8][1])]
+    check(rows, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert counts and counts[0] < len(rows)

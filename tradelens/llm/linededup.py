@@ -12,7 +12,7 @@ the order of the work.
    row a class; texts are read again only for the lines of candidate pairs.
 3. Similar sets share a word among the first ``n - ceil(t n) + 1`` of each (prefix filter); lengths and positions rule out
    most pairs inside the join, whose rows hold a few numbers.
-   So does the parity of their words in 64 classes, which bounds the symmetric difference from below.
+   So does the parity of their words in 128 classes, which bounds the symmetric difference from below.
 4. Large families of near copies would make pairs by the square of their size.  So a class is in three families, by two
    words of its prefix each, and is first held against the earliest of these, the one whose prefix is most alike; those
    that match are decided and no longer look for partners (they remain partners of others).  Then the undecided are held
@@ -87,8 +87,9 @@ def _needed(n: Column, percent: int) -> Column:
 
 
 def line_sets(docs: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, row, line_no, key, check, n, prefix, bits`` of every line with words; ``key`` and ``check`` tell sets
-    apart, ``prefix`` has numbers for the rarest words, ``bits`` the parity of the words' codes in 64 classes."""
+    """``doc_id, row, line_no, key, check, n, prefix, bits, odd`` of every line with words; ``key`` and ``check`` tell sets
+    apart, ``prefix`` has numbers for the rarest words, ``bits`` the parity of the words' codes in 64 classes, ``odd`` that
+    of every second class of 128 (with ``bits``, that of all 128)."""
     spark, lines = docs.sparkSession, _lines(docs).where(F.col("line").rlike("[^\\x20\\x09-\\x0d]"))
     # whole texts: any weights do, and so rows of words need no lines, sets or functions of arrays
     words = docs.select(F.explode(_words(F.col("text"), _BLANKS + "\n")).alias("word")).where("word != ''")
@@ -100,15 +101,20 @@ def line_sets(docs: DataFrame, percent: int) -> DataFrame:
                                     .bitwiseOR(F.shiftrightunsigned(h, 12))))
     coded = lines.select("doc_id", "row", "line_no", code.alias("codes"))
     n = F.size("codes")
-    bits = F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit_of(c)))
+    bits, odd = (F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit_of(c)))
+                 for codes in (F.col("codes"), F.filter("codes", lambda c: c.bitwiseAND(F.lit(64)) != 0)))
     rarest = F.slice("codes", 1, n - _needed(n, percent) + 1)
     return coded.select("doc_id", "row", "line_no", F.xxhash64("codes").alias("key"), F.hash("codes").alias("check"), n.alias("n"),
-                        F.transform(rarest, lambda c: c.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"), bits.alias("bits"))
+                        F.transform(rarest, lambda c: c.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"), bits.alias("bits"), odd.alias("odd"))
 
 
-def _fits(n: Column, m: Column, bits: Column, other: Column, percent: int) -> Column:
-    """Whether sets of these sizes and parities can be similar: each word that only one has turns one bit."""
-    differ = F.bit_count(bits.bitwiseXOR(other))
+def _fits(n: Column, m: Column, bits: Column, odd: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar; ``bits`` and ``odd`` are where the two sets' parities differ.
+
+    Each word that only one has turns one bit.  Of 64 bits half differ between any two long lines, which is no more than
+    similar lines of about 150 words may; so there are 128.  ``odd`` has half of them, ``bits`` both halves on each other.
+    """
+    differ = F.bit_count(odd) + F.bit_count(bits.bitwiseXOR(odd))
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
 
@@ -149,9 +155,9 @@ def _ordered(pairs: DataFrame, classes: DataFrame, percent: int, by_row: bool) -
 def _verified(pairs: DataFrame, places: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """``id`` of every class that is similar to the earlier one of a pair (``id, o_id, n, m``).
 
-    The lines are read from the texts again, once, and go to the earlier class of their pairs.  A bitmap of fixed size
-    drops most lines that no pair names before they are shuffled; where it lets others pass, the join drops them.  Of
-    equal rows one is read.
+    The lines are read from the texts again, once, and go to the earlier class of their pairs.  Bitmaps of fixed size
+    drop most texts that no pair names before they are cut into lines, and most such lines before they are shuffled; where
+    they let others pass, the join drops them.  Of equal rows one is read.
     """
     spark = texts.sparkSession
     folder = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
@@ -164,6 +170,8 @@ def _verified(pairs: DataFrame, places: DataFrame, texts: DataFrame, percent: in
     asked = cut_lineage(places.join(asked, "id").select("id", "o_id", "sizes", *_PLACE))
     slot = bitmap_slot("doc_id", "row", F.col("line_no").cast("int"))
     named = in_bitmap(bitmap(asked.select(slot.alias("slot"))), slot)
+    rows = bitmap_slot(F.xxhash64("text"))
+    texts = texts.where(in_bitmap(bitmap(asked.select(bitmap_slot("row").alias("slot"))), rows))
     lines = _lines(texts).where(named).withColumns(place).groupBy(*place).agg(F.first("line").alias("line"))
     found = lines.join(asked.withColumns(place).select("id", "o_id", "sizes", *place), list(place)).select("id", "o_id", "sizes", "line")
     found.write.parquet(f"{folder}/lines")
@@ -193,7 +201,7 @@ def _earlier(at: tuple[str, str, str], than: tuple[str, str, str], by_row: bool)
 
 
 def _families(classes: DataFrame) -> DataFrame:
-    """``family, id, doc_id, n, bits``: a class is in three families, by two words of its prefix each: the smallest and the
+    """``family, id, doc_id, n, bits, odd``: a class is in three families, by two words of its prefix each: the smallest and the
     largest two by number, which have nothing to do with rarity, and the two most frequent.  Families of one are left out.
 
     Near copies share most words of their prefixes, so they meet in some family though each has rare words of its own.
@@ -201,7 +209,7 @@ def _families(classes: DataFrame) -> DataFrame:
     order = F.array_sort("prefix")
     keys = F.transform(F.array(F.slice(order, 1, 2), F.reverse(F.slice(F.reverse(order), 1, 2)), F.reverse(F.slice(F.reverse("prefix"), 1, 2))),
                        lambda two, k: F.xxhash64(two, k))
-    rows = classes.select("id", "doc_id", "n", "bits", F.explode(keys).alias("family"))
+    rows = classes.select("id", "doc_id", "n", "bits", "odd", F.explode(keys).alias("family"))
     slot = bitmap_slot("family")
     shared = rows.groupBy("family").count().where("count > 1")
     return rows.where(in_bitmap(bitmap(shared.select(slot.alias("slot"))), slot))
@@ -209,9 +217,10 @@ def _families(classes: DataFrame) -> DataFrame:
 
 def _of_families(families: DataFrame, percent: int) -> DataFrame:
     """``id, o_id``: the members of each family against the one of the smallest doc_id."""
-    heads = families.groupBy("family").agg(F.min(F.struct("doc_id", "id", "n", "bits")).alias("h")).select(
-        F.col("family").alias("o_family"), F.col("h.id").alias("o_id"), F.col("h.n").alias("m"), F.col("h.bits").alias("o_bits"))
-    near = _fits(F.col("n"), F.col("m"), F.col("bits"), F.col("o_bits"), percent)
+    heads = families.groupBy("family").agg(F.min(F.struct("doc_id", "id", "n", "bits", "odd")).alias("h")).select(
+        F.col("family").alias("o_family"), F.col("h.id").alias("o_id"), F.col("h.n").alias("m"), F.col("h.bits").alias("o_bits"),
+        F.col("h.odd").alias("o_odd"))
+    near = _fits(F.col("n"), F.col("m"), F.col("bits").bitwiseXOR(F.col("o_bits")), F.col("odd").bitwiseXOR(F.col("o_odd")), percent)
     return (families.join(heads, (F.col("family") == F.col("o_family")) & (F.col("id") != F.col("o_id")) & near)
             .select(F.least("id", "o_id").alias("id"), F.greatest("id", "o_id").alias("o_id")))
 
@@ -234,11 +243,11 @@ def _marked(classes: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 
 def _index(classes: DataFrame) -> DataFrame:
-    """``word, id, at, bits, pack``: a row for each prefix word of the classes with a flag ``done``."""
+    """``word, id, at, bits, odd, pack``: a row for each prefix word of the classes with a flag ``done``."""
     # size, position and mark in one number: a row for each prefix word is what the join costs
-    return classes.select("id", "n", "bits", "done", F.coalesce("doc_id", F.lit(-1 << 63)).alias("at"),
+    return classes.select("id", "n", "bits", "odd", "done", F.coalesce("doc_id", F.lit(-1 << 63)).alias("at"),
                           F.posexplode("prefix").alias("place", "word")).select(
-        "word", "id", "at", "bits", (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("place").cast("long"), 1)
+        "word", "id", "at", "bits", "odd", (F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("place").cast("long"), 1)
                                              + F.col("done").cast("int")).alias("pack"))
 
 
@@ -256,12 +265,12 @@ def _met(left: DataFrame, right: DataFrame, percent: int, once: bool) -> DataFra
     in_reach = F.least(n - at, m - o_at) >= least_shared
     asks = ((done == 0) & (F.col("l_at") >= F.col("r_at"))) | ((o_done == 0) & (F.col("r_at") >= F.col("l_at")))
     other = F.col("l_id") < F.col("r_id") if once else F.col("l_id") != F.col("r_id")
-    met = left.join(right, (F.col("l_word") == F.col("r_word")) & other & asks
-                    & in_reach & _fits(n, m, F.col("l_bits"), F.col("r_bits"), percent))
+    bits, odd = (F.col(f"l_{c}").bitwiseXOR(F.col(f"r_{c}")) for c in ("bits", "odd"))
+    met = left.join(right, (F.col("l_word") == F.col("r_word")) & other & asks & in_reach & _fits(n, m, bits, odd, percent))
     return met.select(F.least("l_id", "r_id").alias("id"), F.greatest("l_id", "r_id").alias("o_id"))
 
 
-_INDEXED = ("id", "doc_id", "n", "bits", "prefix")
+_INDEXED = ("id", "doc_id", "n", "bits", "odd", "prefix")
 
 
 def _of_leaders(classes: DataFrame, decided: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
@@ -291,8 +300,8 @@ def _gone(texts: DataFrame, percent: int, by_row: bool) -> DataFrame:
     lines = stored(line_sets(texts, percent), "lines")
     classes = stored(lines.groupBy("key", "check").agg(
         F.min(F.struct("doc_id", "line_no", "row")).alias("at"), F.count("*").alias("members"), F.first("n").alias("n"),
-        F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-        .select(F.monotonically_increasing_id().alias("id"), "key", "check", "at.*", "members", "n", "prefix", "bits"), "classes")
+        F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("odd").alias("odd"))
+        .select(F.monotonically_increasing_id().alias("id"), "key", "check", "at.*", "members", "n", "prefix", "bits", "odd"), "classes")
 
     families = cut_lineage(_families(classes))
     decided = _similar(_of_families(families, percent), classes, texts, percent, by_row, best=True)
